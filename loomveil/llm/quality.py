@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from loomveil.llm import bytescan as bs
 
 SCALE = 1 << 20
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
 
 
 @dataclass(frozen=True)
@@ -100,8 +101,8 @@ def fit(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> Model:
     return Model(weights, int(got[int(len(got) * rules.reject_share)]) - int(rules.slack * SCALE))
 
 
-def score(docs: DataFrame, model: Model, rules: Rules = Rules()) -> DataFrame:
-    """Base counts, base_failed, score and kept of every document."""
+def score(docs: DataFrame, model: Model, rules: Rules = Rules(), carry: bool = False) -> DataFrame:
+    """Base counts, base_failed, score and kept of every document; carry: the kept documents themselves instead."""
     n = rules.buckets
     weights = docs.sparkSession.sparkContext.broadcast(model.weights)
     threshold = model.threshold
@@ -111,34 +112,13 @@ def score(docs: DataFrame, model: Model, rules: Rules = Rules()) -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
         for batch in batches:
-            ids = batch.column("doc_id")
             for t in bs.slices(batch.column("text")):
                 t.prepare(lower=False)
                 start, end, first = t.words()
                 n_words = np.diff(first)
                 h, own = t.span(start, end), bs.owners(first)
                 solid = ~t.space[t.buf] & ((t.buf & 0xC0) != 0x80)
-                # lines with a word: those in which some word starts
-                ls, le, lf = t.lines()
-                wordy = np.searchsorted(start, ls) < np.searchsorted(start, np.maximum(le, ls))
-                line_own = bs.owners(lf)[wordy]
-                keys = np.sort(bs.by_text(t.span(ls[wordy], le[wordy]), line_own))
-                distinct = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
-                n_dup = np.bincount(line_own, minlength=t.n)
-                if len(distinct) < len(keys):
-                    tagged = np.unique(np.stack([bs.by_text(t.span(ls[wordy], le[wordy]), line_own), line_own.astype(np.uint64)], 1), axis=0)
-                    n_dup = n_dup - np.bincount(tagged[:, 1].astype(np.int64), minlength=t.n)
-                else:
-                    n_dup = np.zeros(t.n, np.int64)
-                # words in repeated windows of three
-                g, gf = bs.grams(h, first, 3)
-                g_own = bs.owners(gf)
-                hit = np.flatnonzero(bs.repeated(bs.by_text(g, g_own)))
-                at = hit - gf[g_own[hit]] + first[g_own[hit]]
-                covered = np.zeros(len(h), bool)
-                for k in range(3):
-                    covered[at + k] = True
-                n_repeat = np.bincount(own[covered], minlength=t.n)
+                n_dup, n_repeat = _dup_lines(t, start), _repeat_words(h, first, own, t.n)
                 total, many = np.zeros(t.n, np.int64), np.zeros(t.n, np.int64)
                 for b, bf in _buckets(t, n):
                     sums = np.concatenate([[0], np.cumsum(w[b])])
@@ -146,15 +126,48 @@ def score(docs: DataFrame, model: Model, rules: Rules = Rules()) -> DataFrame:
                     many += np.diff(bf)
                 value = total // np.maximum(many, 1)
                 failed = (n_words < rules.min_words) | (100 * n_repeat > rules.max_repeat_percent * n_words)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(t.first, t.n), *map(pa.array, (n_words, t.spread(solid), t.spread(symbols[t.buf]), n_dup, n_repeat, failed, value, ~failed & (value >= threshold)))],
-                    ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"],
-                )
-
+                kept = ~failed & (value >= threshold)
+                part = batch.slice(t.first, t.n)
+                if carry:
+                    yield part.filter(pa.array(kept))
+                    continue
+                counts = (n_words, t.spread(solid), t.spread(symbols[t.buf]), n_dup, n_repeat, failed, value, kept)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, counts)], ["doc_id", *COUNTS])
+
+    if carry:
+        return docs.mapInArrow(judge, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        judge, f"doc_id {id_type}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score long, kept boolean"
-    )
+    kinds = ", ".join(f"{c} {'boolean' if c in ('base_failed', 'kept') else 'long'}" for c in COUNTS)
+    return docs.select("doc_id", "text").mapInArrow(judge, f"doc_id {id_type}, {kinds}")
+
+
+def _dup_lines(t: bs.Texts, start: np.ndarray) -> np.ndarray:
+    """Of each text, its lines with a word that equal an earlier line."""
+    ls, le, lf = t.lines()
+    wordy = np.searchsorted(start, ls) < np.searchsorted(start, np.maximum(le, ls))
+    own, text_lines = bs.owners(lf)[wordy], t.span(ls[wordy], le[wordy])
+    keys = bs.by_text(text_lines, own)
+    again = np.flatnonzero(bs.repeated(keys))
+    _, first = np.unique(keys[again], return_index=True)
+    n = np.bincount(own[again], minlength=t.n)
+    return n - np.bincount(own[again][first], minlength=t.n)
+
+
+def _repeat_words(h: np.ndarray, first: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """Of each text, its words in windows of three that occur twice or more in it."""
+    g, gf = bs.grams(h, first, 3)
+    g_own = bs.owners(gf)
+    hit = np.flatnonzero(bs.repeated(bs.by_text(g, g_own)))
+    at = hit - gf[g_own[hit]] + first[g_own[hit]]
+    covered = np.zeros(len(h), bool)
+    for k in range(3):
+        covered[at + k] = True
+    return np.bincount(own[covered], minlength=n)
+
+
+def filter_documents(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The documents that pass, with all their columns."""
+    return score(docs, fit(docs, labels, rules), rules, carry=True)
 
 
 def judge_documents(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFrame:
