@@ -1,15 +1,506 @@
-"""Registered queries over the reference tables, and their SQL."""
+"""Registered queries over the test tables, and their SQL.
+
+`notes` are synthetic Dutch notes made from the customer table by one SQL expression
+that both engines run, so that every detector has something to find.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomveil.functions import columns as c
+from loomveil.functions import fixed as fx
+from loomveil.operators import chat, pii, search
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+_CK = "c_custkey"
+_PAD = lambda x, n: f"lpad(cast({x} as string), {n}, '0')"
+NOTES = f"""select {_CK} as doc_id,
+  'Klant ' || c_name || ' heeft BSN ' || {_PAD(f"({_CK} * 7919 + 12345) % 1000000000", 9)} || ' en ' || {_PAD(f"({_CK} * 104729 + 99) % 1000000000", 9)}
+  || '. Tel 06-' || {_PAD(f"({_CK} * 31337) % 100000000", 8)} || ' of 020 ' || {_PAD(f"({_CK} * 77) % 10000000", 7)}
+  || '. Mail k.bakker' || cast({_CK} as string) || '@testmail.example of x@Y.NL. IBAN NL' || {_PAD(f"{_CK} % 100", 2)} || ' ABNA 0417 ' || {_PAD(f"({_CK} * 13) % 10000", 4)} || ' 30.'
+  || chr(10) || 'Woont Parklaan ' || cast(1 + {_CK} % 300 as string) || ', ' || {_PAD(f"({_CK} * 37) % 10000", 4)} || ' AB. Geboren op '
+  || {_PAD(f"1 + {_CK} % 35", 2)} || '-' || {_PAD(f"1 + {_CK} % 14", 2)} || '-' || cast(1940 + {_CK} % 60 as string) || ', gezien 15 maart 2023 en in april 2024, ook ' || cast(1 + {_CK} % 28 as string) || '/2/99.'
+  as text from customer"""
+
+
+def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{table}.parquet")
+
+
+def _notes(customer: DataFrame) -> DataFrame:
+    return customer.sparkSession.sql(NOTES.replace(" from customer", " from {customer}"), customer=customer)
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def docs(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "documents")
+
+
+# --- detectors -----------------------------------------------------------------------------
+
+_RE2 = {
+    "bsn": r"\b[0-9]{9}\b",
+    "date_numeric": r"\b[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4}\b",
+    "date_short": r"\b[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2}\b",
+    "date_text": rf"(?i)\b[0-9]{{1,2}}\s+(?:{'|'.join(fx.MONTHS)}|{'|'.join(fx.SHORT_MONTHS)})\.?\s+[0-9]{{4}}\b",
+    "date_month": rf"(?i)\b(?:{'|'.join(fx.MONTHS)})\s+[0-9]{{4}}\b",
+    "date_birth": r"(?i)\b(?:geboren\s+op|geb\.?)\s+[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4}\b",
+    "iban": r"\b[A-Z]{2}[0-9]{2}\s?[A-Z]{4}\s?[0-9]{4}\s?[0-9]{4}\s?[0-9]{2,4}\b",
+    "email": r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-z]{2,10}\b",
+    "phone_mobile": r"\b06(?:[-\s.]?[0-9]{1,2}){5}\b",
+    "phone_landline": r"\b0[1-9][0-9]{1,2}[-\s.][0-9]{1,3}[-\s.]?[0-9]{1,3}[-\s.]?[0-9]{1,3}\b",
+    "postcode": r"\b[0-9]{4}\s?[A-Z]{2}\b",
+    "address": rf"\b[A-Z][a-zéèêëïöüà]+(?:\s[a-z]+)*(?:{'|'.join(fx.STREETS)})\s+[0-9]{{1,5}}\s?[a-zA-Z]?(?:\s?(?:bis|hs))?\b",
+}
+_PLAUSIBLE = r"""(regexp_extract(original, '([0-9]{1,2})[-/.]([0-9]{1,2})[-/.][0-9]{2,4}', 1) = '' or
+    (try_cast(regexp_extract(original, '([0-9]{1,2})[-/.]([0-9]{1,2})[-/.][0-9]{2,4}', 1) as int) between 1 and 31 and
+     try_cast(regexp_extract(original, '([0-9]{1,2})[-/.]([0-9]{1,2})[-/.][0-9]{2,4}', 2) as int) between 1 and 12))"""
+_ELEVEN = " + ".join(f"substr(d, {i + 1}, 1)::int * {w}" for i, w in enumerate((9, 8, 7, 6, 5, 4, 3, 2, -1)))
+_CHECK = {"date": _PLAUSIBLE, "phone": "length(regexp_replace(original, '[^0-9]', '', 'g')) >= 9", "postcode": "substr(original, 1, 4)::int >= 1000"}
+
+
+def _positions(source: str, pattern: str) -> str:
+    """SQL with doc_id, text, start_offset and original of all matches."""
+    return rf"""found as (select doc_id, text, regexp_extract_all(text, '{pattern}') as m, string_split_regex(text, '{pattern}') as g from {source}),
+      flat as (select doc_id, text, unnest(m) as original, generate_subscripts(m, 1) as i, m, g from found),
+      hits as (select doc_id, text, original, list_sum(list_transform(g[1:i], lambda x: length(x)))::bigint + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::bigint as start_offset from flat)"""
+
+
+def _detect(name: str, source: str) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        d = _notes(read(spark, sf, "customer")) if source == "notes" else docs(spark, sf)
+        found = d.select("doc_id", F.explode(c.detected(F.col("text"), name)).alias("m"))
+        return found.select("doc_id", F.col("m.start").cast("long").alias("start_offset"), F.col("m.original").alias("original"))
+
+    run.__name__ = f"detect_{name}"
+    QUERIES[run.__name__] = run
+    check = _CHECK.get(c.KIND_OF[name], "true")
+    if c.KIND_OF[name] == "bsn":
+        d = "regexp_replace(original, '[^0-9]', '', 'g')"
+        context = r"regexp_matches(lower(substr(text, greatest(start_offset - 40, 0) + 1, start_offset + 20 - greatest(start_offset - 40, 0))), '\bbsn\b|burgerservicenummer')"
+        check = f"({context} or (({_ELEVEN.replace('d,', d + ',')}) > 0 and ({_ELEVEN.replace('d,', d + ',')}) % 11 = 0))"
+    SQL[run.__name__] = f"with notes as ({NOTES}), {_positions(source, _RE2[name])} select doc_id, start_offset, original from hits where {check}"
+
+
+for _n in _RE2:
+    _detect(_n, "documents" if _n in ("email", "date_short") else "notes")
+
+
+@query(f"""with notes as ({NOTES}), d9 as (select doc_id, {_PAD("(doc_id * 7919 + 12345) % 1000000000", 9)} as d from notes)
+  select doc_id, d as digits, (d <> '000000000' and ({_ELEVEN}) > 0 and ({_ELEVEN}) % 11 = 0) as valid from d9""")
+def bsn_elfproef(spark: SparkSession, sf: str) -> DataFrame:
+    d = read(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.lpad(((F.col("c_custkey") * 7919 + 12345) % 1000000000).cast("string"), 9, "0").alias("digits"))
+    return d.withColumn("valid", c.valid_bsn(F.col("digits")))
+
+
+@query(rf"""with notes as ({NOTES}), {_positions("notes", _RE2["bsn"])} select doc_id, start_offset,
+  regexp_matches(lower(substr(text, greatest(start_offset - 40, 0) + 1, start_offset + 20 - greatest(start_offset - 40, 0))), '\bbsn\b|burgerservicenummer') as in_context from hits""")
+def bsn_context_window(spark: SparkSession, sf: str) -> DataFrame:
+    m = _notes(read(spark, sf, "customer")).select("doc_id", "text", F.explode(c.spans(F.col("text"), c.PATTERNS["bsn"][0])).alias("m"))
+    return m.select("doc_id", F.col("m.start").cast("long").alias("start_offset"), c.bsn_context(F.col("text"), F.col("m.start")).alias("in_context"))
+
+
+@query(f"with {_positions('documents', _RE2['date_short'])} select doc_id, original, {_PLAUSIBLE} as plausible from hits")
+def date_plausibility(spark: SparkSession, sf: str) -> DataFrame:
+    m = docs(spark, sf).select("doc_id", F.explode(c.spans(F.col("text"), c.PATTERNS["date_short"][0])).alias("m"))
+    return m.select("doc_id", F.col("m.original").alias("original"), c.plausible_date(F.col("m.original")).alias("plausible"))
+
+
+# --- resolution, numbering, redaction ------------------------------------------------------
+
+_EMAIL_HITS = f"with {_positions('documents', _RE2['email'])}, ranked as (select *, row_number() over (partition by doc_id order by start_offset) as number from hits)"
+_SPLICE = """, pieces as (select r.*, lag(start_offset + length(original), 1, 0) over (partition by doc_id order by start_offset) as before, count(*) over (partition by doc_id) as n from ranked r),
+  joined as (select doc_id, any_value(text) as text, string_agg(substr(text, (before + 1)::bigint, (start_offset - before)::bigint) || {0}, '' order by start_offset) as head,
+             max(start_offset + length(original)) as upto from pieces group by doc_id)
+  select d.doc_id, coalesce(j.head || substr(j.text, (j.upto + 1)::bigint), d.text) as filtered_text from documents d left join joined j on d.doc_id = j.doc_id"""
+
+
+@query(_EMAIL_HITS + _SPLICE.format("'[EMAIL-' || case when number < 1000 then lpad(number::varchar, 3, '0') else number::varchar end || ']'"))
+def redact_bracket(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.native_redaction(docs(spark, sf).select("doc_id", "text"), ["email"]).select("doc_id", "filtered_text")
+
+
+@query(_EMAIL_HITS + _SPLICE.format("repeat('█', length(original))"))
+def redact_block(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.native_redaction(docs(spark, sf).select("doc_id", "text"), ["email"], "redacted").select("doc_id", "filtered_text")
+
+
+@query(_EMAIL_HITS + " select doc_id, start_offset, number, '[EMAIL-' || lpad(number::varchar, 3, '0') || ']' as placeholder from ranked")
+def placeholder_numbering(spark: SparkSession, sf: str) -> DataFrame:
+    m = pii.native_matches(docs(spark, sf), ["email"])
+    n = m.withColumn("number", F.row_number().over(Window.partitionBy("doc_id", "type").orderBy("start_offset")).cast("long"))
+    return n.select("doc_id", "start_offset", "number", c.placeholder(F.col("type"), F.col("number")).alias("placeholder"))
+
+
+@query("""with recursive spans as (select l_orderkey as k, l_linenumber::bigint as i, (l_partkey % 40)::bigint as s, (l_partkey % 40 + 1 + l_suppkey % 15)::bigint as e from lineitem),
+  ranked as (select *, row_number() over (partition by k order by s, e desc, i) as n from spans),
+  walk as (select k, n, s, e, true as kept, e as upto from ranked where n = 1
+           union all select r.k, r.n, r.s, r.e, r.s >= w.upto, case when r.s >= w.upto then r.e else w.upto end from walk w join ranked r on r.k = w.k and r.n = w.n + 1)
+  select k as doc_id, s as start_offset, e as end_offset from walk where kept""")
+def overlap_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    part = F.col("l_partkey") % 40
+    one = F.struct(part.cast("int").alias("start"), (part + 1 + F.col("l_suppkey") % 15).cast("int").alias("end"), F.col("l_linenumber").alias("i"))
+    grouped = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(one), lambda a, b: a["i"] - b["i"]).alias("m"))
+    kept = grouped.select(F.col("l_orderkey").alias("doc_id"), F.explode(c.resolved(F.col("m"))).alias("m"))
+    return kept.select("doc_id", F.col("m.start").cast("long").alias("start_offset"), F.col("m.end").cast("long").alias("end_offset"))
+
+
+def _stat_rows(spark: SparkSession, sf: str) -> DataFrame:
+    d = docs(spark, sf)
+    return d.select("doc_id", "lang", "source", F.size(c.detected(F.col("text"), "email")).cast("long").alias("email"), F.size(c.detected(F.col("text"), "date_short")).cast("long").alias("date"))
+
+
+_STAT_SQL = f"""with e as (select doc_id, lang, source, len(regexp_extract_all(text, '{_RE2["email"]}')) as email,
+  len(list_filter(regexp_extract_all(text, '{_RE2["date_short"]}'), lambda x: {_PLAUSIBLE.replace("original", "x")})) as date from documents)"""
+
+
+@query(_STAT_SQL + " select doc_id, email::bigint as email, date::bigint as date, 0::bigint as iban, (email + date)::bigint as total from e")
+def pii_stats_by_doc(spark: SparkSession, sf: str) -> DataFrame:
+    return _stat_rows(spark, sf).select("doc_id", "email", "date", F.lit(0).cast("long").alias("iban"), (F.col("email") + F.col("date")).alias("total"))
+
+
+@query(_STAT_SQL + " select lang, sum(email)::bigint as email, sum(date)::bigint as date, sum(email + date)::bigint as total from e group by lang")
+def pii_stats_by_lang(spark: SparkSession, sf: str) -> DataFrame:
+    return _stat_rows(spark, sf).groupBy("lang").agg(F.sum("email").alias("email"), F.sum("date").alias("date"), F.sum(F.col("email") + F.col("date")).alias("total"))
+
+
+@query(_STAT_SQL + " select lang, source, sum(email + date)::bigint as total from e group by rollup (lang, source)")
+def pii_stats_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return _stat_rows(spark, sf).rollup("lang", "source").agg(F.sum(F.col("email") + F.col("date")).alias("total"))
+
+
+@query(f"with {_positions('documents', _RE2['email'])} select doc_id, start_offset, original from hits where lower(original) not in (select lower(original) from hits where original like '%mail7%')")
+def exclude_words(spark: SparkSession, sf: str) -> DataFrame:
+    m = pii.native_matches(docs(spark, sf), ["email"])
+    words = m.where(F.col("original").contains("mail7")).select(F.lower("original").alias("w")).distinct()
+    return m.join(words, F.lower("original") == F.col("w"), "left_anti").select("doc_id", "start_offset", "original")
+
+
+@query(f"with notes as ({NOTES}) select doc_id, len(regexp_extract_all(text, '{_RE2['email']}'))::bigint as n from notes")
+def enabled_types(spark: SparkSession, sf: str) -> DataFrame:
+    m = pii.native_matches(_notes(read(spark, sf, "customer")), ["email", "iban", "postcode"]).where(F.col("type").isin("email"))
+    return m.groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(f"with {_positions('documents', _RE2['email'])} select original, count(*) as n from hits group by original")
+def distinct_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.native_matches(docs(spark, sf), ["email"]).groupBy("original").agg(F.count("*").alias("n"))
+
+
+# --- dictionaries and ranges ---------------------------------------------------------------
+
+_WORDS = "words as (select doc_id, unnest(string_split_regex(text, '[^\\p{L}]+')) as w from documents), tokens as (select * from words where w <> '')"
+
+
+def _words(spark: SparkSession, sf: str) -> DataFrame:
+    return docs(spark, sf).select("doc_id", F.explode(F.split("text", r"[^\p{L}]+")).alias("w")).where("w <> ''")
+
+
+def _values(words: list[str]) -> str:
+    return ", ".join(f"('{w}')" for w in words)
+
+
+@query(f"with {_WORDS}, dict(w) as (values {_values(['Thea', 'Bo', 'Dora', 'Ties', *fx.DEFAULT_FIRST])}) select doc_id, w, count(*) as n from tokens where w in (select w from dict) group by doc_id, w")
+def dictionary_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    names = spark.createDataFrame([(x,) for x in ["Thea", "Bo", "Dora", "Ties", *fx.DEFAULT_FIRST]], "w string")
+    return _words(spark, sf).join(F.broadcast(names), "w", "left_semi").groupBy("doc_id", "w").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {_WORDS} select w, count(*) as n from tokens where length(w) >= 3 and lower(w) not in (select * from (values {_values(fx.COMMON_WORDS)}))
+  and (regexp_matches(lower(w), '(?:{"|".join(fx.SURNAME_ENDINGS)})$') or (length(w) > 5 and regexp_matches(lower(w), '^(?:{"|".join(fx.SURNAME_STARTS)})'))) group by w""")
+def likely_surname(spark: SparkSession, sf: str) -> DataFrame:
+    return _words(spark, sf).where(c.likely_surname(F.col("w"))).groupBy("w").agg(F.count("*").alias("n"))
+
+
+@query(f"with {_WORDS} select doc_id, count(*) as n from tokens where lower(w) not in (select * from (values {_values(fx.COMMON_WORDS)})) group by doc_id")
+def common_word_filter(spark: SparkSession, sf: str) -> DataFrame:
+    common = spark.createDataFrame([(x,) for x in fx.COMMON_WORDS], "cw string")
+    return _words(spark, sf).join(F.broadcast(common), F.lower("w") == F.col("cw"), "left_anti").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""with notes as ({NOTES}), {_positions("notes", _RE2["bsn"])}, mail as (select doc_id, instr(text, '@')::bigint - 1 as p from notes)
+  select h.doc_id, h.start_offset from hits h where exists (select 1 from mail m where m.doc_id = h.doc_id and (abs(m.p - h.start_offset) < 100 or abs(m.p + 1 - h.start_offset) < 100))""")
+def near_name_range_join(spark: SparkSession, sf: str) -> DataFrame:
+    n = _notes(read(spark, sf, "customer"))
+    hits = n.select("doc_id", F.explode(c.spans(F.col("text"), c.PATTERNS["bsn"][0])).alias("m")).select("doc_id", F.col("m.start").cast("long").alias("start_offset"))
+    mail = n.select(F.col("doc_id").alias("d"), (F.instr("text", "@") - 1).cast("long").alias("p"))
+    near = (F.abs(F.col("p") - F.col("start_offset")) < 100) | (F.abs(F.col("p") + 1 - F.col("start_offset")) < 100)
+    return hits.join(mail, (F.col("doc_id") == F.col("d")) & near, "left_semi")
+
+
+_LINES = "lines as (select doc_id, string_split(text, chr(10)) as l from documents), numbered as (select doc_id, unnest(l) as line, generate_subscripts(l, 1)::bigint - 1 as line_no from lines)"
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    return docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+@query(f"with {_LINES}, placed as (select *, sum(length(line) + 1) over (partition by doc_id order by line_no) - length(line) - 1 as p from numbered), {_positions('documents', _RE2['email'])[0:]} select h.doc_id, h.start_offset, p.line_no from hits h join placed p on h.doc_id = p.doc_id and h.start_offset >= p.p and h.start_offset + length(h.original) <= p.p + length(p.line)")
+def paragraph_containment(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy("doc_id").orderBy("line_no")
+    placed = _lines(spark, sf).withColumn("p", F.sum(F.length("line") + 1).over(w) - F.length("line") - 1).withColumn("q", F.col("p") + F.length("line"))
+    hits = pii.native_matches(docs(spark, sf), ["email"]).select(F.col("doc_id").alias("d"), "start_offset", "end_offset")
+    inside = (F.col("doc_id") == F.col("d")) & (F.col("start_offset") >= F.col("p")) & (F.col("end_offset") <= F.col("q"))
+    return placed.join(hits, inside).select("doc_id", "start_offset", "line_no")
+
+
+@query(f"with {_LINES} select doc_id, line_no, lag(line) over (partition by doc_id order by line_no) as prev_line from numbered")
+def prev_line(spark: SparkSession, sf: str) -> DataFrame:
+    return _lines(spark, sf).select("doc_id", "line_no", F.lag("line").over(Window.partitionBy("doc_id").orderBy("line_no")).alias("prev_line"))
+
+
+@query(f"with {_LINES} select doc_id, line_no, line from numbered where line_no = 0 and len(string_split_regex(trim(line), '\\s+')) between 2 and 5 and regexp_matches(trim(line), '^[A-ZÀ-ÿ]') and not regexp_matches(trim(line), '[.!?;]$')")
+def speaker_labels(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.trim("line")
+    return _lines(spark, sf).where((F.col("line_no") == 0) & F.size(F.split(t, r"\s+")).between(2, 5) & t.rlike("^[A-ZÀ-ÿ]") & ~t.rlike("[.!?;]$"))
+
+
+# --- ingest and chunks ---------------------------------------------------------------------
+
+
+@query("select sha256(text) as hash, count(*) as n, min(doc_id) as doc_id from documents group by 1")
+def doc_hash_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    return docs(spark, sf).groupBy(F.sha2("text", 256).alias("hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+
+
+@query("""with a as (select doc_id as path, sha256(text) as hash, doc_id as id from documents where doc_id % 3 <> 0),
+  b as (select doc_id as path, sha256(case when doc_id % 5 = 0 then text || 'x' else text end) as hash, doc_id + 1000000 as id from documents where doc_id % 4 <> 0)
+  select coalesce(b.path, a.path) as path, case when b.path is not null and a.hash is distinct from b.hash then b.hash else a.hash end as hash,
+  case when b.path is not null and a.hash is distinct from b.hash then b.id else a.id end as id from a full outer join b on a.path = b.path""")
+def upsert_by_hash(spark: SparkSession, sf: str) -> DataFrame:
+    from loomveil.sources.files import upsert
+
+    d = docs(spark, sf)
+    a = d.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("hash"), F.col("doc_id").alias("id"))
+    b = d.where("doc_id % 4 <> 0").select(F.col("doc_id").alias("path"), F.sha2(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("hash"), (F.col("doc_id") + 1000000).alias("id"))
+    return upsert(a, b)
+
+
+@query(r"""with t as (select doc_id, replace(text, '. ', chr(13) || chr(10) || chr(10) || chr(10) || '  ') as x from documents),
+  u as (select doc_id, regexp_replace(regexp_replace(replace(x, chr(13) || chr(10), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), ' {2,}', ' ', 'g') as x from t),
+  l as (select doc_id, array_to_string(list_transform(string_split(x, chr(10)), lambda v: trim(v, ' ' || chr(9) || chr(13))), chr(10)) as x from u)
+  select doc_id, trim(x, ' ' || chr(9) || chr(10) || chr(13)) as text from l""")
+def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
+    return docs(spark, sf).select("doc_id", c.normalize_text(F.replace("text", F.lit(". "), F.lit("\r\n\n\n  "))).alias("text"))
+
+
+def _paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    return docs(spark, sf).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+
+
+@query()
+def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return search.chunk_documents(_paragraphs(spark, sf))
+
+
+@query()
+def chunk_count_by_doc(spark: SparkSession, sf: str) -> DataFrame:
+    return search.chunk_documents(_paragraphs(spark, sf)).groupBy("document_id").agg(F.count("*").alias("chunks"), F.max("end_offset").alias("last_end"))
+
+
+@query("select doc_id, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as content from documents where not contains(text, chr(10)) and trim(text) <> ''")
+def chunk_single_paragraph(spark: SparkSession, sf: str) -> DataFrame:
+    one = docs(spark, sf).where(~F.contains("text", F.lit("\n")))
+    return search.chunk_documents(one).select(F.col("document_id").alias("doc_id"), "content")
+
+
+# --- full-text search ----------------------------------------------------------------------
+
+_TERMS = r"raw as (select doc_id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) as term from documents), terms as (select * from raw where term <> '')"
+_TOP = "order by score desc, doc_id limit 10"
+
+
+def _bm25_sql(where: list[str], scope: str = "true") -> str:
+    qs = " union all ".join(f"select {i} as q, doc_id, count(*) as tf from terms where {w} group by doc_id" for i, w in enumerate(where))
+    return f"""with {_TERMS}, dls as (select doc_id, count(*) as dl from terms group by doc_id),
+      st as (select (select count(*) from documents) as n, (select sum(dl) from dls) / (select count(*) from documents)::double as avgdl),
+      hits as ({qs}), df as (select q, count(*) as df from hits group by q),
+      parts as (select h.doc_id, case when ln((n - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n - df + 0.5) / (df + 0.5)) end * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) as s
+                from hits h join df using (q) join dls using (doc_id), st),
+      scored as (select doc_id, sum(s) as score from parts group by doc_id having count(*) = {len(where)})
+      select doc_id, round(score, 6) as score from scored where {scope} {_TOP}"""
+
+
+def _index(spark: SparkSession, sf: str) -> search.Index:
+    return search.build_index(docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("text").alias("content")), stemmed=False)
+
+
+def _top(hits: DataFrame) -> DataFrame:
+    return hits.orderBy(F.desc("score"), "document_id").limit(10).select(F.col("document_id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(f"with {_TERMS} select doc_id, term, count(*) as tf from terms group by doc_id, term")
+def tokenize_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return _index(spark, sf).postings.select(F.col("document_id").alias("doc_id"), "term", "tf")
+
+
+@query(f"with {_TERMS}, d as (select doc_id, count(*) as dl from terms group by doc_id) select (select count(*) from documents) as n, (select count(distinct term) from terms) as terms, round((select sum(dl) from d) / (select count(*) from documents)::double, 6) as avgdl")
+def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
+    i = _index(spark, sf)
+    return i.chunk_stats.agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("avgdl")).join(i.postings.agg(F.count_distinct("term").alias("terms")))
+
+
+@query(_bm25_sql(["term = 'idiot'"]))
+def bm25_single(spark: SparkSession, sf: str) -> DataFrame:
+    return _top(search.bm25(_index(spark, sf), [("idiot", False)]))
+
+
+@query(_bm25_sql(["term = 'the'", "term = 'clown'"]))
+def bm25_and(spark: SparkSession, sf: str) -> DataFrame:
+    return _top(search.bm25(_index(spark, sf), [("the", False), ("clown", False)]))
+
+
+@query(_bm25_sql(["starts_with(term, 'path')"]))
+def bm25_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    return _top(search.bm25(_index(spark, sf), [("path", True)]))
+
+
+@query(_bm25_sql(["term = 'idiot'"], "doc_id % 2 = 0"))
+def search_scoped(spark: SparkSession, sf: str) -> DataFrame:
+    return _top(search.bm25(_index(spark, sf), [("idiot", False)]).where("document_id % 2 = 0"))
+
+
+@query("select * from (" + _bm25_sql(["term = 'idiot'"]) + ") where score >= 2.5")
+def search_min_score(spark: SparkSession, sf: str) -> DataFrame:
+    return _top(search.bm25(_index(spark, sf), [("idiot", False)])).where("score >= 2.5")
+
+
+@query("select doc_id, lang, score from (" + _bm25_sql(["term = 'idiot'"]) + ") join documents using (doc_id)")
+def search_join_back(spark: SparkSession, sf: str) -> DataFrame:
+    return F.broadcast(bm25_single(spark, sf)).join(docs(spark, sf), "doc_id").select("doc_id", "lang", "score")
+
+
+@query("select string_agg('[Bron ' || i || ': ' || source || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by i) as context from (select *, row_number() over (order by score desc, doc_id) as i from (" + _bm25_sql(["term = 'idiot'"]) + ") join documents using (doc_id))")
+def build_context(spark: SparkSession, sf: str) -> DataFrame:
+    hits = bm25_single(spark, sf).join(docs(spark, sf), "doc_id").select(F.col("doc_id").alias("chunk_id"), "source", F.col("text").alias("content"), "score")
+    return chat.context_text(hits, "source")
+
+
+@query()
+def search_stemmed(spark: SparkSession, sf: str) -> DataFrame:
+    d = docs(spark, sf).select("doc_id", "text", F.col("source").alias("name"))
+    chunks = search.chunk_documents(d)
+    return search.search(search.build_index(chunks), chunks, d.select("doc_id", "name"), "idiots").select("chunk_id", "document_id", "name", "score", "highlights")
+
+
+# --- conversations -------------------------------------------------------------------------
+
+
+@query("select conv_id, turn, role, text from (select *, row_number() over (partition by conv_id order by turn desc) as k from conversations) where k <= 3")
+def history_last_n(spark: SparkSession, sf: str) -> DataFrame:
+    return chat.last_messages(read(spark, sf, "conversations"), 3, "conv_id", ("turn",)).select("conv_id", "turn", "role", "text")
+
+
+@query(r"with t as (select conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) as x from conversations) select conv_id, turn, case when length(x) > 50 then substr(x, 1, 47) || '...' else x end as title from t")
+def generate_title(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "conversations").select("conv_id", "turn", c.title_of(F.col("text")).alias("title"))
+
+
+@query("select conv_id, count(*) as n, string_agg(role || ': ' || text, chr(10) order by turn) as messages from conversations group by conv_id")
+def conversation_messages(spark: SparkSession, sf: str) -> DataFrame:
+    ordered = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    said = F.transform(ordered, lambda m: F.concat(m["role"], F.lit(": "), m["text"]))
+    return read(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.array_join(said, "\n").alias("messages"))
+
+
+@query(rf"""with notes as ({NOTES}) select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b[0-9]{{9}}\b', '[GETAL]', 'g'),
+  '\b[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{4,30}}\b', '[IBAN]', 'g'), '(?i)\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-z]{{2,10}}\b', '[EMAIL]', 'g'), '\b0[0-9][0-9\s.-]{{8,}}\b', '[TELEFOON]', 'g'),
+  '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b', '[NAAM]', 'g') as message from notes""")
+def sanitize_errors(spark: SparkSession, sf: str) -> DataFrame:
+    return _notes(read(spark, sf, "customer")).select("doc_id", c.sanitize_error(F.col("text")).alias("message"))
+
+
+@query("select doc_id, case when length(text) > 200 then substr(text, 1, 200) || '...' else text end as excerpt from documents")
+def excerpt_200(spark: SparkSession, sf: str) -> DataFrame:
+    return docs(spark, sf).select("doc_id", F.when(F.length("text") > 200, F.concat(F.substring("text", 1, 200), F.lit("..."))).otherwise(F.col("text")).alias("excerpt"))
+
+
+@query("""select o_orderkey, case when d = 0 then 'Vandaag' when d = 1 then 'Gisteren' when d < 7 then d || ' dagen geleden' else strftime(o_orderdate, '%d-%m-%Y') end as label
+  from (select o_orderkey, o_orderdate, date_diff('day', o_orderdate::date, date '1998-08-02') as d from orders)""")
+def relative_day(spark: SparkSession, sf: str) -> DataFrame:
+    d = F.datediff(F.lit("1998-08-02").cast("date"), F.col("o_orderdate").cast("date"))
+    label = F.when(d == 0, "Vandaag").when(d == 1, "Gisteren").when(d < 7, F.concat(d.cast("string"), F.lit(" dagen geleden"))).otherwise(F.date_format("o_orderdate", "dd-MM-yyyy"))
+    return read(spark, sf, "orders").select("o_orderkey", label.alias("label"))
+
+
+@query(r"select page_id, lower(regexp_extract(u, '(\.[^./]+)$', 1)) as ext, regexp_matches(lower(u), '\.(xlsx|xls)$') as sheet, regexp_replace(u, '\.[^.]+$', '') || '_gefilterd.txt' as out_name from (select page_id, string_split(string_split(url, '?')[1], '/')[-1] as u from pages)")
+def file_names(spark: SparkSession, sf: str) -> DataFrame:
+    from loomveil.sources import files
+
+    u = F.element_at(F.split(F.element_at(F.split("url", r"\?"), 1), "/"), -1)
+    p = read(spark, sf, "pages").select("page_id", u.alias("u"))
+    return p.select("page_id", files.extension(F.col("u")).alias("ext"), files.is_spreadsheet(F.col("u")).alias("sheet"), files.filtered_name(F.col("u")).alias("out_name"))
+
+
+# --- tabular data --------------------------------------------------------------------------
+
+_COLS = ("c_custkey", "c_name", "c_mktsegment")
+_CELLS = "cells as (" + " union all ".join(f"select 'customer' as sheet, c_custkey as row, {i} as col, '{x}' as header, coalesce({x}::varchar, '') as value from customer" for i, x in enumerate(_COLS)) + ")"
+
+
+def _cells(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.to_cells(read(spark, sf, "customer").select(*_COLS), F.lit("customer"), F.col("c_custkey"))
+
+
+@query(f"with {_CELLS} select sheet, row, col::bigint as col, header, value from cells")
+def tabular_long_form(spark: SparkSession, sf: str) -> DataFrame:
+    return _cells(spark, sf).withColumn("col", F.col("col").cast("long"))
+
+
+@query(f"with {_CELLS} select sheet, col::bigint as col, least(greatest(greatest(max(length(value)), max(length(header))) + 2, 10), 50)::bigint as width from cells group by sheet, col")
+def cell_widths(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.column_widths(_cells(spark, sf)).withColumn("col", F.col("col").cast("long"))
+
+
+@query()
+def tabular_filter(spark: SparkSession, sf: str) -> DataFrame:
+    cells = pii.to_cells(_notes(read(spark, sf, "customer")).select("doc_id", "text"), F.lit("notes"), F.col("doc_id"))
+    return pii.changed_cells(pii.filter_cells(cells)).select("sheet", "row", "col", "header", "filtered_text")
+
+
+@query(f"with {_CELLS} select string_agg(value, chr(10) order by row, col) as text from cells where trim(value) <> ''")
+def sheet_text(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.sheet_texts(_cells(spark, sf)).select("text")
+
+
+# --- the exact filter ----------------------------------------------------------------------
+
+
+@query()
+def names_full(spark: SparkSession, sf: str) -> DataFrame:
+    m = pii.exploded(pii.filter_documents(docs(spark, sf).select("doc_id", "text")))
+    return m.where("type = 'name'").select("doc_id", "original", "placeholder", "start_offset", "end_offset")
+
+
+@query()
+def filter_notes(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.stats(pii.filter_documents(_notes(read(spark, sf, "customer"))))
+
+
+@query("select doc_id, text as restored_text from documents")
+def restore_offset(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.restore_documents(pii.filter_documents(docs(spark, sf).select("doc_id", "text"))).select("doc_id", "restored_text")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
