@@ -6,7 +6,8 @@ add-one smoothing the two count vectors are multinomials, and a bucket's weight
 is the logarithm of their ratio, rounded to a multiple of 2**-20 so that scores
 are sums of integers and don't depend on the order of summation. A document's
 score is the sum of its n-grams' weights over their number, and one threshold,
-fixed when the model is fitted, decides every document.
+fixed when the model is fitted, decides every document: a low quantile of the
+scores of trusted documents that were kept out of the target counts, less a slack.
 
 What meets at the driver is one pair of counts a bucket (65,536 by default) and
 one score for each trusted row (`max_trusted` at most), whatever the corpus.
@@ -42,7 +43,9 @@ class Rules:
     max_trusted: int = 100_000
     #: Share of trusted documents that may score below the threshold, and slack below that.
     reject_share: float = 0.002
-    slack: float = 0.12
+    slack: float = 0.2
+    #: One in so many trusted documents is kept out of the target counts and fixes the threshold.
+    held_out: int = 4
 
 
 @dataclass(frozen=True)
@@ -70,8 +73,9 @@ def _buckets(t: bs.Texts, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 def fit(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> Model:
     """Count all documents' n-grams, twice where trusted, and fix weights and threshold."""
     n = rules.buckets
-    ids = F.broadcast(trusted_ids(labels, rules.max_trusted).withColumn("trusted", F.lit(True)))
-    marked = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(rules.held_out))
+    ids = F.broadcast(trusted_ids(labels, rules.max_trusted).withColumn("trusted", fold != 0))
+    marked = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"), (~F.coalesce("trusted", F.lit(True))).alias("judge"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -85,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> Model:
         seen = np.flatnonzero(raw)
         yield pa.RecordBatch.from_pydict({"bucket": seen, "raw": raw[seen], "target": target[seen]})
 
-    counts = marked.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counts = marked.select("text", "trusted").mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.ones(n), np.ones(n)
     for row in counts.collect():  # a row for each bucket
         raw[row.bucket] += row.raw
@@ -94,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> Model:
         return Model(np.zeros(n, np.int64), -(1 << 62))
     weights = np.rint(np.log((target / target.sum()) / (raw / raw.sum())) * SCALE).astype(np.int64)
     draft = Model(weights, 0)
-    scored = score(marked.where("trusted").select(F.lit(0).alias("doc_id"), "text"), draft, rules)
+    scored = score(marked.where("judge").select(F.lit(0).alias("doc_id"), "text"), draft, rules)
     got = np.sort(np.array([r.score for r in scored.where("not base_failed").select("score").collect()], np.int64))
     if not len(got):
         return Model(weights, -(1 << 62))
