@@ -17,11 +17,13 @@ Links, without all pairs of a bucket:
    centre that it shares most bands with (one exact check for each class);
 2. checked links form trees; their roots are found by pointer jumping;
 3. in buckets where several roots remain, classes of different roots are compared
-   by their sketches, in blocks, and pairs with at least `least_agree` of 256
-   agreeing coordinates (a true link has fewer with probability 4e-11) are checked
-   exactly too. Buckets larger than `block` are cut into blocks and every pair of
-   blocks is compared, so no bucket is capped and no link between trees is lost.
-4. components of the roots by large-star/small-star rounds.
+   by their sketches, in blocks. Twice, the best pair of each two roots is checked
+   exactly and the roots it links are merged, so that a large group's trees become
+   one by a few checks. Then all pairs still apart with at least `least_agree` of
+   256 agreeing coordinates (a true link has fewer with probability 2e-6) are
+   checked exactly. Buckets larger than `block` are cut into blocks and every pair
+   of blocks is compared: no bucket is capped and no link between trees is lost.
+4. merged roots are components by large-star/small-star rounds.
 
 Exact checks stream: texts are sorted behind their centre's text, and a task holds
 one centre's shingles at a time; hot centres are salted. What is compared are the
@@ -53,7 +55,7 @@ class NearRules:
     percent: int = 75
     bins: int = 256
     rows: int = 5
-    least_agree: int = 141
+    least_agree: int = 160
     block: int = 2048
     rows_per_salt: int = 2000
 
@@ -232,9 +234,10 @@ def components(edges: DataFrame) -> DataFrame:
 # --- the rest of the buckets -------------------------------------------------------------
 
 
-def residual_pairs(keys: DataFrame, info: DataFrame, labels: DataFrame, rules: NearRules) -> DataFrame:
-    """Pairs of classes that share a bucket, but not a root, and agree in enough of their sketches.
+def residual_pairs(keys: DataFrame, info: DataFrame, labels: DataFrame, rules: NearRules, best: bool) -> DataFrame:
+    """Pairs (a, b) of classes that share a bucket, but not a root, and agree in enough of their sketches.
 
+    best: of each two roots only the pair that agrees most; else all such pairs.
     keys: (key, node); info: (node, n_shingles, sig); labels: (node, root) of those that aren't their own root.
     """
     rooted = keys.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
@@ -248,24 +251,48 @@ def residual_pairs(keys: DataFrame, info: DataFrame, labels: DataFrame, rules: N
         root = _codes(group.column("root"))
         size, block = group.column("n_shingles").to_numpy(), group.column("block").to_numpy()
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(size), -1)
-        nodes = group.column("node").to_pylist()
         crossed = group.column("x")[0].as_py() != group.column("y")[0].as_py()
         main = np.bincount(root).argmax()
-        a, b = [], []
-        index = np.arange(len(size))
+        n, index = len(size), np.arange(len(size))
+        picked: list[np.ndarray] = []  # agreement, i and j as one number each
+        others = np.flatnonzero(root != main)
         # every pair of different roots has a side outside the most common root
-        for i in np.flatnonzero(root != main):
-            ok = (root != root[i]) & ((root == main) | (index > i)) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
-            if crossed:
-                ok &= block != block[i]
-            at = np.flatnonzero(ok)
-            if len(at):
-                at = at[(sig[at] == sig[i]).sum(axis=1) >= least_agree]
-                a += [min(nodes[i], nodes[j]) for j in at]
-                b += [max(nodes[i], nodes[j]) for j in at]
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return rows.groupBy("key", "x", "y").applyInArrow(compare, "a binary, b binary").distinct()
+        for same in np.split(others[np.argsort(root[others], kind="stable")], np.flatnonzero(np.diff(np.sort(root[others]))) + 1):
+            top = np.full(root.max() + 1, -1, np.int64)
+            for i in same:
+                ok = (root != root[i]) & ((root == main) | (index > i)) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+                if crossed:
+                    ok &= block != block[i]
+                at = np.flatnonzero(ok)
+                agree = (sig[at] == sig[i]).sum(axis=1)
+                near = agree >= least_agree
+                value = (agree[near] * n + i) * n + at[near]
+                if best:
+                    np.maximum.at(top, root[at[near]], value)
+                else:
+                    picked.append(value)
+            if best:
+                picked.append(top[top >= 0])
+        found = np.concatenate(picked) if picked else np.zeros(0, np.int64)
+        agree, i, j = found // n // n, (found // n % n).tolist(), (found % n).tolist()
+        nodes, roots = (group.column(c).to_pylist() for c in ("node", "root"))
+        pick = lambda of, f: pa.array([f(of[x], of[y]) for x, y in zip(i, j, strict=True)], pa.binary())
+        return pa.table({"a": pick(nodes, min), "b": pick(nodes, max), "lo": pick(roots, min), "hi": pick(roots, max), "agree": pa.array(agree)})
+
+    found = rows.groupBy("key", "x", "y").applyInArrow(compare, "a binary, b binary, lo binary, hi binary, agree long")
+    if best:
+        return found.groupBy("lo", "hi").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b")
+    return found.select("a", "b").distinct()
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after joining the trees that links connect."""
+    root = lambda c: F.coalesce(F.col(f"{c}_root"), F.col(c))
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    lifted = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(root("a").alias("a"), root("b").alias("b"))
+    joined = scratch.table(components(lifted), "near-components")
+    tops = labels.join(joined.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("component", "root").alias("root"))
+    return scratch.table(tops.unionByName(joined.join(labels, "node", "left_anti").select("node", F.col("component").alias("root"))), "near-labels")
 
 
 def _codes(column: pa.ChunkedArray) -> np.ndarray:
@@ -288,14 +315,14 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
     trees = scratch.table(verify(best, classes, docs, rules), "near-trees")
     labels = roots_of_trees(trees.select(F.col("b").alias("node"), F.col("a").alias("parent")))
     info = full.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    rest = scratch.table(residual_pairs(shared.select("key", "node"), info, labels, rules), "near-rest")
-    links = scratch.table(verify(rest, classes, docs, rules), "near-links")
-    root = lambda c: F.coalesce(F.col(f"{c}_root"), F.col(c))
-    of = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    lifted = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(root("a").alias("a"), root("b").alias("b"))
-    joined = scratch.table(components(lifted), "near-components")
-    tops = labels.join(joined.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("component", "root").alias("top"))
-    tops = tops.unionByName(joined.join(labels, "node", "left_anti").select("node", F.col("component").alias("top")))
+    members = shared.select("key", "node")
+    # Twice the best pair of each two roots, which joins a group's trees in a few checks; then all pairs still apart.
+    for best in (True, True, False):
+        rest = scratch.table(residual_pairs(members, info, labels, rules, best), "near-rest")
+        links = scratch.table(verify(rest, classes, docs, rules), "near-links")
+        if links.limit(1).count():
+            labels = merged(labels, links)
+    tops = labels.withColumnRenamed("root", "top")
     # the least id of each component of several classes
     named = tops.select("node", "top").unionByName(tops.select(F.col("top").alias("node"), "top")).distinct()
     ids = named.join(classes, "node").groupBy("top").agg(F.min("doc_id").alias("component_id"))
