@@ -17,12 +17,14 @@ Links, without all pairs of a bucket:
    centre that it shares most bands with (one exact check for each class);
 2. checked links form trees; their roots are found by pointer jumping;
 3. in buckets where several roots remain, classes of different roots are compared
-   by their sketches, in blocks. Twice, the best pair of each two roots is checked
-   exactly and the roots it links are merged, so that a large group's trees become
-   one by a few checks. Then all pairs still apart with at least `least_agree` of
-   256 agreeing coordinates (a true link has fewer with probability 2e-6) are
-   checked exactly. Buckets larger than `block` are cut into blocks and every pair
-   of blocks is compared: no bucket is capped and no link between trees is lost.
+   by their sketches, in blocks of at most `block` classes. What agrees in at least
+   `least_agree` of 256 coordinates (a true link agrees in fewer with probability
+   2e-6) stays together as a cluster; a task emits each class's cluster, no pairs;
+   clusters are dealt in blocks of about `block_shingles` shingles, every two blocks
+   of a cluster meet once, and all pairs of different roots in them are compared by
+   their full sets. One link for each two trees leaves the task. A cluster of more
+   than `most_blocks` blocks is dealt bucket by bucket instead: no bucket is capped
+   and no link between trees is lost.
 4. merged roots are components by large-star/small-star rounds.
 
 Exact checks stream: texts are sorted behind their centre's text, and a task holds
@@ -58,6 +60,8 @@ class NearRules:
     least_agree: int = 160
     block: int = 2048
     rows_per_salt: int = 2000
+    block_shingles: int = 1 << 17
+    most_blocks: int = 50
 
 
 # --- shingles and sketches ---------------------------------------------------------------
@@ -234,10 +238,9 @@ def components(edges: DataFrame) -> DataFrame:
 # --- the rest of the buckets -------------------------------------------------------------
 
 
-def residual_pairs(keys: DataFrame, info: DataFrame, labels: DataFrame, rules: NearRules, best: bool) -> DataFrame:
-    """Pairs (a, b) of classes that share a bucket, but not a root, and agree in enough of their sketches.
+def close_clusters(keys: DataFrame, info: DataFrame, labels: DataFrame, rules: NearRules) -> DataFrame:
+    """(key, node, star): classes of a bucket that may link with another root, with the least class of those they hang together with.
 
-    best: of each two roots only the pair that agrees most; else all such pairs.
     keys: (key, node); info: (node, n_shingles, sig); labels: (node, root) of those that aren't their own root.
     """
     rooted = keys.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
@@ -248,41 +251,86 @@ def residual_pairs(keys: DataFrame, info: DataFrame, labels: DataFrame, rules: N
     percent, least_agree = rules.percent, rules.least_agree
 
     def compare(group: pa.Table) -> pa.Table:
-        root = _codes(group.column("root"))
-        size, block = group.column("n_shingles").to_numpy(), group.column("block").to_numpy()
+        root, size, block = _codes(group.column("root")), group.column("n_shingles").to_numpy(), group.column("block").to_numpy()
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(size), -1)
         crossed = group.column("x")[0].as_py() != group.column("y")[0].as_py()
         main = np.bincount(root).argmax()
-        n, index = len(size), np.arange(len(size))
-        picked: list[np.ndarray] = []  # agreement, i and j as one number each
-        others = np.flatnonzero(root != main)
-        # every pair of different roots has a side outside the most common root
-        for same in np.split(others[np.argsort(root[others], kind="stable")], np.flatnonzero(np.diff(np.sort(root[others]))) + 1):
-            top = np.full(root.max() + 1, -1, np.int64)
-            for i in same:
-                ok = (root != root[i]) & ((root == main) | (index > i)) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
-                if crossed:
-                    ok &= block != block[i]
-                at = np.flatnonzero(ok)
-                agree = (sig[at] == sig[i]).sum(axis=1)
-                near = agree >= least_agree
-                value = (agree[near] * n + i) * n + at[near]
-                if best:
-                    np.maximum.at(top, root[at[near]], value)
-                else:
-                    picked.append(value)
-            if best:
-                picked.append(top[top >= 0])
-        found = np.concatenate(picked) if picked else np.zeros(0, np.int64)
-        agree, i, j = found // n // n, (found // n % n).tolist(), (found % n).tolist()
-        nodes, roots = (group.column(c).to_pylist() for c in ("node", "root"))
-        pick = lambda of, f: pa.array([f(of[x], of[y]) for x, y in zip(i, j, strict=True)], pa.binary())
-        return pa.table({"a": pick(nodes, min), "b": pick(nodes, max), "lo": pick(roots, min), "hi": pick(roots, max), "agree": pa.array(agree)})
-
-    found = rows.groupBy("key", "x", "y").applyInArrow(compare, "a binary, b binary, lo binary, hi binary, agree long")
-    if best:
-        return found.groupBy("lo", "hi").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b")
-    return found.select("a", "b").distinct()
+        index = np.arange(len(size))
+        star, hit = index.copy(), np.zeros(len(size), bool)
+        for i in np.flatnonzero(root != main):  # every pair of different roots has a side outside the most common root
+            ok = (root != root[i]) & ((root == main) | (index > i)) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+            if crossed:
+                ok &= block != block[i]
+            at = np.flatnonzero(ok)
+            near = at[(sig[at] == sig[i]).sum(axis=1) >= least_agree]
+            if len(near):
+                near = np.append(near, i)
+                hit[near] = True
+                together = np.unique(star[near])
+                star[np.isin(star, together)] = together[0]
+        found = np.flatnonzero(hit)
+        node = group.column("node").combine_chunks()
+        return pa.table({"key": group.column("key").take(pa.array(found)), "node": node.take(pa.array(found)), "star": node.take(pa.array(star[found]))})
+
+    return rows.groupBy("key", "x", "y").applyInArrow(compare, "key long, node binary, star binary")
+
+
+def cluster_links(stars: DataFrame, info: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, rules: NearRules) -> DataFrame:
+    """Verified (a, b) between roots: at least one for each two roots of a cluster that a link joins, directly or through others."""
+    n, percent = rules.words, rules.percent
+    joined = scratch.table(components(stars.select(F.col("node").alias("a"), F.col("star").alias("b"))), "near-clusters")
+    sizes = info.select("node", "n_shingles")
+    held = stars.select("key", "node").distinct().join(joined, "node", "left").join(sizes, "node").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("cluster"))
+    n_blocks = F.ceil(F.sum("n_shingles") / rules.block_shingles).cast("int")
+    large = held.select("cluster", "node", "n_shingles").distinct().groupBy("cluster").agg(n_blocks.alias("blocks"))
+    group = F.when(F.col("blocks") <= rules.most_blocks, F.hex("cluster")).otherwise(F.col("key").cast("string"))
+    dealt = scratch.table(held.join(large, "cluster").select(group.alias("group"), "node", "n_shingles").distinct(), "near-groups")
+    rows = dealt.join(dealt.groupBy("group").agg(n_blocks.alias("blocks")), "group").join(labels, "node", "left").join(classes, "node")
+    rows = rows.select("group", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "node", F.coalesce("root", "node").alias("root"), F.col("doc_id").alias("of"))
+    rows = rows.join(docs.select(F.col("doc_id").alias("of_id"), "text"), F.col("of").eqNullSafe(F.col("of_id")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("group", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "root", "text")
+
+    def check(group: pa.Table) -> pa.Table:
+        node, root, block = group.column("node").to_pylist(), _codes(group.column("root")), group.column("block").to_numpy()
+        sets, kept = [], []
+        for t in bs.slices(group.column("text")):
+            g, first = shingle_sets(t, n)
+            for k in range(t.n):
+                own = g[first[k] : first[k + 1]]
+                # a row with this id, but another text, has another digest
+                if hashlib.blake2b(own.tobytes(), digest_size=16).digest() == node[t.first + k]:
+                    sets.append(own)
+                    kept.append(t.first + k)
+        if not kept:
+            return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+        root, block = root[kept], block[kept]
+        crossed = group.column("x")[0].as_py() != group.column("y")[0].as_py()
+        size = np.array([len(x) for x in sets])
+        first = np.concatenate([[0], np.cumsum(size)])[:-1]
+        _, code = np.unique(np.concatenate(sets), return_inverse=True)
+        mark = np.zeros(len(code), np.int32)
+        main = np.bincount(root).argmax()
+        left, right, tree = [], [], root.copy()
+        for i in np.flatnonzero(root != main):
+            ok = (tree != tree[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+            if crossed:
+                ok &= block != block[i]
+            if not ok.any():
+                continue
+            own = code[first[i] : first[i] + size[i]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[code], first)  # no set is empty
+            mark[own] = 0
+            at = np.flatnonzero(ok & (100 * both >= percent * (size + size[i] - both)))
+            met, where = np.unique(tree[at], return_index=True)
+            for j in at[where]:
+                left.append(node[kept[i]])
+                right.append(node[kept[j]])
+            tree[np.isin(tree, met)] = tree[i]
+        return pa.table({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
+
+    return rows.groupBy("group", "x", "y").applyInArrow(check, "a binary, b binary").distinct()
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -316,12 +364,10 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
     labels = roots_of_trees(trees.select(F.col("b").alias("node"), F.col("a").alias("parent")))
     info = full.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     members = shared.select("key", "node")
-    # Twice the best pair of each two roots, which joins a group's trees in a few checks; then all pairs still apart.
-    for best in (True, True, False):
-        rest = scratch.table(residual_pairs(members, info, labels, rules, best), "near-rest")
-        links = scratch.table(verify(rest, classes, docs, rules), "near-links")
-        if links.limit(1).count():
-            labels = merged(labels, links)
+    stars = scratch.table(close_clusters(members, info, labels, rules), "near-stars")
+    links = scratch.table(cluster_links(stars, info, labels, classes, docs, rules), "near-links")
+    if links.limit(1).count():
+        labels = merged(labels, links)
     tops = labels.withColumnRenamed("root", "top")
     # the least id of each component of several classes
     named = tops.select("node", "top").unionByName(tops.select(F.col("top").alias("node"), "top")).distinct()

@@ -244,7 +244,7 @@ def near_brute(rows):
     return collections.Counter((d, len(sets[i]), least.get(find(i)) if sets[i] else d) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("rules", [minhash.NearRules(), minhash.NearRules(block=2, rows_per_salt=2)])
+@pytest.mark.parametrize("rules", [minhash.NearRules(), minhash.NearRules(block=2, rows_per_salt=2), minhash.NearRules(block_shingles=100), minhash.NearRules(block_shingles=100, most_blocks=0)])
 def test_near_duplicates(spark, docs, rules):
     # chains: each is near the next only, so that trees have to be joined
     words = prose(77, 200).split()
