@@ -160,8 +160,18 @@ def sketch_documents(docs: DataFrame, rules: NearRules) -> DataFrame:
 # --- exact checks ------------------------------------------------------------------------
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rules: NearRules) -> DataFrame:
-    """Those (a, b) of `pairs` whose full sets reach the threshold. nodes: (node, doc_id) with one document of each."""
+def texts_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the classes that share a bucket: all texts are dealt by id once, later steps read these few.
+
+    A row with the id of a class, but another text, comes along; its digest tells it apart.
+    """
+    ids = nodes.select("node").distinct().join(classes, "node").select("node", F.col("doc_id").alias("of"))
+    rows = ids.join(docs.select(F.col("doc_id").alias("of_id"), "text"), F.col("of").eqNullSafe(F.col("of_id")))
+    return scratch.table(rows.select("node", "text"), "near-texts")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, rules: NearRules) -> DataFrame:
+    """Those (a, b) of `pairs` whose full sets reach the threshold. texts: (node, text)."""
     n, percent = rules.words, rules.percent
     pairs = pairs.select("a", "b")
     salts = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / rules.rows_per_salt).cast("int").alias("salts"))
@@ -170,10 +180,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rules: NearRules
         .select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("b").alias("node"))
         .unionByName(salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("node")))
     )
-    sides = scratch.table(sides.join(nodes, "node").select("a", "salt", "kind", "node", F.col("doc_id").alias("of")), "near-sides")
-    # Only documents that take part are shuffled where their ids are few; else all texts are dealt by id once.
-    rows = sides.join(docs.select(F.col("doc_id").alias("of_id"), "text"), F.col("of").eqNullSafe(F.col("of_id")))
-    dealt = rows.select("a", "salt", "kind", "node", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
+    dealt = sides.join(texts, "node").select("a", "salt", "kind", "node", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, held = None, None
@@ -275,7 +282,7 @@ def close_clusters(keys: DataFrame, info: DataFrame, labels: DataFrame, rules: N
     return rows.groupBy("key", "x", "y").applyInArrow(compare, "key long, node binary, star binary")
 
 
-def cluster_links(stars: DataFrame, info: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, rules: NearRules) -> DataFrame:
+def cluster_links(stars: DataFrame, info: DataFrame, labels: DataFrame, texts: DataFrame, rules: NearRules) -> DataFrame:
     """Verified (a, b) between roots: at least one for each two roots of a cluster that a link joins, directly or through others."""
     n, percent = rules.words, rules.percent
     joined = scratch.table(components(stars.select(F.col("node").alias("a"), F.col("star").alias("b"))), "near-clusters")
@@ -285,9 +292,8 @@ def cluster_links(stars: DataFrame, info: DataFrame, labels: DataFrame, classes:
     large = held.select("cluster", "node", "n_shingles").distinct().groupBy("cluster").agg(n_blocks.alias("blocks"))
     group = F.when(F.col("blocks") <= rules.most_blocks, F.hex("cluster")).otherwise(F.col("key").cast("string"))
     dealt = scratch.table(held.join(large, "cluster").select(group.alias("group"), "node", "n_shingles").distinct(), "near-groups")
-    rows = dealt.join(dealt.groupBy("group").agg(n_blocks.alias("blocks")), "group").join(labels, "node", "left").join(classes, "node")
-    rows = rows.select("group", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "node", F.coalesce("root", "node").alias("root"), F.col("doc_id").alias("of"))
-    rows = rows.join(docs.select(F.col("doc_id").alias("of_id"), "text"), F.col("of").eqNullSafe(F.col("of_id")))
+    rows = dealt.join(dealt.groupBy("group").agg(n_blocks.alias("blocks")), "group").join(labels, "node", "left").join(texts, "node")
+    rows = rows.select("group", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "node", F.coalesce("root", "node").alias("root"), "text")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("group", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "root", "text")
 
@@ -360,12 +366,13 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
     shared = scratch.table(keys.join(centres, "key").select("key", "node", "a").distinct(), "near-buckets")
     hits = shared.where("node <> a").groupBy("node", "a").count()
     best = hits.groupBy("node").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", F.col("node").alias("b"))
-    trees = scratch.table(verify(best, classes, docs, rules), "near-trees")
+    texts = texts_of(shared, classes, docs)
+    trees = scratch.table(verify(best, texts, rules), "near-trees")
     labels = roots_of_trees(trees.select(F.col("b").alias("node"), F.col("a").alias("parent")))
     info = full.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     members = shared.select("key", "node")
     stars = scratch.table(close_clusters(members, info, labels, rules), "near-stars")
-    links = scratch.table(cluster_links(stars, info, labels, classes, docs, rules), "near-links")
+    links = scratch.table(cluster_links(stars, info, labels, texts, rules), "near-links")
     if links.limit(1).count():
         labels = merged(labels, links)
     tops = labels.withColumnRenamed("root", "top")
