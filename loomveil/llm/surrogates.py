@@ -19,7 +19,13 @@ names are replaced part by part, so later mentions by one part agree.
 
 Collision check, over the distinct entities of the whole corpus: a surrogate that
 equals a real entity, or the surrogate of another one, is drawn again with the next
-tweak until none is left. The few redrawn entities travel as a broadcast while they
+tweak until none is left. From `max_tweaks` on every redraw widens the format by
+one more letter (digit, in numbers), so entities of a format that is used up get a
+free surrogate too; only IPv4 addresses have no wider format. Initials between a
+listed given name and a surname ("John F. Kennedy") are replaced in that place only,
+by another letter; one letter names nobody and is not checked for collisions. A
+capitalised word after such an initial counts as the surname.
+The few redrawn entities travel as a broadcast while they
 are at most `max_redrawn`; beyond that each document gets its own by a join.
 
 Edge cases: null texts stay null, texts without entities stay untouched, repeated
@@ -76,6 +82,8 @@ _CAPITAL = r"[A-ZÀ-ÖØ-ÞĀ-ŽΆ-ΫА-ЯЁ]"
 _WORD = rf"{_CAPITAL}[^\W\d_]*(?:['’-]{_CAPITAL}?[^\W\d_]+)*"
 _TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\.?[ ]({_WORD}(?: (?:van|von|de|der|den|del|la|du) ?| ){{0,1}}(?:{_WORD})?)")
 _PAIR = re.compile(rf"(?<!\w)(?=({_CAPITAL}\w+) ({_WORD}))")
+#: A given name's initials, and the surname after them; an initial without a full stop needs the surname.
+_INITIALS = re.compile(rf"(?<!\w)(?=({_CAPITAL}\w+)((?: {_CAPITAL}(?:\.(?: ?{_CAPITAL}\.)*|(?= {_CAPITAL})))+)(?: ({_WORD}))?)")
 
 
 def _given() -> dict[str, tuple[str, int]]:
@@ -100,16 +108,20 @@ def detect(text: str) -> list[tuple[int, int, str]]:
 
 
 def _names(text: str) -> list[tuple[int, int, str]]:
-    given, parts = _given(), set()
+    given, parts, initials = _given(), set(), set()
     for m in _TITLED.finditer(text):
         parts |= {w for w in m[1].split() if w[0].isupper() and len(w) > 1}
     for m in _PAIR.finditer(text):
         if m[1].casefold() in given and m[1] not in TITLES:
-            parts |= {m[1], m[2]}
+            parts |= {m[1], m[2]} if len(m[2]) > 1 else {m[1]}
+    for m in _INITIALS.finditer(text) if parts else ():
+        if m[1].casefold() in given and m[1] not in TITLES:
+            initials |= {m.start(2) + i for i, c in enumerate(m[2]) if c.isalpha()}
+            parts |= {m[3]} if m[3] and len(m[3]) > 1 else set()
     if not parts:
         return []
     wanted = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, parts), key=len, reverse=True)) + r")(?!\w)")
-    return [(m.start(), m.end(), "name") for m in wanted.finditer(text)]
+    return [(m.start(), m.end(), "name") for m in wanted.finditer(text)] + [(i, i + 1, "initial") for i in initials]
 
 
 # --- keyed permutations --------------------------------------------------------------------
@@ -170,8 +182,15 @@ def luhn(digits: str) -> int:
 
 
 def _digits_into(form: str, digits: str) -> str:
+    """`form` with other digits; those beyond its own stand at the end."""
     it = iter(digits)
-    return "".join(next(it) if c.isdigit() else c for c in form)
+    return "".join(next(it) if c.isdigit() else c for c in form) + "".join(it)
+
+
+def _filler(text: str) -> str:
+    """Two letters of the script of the text's last letter, a vowel and a consonant."""
+    last = next((c for c in reversed(text.lower()) if c.isalpha()), "a")
+    return "αβ" if "ά" <= last <= "ώ" else "аб" if "а" <= last <= "ё" else "ab"
 
 
 def canonical(kind: str, text: str) -> str:
@@ -186,43 +205,55 @@ def canonical(kind: str, text: str) -> str:
     return text.casefold() if kind in ("email", "name") else text
 
 
-def surrogate(kind: str, text: str, key: bytes, tweak: int = 0) -> str:
-    """The replacement of one mention; `tweak` counts redraws of its entity."""
-    t, digits = f"{kind}|{tweak}", [_ALPHABETS[0]]
+def surrogate(kind: str, text: str, key: bytes, tweak: int = 0, widen_from: int = SurrogateRules.max_tweaks) -> str:
+    """The replacement of one mention; `tweak` counts redraws of its entity, those from `widen_from` on add characters."""
+    t, digits, extra = f"{kind}|{tweak}", [_ALPHABETS[0]], max(0, tweak - widen_from + 1)
     if kind == "email":
         local, _, domain = text.rpartition("@")
         *labels, top = domain.split(".")
-        return permute_text(local, _ALPHABETS, key, t) + "@" + ".".join([*(permute_text(x, _ALPHABETS, key, f"{t}|domain") for x in labels), top])
+        return permute_text(local + "a" * extra, _ALPHABETS, key, t) + "@" + ".".join([*(permute_text(x, _ALPHABETS, key, f"{t}|domain") for x in labels), top])
     if kind == "phone":
-        d = "".join(c for c in text if c.isdigit())
+        d = "".join(c for c in text if c.isdigit()) + "0" * extra
         local, rest = d[-7:], d[:-7]
         area, country = (rest[-3:], rest[:-3]) if len(d) >= 10 else ("", rest)
         return _digits_into(text, country + permute_text(area, digits, key, f"{t}|area") + permute_text(local, digits, key, f"{t}|local"))
     if kind == "card":
         d = "".join(c for c in text if c.isdigit())
         if luhn(d[:-1]) == int(d[-1]):
-            head = permute_text(d[:-1], digits, key, t)
+            head = permute_text(d[:-1] + "0" * extra, digits, key, t)
             return _digits_into(text, head + str(luhn(head)))
-        return _digits_into(text, permute_text(d, digits, key, f"{t}|plain"))
+        return _digits_into(text, permute_text(d + "0" * extra, digits, key, f"{t}|plain"))
     if kind == "national":
-        return permute_text(text, digits, key, t)
+        return permute_text(text + "0" * extra, digits, key, t)
     if kind == "iban":
         plain = text.replace(" ", "")
-        new = iter(plain[:2] + permute_text(plain[2:], _ALPHABETS, key, t))
-        return "".join(c if c == " " else next(new) for c in text)
+        new = iter(plain[:2] + permute_text(plain[2:] + "0" * extra, _ALPHABETS, key, t))
+        return "".join(c if c == " " else next(new) for c in text) + "".join(new)
     if kind == "ip":
         a = [int(x) for x in text.split(".")]
         v = permute(a[0] << 24 | a[1] << 16 | a[2] << 8 | a[3], 1 << 32, key, t)
         return ".".join(str(v >> s & 255) for s in (24, 16, 8, 0))
+    if kind == "initial":
+        letters = next((a for a in _ALPHABETS if text.lower() in a), "")
+        if not letters:  # of no alphabet at hand
+            letters = _ALPHABETS[1]
+            return letters[permute(ord(text) % len(letters), len(letters), key, t)].upper()
+        # a step of 1 or more along a keyed ring of the letters: never the letter itself
+        ring = sorted(letters, key=lambda c: permute(letters.index(c), len(letters), key, t))
+        return ring[(ring.index(text.lower()) + 1) % len(ring)].upper()
     if kind == "name":
         known = _given().get(text.casefold())
         if known and tweak < 4:
             names = GIVEN[known[0]].split()
             new = names[permute(known[1], len(names), key, f"{t}|{known[0]}")]
             return new.upper() if text.isupper() and len(text) > 1 else new
-        return permute_text(text[:-1], _NAME_ALPHABETS, key, f"{t}|{text[-1:].lower()}") + text[-1:]
+        more = (_filler(text) * extra)[:extra]
+        more = more.upper() if text.isupper() and len(text) > 1 else more
+        # a name of one letter has nothing but its last letter, so that one stays in front
+        head, last = (text[:-1] + more, text[-1:]) if len(text) > 1 else (text + more, "")
+        return permute_text(head, _NAME_ALPHABETS, key, f"{t}|{last.lower()}") + last
     hexed = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text)
-    return permute_text(text, ["0123456789abcdef"] if hexed else _ALPHABETS, key, t)
+    return permute_text(text + "0" * extra, ["0123456789abcdef"] if hexed else _ALPHABETS, key, t)
 
 
 # --- the corpus ----------------------------------------------------------------------------
@@ -238,6 +269,8 @@ def find_entities(docs: DataFrame) -> DataFrame:
                 t = text.as_py()
                 if t:
                     for a, b, kind in detect(t):
+                        if kind == "initial":
+                            continue
                         k = (kind, canonical(kind, t[a:b]))
                         seen[k] = min(seen.get(k, t[a:b]), t[a:b])
             yield pa.RecordBatch.from_pydict({"kind": [k for k, _ in seen], "entity": [e for _, e in seen], "form": list(seen.values())}, pa.schema([("kind", pa.string()), ("entity", pa.string()), ("form", pa.string())]))
@@ -247,12 +280,12 @@ def find_entities(docs: DataFrame) -> DataFrame:
 
 
 def _drawn(entities: DataFrame, rules: SurrogateRules) -> DataFrame:
-    key = rules.key
+    key, widen_from = rules.key, rules.max_tweaks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds, forms, tweaks = (batch.column(c).to_pylist() for c in ("kind", "form", "tweak"))
-            made = [canonical(k, surrogate(k, f, key, t)) for k, f, t in zip(kinds, forms, tweaks, strict=True)]
+            made = [canonical(k, surrogate(k, f, key, t, widen_from)) for k, f, t in zip(kinds, forms, tweaks, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], [*batch.schema.names, "made"])
 
     return entities.select("kind", "entity", "form", "tweak").mapInArrow(run, "kind string, entity string, form string, tweak int, made string")
@@ -262,7 +295,7 @@ def draw_surrogates(entities: DataFrame, rules: SurrogateRules = SurrogateRules(
     """(kind, entity, tweak, made): the least tweaks at which no surrogate is a real entity or another's surrogate."""
     real = entities.select("kind", F.col("entity").alias("made"), F.lit(True).alias("real"))
     now = scratch.table(_drawn(entities.withColumn("tweak", F.lit(0)), rules), "surrogates")
-    for _ in range(rules.max_tweaks):
+    while True:  # ends: from max_tweaks on each redraw has more surrogates to choose from
         owner = now.groupBy("kind", "made").agg(F.min(F.struct("tweak", "entity")).alias("first"))
         judged = now.join(owner, ["kind", "made"]).join(real, ["kind", "made"], "left")
         bad = F.col("real").isNotNull() | (F.col("first.entity") != F.col("entity"))
@@ -271,7 +304,6 @@ def draw_surrogates(entities: DataFrame, rules: SurrogateRules = SurrogateRules(
             return now
         again = _drawn(judged.where("bad").withColumn("tweak", F.col("tweak") + 1), rules)
         now = scratch.table(judged.where("not bad").drop("bad").unionByName(again), "surrogates")
-    raise ValueError("surrogates still collide; the formats at hand are nearly used up")
 
 
 def replace_pii(docs: DataFrame, rules: SurrogateRules = SurrogateRules()) -> DataFrame:
@@ -279,7 +311,7 @@ def replace_pii(docs: DataFrame, rules: SurrogateRules = SurrogateRules()) -> Da
     entities = scratch.table(find_entities(docs), "entities")
     redrawn = draw_surrogates(entities, rules).where("tweak > 0").select("kind", "entity", "tweak")
     names = [c for c in docs.columns if c not in ("n_entities", "kinds")]
-    plain, key, token = docs.select(*names), rules.key, uuid.uuid4().hex
+    plain, key, widen_from, token = docs.select(*names), rules.key, rules.max_tweaks, uuid.uuid4().hex
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema) + ", n_entities long, kinds string"
     few = redrawn.count() <= rules.max_redrawn
     held = docs.sparkSession.sparkContext.broadcast({(r.kind, r.entity): r.tweak for r in redrawn.collect()} if few else None)
@@ -305,7 +337,7 @@ def replace_pii(docs: DataFrame, rules: SurrogateRules = SurrogateRules()) -> Da
                     if len(memo) > 100_000:
                         memo.clear()
                     if (made := memo.get((kind, mention, tweak))) is None:
-                        made = memo[kind, mention, tweak] = surrogate(kind, mention, key, tweak)
+                        made = memo[kind, mention, tweak] = surrogate(kind, mention, key, tweak, widen_from)
                     out += [t[at:a], made]
                     at, by[kind] = b, by.get(kind, 0) + 1
                 texts.append("".join([*out, t[at:]]) if spans else t)
@@ -322,7 +354,7 @@ def _with_own_tweaks(docs: DataFrame, redrawn: DataFrame) -> DataFrame:
 
     def mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {(row, kind, canonical(kind, t[a:b])) for row, t in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True) for a, b, kind in detect(t or "")}
+            rows = {(row, kind, canonical(kind, t[a:b])) for row, t in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True) for a, b, kind in detect(t or "") if kind != "initial"}
             yield pa.RecordBatch.from_pydict({"row": pa.array([r for r, _, _ in rows], pa.string()), "kind": pa.array([k for _, k, _ in rows], pa.string()), "entity": pa.array([e for _, _, e in rows], pa.string())})
 
     text_key = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)

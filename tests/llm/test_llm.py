@@ -396,6 +396,23 @@ def test_collisions_are_redrawn(spark):
     assert len({r.made for r in got}) == len(got) and not {r.made for r in got} & {r.entity for r in got}
 
 
+def test_initials_and_full_formats(spark):
+    text = "John F. Kennedy met Anna B Smit. Vitamin F and F. stay; Kennedy spoke to Smit"
+    assert [(text[a:b], k) for a, b, k in surrogates.detect(text)] == [("John", "name"), ("F", "initial"), ("Kennedy", "name"), ("Anna", "name"), ("B", "initial"), ("Smit", "name"), ("Kennedy", "name"), ("Smit", "name")]
+    rows = [(1, text), (2, "said John I"), (3, "Robert J.R. Bakker")]
+    out = {r.doc_id: r.text for r in surrogates.replace_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert re.fullmatch(r"\w+ [A-EG-Z]\. \w+ met \w+ [AC-Z] \w+\. Vitamin F and F\. stay; \w+ spoke to \w+", out[1])
+    assert not re.search("John|Kennedy|Anna|Smit|Robert|Bakker", "".join(out.values())) and re.fullmatch(r"said \w+ I", out[2])
+    # formats without a free surrogate: all of a vowel + x, one letter, letters of no alphabet
+    forms = [*(v + "x" for v in "aeiouy"), "Q", "Žž"]
+    full = spark.createDataFrame([("name", f.casefold(), f) for f in forms], "kind string, entity string, form string")
+    got = surrogates.draw_surrogates(full, surrogates.SurrogateRules(max_tweaks=2)).collect()
+    assert len({r.made for r in got}) == len(forms) == len(got) and not {r.made for r in got} & {r.entity for r in got}
+    for kind, form in (("card", "4539 5787 6362 1486"), ("national", "123-45-6789"), ("iban", "NL91 ABNA 0417 1643 00"), ("phone", "555-7713"), ("email", "a@b.nl"), ("secret", "abcdef0123")):
+        made = {n: surrogates.canonical(kind, surrogates.surrogate(kind, form, b"k", n, 2)) for n in range(5)}
+        assert [len(made[n]) - len(made[0]) for n in range(5)] == [0, 0, 1, 2, 3]
+
+
 # --- pipeline ------------------------------------------------------------------------------
 
 
