@@ -13,7 +13,10 @@ a Feistel network over all strings of that format, so different entities of one
 format never meet, and the same entity gets the same surrogate in every document
 and in every letter case. Numbers with a valid Luhn digit keep a valid one. Phone
 numbers are permuted by area and by local part, so a shortened mention agrees with
-the full one. Listed given names are permuted within their gender's list; other
+the full one. Listed given names are permuted within their gender's list for four
+draws. In a corpus that holds all names of a list those draws all meet real names;
+then names are composed of syllables with an ending of the same script and gender.
+No composed name is a listed one, and their number grows with the redraws. Other
 names keep their last letter, which carries gender in the scripts handled. Full
 names are replaced part by part, so later mentions by one part agree.
 
@@ -57,6 +60,16 @@ GIVEN = {
     "greek-f": "Μαρία Ελένη Κατερίνα Σοφία Άννα Ειρήνη",
     "greek-m": "Γιώργος Νίκος Δημήτρης Κώστας Γιάννης Παύλος",
 }
+# Consonants, vowels and endings of composed given names, by script and gender (fixed values). All heads of one number
+# of syllables are equally long and no ending is of two genders, so names composed of different parts differ.
+COMPOSED = {
+    "latin-f": ("bdfglmnprstv", "aeiou", "linda drina nella vessa rianne mira"),
+    "latin-m": ("bdfglmnprstv", "aeiou", "rick lbert mund nard stian vor"),
+    "cyrillic-f": ("бвгдлмнпрст", "аеио", "лина мира слава ислава нелла"),
+    "cyrillic-m": ("бвгдлмнпрст", "аеио", "мир слав ислав дан рад"),
+    "greek-f": ("βγδλμνπρστ", "αειο", "λίνα νθη ρία ούλα δώρα"),
+    "greek-m": ("βγδλμνπρστ", "αειο", "νδρος ρίων λέας κλής δωρος"),
+}
 TITLES = "Mr Mrs Ms Miss Dr Prof Sir Madam Herr Frau Monsieur Madame Mme Mlle Señor Señora Sr Sra Don Doña г-н г-жа Κος Κα".split()
 
 
@@ -205,6 +218,18 @@ def canonical(kind: str, text: str) -> str:
     return text.casefold() if kind in ("email", "name") else text
 
 
+def composed_name(group: str, index: int, key: bytes, tweak: str, syllables: int) -> str:
+    """A name of the script and gender of `group`; different indexes get different names."""
+    consonants, vowels, endings = COMPOSED[group]
+    ends, per = endings.split(), len(consonants) * len(vowels)
+    value, end = divmod(permute(index, per**syllables * len(ends), key, f"{tweak}|{group}|composed"), len(ends))
+    head = ""
+    for _ in range(syllables):
+        value, k = divmod(value, per)
+        head += consonants[k // len(vowels)] + vowels[k % len(vowels)]
+    return (head + ends[end]).capitalize()
+
+
 def surrogate(kind: str, text: str, key: bytes, tweak: int = 0, widen_from: int = SurrogateRules.max_tweaks) -> str:
     """The replacement of one mention; `tweak` counts redraws of its entity, those from `widen_from` on add characters."""
     t, digits, extra = f"{kind}|{tweak}", [_ALPHABETS[0]], max(0, tweak - widen_from + 1)
@@ -243,9 +268,10 @@ def surrogate(kind: str, text: str, key: bytes, tweak: int = 0, widen_from: int
         return ring[(ring.index(text.lower()) + 1) % len(ring)].upper()
     if kind == "name":
         known = _given().get(text.casefold())
-        if known and tweak < 4:
+        if known:
             names = GIVEN[known[0]].split()
-            new = names[permute(known[1], len(names), key, f"{t}|{known[0]}")]
+            # four draws from the list; then composed names, longer by a syllable every eight draws
+            new = names[permute(known[1], len(names), key, f"{t}|{known[0]}")] if tweak < 4 else composed_name(known[0], known[1], key, t, 2 + (tweak - 4) // 8)
             return new.upper() if text.isupper() and len(text) > 1 else new
         more = (_filler(text) * extra)[:extra]
         more = more.upper() if text.isupper() and len(text) > 1 else more

@@ -413,6 +413,22 @@ def test_initials_and_full_formats(spark):
         assert [len(made[n]) - len(made[0]) for n in range(5)] == [0, 0, 1, 2, 3]
 
 
+def test_given_names_keep_gender_when_all_are_real(spark):
+    listed = {n.casefold(): g for g, names in surrogates.GIVEN.items() for n in names.split()}
+    ends = {g: tuple(e.casefold().split()) for g, (_, _, e) in surrogates.COMPOSED.items()}
+    real = spark.createDataFrame([("name", n, n.capitalize()) for n in listed], "kind string, entity string, form string")
+    got = surrogates.draw_surrogates(real).collect()
+    assert len({r.made for r in got}) == len(listed) and not {r.made for r in got} & set(listed)
+    for r in got:
+        assert [g for g in ends if r.made.endswith(ends[g])] == [listed[r.entity]], r
+    # no composed name is a listed one, nor do two indexes meet
+    for g, (consonants, vowels, endings) in surrogates.COMPOSED.items():
+        shape = re.compile(f"(?:[{consonants}][{vowels}]){{2,}}(?:{endings.casefold().replace(' ', '|')})")
+        assert not any(map(shape.fullmatch, listed))
+        assert len({surrogates.composed_name(g, i, b"k", "t", 2) for i in range(2000)}) == 2000
+    assert surrogates.surrogate("name", "ANNA", b"k", 5).isupper()
+
+
 # --- pipeline ------------------------------------------------------------------------------
 
 
