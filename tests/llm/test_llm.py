@@ -348,6 +348,17 @@ def test_leaks(spark):
     assert decontam.contaminated(df.limit(0), bench).count() == 0 and decontam.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_number_dense_items(spark):
+    items = [(1, "Compute 12 + 7 * 3 - 4."), (2, "What is 3 + 4 * 5?"), (3, "What is 6 + 7 * 8?"), (4, "Is 3 > 2"), (5, "Add 1, 2, 3, 4, 5, 6, 7, 8 and 9 to the number of apples in it")]
+    rows = [(1, "Please answer. Compute 12 + 7 * 3 - 4. Thanks"), (2, "so What is 3 + 4 * 5?"), (3, "What is 6 + 7 * 8?"), (4, "Well: is 3 > 2 then"), (5, "Add 1, 2, 3, 4, 5, 6, 7, 8 and 9 to the number of apples in it"),
+            (6, "Compute 12 + 7 * 3 - 5. What is 3 + 4 * 6? Is 3 > 1"), (7, "Add 11, 12, 13, 14, 15, 16, 17, 18 and 19 to the number of apples in it"), (8, "the answer is 1, 2, 3 or 4 of 5")]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(df, bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (7, 5)}
+    assert all(r.verbatim == (k != (7, 5)) for k, r in got.items()) and got[5, 5].matched == got[5, 5].windows
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(df, bench, decontam.LeakRules(block_rows=3)).collect()} == set(got)
+
+
 # --- 10 ------------------------------------------------------------------------------------
 
 
