@@ -359,6 +359,12 @@ def test_leaks_of_number_dense_items(spark):
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(df, bench, decontam.LeakRules(block_rows=3)).collect()} == set(got)
 
 
+def test_leaks_with_slots_that_become_equal(spark):
+    odd = spark.createDataFrame([(1, "if x equals 3 then add 5 to it and then take 7 from it again")], "item_id long, text string")
+    said = spark.createDataFrame([(1, "if x equals 4 then add 4 to it and then take 4 from it again"), (2, "if x equals 4 then add 4 to it and then take 9 from it again")], "doc_id long, text string")
+    assert {(r.doc_id, r.verbatim, r.matched == r.windows) for r in decontam.contaminated(said, odd).collect()} == {(1, False, True), (2, False, True)}
+
+
 # --- 10 ------------------------------------------------------------------------------------
 
 
