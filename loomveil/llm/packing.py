@@ -4,7 +4,10 @@ Tokenization: a document is its token ids followed by one end id. Texts are cut
 every blank that precedes a character which is no white space, where the
 tokenizer's own splitting has a boundary too; pieces of text are looked up by hash
 in a bounded table of the worker, and only unknown ones are encoded, with the
-vocabulary of the given tokenizer file. Documents longer than a sequence are cut
+vocabulary of the given tokenizer file. With `added_tokens`, as the queries have it
+and `tokenizers` does by default, texts are also cut at the strings of the file's
+added tokens, which get their own ids; without it those strings are ordinary text.
+Documents longer than a sequence are cut
 into full pieces, the first of which may be shorter.
 
 Packing: a sequence has residual capacities of tokens, documents and attention
@@ -29,6 +32,7 @@ packed each for itself. An empty table gives no rows.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -54,6 +58,8 @@ class PackRules:
     score: str = "norm"
     weights: tuple[float, float, float] = (1.0, 0.05, 0.25)
     table_entries: int = 1_000_000
+    #: Strings of the tokenizer file's added tokens, such as <|endoftext|>, are those tokens.
+    added_tokens: bool = False
 
 
 # --- tokens ------------------------------------------------------------------------------
@@ -80,11 +86,22 @@ def load_encoder(tokenizer_json: str):
     return tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=byte_level_ranks(vocab), special_tokens={})
 
 
+def added_ids(tokenizer_json: str) -> dict[str, int]:
+    """The strings of a tokenizer file's added tokens and their ids."""
+    tokens = json.loads(tokenizer_json).get("added_tokens", [])
+    if any(t.get(k) for t in tokens for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that depend on the characters around them are not supported")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 class TokenTable:
-    """Ids of text pieces by their hash, sorted; at most `most` pieces."""
+    """Ids of text pieces by their hash, sorted; at most `most` pieces. Pieces in `added` have the one id given there."""
 
-    def __init__(self, encoder, most: int):
-        self.encode, self.most = encoder.encode_ordinary, most
+    def __init__(self, encoder, most: int, added: dict[str, int] | None = None):
+        self.added, self.most = added or {}, most
+        self.encode = lambda x: [self.added[x]] if x in self.added else encoder.encode_ordinary(x)
+        longest = sorted((x.encode() for x in self.added), key=len, reverse=True)
+        self.pattern = re.compile(b"|".join(map(re.escape, longest))) if longest else None
         self.clear()
 
     def clear(self) -> None:
@@ -120,8 +137,21 @@ class TokenTable:
         return self.begin[where], self.count[where]
 
 
-def _chunks(t: bs.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pieces of text, cut at each blank before a character that is no white space.
+def _added_spans(t: bs.Texts, pattern: re.Pattern[bytes] | None) -> list[tuple[int, int]]:
+    """Starts and ends of the added tokens' strings; none crosses texts."""
+    out: list[tuple[int, int]] = []
+    raw, at = t.buf.tobytes() if pattern else b"", 0
+    while pattern and (m := pattern.search(raw, at)):
+        upto = int(t.off[np.searchsorted(t.off, m.start(), side="right")])
+        m = pattern.search(raw, m.start(), upto)
+        at = m.end() if m else upto
+        if m:
+            out.append(m.span())
+    return out
+
+
+def _chunks(t: bs.Texts, pattern: re.Pattern[bytes] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of text, cut at each blank before a character that is no white space, and around matches of `pattern`.
 
     White space outside ASCII is at most three bytes and starts with C2, E1, E2 or
     E3: no cut is made before those bytes, which costs a few longer pieces.
@@ -133,7 +163,10 @@ def _chunks(t: bs.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cut[:-1] = (b[:-1] == 0x20) & solid[1:]
     last = t.off[1:][np.diff(t.off) > 0] - 1
     cut[last] = False  # the next byte belongs to another text
+    added = _added_spans(t, pattern)
+    cut[[a - 1 for a, _ in added if a]] = False  # that blank is the last of its stretch of text
     cut[t.off[:-1][np.diff(t.off) > 0]] = True
+    cut[[x for span in added for x in span if x < len(b)]] = True
     start = np.flatnonzero(cut)
     end = np.append(start[1:], len(b)) if len(start) else start
     return start, end, np.searchsorted(start, t.off)
@@ -146,17 +179,17 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, rules: PackRules = PackRu
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
-    token, cap, end_id, most = uuid.uuid4().hex, rules.capacity, rules.end_id, rules.table_entries
+    token, cap, end_id, most, added = uuid.uuid4().hex, rules.capacity, rules.end_id, rules.table_entries, rules.added_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = bs.process_store()
         if kept.get("tokens-of") != token:
-            kept["tokens-of"], kept["tokens"] = token, TokenTable(load_encoder(vocabulary.value), most)
+            kept["tokens-of"], kept["tokens"] = token, TokenTable(load_encoder(vocabulary.value), most, added_ids(vocabulary.value) if added else None)
         table: TokenTable = kept["tokens"]
         for batch in batches:
             ids = batch.column("doc_id")
             for t in bs.slices(batch.column("text")):
-                start, end, first = _chunks(t)
+                start, end, first = _chunks(t, table.pattern)
                 t.prepare(lower=False)
                 begin, count = table.look_up(t.span(start, end), t, start, end)
                 # all ids of the slice in a row, each document's followed by the end id

@@ -57,7 +57,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path(), packing.PackRules(added_tokens=True))
 
 
 def op9_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -305,6 +305,21 @@ def test_packing(spark, docs):
     assert packing.pack_documents(df.limit(0), path).count() == 0
 
 
+def test_added_tokens_are_ids_of_their_own(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    e = "<|endoftext|>"
+    odd = [f"a {e} b", e, e + e, f"a  {e}  {e} \n{e}\n b", f" {e}", f"{e} ", f"x{e}'s {e}é日本\u3000{e}", "a <|endof", "text|> b", f"<|endof{e}text|>", "", None, f"a\u3000{e} c d"]
+    spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    ids = [np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4") for x in odd]
+    assert 50256 in ids[0]
+    exp = {(i, 0, 0, len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids)}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for out in (queries.op8_vector_packing(spark, str(tmp_path)), corpus_pipeline.packing_stage(spark, docs, str(tmp_path))):
+        assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out.collect()} == exp
+
+
 @pytest.mark.parametrize("score", ["norm", "dot"])
 def test_patterns_keep_every_constraint(score):
     r = np.random.default_rng(3)
