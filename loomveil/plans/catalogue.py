@@ -6,13 +6,15 @@ that both engines run, so that every detector has something to find.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomveil.functions import columns as c
 from loomveil.functions import fixed as fx
+from loomveil.functions.names import _speakers as speakers
 from loomveil.functions.redaction import FilterConfig
 from loomveil.operators import chat, pii, search
 
@@ -291,6 +293,20 @@ def speaker_labels(spark: SparkSession, sf: str) -> DataFrame:
     return _lines(spark, sf).where((F.col("line_no") == 0) & F.size(F.split(t, r"\s+")).between(2, 5) & t.rlike("^[A-ZÀ-ÿ]") & ~t.rlike("[.!?;]$"))
 
 
+@query()
+def speaker_labels_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The operator's labels: first lines and lines after a clock, with name-like words and a known or likely name; the query above keeps what its SQL says."""
+    lexicon = FilterConfig().lexicon
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, t.count("\n", 0, a), t) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for a, _ in (speakers(t, lexicon) if t else ())]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in rows], batch.schema.field("doc_id").type), pa.array([n for _, n, _ in rows], pa.int64()), pa.array([t.split("\n")[n] for _, n, t in rows], pa.string())], ["doc_id", "line_no", "line"])
+
+    d = docs(spark, sf).select("doc_id", "text")
+    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, line_no long, line string")
+
+
 # --- ingest and chunks ---------------------------------------------------------------------
 
 

@@ -19,3 +19,11 @@ def test_stats_count_every_format(spark, tmp_path):
     assert one["total"] == sum(v for k, v in one.items() if k not in ("doc_id", "total"))
     assert sum(r.total for r in q["pii_stats_all_by_lang"](spark, str(tmp_path)).collect()) == sum(r["total"] for r in every.values())
     assert {(r.lang, r.source): r.total for r in q["pii_stats_all_rollup"](spark, str(tmp_path)).collect()}[None, None] == sum(r["total"] for r in every.values())
+
+
+def test_speaker_labels_of_all_lines(spark, tmp_path):
+    text = "Jan Bakker\nhallo daar\n04:20\n Anna de Vries\nJan Bakker\n1:02:03\nGoed Weer Vandaag.\n01:05\nPeter van Dijk"
+    rows = [(1, text), (2, "Geen Xq Label"), (3, None), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.line_no, r.line) for r in catalogue.queries()["speaker_labels_all"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0, "Jan Bakker"), (1, 3, " Anna de Vries"), (1, 8, "Peter van Dijk")}
