@@ -1,4 +1,4 @@
-"""Tables written to the folder that all executors share.
+"""Tables written to the folder that all executors share, and small helpers on schemas.
 
 Lineage is cut by writing a Parquet table below ``spark.checkpoint.dir`` and
 reading it again: the result is columnar, survives the loss of any executor and
@@ -9,16 +9,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set (tests)."""
+    """The cluster's shared folder; a folder of our own only in local mode where none is set (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loomveil-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -38,9 +42,34 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_all(spark: SparkSession) -> None:
-    """Delete every table that this session wrote; call once results are saved."""
+def mark() -> int:
+    """How many tables there are; what is written after this can be dropped with `drop_since`."""
+    return len(_written)
+
+
+def drop_since(spark: SparkSession, first: int, keep: int = 0) -> None:
+    """Delete the tables written since mark(), but for the last `keep`; call it once what was made of them is written."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    upto = len(_written) - keep
+    gone, _written[first:upto] = _written[first:upto], []
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Delete every table that this session wrote; call once results are saved."""
+    drop_since(spark, 0)
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """`name`, with underscores behind it until no column in `taken` has it (in any letter case)."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def ddl(schema: StructType) -> str:
+    """The columns of a schema as mapInArrow takes them."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
