@@ -1,12 +1,11 @@
 """Best-fit packing with vector capacities: tokens, documents and attention cost.
 
-Tokenization: a document is its token ids followed by one end id. Texts are cut at
-every blank that precedes a character which is no white space, where the
-tokenizer's own splitting has a boundary too; pieces of text are looked up by hash
-in a bounded table of the worker, and only unknown ones are encoded, with the
-vocabulary of the given tokenizer file. With `added_tokens`, as the queries have it
-and `tokenizers` does by default, texts are also cut at the strings of the file's
-added tokens, which get their own ids; without it those strings are ordinary text.
+Tokenization: a document is its token ids followed by one end id; ids are those of the
+given tokenizer file by `tokenizers` without special tokens added, so strings of the
+file's added tokens, such as <|endoftext|>, are those tokens. Texts are cut at every
+blank that precedes a character which is no white space, where the tokenizer's own
+splitting has a boundary too, and around the added tokens' strings; pieces of text are
+looked up by hash in a bounded table of the worker, and only unknown ones are encoded.
 Documents longer than a sequence are cut
 into full pieces, the first of which may be shorter.
 
@@ -21,6 +20,10 @@ vector, either the weighted dot product or the least norm of what would be left
 counts allow at once, so the number of steps depends on the number of lengths and
 not on the corpus.
 
+With the default capacities only tokens can bind: a sequence of 2048 tokens holds at most
+2048 documents, and their squares add up to at most 2048 * 2048. The other two weigh in
+the score then; with smaller ones every constraint holds for every sequence.
+
 Dealing: piece number k of a length goes to the k-th place that the patterns hold
 for it. Ranks come from counts by (partition, length) and running sums, so no
 length, however frequent, meets in one task.
@@ -32,10 +35,11 @@ packed each for itself. An empty table gives no rows.
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,49 +62,36 @@ class PackRules:
     score: str = "norm"
     weights: tuple[float, float, float] = (1.0, 0.05, 0.25)
     table_entries: int = 1_000_000
-    #: Strings of the tokenizer file's added tokens, such as <|endoftext|>, are those tokens.
-    added_tokens: bool = False
 
 
 # --- tokens ------------------------------------------------------------------------------
 
-#: The splitting pattern of the byte-level vocabulary (fixed value).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-def byte_level_ranks(vocab: dict[str, int]) -> dict[bytes, int]:
-    """Token bytes to id, from a vocabulary that writes bytes as printable characters."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(printable)]
-    of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-    return {bytes(of[c] for c in token): i for token, i in vocab.items() if all(c in of for c in token)}
-
 
-def load_encoder(tokenizer_json: str):
-    """An encoder with the byte-level BPE vocabulary of a tokenizer file; special tokens' strings are ordinary text."""
-    import tiktoken
+def load_encoder(tokenizer_json: str) -> Callable[[list[str]], list[list[int]]]:
+    """Ids of texts by the tokenizer of a file, special tokens not added."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
+    from tokenizers import Tokenizer
 
-    data = json.loads(tokenizer_json)
-    special = {t["content"] for t in data.get("added_tokens", []) if t.get("special")}
-    vocab = {k: v for k, v in data["model"]["vocab"].items() if k not in special}
-    return tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=byte_level_ranks(vocab), special_tokens={})
+    made = Tokenizer.from_str(tokenizer_json)
+    made.no_truncation()
+    made.no_padding()
+    return lambda texts: [x.ids for x in made.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def added_ids(tokenizer_json: str) -> dict[str, int]:
-    """The strings of a tokenizer file's added tokens and their ids."""
+def added_strings(tokenizer_json: str) -> list[str]:
+    """The strings of a tokenizer file's added tokens."""
     tokens = json.loads(tokenizer_json).get("added_tokens", [])
     if any(t.get(k) for t in tokens for k in ("single_word", "lstrip", "rstrip")):
         raise ValueError("added tokens that depend on the characters around them are not supported")
-    return {t["content"]: t["id"] for t in tokens}
+    return [t["content"] for t in tokens]
 
 
 class TokenTable:
-    """Ids of text pieces by their hash, sorted; at most `most` pieces. Pieces in `added` have the one id given there."""
+    """Ids of text pieces by their hash, sorted; at most `most` pieces. No piece crosses a string in `added`."""
 
-    def __init__(self, encoder, most: int, added: dict[str, int] | None = None):
-        self.added, self.most = added or {}, most
-        self.encode = lambda x: [self.added[x]] if x in self.added else encoder.encode_ordinary(x)
-        longest = sorted((x.encode() for x in self.added), key=len, reverse=True)
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int, added: list[str]):
+        self.encode, self.most = encode, most
+        longest = sorted((x.encode() for x in added), key=len, reverse=True)
         self.pattern = re.compile(b"|".join(map(re.escape, longest))) if longest else None
         self.clear()
 
@@ -120,7 +111,7 @@ class TokenTable:
         if new.any():
             example = order[head][new]
             raw = t.buf.tobytes()
-            got = [self.encode(raw[a:b].decode()) for a, b in zip(start[example].tolist(), end[example].tolist(), strict=True)]
+            got = self.encode([raw[a:b].decode() for a, b in zip(start[example].tolist(), end[example].tolist(), strict=True)])
             count = np.fromiter(map(len, got), np.int64, len(got))
             total = int(count.sum())
             if self.used + total > len(self.ids):
@@ -179,12 +170,12 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, rules: PackRules = PackRu
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
-    token, cap, end_id, most, added = uuid.uuid4().hex, rules.capacity, rules.end_id, rules.table_entries, rules.added_tokens
+    token, cap, end_id, most = uuid.uuid4().hex, rules.capacity, rules.end_id, rules.table_entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = bs.process_store()
         if kept.get("tokens-of") != token:
-            kept["tokens-of"], kept["tokens"] = token, TokenTable(load_encoder(vocabulary.value), most, added_ids(vocabulary.value) if added else None)
+            kept["tokens-of"], kept["tokens"] = token, TokenTable(load_encoder(vocabulary.value), most, added_strings(vocabulary.value))
         table: TokenTable = kept["tokens"]
         for batch in batches:
             ids = batch.column("doc_id")
