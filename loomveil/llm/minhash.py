@@ -13,27 +13,32 @@ on. A class has `bins // rows` band keys; a pair at similarity 0.75 shares none
 51 bands of 5 rows with probability 1.0e-6.
 
 Links, without all pairs of a bucket:
-1. a bucket's least class is its centre; each class is checked against the one
-   centre that it shares most bands with (one exact check for each class);
+1. a bucket's least class is its centre; each class is paired with the one centre that
+   it shares most bands with. Pairs whose sketches agree in at least `least_agree` of 256
+   coordinates (a true link agrees in fewer with probability 2e-6) are checked exactly;
 2. checked links form trees; their roots are found by pointer jumping;
-3. in buckets where several roots remain, classes of different roots are compared
-   by their sketches, in blocks of at most `block` classes. What agrees in at least
-   `least_agree` of 256 coordinates (a true link agrees in fewer with probability
-   2e-6) stays together as a cluster; a task emits each class's cluster, no pairs;
-   clusters are dealt in blocks of about `block_shingles` shingles, every two blocks
-   of a cluster meet once, and all pairs of different roots in them are compared by
-   their full sets. One link for each two trees leaves the task. A cluster of more
-   than `most_blocks` blocks is dealt bucket by bucket instead: no bucket is capped
-   and no link between trees is lost.
+3. in buckets where several roots remain, the classes outside the bucket's most common
+   root are compared with all its classes by their sketches, in blocks of at most `block`
+   of either: work and copies grow with the number of those outside, and a family whose
+   members are near its centre costs nothing here. What agrees in `least_agree`
+   coordinates stays together as a cluster; a task emits each class's cluster, no pairs;
+   clusters are dealt in blocks of about `block_shingles` shingles, and again those
+   outside a cluster's most common root meet all others, by their full sets. One link for
+   each two trees leaves the task. A cluster of more than `most_blocks` blocks is dealt
+   bucket by bucket instead: no bucket is capped and no link between trees is lost.
 4. merged roots are components by large-star/small-star rounds.
 
 Exact checks stream: texts are sorted behind their centre's text, and a task holds
 one centre's shingles at a time; hot centres are salted. What is compared are the
-full sets of 64-bit shingle hashes.
+full sets of 64-bit shingle hashes. Texts are fetched by a hash of (doc_id, text) of one
+row of each class that is to be checked; all other rows fall out at the scan, by a Bloom
+filter of those hashes as long as it has a bounded size, and a text's digest tells it
+from one with an equal hash.
 
 Edge cases: null, empty and blank texts have no shingles and link with nothing.
 A null doc_id is never the smallest; a component of null ids only has a null id.
-Repeated rows get equal results each.
+Rows that share an id, or have none, are rows of their own. Repeated rows get equal
+results each.
 """
 
 from __future__ import annotations
@@ -44,11 +49,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomveil.llm import bloom, scratch
 from loomveil.llm import bytescan as bs
-from loomveil.llm import scratch
 
 
 @dataclass(frozen=True)
@@ -129,8 +134,13 @@ def sketches(g: np.ndarray, first: np.ndarray, bins: int) -> np.ndarray:
     return out
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A hash of a row's doc_id and text; only repeated rows, and some rows by chance, share it."""
+    return F.xxhash64(docs["doc_id"], docs["text"])
+
+
 def sketch_documents(docs: DataFrame, rules: NearRules) -> DataFrame:
-    """doc_id, n_shingles, node (128-bit digest of the set), bands and 8-bit signature."""
+    """doc_id, rid, n_shingles, node (128-bit digest of the set), bands and 8-bit signature."""
     n, bins, rows = rules.words, rules.bins, rules.rows
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -150,237 +160,284 @@ def sketch_documents(docs: DataFrame, rules: NearRules) -> DataFrame:
                 key = bs.mix(key).view(np.int64)
                 sig = pa.Array.from_buffers(pa.binary(bins), t.n, [None, pa.py_buffer(bs.mix(s).astype(np.uint8).tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(t.first, t.n), pa.array(size), pa.array(node, pa.binary()), pa.ListArray.from_arrays(np.arange(0, bands * t.n + 1, bands, dtype=np.int32), pa.array(key.reshape(-1))), sig.cast(pa.binary())],
-                    ["doc_id", "n_shingles", "node", "bands", "sig"],
+                    [*(batch.column(c).slice(t.first, t.n) for c in ("doc_id", "rid")), pa.array(size), pa.array(node, pa.binary()), pa.ListArray.from_arrays(np.arange(0, bands * t.n + 1, bands, dtype=np.int32), pa.array(key.reshape(-1))), sig.cast(pa.binary())],
+                    ["doc_id", "rid", "n_shingles", "node", "bands", "sig"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles long, node binary, bands array<long>, sig binary")
+    return docs.select("doc_id", row_key(docs).alias("rid"), "text").mapInArrow(run, f"doc_id {id_type}, rid long, n_shingles long, node binary, bands array<long>, sig binary")
 
 
 # --- exact checks ------------------------------------------------------------------------
 
 
-def texts_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text) of the classes that share a bucket: all texts are dealt by id once, later steps read these few.
+def with_texts(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """`members` (rid, ...) with the text of their row; few other texts leave the scan."""
+    rows = docs.select(row_key(docs).alias("rid"), "text")
+    few = bloom.keep_maybe(rows, "rid", members.select(F.col("rid").alias("hash")))
+    # of repeated rows one is enough; they are combined where they are read
+    return members.join(few.groupBy("rid").agg(F.first("text").alias("text")), "rid")
 
-    A row with the id of a class, but another text, comes along; its digest tells it apart.
-    """
-    ids = nodes.select("node").distinct().join(classes, "node").select("node", F.col("doc_id").alias("of"))
-    rows = ids.join(docs.select(F.col("doc_id").alias("of_id"), "text"), F.col("of").eqNullSafe(F.col("of_id")))
-    return scratch.table(rows.select("node", "text"), "near-texts")
 
+def _sets(group: pa.Table | pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows and their shingle sets; a text with this row's hash, but another digest, is left out."""
+    node = group.column("node").to_pylist()
+    for t in bs.slices(group.column("text")):
+        g, first = shingle_sets(t, n)
+        for k in range(t.n):
+            own = g[first[k] : first[k + 1]]
+            if hashlib.blake2b(own.tobytes(), digest_size=16).digest() == node[t.first + k]:
+                yield t.first + k, own
+
+
+def close_pairs(pairs: DataFrame, classes: DataFrame, rules: NearRules) -> DataFrame:
+    """Those (a, b) of `pairs` whose sketches and sizes allow a link."""
+    of = lambda c: classes.select(F.col("cid").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    bins, percent, least_agree = rules.bins, rules.percent, rules.least_agree
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, bins) for c in ("sig_a", "sig_b"))
+            m, n = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            ok = (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & ((x == y).sum(axis=1) >= least_agree)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return both.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
-def verify(pairs: DataFrame, texts: DataFrame, rules: NearRules) -> DataFrame:
-    """Those (a, b) of `pairs` whose full sets reach the threshold. texts: (node, text)."""
+
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rules: NearRules) -> DataFrame:
+    """Those (a, b) of `pairs`, a written table, whose full sets reach the threshold."""
     n, percent = rules.words, rules.percent
-    pairs = pairs.select("a", "b")
-    salts = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / rules.rows_per_salt).cast("int").alias("salts"))
-    sides = (
-        pairs.join(salts, "a")
-        .select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("b").alias("node"))
-        .unionByName(salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("node")))
-    )
-    dealt = sides.join(texts, "node").select("a", "salt", "kind", "node", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
+    # a table of its own, so that a hot centre's pairs can be split when they meet their number of salts
+    hot = scratch.table(pairs.groupBy("a").count().where(F.col("count") > rules.rows_per_salt).select("a", F.ceil(F.col("count") / rules.rows_per_salt).cast("int").alias("many")), "near-hot")
+    salts = F.coalesce("many", F.lit(1))
+    sides = pairs.join(hot, "a", "left").select("a", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("b").alias("cid"))
+    centres = pairs.select("a").distinct().join(hot, "a", "left").select("a", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("cid"))
+    members = scratch.table(sides.unionByName(centres).join(classes.select("cid", "rid", "node"), "cid"), "near-members")
+    dealt = with_texts(members, docs).select("a", "salt", "kind", "cid", "node", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, held = None, None
         for batch in batches:
-            a, kind, node = (batch.column(c).to_pylist() for c in ("a", "kind", "node"))
+            a, kind, cid = (batch.column(c).to_pylist() for c in ("a", "kind", "cid"))
             left, right = [], []
-            for t in bs.slices(batch.column("text")):
-                g, first = shingle_sets(t, n)
-                for k in range(t.n):
-                    i = t.first + k
-                    own = g[first[k] : first[k + 1]]
-                    # a row with this id, but another text, has another digest
-                    if hashlib.blake2b(own.tobytes(), digest_size=16).digest() != node[i]:
+            for i, own in _sets(batch, n):
+                if kind[i] == 0:
+                    centre, held = a[i], own
+                elif centre == a[i]:
+                    x, y = (own, held) if len(own) < len(held) else (held, own)
+                    if 100 * len(x) < percent * len(y):
                         continue
-                    if kind[i] == 0:
-                        centre, held = a[i], own
-                    elif centre == a[i]:
-                        x, y = (own, held) if len(own) < len(held) else (held, own)
-                        if 100 * len(x) < percent * len(y):
-                            continue
-                        both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                        if 100 * both >= percent * (len(x) + len(y) - both):
-                            left.append(a[i])
-                            right.append(node[i])
+                    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        left.append(a[i])
+                        right.append(cid[i])
             if left:
-                yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 # --- components --------------------------------------------------------------------------
 
 
 def roots_of_trees(parents: DataFrame) -> DataFrame:
-    """(node, root) for (node, parent) edges of a forest, by pointer jumping."""
-    now = scratch.table(parents.select("node", F.col("parent").alias("root")), "near-roots")
+    """(cid, root) for (cid, parent) edges of a forest, by pointer jumping."""
+    now = scratch.table(parents.select("cid", F.col("parent").alias("root")), "near-roots")
     while True:
-        up = now.select(F.col("node").alias("root"), F.col("root").alias("higher"))
-        following = scratch.table(now.join(up, "root", "left").select("node", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")), "near-roots")
-        now = following.select("node", "root")
+        up = now.select(F.col("cid").alias("root"), F.col("root").alias("higher"))
+        following = scratch.table(now.join(up, "root", "left").select("cid", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")), "near-roots")
+        now = following.select("cid", "root")
         if not following.where("moved").limit(1).count():
             return now
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of an undirected graph (a, b): alternating large-star and small-star rounds."""
+    """(cid, component) of an undirected graph (a, b) of longs: alternating large-star and small-star rounds."""
     now = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-edges")
+    print_of = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
+    before = print_of(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = scratch.table(large, "near-large")
+        large = scratch.table(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "near-large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        following = scratch.table(small, "near-edges")
-        same = following.count() == now.count() and not following.exceptAll(now).limit(1).count()
-        now = following
-        if same:
-            return now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
+        now = scratch.table(small, "near-edges")
+        after = print_of(now)
+        if after == before:
+            return now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "cid")
+        before = after
 
 
 # --- the rest of the buckets -------------------------------------------------------------
 
 
-def close_clusters(keys: DataFrame, info: DataFrame, labels: DataFrame, rules: NearRules) -> DataFrame:
-    """(key, node, star): classes of a bucket that may link with another root, with the least class of those they hang together with.
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows outside their group's `main` root meet all rows of the group, block by block: group, x, y and `outside`.
 
-    keys: (key, node); info: (node, n_shingles, sig); labels: (node, root) of those that aren't their own root.
+    rows: cid, root, main, blocks (of the group) and out_blocks (of those outside).
     """
-    rooted = keys.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("n") / rules.block).cast("int").alias("blocks"))
-    rows = rooted.join(mixed, "key").join(info, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "root", "n_shingles", "sig")
-    percent, least_agree = rules.percent, rules.least_agree
+    place = lambda c: F.pmod(F.xxhash64("cid"), c).cast("int")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c).cast("int") - 1))
+    out = rows.where("root <> main").withColumn("x", place("out_blocks")).withColumn("y", upto("blocks")).withColumn("outside", F.lit(True))
+    every = rows.withColumn("y", place("blocks")).withColumn("x", upto("out_blocks")).withColumn("outside", F.lit(False))
+    return out.unionByName(every).drop("blocks", "out_blocks")
+
+
+def close_clusters(keys: DataFrame, classes: DataFrame, labels: DataFrame, rules: NearRules) -> DataFrame:
+    """(key, cid, star): classes of a bucket that may link with another root, with the least class of those they hang together with.
+
+    keys: (key, cid); classes: (cid, n_shingles, sig); labels: (cid, root) of those that aren't their own root.
+    """
+    rooted = scratch.table(keys.join(labels, "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("root")), "near-rooted")
+    by_root = rooted.groupBy("key", "root").count()
+    mixed = by_root.groupBy("key").agg(F.max(F.struct("count", "root")).alias("top"), F.sum("count").alias("n"), F.count("*").alias("roots")).where("roots > 1")
+    mixed = scratch.table(mixed.select("key", F.col("top.root").alias("main"), F.ceil(F.col("n") / rules.block).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("top.count")) / rules.block).cast("int").alias("out_blocks")), "near-mixed")
+    rows = _dealt(rooted.join(mixed, "key").join(classes.select("cid", "n_shingles", "sig"), "cid"))
+    bins, percent, least_agree = rules.bins, rules.percent, rules.least_agree
 
     def compare(group: pa.Table) -> pa.Table:
-        root, size, block = _codes(group.column("root")), group.column("n_shingles").to_numpy(), group.column("block").to_numpy()
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(size), -1)
-        crossed = group.column("x")[0].as_py() != group.column("y")[0].as_py()
-        main = np.bincount(root).argmax()
-        index = np.arange(len(size))
-        star, hit = index.copy(), np.zeros(len(size), bool)
-        for i in np.flatnonzero(root != main):  # every pair of different roots has a side outside the most common root
-            ok = (root != root[i]) & ((root == main) | (index > i)) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
-            if crossed:
-                ok &= block != block[i]
+        cid, root, size, outside = (group.column(c).to_numpy() for c in ("cid", "root", "n_shingles", "outside"))
+        main, sig = group.column("main")[0].as_py(), np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(-1, bins)
+        left, right = np.flatnonzero(outside), np.flatnonzero(~outside.astype(bool))
+        ids, code = np.unique(cid, return_inverse=True)
+        star, hit = np.arange(len(ids)), np.zeros(len(ids), bool)
+        r_cid, r_root, r_size, r_sig = cid[right], root[right], size[right], sig[right]
+        for i in left:
+            # two classes outside meet twice, once is enough
+            ok = (r_root != root[i]) & ((r_root == main) | (r_cid > cid[i])) & (100 * np.minimum(r_size, size[i]) >= percent * np.maximum(r_size, size[i]))
             at = np.flatnonzero(ok)
-            near = at[(sig[at] == sig[i]).sum(axis=1) >= least_agree]
+            near = at[(r_sig[at] == sig[i]).sum(axis=1) >= least_agree]
             if len(near):
-                near = np.append(near, i)
+                near = np.append(code[right[near]], code[i])
                 hit[near] = True
                 together = np.unique(star[near])
                 star[np.isin(star, together)] = together[0]
         found = np.flatnonzero(hit)
-        node = group.column("node").combine_chunks()
-        return pa.table({"key": group.column("key").take(pa.array(found)), "node": node.take(pa.array(found)), "star": node.take(pa.array(star[found]))})
+        return pa.table({"key": pa.array(np.full(len(found), group.column("key")[0].as_py(), np.int64)), "cid": ids[found], "star": ids[star[found]]})
 
-    return rows.groupBy("key", "x", "y").applyInArrow(compare, "key long, node binary, star binary")
+    return rows.groupBy("key", "x", "y").applyInArrow(compare, "key long, cid long, star long")
 
 
-def cluster_links(stars: DataFrame, info: DataFrame, labels: DataFrame, texts: DataFrame, rules: NearRules) -> DataFrame:
+def cluster_links(stars: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, rules: NearRules) -> DataFrame:
     """Verified (a, b) between roots: at least one for each two roots of a cluster that a link joins, directly or through others."""
     n, percent = rules.words, rules.percent
-    joined = scratch.table(components(stars.select(F.col("node").alias("a"), F.col("star").alias("b"))), "near-clusters")
-    sizes = info.select("node", "n_shingles")
-    held = stars.select("key", "node").distinct().join(joined, "node", "left").join(sizes, "node").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("cluster"))
-    n_blocks = F.ceil(F.sum("n_shingles") / rules.block_shingles).cast("int")
-    large = held.select("cluster", "node", "n_shingles").distinct().groupBy("cluster").agg(n_blocks.alias("blocks"))
-    group = F.when(F.col("blocks") <= rules.most_blocks, F.hex("cluster")).otherwise(F.col("key").cast("string"))
-    dealt = scratch.table(held.join(large, "cluster").select(group.alias("group"), "node", "n_shingles").distinct(), "near-groups")
-    rows = dealt.join(dealt.groupBy("group").agg(n_blocks.alias("blocks")), "group").join(labels, "node", "left").join(texts, "node")
-    rows = rows.select("group", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "node", F.coalesce("root", "node").alias("root"), "text")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("group", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "root", "text")
+    joined = components(stars.select(F.col("cid").alias("a"), F.col("star").alias("b")))
+    held = stars.select("key", "cid").distinct().join(joined, "cid", "left").join(classes.select("cid", "n_shingles"), "cid").join(labels, "cid", "left")
+    held = held.select("key", "cid", F.coalesce("root", "cid").alias("root"), F.coalesce("component", "cid").alias("cluster"), (F.col("n_shingles") + 32).alias("weight"))
+    held = scratch.table(held, "near-clusters")
+    blocks = lambda w: F.ceil(w / rules.block_shingles).cast("int")
+    large = scratch.table(held.select("cluster", "cid", "weight").distinct().groupBy("cluster").agg(blocks(F.sum("weight")).alias("many")), "near-large-clusters")
+    whole = F.col("many") <= rules.most_blocks
+    # the cluster, or the bucket of a cluster that is too large
+    dealt = held.join(large, "cluster").select(F.when(whole, F.lit(0)).otherwise(1).alias("kind"), F.when(whole, F.col("cluster")).otherwise(F.col("key")).alias("at"), "cid", "root", "weight").distinct()
+    dealt = scratch.table(dealt, "near-groups")
+    by_root = dealt.groupBy("kind", "at", "root").agg(F.sum("weight").alias("w"))
+    plan = by_root.groupBy("kind", "at").agg(F.max(F.struct("w", "root")).alias("top"), F.sum("w").alias("total"), F.count("*").alias("roots")).where("roots > 1")
+    plan = scratch.table(plan.select("kind", "at", F.col("top.root").alias("main"), blocks(F.col("total")).alias("blocks"), blocks(F.col("total") - F.col("top.w")).alias("out_blocks")), "near-plan")
+    members = scratch.table(dealt.join(plan, ["kind", "at"]).drop("weight").join(classes.select("cid", "rid", "node"), "cid"), "near-members")
+    rows = _dealt(with_texts(members, docs).drop("rid"))
 
     def check(group: pa.Table) -> pa.Table:
-        node, root, block = group.column("node").to_pylist(), _codes(group.column("root")), group.column("block").to_numpy()
-        sets, kept = [], []
-        for t in bs.slices(group.column("text")):
-            g, first = shingle_sets(t, n)
-            for k in range(t.n):
-                own = g[first[k] : first[k + 1]]
-                # a row with this id, but another text, has another digest
-                if hashlib.blake2b(own.tobytes(), digest_size=16).digest() == node[t.first + k]:
-                    sets.append(own)
-                    kept.append(t.first + k)
-        if not kept:
-            return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
-        root, block = root[kept], block[kept]
-        crossed = group.column("x")[0].as_py() != group.column("y")[0].as_py()
-        size = np.array([len(x) for x in sets])
-        first = np.concatenate([[0], np.cumsum(size)])[:-1]
-        _, code = np.unique(np.concatenate(sets), return_inverse=True)
-        mark = np.zeros(len(code), np.int32)
-        main = np.bincount(root).argmax()
-        left, right, tree = [], [], root.copy()
-        for i in np.flatnonzero(root != main):
-            ok = (tree != tree[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
-            if crossed:
-                ok &= block != block[i]
-            if not ok.any():
-                continue
-            own = code[first[i] : first[i] + size[i]]
-            mark[own] = 1
-            both = np.add.reduceat(mark[code], first)  # no set is empty
-            mark[own] = 0
-            at = np.flatnonzero(ok & (100 * both >= percent * (size + size[i] - both)))
-            met, where = np.unique(tree[at], return_index=True)
-            for j in at[where]:
-                left.append(node[kept[i]])
-                right.append(node[kept[j]])
-            tree[np.isin(tree, met)] = tree[i]
-        return pa.table({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
-
-    return rows.groupBy("group", "x", "y").applyInArrow(check, "a binary, b binary").distinct()
+        cid, root, outside = (group.column(c).to_numpy() for c in ("cid", "root", "outside"))
+        main, kept, sets = group.column("main")[0].as_py(), [], []
+        for i, own in _sets(group, n):
+            kept.append(i)
+            sets.append(own)
+        left, right = [], []
+        cid, root, outside = cid[kept], root[kept], outside[kept].astype(bool)
+        l_at, r_at = np.flatnonzero(outside), np.flatnonzero(~outside)
+        if len(l_at) and len(r_at):
+            size = np.array([len(x) for x in sets])
+            values, code = np.unique(np.concatenate([sets[j] for j in r_at]), return_inverse=True)
+            r_cid, r_root, r_size = cid[r_at], root[r_at], size[r_at]
+            first = np.concatenate([[0], np.cumsum(r_size)])[:-1]
+            mark = np.zeros(len(values), np.int32)
+            _, tree = np.unique(root, return_inverse=True)
+            tree = tree.copy()
+            for i in l_at:
+                ok = (tree[r_at] != tree[i]) & ((r_root == main) | (r_cid > cid[i])) & (100 * np.minimum(r_size, size[i]) >= percent * np.maximum(r_size, size[i]))
+                if not ok.any():
+                    continue
+                own = np.minimum(np.searchsorted(values, sets[i]), len(values) - 1)
+                own = own[values[own] == sets[i]]
+                mark[own] = 1
+                both = np.add.reduceat(mark[code], first)  # no set is empty
+                mark[own] = 0
+                at = np.flatnonzero(ok & (100 * both >= percent * (r_size + size[i] - both)))
+                met, where = np.unique(tree[r_at[at]], return_index=True)
+                for j in at[where]:
+                    left.append(int(cid[i]))
+                    right.append(int(r_cid[j]))
+                tree[np.isin(tree, met)] = tree[i]
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return rows.groupBy("kind", "at", "x", "y").applyInArrow(check, "a long, b long").distinct()
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, root) after joining the trees that links connect."""
+    """(cid, root) after joining the trees that links connect."""
     root = lambda c: F.coalesce(F.col(f"{c}_root"), F.col(c))
-    of = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    of = lambda c: labels.select(F.col("cid").alias(c), F.col("root").alias(f"{c}_root"))
     lifted = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(root("a").alias("a"), root("b").alias("b"))
     joined = scratch.table(components(lifted), "near-components")
-    tops = labels.join(joined.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("component", "root").alias("root"))
-    return scratch.table(tops.unionByName(joined.join(labels, "node", "left_anti").select("node", F.col("component").alias("root"))), "near-labels")
-
-
-def _codes(column: pa.ChunkedArray) -> np.ndarray:
-    return column.combine_chunks().dictionary_encode().indices.to_numpy() if not isinstance(column, pa.Array) else column.dictionary_encode().indices.to_numpy()
+    tops = labels.join(joined.withColumnRenamed("cid", "root"), "root", "left").select("cid", F.coalesce("component", "root").alias("root"))
+    return scratch.table(tops.unionByName(joined.join(labels, "cid", "left_anti").select("cid", F.col("component").alias("root"))), "near-labels")
 
 
-def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of `docs` (doc_id, text, ...)."""
+def component_rows(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
+    """doc_id, rid, n_shingles, component_id and `top` (a number of the component, null without shingles) of every row."""
     sketched = scratch.table(sketch_documents(docs, rules), "near-sketches")
-    full = sketched.where("node is not null")
-    classes = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    classes = scratch.table(classes, "near-classes")
-    held = full.select("node", "doc_id", "n_shingles", "bands", "sig")
-    # a class speaks through its least document; rows that repeat it do no harm
-    keys = held.join(classes.withColumnRenamed("doc_id", "least"), (held.node == classes.node) & held.doc_id.eqNullSafe(F.col("least")), "left_semi").select(F.explode("bands").alias("key"), "node")
-    centres = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("a <> top").select("key", "a")
-    shared = scratch.table(keys.join(centres, "key").select("key", "node", "a").distinct(), "near-buckets")
-    hits = shared.where("node <> a").groupBy("node", "a").count()
-    best = hits.groupBy("node").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", F.col("node").alias("b"))
-    texts = texts_of(shared, classes, docs)
-    trees = scratch.table(verify(best, texts, rules), "near-trees")
-    labels = roots_of_trees(trees.select(F.col("b").alias("node"), F.col("a").alias("parent")))
-    info = full.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    members = shared.select("key", "node")
-    stars = scratch.table(close_clusters(members, info, labels, rules), "near-stars")
-    links = scratch.table(cluster_links(stars, info, labels, texts, rules), "near-links")
+    same = sketched.where("node is not null").groupBy("node")
+    # a class speaks through one of its rows
+    classes = same.agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sig")))
+    classes = scratch.table(classes.withColumn("cid", F.monotonically_increasing_id()), "near-classes")
+    keys = classes.select(F.explode("bands").alias("key"), "cid")
+    centres = scratch.table(keys.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("top")).where("a <> top").select("key", "a"), "near-centres")
+    # keys of one class only don't leave the scan
+    shared = scratch.table(bloom.keep_maybe(keys, "key", centres.select(F.col("key").alias("hash"))).join(centres, "key"), "near-buckets")
+    hits = shared.where("cid <> a").repartition("cid").groupBy("cid", "a").count()
+    # most shared bands, then the largest centre: ids of rows are below 2 ** 56
+    best = hits.groupBy("cid").agg(F.max(F.shiftleft("count", 56).bitwiseOR(F.col("a"))).alias("x")).select(F.col("x").bitwiseAND(F.lit((1 << 56) - 1)).alias("a"), F.col("cid").alias("b"))
+    near = scratch.table(close_pairs(best, classes, rules), "near-pairs")
+    trees = scratch.table(verify(near, classes, docs, rules), "near-trees")
+    labels = roots_of_trees(trees.select(F.col("b").alias("cid"), F.col("a").alias("parent")))
+    stars = scratch.table(close_clusters(shared.select("key", "cid"), classes, labels, rules), "near-stars")
+    links = scratch.table(cluster_links(stars, classes, labels, docs, rules), "near-links")
     if links.limit(1).count():
         labels = merged(labels, links)
     tops = labels.withColumnRenamed("root", "top")
     # the least id of each component of several classes
-    named = tops.select("node", "top").unionByName(tops.select(F.col("top").alias("node"), "top")).distinct()
-    ids = named.join(classes, "node").groupBy("top").agg(F.min("doc_id").alias("component_id"))
-    many = scratch.table(named.join(ids, "top").select("node", "component_id"), "near-ids")
-    found = classes.withColumnRenamed("doc_id", "least").join(many, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
-    out = sketched.select("doc_id", "n_shingles", "node").join(found, "node", "left")
+    named = tops.select("cid", "top").unionByName(tops.select(F.col("top").alias("cid"), "top")).distinct()
+    few = classes.select("cid", "node", "least")
+    ids = named.join(few, "cid").groupBy("top").agg(F.min("least").alias("component_id"))
+    many = scratch.table(named.join(ids, "top"), "near-ids")
+    found = few.join(many, "cid", "left").select("node", F.coalesce("top", "cid").alias("top"), F.when(F.col("top").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    out = sketched.select("doc_id", "rid", "n_shingles", "node").join(found, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "rid", "n_shingles", component.alias("component_id"), "top")
+
+
+def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of `docs` (doc_id, text, ...)."""
+    rows = component_rows(docs, rules).select("doc_id", "n_shingles", "component_id")
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
+    """`docs` with one row of each component: that with the least doc_id, a null one last. Rows without shingles stay."""
+    rows = scratch.table(component_rows(docs, rules).where("top is not null").select("top", "doc_id", "rid"), "near-rows")
+    first = rows.groupBy("top").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"))
+    first = scratch.table(first.select("top", F.col("first.doc_id").alias("first_id"), F.col("first.rid").alias("first_rid")), "near-first")
+    marked = rows.join(first, "top").withColumn("kept", (F.col("rid") == F.col("first_rid")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    by_row = marked.groupBy("doc_id", "rid").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    # rows that go, and rows of which one of several equal ones stays
+    odd = scratch.table(by_row.where("not kept or n > 1").select(F.col("doc_id").alias("__of_id"), F.col("rid").alias("__of_rid"), F.col("kept").alias("__kept")), "near-odd")
+    held = docs.withColumn("__rid", row_key(docs))
+    ask = bloom.asker(docs, odd.select(F.col("__of_rid").alias("hash")))
+    same = (F.col("__rid") == F.col("__of_rid")) & F.col("doc_id").eqNullSafe(F.col("__of_id"))
+    sure, unsure = (held.where(~ask(F.col("__rid"))), held.where(ask(F.col("__rid")))) if ask else (held.limit(0), held)
+    judged = unsure.join(odd, same, "left").where("__kept is null or __kept")
+    alone, again = judged.where("__kept is null"), judged.where("__kept").dropDuplicates(["__rid", "doc_id"])
+    return sure.select(*docs.columns).unionByName(alone.select(*docs.columns)).unionByName(again.select(*docs.columns))
