@@ -2,24 +2,27 @@
 
 1. Every task hashes the keys of its documents' lines to 128 bits, once for each
    document, and adds up counts; one shuffle of (hash, count) totals them.
-2. Distinct line hashes found in at least `min_docs` documents are dealt to
-   shards by their hash, about `shard_keys` to a shard. One task builds a shard's
-   minimal perfect hash (levels of bit arrays: keys that meet nobody in a level
-   get its bit, the others go on to the next level; a key's index is the rank of
-   its bit), and stores a 64-bit fingerprint and a saturating 16-bit count at each
-   index. The level bits take about 4 bits a key; a shard is a few megabytes.
-3. Documents are scanned again: a line probes its shard's arrays and goes if the
-   fingerprint at its index is its own and the count reaches the threshold. No
-   line is joined or shuffled for that.
+2. All distinct line hashes are dealt to shards by their hash, about `shard_keys` to a
+   shard. One task builds a shard's minimal perfect hash (levels of bit arrays: keys
+   that meet nobody in a level get its bit, the others go on to the next level; a key's
+   index is the rank of its bit), and stores a 64-bit fingerprint and a saturating count
+   at each index. The level bits take about 4 bits a key; a shard is a few megabytes.
+3. Documents probe the arrays: a line goes if the fingerprint at its index is its own
+   and the count there reaches `min_docs`. No lines are joined.
 
 Arrays of up to `max_broadcast` bytes, by their measured size, are sent to every
-executor. Beyond that the probes are dealt to the arrays: (shard, line hash)
-rows are sorted behind their shard's arrays, a hot shard's rows being salted with
-a copy of its arrays for each salt, and each task holds one shard at a time.
+executor, and a scan of the documents probes them in place. Beyond that the probes are
+dealt to the arrays: rows of (shard, line hash, text hash, line number) are sorted behind
+their shard's arrays, a hot shard's rows being salted with a copy of its arrays for each
+salt, and each task holds one shard at a time. What comes back are the numbers of the
+lines that go, by the hash of their text, as a text's lines go or stay whatever row it is
+in. Texts that keep all lines, which a Bloom filter of bounded size tells at the scan, are
+not moved; the others meet their line numbers once.
 
 A document is a row: repeated rows count as documents of their own. A null or
-empty text is one empty line. The empty key (a blank line) never goes, as keys
-have at least `min_chars` code points.
+empty text is one empty line, and a null text without counts stays null. The empty key
+(a blank line) never goes, as keys have at least `min_chars` code points. Columns of the
+caller's named n_lines or n_dropped are replaced, unless no counts are asked for.
 """
 
 from __future__ import annotations
@@ -33,11 +36,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomveil.llm import bloom, scratch
 from loomveil.llm import bytescan as bs
-from loomveil.llm import scratch
 
 
 @dataclass(frozen=True)
@@ -52,8 +56,8 @@ class LineRules:
 # --- minimal perfect hash of one shard -------------------------------------------------
 
 
-def build_mph(keys: np.ndarray, counts: np.ndarray, prints: np.ndarray) -> dict:
-    """Level bit arrays with ranks, and fingerprints and counts in index order. Keys are distinct."""
+def build_mph(keys: np.ndarray, counts: np.ndarray, prints: np.ndarray, kind: type = np.uint16) -> dict:
+    """Level bit arrays with ranks, and fingerprints and counts (of type `kind`) in index order. Keys are distinct."""
     levels, left, place = [], np.arange(len(keys)), np.empty(len(keys), np.int64)
     base = 0
     while len(left):
@@ -70,8 +74,8 @@ def build_mph(keys: np.ndarray, counts: np.ndarray, prints: np.ndarray) -> dict:
         left = left[~own]
         if len(levels) > 64:
             raise ValueError("keys of a shard aren't distinct")
-    fp, c = np.empty(len(keys), np.uint64), np.empty(len(keys), np.uint16)
-    fp[place], c[place] = prints, np.minimum(counts, 0xFFFF)
+    fp, c = np.empty(len(keys), np.uint64), np.empty(len(keys), kind)
+    fp[place], c[place] = prints, np.minimum(counts, np.iinfo(kind).max)
     return {"levels": levels, "prints": fp, "counts": c}
 
 
@@ -124,7 +128,7 @@ def _line_keys(t: bs.Texts, min_chars: int) -> tuple[np.ndarray, ...]:
 
 
 def count_lines(docs: DataFrame, rules: LineRules) -> DataFrame:
-    """(h1, h2, n) of all keys found in at least min_docs documents."""
+    """(h1, h2, n) of all keys and the number of documents they are in."""
     least = rules.min_chars
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,10 +146,10 @@ def count_lines(docs: DataFrame, rules: LineRules) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"h1": a[first].view(np.int64), "h2": b[first].view(np.int64), "n": np.diff(np.append(first, len(a)))})
 
     found = docs.select("text").mapInArrow(count, "h1 long, h2 long, n long")
-    return found.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where(F.col("n") >= rules.min_docs)
+    return found.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
 
-def build_arrays(frequent: DataFrame, shards: int) -> DataFrame:
+def build_arrays(counted: DataFrame, shards: int, kind: type = np.uint16) -> DataFrame:
     """(shard, arrays): the pickled arrays of each shard."""
 
     def build(pdf):
@@ -154,10 +158,10 @@ def build_arrays(frequent: DataFrame, shards: int) -> DataFrame:
         keys, prints = pdf["h1"].to_numpy().view(np.uint64), pdf["h2"].to_numpy().view(np.uint64)
         # equal h1 of different lines would never part in any level: such keys are told apart by h2
         keys = _fold(keys, prints)
-        mph = build_mph(keys, pdf["n"].to_numpy(), prints)
+        mph = build_mph(keys, pdf["n"].to_numpy(), prints, kind)
         return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "arrays": [pickle.dumps(mph, 5)]})
 
-    return frequent.withColumn("shard", F.pmod("h1", F.lit(shards))).groupBy("shard").applyInPandas(build, "shard long, arrays binary")
+    return counted.withColumn("shard", F.pmod("h1", F.lit(shards))).groupBy("shard").applyInPandas(build, "shard long, arrays binary")
 
 
 def _fold(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -174,87 +178,90 @@ def _rebuilt(t: bs.Texts, i: int, lo: int, hi: int, ls: np.ndarray, le: np.ndarr
     return b"\n".join(t.buf[ls[k] : le[k]].tobytes() for k in range(lo, hi) if not gone[k])
 
 
-def dedup_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
+def dedup_lines(docs: DataFrame, rules: LineRules = LineRules(), counts: bool = True) -> DataFrame:
     """`docs` (doc_id, text, ...) with `text` rebuilt without its frequent lines.
 
-    Adds n_lines and n_dropped; all other columns stay as they are.
+    Adds n_lines and n_dropped; all other columns stay as they are. Without `counts` the
+    columns are those of `docs`.
     """
     spark = docs.sparkSession
-    frequent = scratch.table(count_lines(docs, rules), "frequent-lines")
-    keys = frequent.count()
+    counted = scratch.table(count_lines(docs, rules), "line-counts")
+    keys = counted.count()
     shards = max(1, math.ceil(keys / rules.shard_keys))
-    arrays = scratch.table(build_arrays(frequent, shards), "line-arrays")
+    # counts below the type's largest value are exact, so the threshold has to be one
+    arrays = scratch.table(build_arrays(counted, shards, np.uint16 if rules.min_docs < 1 << 16 else np.uint32), "line-arrays")
     size = arrays.agg(F.sum(F.length("arrays"))).first()[0] or 0
     if size <= rules.max_broadcast:
         held = spark.sparkContext.broadcast({r.shard: r.arrays for r in arrays.collect()})
-        return _probe_broadcast(docs, held, shards, rules)
-    return _probe_dealt(docs, arrays, shards, rules)
+        return _probe_broadcast(docs, held, shards, rules, counts)
+    return _probe_dealt(docs, arrays, shards, rules, counts)
 
 
-def _out_schema(docs: DataFrame) -> str:
-    names = {f.name for f in docs.schema}
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + "".join(f", {c} long" for c in ("n_lines", "n_dropped") if c not in names)
-
-
-def _apply(docs: DataFrame, gone_of: Callable, least: int) -> DataFrame:
-    """Rebuild texts; gone_of(batch, slice, first line, hashes, ok) says which lines go."""
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+def _rebuild(docs: DataFrame, gone_of: Callable[[pa.RecordBatch, bs.Texts, tuple], np.ndarray], least: int, counts: bool, leave: tuple[str, ...] = ()) -> DataFrame:
+    """`docs` without the lines that gone_of(batch, texts, their line keys) marks; the columns in `leave` are left out."""
+    added = ("n_lines", "n_dropped") if counts else ()
+    names = [c for c in docs.columns if c not in (*added, *leave)]
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in bs.slices(batch.column("text")):
-                ls, le, lf, h1, h2, ok = _line_keys(t, least)
-                gone = np.zeros(len(ls), bool)
-                gone[ok] = gone_of(h1[ok], h2[ok])
+                lines = _line_keys(t, least)
+                ls, le, lf = lines[:3]
+                gone = gone_of(batch, t, lines)
                 texts = [_rebuilt(t, i, lf[i], lf[i + 1], ls, le, gone) for i in range(t.n)]
                 part = batch.slice(t.first, t.n)
+                new = pa.array(texts, pa.binary()).cast(pa.string())
+                if not counts:
+                    new = pc.if_else(pc.is_valid(part.column("text")), new, None)
                 lost = np.concatenate([[0], np.cumsum(gone)])
-                cols = {c: part.column(c) for c in names} | {"text": pa.array(texts, pa.binary()).cast(pa.string()), "n_lines": pa.array(np.diff(lf)), "n_dropped": pa.array(lost[lf[1:]] - lost[lf[:-1]])}
+                cols = {c: part.column(c) for c in names} | {"text": new} | dict(zip(added, (pa.array(np.diff(lf)), pa.array(lost[lf[1:]] - lost[lf[:-1]])), strict=False))
                 yield pa.RecordBatch.from_pydict(cols)
 
-    plain = docs.select(*names)
-    return plain.mapInArrow(rebuild, _out_schema(plain))
+    schema = scratch.ddl(docs.select(*names).schema) + "".join(f", {c} long" for c in added)
+    return docs.mapInArrow(rebuild, schema)
 
 
-def _probe_broadcast(docs: DataFrame, held, shards: int, rules: LineRules) -> DataFrame:
-    token = uuid.uuid4().hex
+def _probe_broadcast(docs: DataFrame, held, shards: int, rules: LineRules, counts: bool) -> DataFrame:
+    token, min_docs = uuid.uuid4().hex, rules.min_docs
 
-    def gone(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    def gone_of(batch: pa.RecordBatch, t: bs.Texts, lines: tuple) -> np.ndarray:
         kept = bs.process_store()
         if kept.get("lines-token") != token:
             kept["lines-token"], kept["lines"] = token, {k: pickle.loads(bytes(v)) for k, v in held.value.items()}
-        keys, out = _fold(h1, h2), np.zeros(len(h1), bool)
-        shard = _shard_of(h1, shards)
+        *_, h1, h2, ok = lines
+        gone, asked = np.zeros(len(h1), bool), np.flatnonzero(ok)
+        h1, h2 = h1[asked], h2[asked]
+        keys, shard = _fold(h1, h2), _shard_of(h1, shards)
         for k, mph in kept["lines"].items():
             own = np.flatnonzero(shard == k) if shards > 1 else np.arange(len(h1))
-            out[own] = probe_mph(mph, keys[own], h2[own]) >= rules.min_docs
-        return out
+            gone[asked[own]] = probe_mph(mph, keys[own], h2[own]) >= min_docs
+        return gone
 
-    return _apply(docs, gone, rules.min_chars)
+    return _rebuild(docs, gone_of, rules.min_chars, counts)
 
 
-def _probe_dealt(docs: DataFrame, arrays: DataFrame, shards: int, rules: LineRules) -> DataFrame:
-    """Probes go to the arrays. The keys that a task's documents hold are asked for once for each batch;
-    the frequent ones among them come back by batch, so that no task holds more than its batch's."""
-    least = rules.min_chars
-    # a stable name for each batch of documents, as scan order could change between passes
-    placed = scratch.table(docs.withColumn("__batch", F.xxhash64(F.monotonically_increasing_id().bitwiseAND(F.lit(~0x3FF)))), "line-docs")
+def _probe_dealt(docs: DataFrame, arrays: DataFrame, shards: int, rules: LineRules, counts: bool) -> DataFrame:
+    """Probes go to the arrays, and the numbers of lines that go come back by the hash of their text."""
+    least, min_docs = rules.min_chars, rules.min_docs
+    # two hashes of 64 bits: a text is known by both
+    keyed = docs.withColumns({"__t1": F.xxhash64("text"), "__t2": F.xxhash64("text", F.lit(1))})
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column("__batch").to_numpy()
+            t1, t2 = batch.column("__t1").to_numpy(), batch.column("__t2").to_numpy()
             for t in bs.slices(batch.column("text")):
                 _, _, lf, h1, h2, ok = _line_keys(t, least)
-                own = names[t.first : t.first + t.n][bs.owners(lf)[ok]]
-                asked = np.unique(np.stack([own, h1[ok].view(np.int64), h2[ok].view(np.int64)], 1), axis=0)
-                yield pa.RecordBatch.from_pydict({"batch": asked[:, 0], "h1": asked[:, 1], "h2": asked[:, 2]})
+                own, at = bs.owners(lf)[ok] + t.first, np.flatnonzero(ok)
+                yield pa.RecordBatch.from_pydict({"t1": t1[own], "t2": t2[own], "line": at - lf[own - t.first], "h1": h1[ok].view(np.int64), "h2": h2[ok].view(np.int64)})
 
-    asked = placed.select("__batch", "text").mapInArrow(ask, "batch long, h1 long, h2 long").distinct()
-    asked = asked.withColumn("shard", F.pmod("h1", F.lit(shards)))
-    asked = scratch.table(asked, "line-probes")
+    texts = keyed.select("__t1", "__t2", "text")
+    asked = texts.mapInArrow(ask, "t1 long, t2 long, line long, h1 long, h2 long")
+    asked = scratch.table(asked.withColumn("shard", F.pmod("h1", F.lit(shards))), "line-probes")
     salts = asked.groupBy("shard").count().select("shard", F.ceil(F.col("count") / rules.rows_per_salt).cast("int").alias("salts"))
-    probes = asked.join(F.broadcast(salts), "shard").select("shard", F.pmod(F.xxhash64("batch", "h1"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("arrays"), "batch", "h1", "h2")
-    copies = arrays.join(F.broadcast(salts), "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "arrays", *(F.lit(0).cast("long").alias(c) for c in ("batch", "h1", "h2")))
+    salts = F.broadcast(scratch.table(salts, "line-salts"))  # a row for each shard
+    probe = ("t1", "t2", "line", "h1", "h2")
+    probes = asked.join(salts, "shard").select("shard", F.pmod(F.xxhash64("t1", "line"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("arrays"), *probe)
+    copies = arrays.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "arrays", *(F.lit(0).cast("long").alias(c) for c in probe))
     dealt = copies.unionByName(probes).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,27 +276,28 @@ def _probe_dealt(docs: DataFrame, arrays: DataFrame, shards: int, rules: LineRul
                     mph, shard = pickle.loads(batch.column("arrays")[j - 1].as_py()), of[i]
                 elif mph is not None and shard == of[i]:
                     h1, h2 = (batch.column(c).to_numpy()[i:j].view(np.uint64) for c in ("h1", "h2"))
-                    hit = probe_mph(mph, _fold(h1, h2), h2) >= rules.min_docs
-                    yield pa.RecordBatch.from_pydict({"batch": batch.column("batch").to_numpy()[i:j][hit], "h1": h1[hit].view(np.int64), "h2": h2[hit].view(np.int64)})
-
-    answers = dealt.mapInArrow(answer, "batch long, h1 long, h2 long")
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    grouped = placed.groupBy("__batch").cogroup(answers.groupBy("batch"))
-    schema = _out_schema(docs.select(*names))
-
-    def rebuild(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = set(zip(right.column("h1").to_pylist(), right.column("h2").to_pylist(), strict=True))
-        out = []
-        for t in bs.slices(left.column("text")):
-            ls, le, lf, h1, h2, ok = _line_keys(t, least)
-            gone = np.zeros(len(ls), bool)
-            gone[ok] = [x in known for x in zip(h1[ok].view(np.int64).tolist(), h2[ok].view(np.int64).tolist(), strict=True)]
-            texts = [_rebuilt(t, i, lf[i], lf[i + 1], ls, le, gone) for i in range(t.n)]
-            part, lost = left.slice(t.first, t.n), np.concatenate([[0], np.cumsum(gone)])
-            out.append(pa.table({c: part.column(c) for c in names} | {"text": pa.array(texts, pa.binary()).cast(pa.string()), "n_lines": pa.array(np.diff(lf)), "n_dropped": pa.array(lost[lf[1:]] - lost[lf[:-1]])}))
-        return pa.concat_tables(out) if out else pa.table({c: [] for c in (*names, "n_lines", "n_dropped")})
-
-    return grouped.applyInArrow(rebuild, schema)
+                    hit = probe_mph(mph, _fold(h1, h2), h2) >= min_docs
+                    yield batch.slice(i, j - i).select(["t1", "t2", "line"]).filter(pa.array(hit))
+
+    answers = dealt.mapInArrow(answer, "t1 long, t2 long, line long")
+    answers = answers.groupBy("t1", "t2").agg(F.sort_array(F.collect_set("line")).alias("__gone"))  # the lines of one text
+    answers = scratch.table(answers.select(F.col("t1").alias("__of1"), F.col("t2").alias("__of2"), "__gone"), "line-answers")
+    ask_text = bloom.asker(docs, answers.select(F.col("__of1").alias("hash")))
+    if ask_text:
+        sure, unsure = keyed.where(~ask_text(F.col("__t1"))), keyed.where(ask_text(F.col("__t1")))
+    else:
+        sure, unsure = keyed.limit(0), keyed
+    none = F.array().cast("array<bigint>")
+    met = unsure.join(answers, (F.col("__t1") == F.col("__of1")) & (F.col("__t2") == F.col("__of2")), "left").withColumn("__gone", F.coalesce("__gone", none)).drop("__of1", "__of2")
+    both = sure.withColumn("__gone", none).unionByName(met)
+
+    def gone_of(batch: pa.RecordBatch, t: bs.Texts, lines: tuple) -> np.ndarray:
+        lf, lists = lines[2], batch.column("__gone").slice(t.first, t.n)
+        gone = np.zeros(lf[-1], bool)
+        gone[np.repeat(lf[:-1], lists.value_lengths().to_numpy()) + lists.flatten().to_numpy()] = True
+        return gone
+
+    return _rebuild(both, gone_of, least, counts, ("__t1", "__t2", "__gone"))
 
 
 def digest(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
