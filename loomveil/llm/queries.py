@@ -57,7 +57,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path(), packing.PackRules(added_tokens=True))
+    return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op9_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +96,30 @@ ORACLES = {
         select doc_id, count(*) as n_lines, count(*) filter (where f.k is not null) as n_dropped,
                sha256(coalesce(string_agg(line, chr(10) order by nr) filter (where f.k is null), '')) as kept_sha256
         from keyed left join frequent f on keyed.k = f.k group by r, doc_id""",
+    "op5_preferences": r"""
+        with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+        c as (select conv_id, count(*) as k, list({'role': role, 'text': text} order by turn nulls first, role, text) as turns from t group by conv_id),
+        o as (select *, turns[1] as opening, count(*) over (partition by turns[1]) as n, row_number() over (partition by turns[1] order by k desc, conv_id desc) as nth,
+                     list_filter(range(1, k + 1), lambda i: turns[i].role = 'assistant') as replies from c),
+        s as (select *, replies[1] as first, replies[-1] as last from o where n = 1),
+        f as (select *, coalesce(first < last and turns[first].text <> turns[last].text, false) as fit from s),
+        p as (select b.conv_id as chosen_id, o.conv_id as rejected_id, 'sibling' as source, b.turns as a, o.turns as b from o join o b on b.opening = o.opening and b.nth = 1 where o.nth > 1
+              union all select conv_id, case when fit then conv_id end, case when fit then 'earlier reply' else 'unpaired' end,
+                               case when fit then turns[1:last] end, case when fit then list_concat(turns[1:last - 1], [turns[first]]) end from f),
+        m as (select *, least(len(a), len(b)) as l, list_position(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: a[i] = b[i]), false) as d from p),
+        k as (select chosen_id, rejected_id, source, case when coalesce(d, 0) = 0 then l else d - 1 end as q, a, b from m),
+        e as (select chosen_id, rejected_id, source, q::int as shared_turns, a[1:q] as pre, a[q + 1:] as x, b[q + 1:] as y from k),
+        r as (select *, list_transform(pre, lambda z: '<|' || replace(z.role, '<|', '<\|') || '|>' || chr(10) || replace(z.text, '<|', '<\|') || '<|end|>' || chr(10)) as rp,
+                     list_transform(x, lambda z: '<|' || replace(z.role, '<|', '<\|') || '|>' || chr(10) || replace(z.text, '<|', '<\|') || '<|end|>' || chr(10)) as rx,
+                     list_transform(y, lambda z: '<|' || replace(z.role, '<|', '<\|') || '|>' || chr(10) || replace(z.text, '<|', '<\|') || '<|end|>' || chr(10)) as ry from e)
+        select chosen_id, rejected_id, source, shared_turns, case when shared_turns is not null then coalesce(array_to_string(rp, ''), '') end as prompt,
+               case when shared_turns is not null then coalesce(array_to_string(rx, ''), '') end as chosen,
+               case when shared_turns is not null then coalesce(array_to_string(list_transform(list_filter(range(1, len(x) + 1), lambda i: x[i].role = 'assistant'),
+                   lambda i: (coalesce(length(array_to_string(rx[1:i - 1], '')), 0) + 14)::varchar || '-' || length(array_to_string(rx[1:i], ''))::varchar), ','), '') end as chosen_mask,
+               case when shared_turns is not null then coalesce(array_to_string(ry, ''), '') end as rejected,
+               case when shared_turns is not null then coalesce(array_to_string(list_transform(list_filter(range(1, len(y) + 1), lambda i: y[i].role = 'assistant'),
+                   lambda i: (coalesce(length(array_to_string(ry[1:i - 1], '')), 0) + 14)::varchar || '-' || length(array_to_string(ry[1:i], ''))::varchar), ','), '') end as rejected_mask
+        from r""",
     "op6_warc_chain": """
         with p as (select page_id, coalesce(html, '') as html from pages),
         d as (select page_id, strlen(html)::bigint as payload_bytes, sha1(html) as payload_digest,
@@ -103,6 +127,24 @@ ORACLES = {
         select page_id, payload_bytes, payload_digest,
                case when payload_bytes >= 1000 and page_id <> top then 'revisit' else 'response' end as record_type,
                case when payload_bytes >= 1000 and page_id <> top then top end as refers_to from d""",
+    "op7_near_dedup": r"""
+        with recursive rows as (select row_number() over () as r, doc_id,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+        words as (select r, unnest(w) as v, generate_subscripts(w, 1) as p from rows),
+        grams as (select r, v || ' ' || lead(v, 1) over o || ' ' || lead(v, 2) over o || ' ' || lead(v, 3) over o || ' ' || lead(v, 4) over o as g from words window o as (partition by r order by p)),
+        flat0 as (select distinct r, g from grams where g is not null union all select r, array_to_string(w, ' ') from rows where len(w) between 1 and 4),
+        sizes as (select rows.r, doc_id, count(g)::bigint as n from rows left join flat0 using (r) group by rows.r, doc_id),
+        digests as (select r, md5(string_agg(g, chr(10) order by g)) as d from flat0 group by r),
+        member as (select r, min(r) over (partition by d) as c from digests),
+        flat as (select f.r as c, n, g from flat0 f join member m on m.r = f.r and m.c = f.r join sizes s on s.r = f.r),
+        pairs as (select a.c as x, b.c as y, count(*) as i, any_value(a.n) as m, any_value(b.n) as n from flat a join flat b on a.g = b.g and a.c < b.c group by a.c, b.c),
+        links as (select x, y from pairs where 100 * i >= 75 * (m + n - i)),
+        edges as (select x, y from links union all select y, x from links),
+        walk(x, y) as (select distinct c, c from member union select w.x, b.y from walk w join edges b on w.y = b.x),
+        least as (select w.x as c, min(d.doc_id) as component_id from walk w join member m on m.c = w.y join sizes d on d.r = m.r group by w.x)
+        select s.doc_id, s.n as n_shingles, case when s.n = 0 then s.doc_id else l.component_id end as component_id,
+               s.doc_id is not distinct from case when s.n = 0 then s.doc_id else l.component_id end as kept
+        from sizes s left join member m on m.r = s.r left join least l on l.c = m.c""",
 }
 
 
@@ -110,23 +152,9 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each near-duplicate group.
-
-    Of repeated rows of one doc_id and text one stays. An id with several different
-    texts stays as long as one of them is the first of its group.
-    """
-    near = scratch.table(minhash.near_duplicates(docs), "pipeline-near")
-    gone = near.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    out = docs.join(gone.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    if gone.where("n > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out
-
-
 def deduped_lines(docs: DataFrame) -> DataFrame:
-    """`docs` without frequent lines; n_chars follows the text."""
-    out = linededup.dedup_lines(docs)
+    """`docs` without frequent lines, and with no other column changed but n_chars, which follows the text."""
+    out = linededup.dedup_lines(docs, counts=False)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
