@@ -8,8 +8,9 @@ key of the universe, so pages are judged where they are read, without a join.
 
 Keys that a rule could name are, for each URL, its host and parent domains joined
 with its path's prefixes, of only as many labels and characters as some listed
-rule has. Keys are told apart by 64 bits of one hash at every level; keys still
-undecided after `max_levels` (say, because two have one hash) are carried verbatim.
+rule has; one array expression makes them, however many such shapes there are. Filters
+tell keys apart by 64 bits of one hash; keys that no level can tell apart (two with one
+hash, one of them listed) are carried verbatim, as strings, and compared as such.
 
 Level 0 is sized for as many false positives as there are listed keys, so the
 cascade takes about n * log2(universe / n) bits. Its size is measured against
@@ -18,7 +19,8 @@ distributed join instead, which has no size limit.
 
 Edge cases: a null URL or one without "://" has an empty host and path and no
 keys. Repeated pages are judged each for itself. Rules given twice must agree.
-Of two rules of one length the one with more of the host wins.
+Of two rules of one length the one with more of the host wins. Further columns of the
+pages, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomveil.llm import bloom, scratch
 from loomveil.llm import bytescan as bs
-from loomveil.llm import scratch
 
 
 @dataclass(frozen=True)
@@ -57,95 +59,73 @@ def host_and_path(url: str = "url") -> tuple[Column, Column]:
 
 def candidate_keys(rules: DataFrame, host: str = "host", path: str = "path") -> Column:
     """Keys of a URL that some rule could name, longest first, as array<struct<size, labels, key, hash>>."""
-    shapes = rules.select((F.length("host") - F.length(F.translate("host", ".", "")) + 1).alias("labels"), F.length("path").alias("chars")).distinct().collect()
+    labels = (F.length("host") - F.length(F.translate("host", ".", "")) + 1).alias("labels")
+    by_labels = rules.groupBy(labels).agg(F.collect_set(F.length("path")).alias("chars")).collect()  # as many rows as hosts have labels
+    if not by_labels:
+        return F.array().cast("array<struct<size:int,labels:int,key:string,hash:bigint>>")
+    lengths = F.create_map(*(x for r in by_labels for x in (F.lit(r.labels), F.lit(sorted(r.chars)))))
     h, p = F.col(host), F.col(path)
-    n_labels = F.length(h) - F.length(F.translate(h, ".", "")) + 1
-    found = []
-    for s in sorted(shapes, key=lambda x: (x.labels, x.chars)):  # distinct shapes: label count x path length
-        domain = F.substring_index(h, ".", -s.labels)
-        key = F.concat(domain, F.lit("\t"), F.substring(p, 1, s.chars))
-        fits = (n_labels >= s.labels) & (F.length(p) >= s.chars) & (h != "")
-        found.append(F.when(fits, F.struct((F.length(domain) + s.chars).alias("size"), F.lit(s.labels).alias("labels"), key.alias("key"), F.xxhash64(key).alias("hash"))))
-    keys = F.array_compact(F.array(*found)) if found else F.array().cast("array<struct<size:int,labels:int,key:string,hash:bigint>>")
-    return F.reverse(F.array_sort(keys))
+    most = F.least(F.length(h) - F.length(F.translate(h, ".", "")) + 1, F.lit(max(r.labels for r in by_labels)))
+
+    def of_domain(n: Column) -> Column:
+        domain = F.call_function("substring_index", h, F.lit("."), -n)
+        chars = F.filter(F.coalesce(F.try_element_at(lengths, n), F.array().cast("array<int>")), lambda k: k <= F.length(p))
+
+        def one(k: Column) -> Column:
+            key = F.concat(domain, F.lit("\t"), F.substring(p, F.lit(1), k))
+            return F.struct((F.length(domain) + k).alias("size"), n.alias("labels"), key.alias("key"), F.xxhash64(key).alias("hash"))
+
+        return F.transform(chars, one)
+
+    found = F.flatten(F.transform(F.sequence(F.lit(1), most), of_domain))
+    return F.reverse(F.array_sort(F.when(h != "", found).otherwise(F.slice(found, 1, 0))))
 
 
 class Cascade:
     """Levels of Bloom filters; answers are exact for every key of the universe that built it."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, int, int]], verbatim: dict[int, bool]):
+    def __init__(self, levels: list[bloom.Filter], verbatim: dict[int, dict[str, bool]]):
         self.levels, self.verbatim = levels, verbatim
 
     @property
     def size(self) -> int:
-        return sum(len(bits) for bits, _, _ in self.levels) + 16 * len(self.verbatim)
+        return sum(len(bits) for bits, _, _ in self.levels) + sum(16 + len(k) for ks in self.verbatim.values() for k in ks)
 
-    def contains(self, hashes: np.ndarray) -> np.ndarray:
+    def contains(self, hashes: np.ndarray, keys: pa.Array | None = None) -> np.ndarray:
+        """keys: the keys themselves, looked at only where their hash is one of those carried verbatim."""
         out, left = np.zeros(len(hashes), bool), np.arange(len(hashes))
         for level, (bits, m, k) in enumerate(self.levels):
-            on = probe(bits, m, k, level, hashes[left])
+            on = bloom.probe(bits, m, k, level, hashes[left])
             out[left[~on]] = level % 2 == 1
             left = left[on]
         out[left] = len(self.levels) % 2 == 1
-        if self.verbatim:
-            for i, x in enumerate(hashes.view(np.int64).tolist()):
-                if x in self.verbatim:
-                    out[i] = self.verbatim[x]
+        if self.verbatim and keys is not None:
+            for i in np.flatnonzero(np.isin(hashes.view(np.int64), np.array(list(self.verbatim), np.int64))).tolist():
+                out[i] = self.verbatim[int(hashes.view(np.int64)[i])].get(keys[i].as_py(), bool(out[i]))
         return out
 
 
-def positions(hashes: np.ndarray, m: int, k: int, level: int) -> np.ndarray:
-    """The k bits of each hash: double hashing over m, a power of two or not."""
-    salt = bs.seeds(2 * (level + 1), 6)
-    a, b = bs.mix(hashes ^ salt[2 * level]), bs.mix(hashes ^ salt[2 * level + 1]) | np.uint64(1)
-    return ((a[:, None] + b[:, None] * np.arange(k, dtype=np.uint64)) % np.uint64(m)).astype(np.int64)
-
-
-def probe(bits: np.ndarray, m: int, k: int, level: int, hashes: np.ndarray) -> np.ndarray:
-    at = positions(hashes, m, k, level)
-    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1).all(axis=1)
-
-
-def _level(keys: DataFrame, n: int, rate: float, level: int) -> tuple[np.ndarray, int, int]:
-    """A filter of n keys (a column `hash`), built in tasks as sorted distinct byte cells and put together here."""
-    m = max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2))
-    k = max(1, round(m / max(n, 1) * math.log(2)))
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.unique(positions(batch.column("hash").to_numpy().view(np.uint64), m, k, level).reshape(-1))
-            byte, bit = at >> 3, (1 << (at & 7)).astype(np.int64)
-            cell, first = np.unique(byte, return_index=True)
-            yield pa.RecordBatch.from_pydict({"cell": cell, "bits": np.add.reduceat(bit, first) if len(first) else bit})
-
-    bits = np.zeros((m + 7) // 8, np.uint8)
-    merged = keys.select("hash").mapInArrow(cells, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits"))
-    for row in merged.collect():  # at most m / 8 rows
-        bits[row.cell] = row.bits
-    return bits, m, k
-
-
-def build_cascade(listed: DataFrame, universe: DataFrame, max_levels: int = 40, max_bytes: int = 64 << 20) -> Cascade | None:
+def build_cascade(listed: DataFrame, universe: DataFrame, max_levels: int = 24, max_bytes: int = 64 << 20) -> Cascade | None:
     """A cascade of `listed` (key, hash), exact over `universe` (key, hash); None if it would exceed max_bytes."""
     spark = listed.sparkSession
     inside = scratch.table(listed.select("key", "hash").distinct(), "cascade-listed")
     n = inside.count()
     total = max(universe.agg(F.approx_count_distinct("hash")).first()[0], n, 1)
     rate = min(0.5, max(n, 1) / (total * math.sqrt(2)))
-    if -n * math.log(rate) / math.log(2) ** 2 / 8 > max_bytes:
+    if bloom.bits_needed(n, rate) > 8 * max_bytes:
         return None
-    levels: list[tuple[np.ndarray, int, int]] = []
+    levels: list[bloom.Filter] = []
     outside: DataFrame | None = None  # false positives so far; the whole universe at first
     for level in range(max_levels):
         own, other = (inside, outside) if level % 2 == 0 else (outside, inside)
-        levels.append(_level(own, n, rate if level == 0 else 0.5, level))
+        levels.append(bloom.build(own, n, rate if level == 0 else 0.5, level))
         if sum(len(x[0]) for x in levels) > max_bytes:
             return None
         held = spark.sparkContext.broadcast(levels[-1])
 
         def passing(batches: Iterator[pa.RecordBatch], held=held, level=level) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                on = probe(*held.value, level, batch.column("hash").to_numpy().view(np.uint64))
+                on = bloom.probe(*held.value, level, batch.column("hash").to_numpy().view(np.uint64))
                 yield batch.filter(pa.array(on))
 
         source = universe.select("key", "hash") if other is None else other
@@ -161,8 +141,11 @@ def build_cascade(listed: DataFrame, universe: DataFrame, max_levels: int = 40,
             outside = passed
         else:
             inside = passed
-    rest = {r.hash: True for r in inside.select("hash").collect()}  # undecided after all levels: a handful
-    return Cascade(levels, {r.hash: False for r in outside.select("hash").collect()} | rest)
+    verbatim: dict[int, dict[str, bool]] = {}
+    for keys, is_listed in ((outside, False), (inside, True)):  # undecided after all levels: a handful
+        for r in keys.select("key", "hash").collect():
+            verbatim.setdefault(r.hash, {})[r.key] = is_listed
+    return Cascade(levels, verbatim)
 
 
 def judge_urls(pages: DataFrame, rules: Iterable[Rule] | DataFrame, max_bytes: int = 64 << 20, default: str = "allow") -> DataFrame:
@@ -191,15 +174,16 @@ def judge_urls(pages: DataFrame, rules: Iterable[Rule] | DataFrame, max_bytes: i
             lists = batch.column("keys")
             first, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
             h = flat.field("hash").to_numpy().view(np.uint64)
-            on = np.flatnonzero(inner.contains(h))
+            keys = flat.field("key")
+            on = np.flatnonzero(inner.contains(h, keys))
             # the first listed key of each page
             at = np.searchsorted(on, first[:-1])
             has = (at < len(on)) & (on[np.minimum(at, len(on) - 1)] < first[1:]) if len(on) else np.zeros(len(first) - 1, bool)
             picked = on[at[has]] if len(on) else np.zeros(0, np.int64)
             verdict = np.full(len(has), default, object)
-            verdict[has] = np.where(block.contains(h[picked]), "block", "allow")
+            verdict[has] = np.where(block.contains(h[picked], keys.take(pa.array(picked))), "block", "allow")
             rule = np.full(len(has), None, object)
-            rule[has] = [x.replace("\t", "", 1) for x in flat.field("key").take(pa.array(picked)).to_pylist()]
+            rule[has] = [x.replace("\t", "", 1) for x in keys.take(pa.array(picked)).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), batch.column("path"), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
 
     id_type = pages.schema["page_id"].dataType.simpleString()
