@@ -13,13 +13,17 @@ of n gives n - 1 pairs. A conversation without siblings is chosen against itself
 with its last assistant turn replaced by its first assistant turn, where these
 differ. What can't be paired that way is returned with null prompt and completions.
 
-Hot openings: a group's choice is one row from a partially aggregated maximum, and
-it is dealt to its siblings by salts, `rows_per_salt` siblings to a copy.
+Hot openings: only (conv_id, opening) meet the groups' choices by opening, and as the
+choices are a written table, Spark sends it out where it is small and splits a hot
+opening's rows where it isn't. Turns move by conv_id alone; a group's chosen conversation
+is dealt to its siblings by salts, `rows_per_salt` siblings to a copy.
 
 Marks inside texts are escaped, so a text can't forge a turn. Null texts and roles
 read as empty; a null turn sorts first; turns are ordered by (turn, role, text), so
 repeated rows stay as repeated turns. Rows with a null conv_id belong to no
-conversation and are left out.
+conversation and are left out. Further columns are not looked at. An empty table gives no
+rows; a conversation without siblings and without two different replies is a row with null
+prompt and completions.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomveil.llm import scratch
+
 OPEN, CLOSE = "<|", "|>"
 END = "<|end|>\n"
 
@@ -75,11 +81,12 @@ def pair_conversations(turns: DataFrame, rows_per_salt: int = 500) -> DataFrame:
     clean = turns.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     talks = clean.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     talks = talks.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
-    opening = F.element_at("turns", 1)
-    talks = talks.withColumn("opening", F.sha2(F.concat_ws("\n", opening["role"], opening["text"]), 256))
-    groups = talks.groupBy("opening").agg(F.count("*").alias("n"), F.max(F.struct(F.size("turns").alias("k"), "conv_id"))["conv_id"].alias("best"))
-    groups = groups.where("n > 1").withColumn("salts", F.ceil(F.col("n") / rows_per_salt).cast("int"))
-    marked = talks.join(groups, "opening", "left")
+    # a conversation's first turn by itself: the whole conversation doesn't move by its opening
+    opening = clean.groupBy("conv_id").agg(F.min(F.struct("turn", "role", "text")).alias("o"), F.count("*").alias("k"))
+    opening = opening.select("conv_id", "k", F.sha2(F.concat_ws("\n", "o.role", "o.text"), 256).alias("opening"))
+    groups = opening.groupBy("opening").agg(F.count("*").alias("n"), F.max(F.struct("k", "conv_id"))["conv_id"].alias("best")).where("n > 1")
+    groups = scratch.table(groups.select("opening", "best", F.ceil(F.col("n") / rows_per_salt).cast("int").alias("salts")), "chat-groups")
+    marked = talks.join(opening.join(groups, "opening", "left").select("conv_id", "best", "salts"), "conv_id")
     siblings = marked.where("best is not null and conv_id <> best").withColumn("salt", F.pmod(F.xxhash64("conv_id"), "salts").cast("int"))
     best = groups.join(talks.select("conv_id", "turns"), F.col("best") == F.col("conv_id")).select("best", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("turns").alias("chosen_turns"))
     by_group = siblings.join(best, ["best", "salt"]).select(F.col("best").alias("chosen_id"), F.col("conv_id").alias("rejected_id"), F.lit("sibling").alias("source"), "chosen_turns", F.col("turns").alias("rejected_turns"))

@@ -51,8 +51,10 @@ def plan_records(pages: DataFrame, min_revisit_bytes: int = 1000) -> DataFrame:
     groups = narrow.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
     groups = scratch.table(groups, "warc-groups")
     if groups.count() <= BROADCAST_ROWS:  # 60 bytes a row
-        groups = F.broadcast(groups)
-    marked = held.join(groups, ["payload_digest", "payload_bytes"], "left")
+        marked = held.join(F.broadcast(groups), ["payload_digest", "payload_bytes"], "left")
+    else:  # a page common to many rows meets its group without its payload; payloads move by page
+        refs = narrow.join(groups, ["payload_digest", "payload_bytes"]).select(F.col("page_id").alias("__page"), F.col("payload_digest").alias("__digest"), "refers_to").distinct()
+        marked = held.join(refs, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("payload_digest") == F.col("__digest")), "left").drop("__page", "__digest")
     # of repeated rows of the largest page_id all stay responses
     return marked.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("refers_to")), F.col("refers_to")))
 
