@@ -279,7 +279,6 @@ def test_packing(spark, docs):
 
     path = queries.tokenizer_path()
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     odd = ["  b\n\n c   x \t\t q", "don't 123,4 5　x \x1c z", "<|endoftext|> a  b", "\r\n!? \x85 ok "]
     rows = texts() + [(700 + i, x) for i, x in enumerate(odd)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -359,7 +358,7 @@ def test_leaks(spark):
     odd = spark.createDataFrame([(1, "if x equals 3 then add 3 to it and then take 3 from it again")], "item_id long, text string")
     said = spark.createDataFrame([(1, "if x equals 4 then add 4 to it and then take 4 from it again"), (2, "if x equals 4 then add 5 to it and then take 6 from it again")], "doc_id long, text string")
     assert {r.doc_id for r in decontam.contaminated(said, odd).collect()} == {1}
-    assert {r.doc_id for r in decontam.drop_contaminated(df, bench).collect()} >= {3, 4, 6, 7, None}
+    assert {r.doc_id for r in decontam.drop_contaminated(df, bench).collect()} == {i for i, _ in rows} - {i for i, _ in got}
     assert decontam.contaminated(df.limit(0), bench).count() == 0 and decontam.contaminated(df, bench.limit(0)).count() == 0
 
 
