@@ -42,18 +42,20 @@ KIND_OF = {k: k.split("_")[0] for k in PATTERNS}
 
 def spans(text: Column, pattern: str) -> Column:
     """All matches as array<struct<start, end, original>>: what lies between matches gives their positions."""
+    kind = "array<struct<start:int,end:int,original:string>>"
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,original:string>>").alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
         hit = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("original"))
-        return F.struct(end.alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(hit))).alias("out"))
+        return F.struct(end.alias("at"), F.array_append(acc["out"], hit).alias("out"))
 
-    both = F.zip_with(gaps, found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    folded = F.aggregate(both, zero, lambda acc, x: F.struct(step(acc, x)["at"].alias("at"), step(acc, x)["out"].alias("out")), lambda acc: acc["out"])
-    return F.when(F.size(found) == 0, F.array().cast("array<struct<start:int,end:int,original:string>>")).otherwise(folded)
+    # the last gap has no match behind it
+    both = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+    folded = F.aggregate(both, zero, step, lambda acc: acc["out"])
+    return F.when(F.size(found) == 0, F.array().cast(kind)).otherwise(folded)
 
 
 def digits(x: Column) -> Column:
@@ -163,3 +165,12 @@ def likely_surname(x: Column) -> Column:
     low = F.lower(x)
     ends, starts = "|".join(fx.SURNAME_ENDINGS), "|".join(fx.SURNAME_STARTS)
     return (F.length(x) >= 3) & ~low.isin(*fx.COMMON_WORDS) & (low.rlike(f"(?:{ends})$") | ((F.length(x) > 5) & low.rlike(f"^(?:{starts})")))
+
+
+def known_first(word: Column, names: tuple[str, ...]) -> Column:
+    """Whether a word is a listed given name, or all its parts between hyphens are."""
+    return word.isin(*names) | (word.contains("-") & F.forall(F.split(word, "-"), lambda p: p.isin(*names)))
+
+
+def known_last(word: Column, names: tuple[str, ...]) -> Column:
+    return word.isin(*names) | likely_surname(word)

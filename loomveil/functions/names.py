@@ -7,7 +7,7 @@ is a bisection. Passes that extend a given name look at the text in place.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -28,14 +28,22 @@ def _any(words: Iterable[str]) -> str:
     return "|".join(map(re.escape, words))
 
 
+def _by_letter(words: Iterable[str]) -> str:
+    """The same alternatives, grouped by their first letter: a position tries its own letter's only, in the given order."""
+    groups: dict[str, list[str]] = {}
+    for w in words:
+        groups.setdefault(w[0].lower(), []).append(w[1:])
+    return "|".join(f"{re.escape(c)}(?:{_any(rest)})" for c, rest in groups.items())
+
+
 _PARTICLES = "van|de|den|der|het|'t|d'|te|ten|ter"
-_LONG_PARTICLES = _PARTICLES + "|in|op|aan|bij|uit|voor|over|onder|tot"
-_LABEL_PARTICLES = _LONG_PARTICLES.replace("|d'", "")
+_LONG_PARTICLES = "van|de|den|der|het|'t|d'|te|ten|ter|in|op|aan|bij|uit|voor|over|onder|tot"
+_LABEL_PARTICLES = "van|de|den|der|het|'t|te|ten|ter|in|op|aan|bij|uit|voor|over|onder|tot"
 _LONGEST_FIRST = sorted(fx.PREFIXES, key=len, reverse=True)
 _LETTER = rf"(?:[{_L}]|'(?=[A-Za-zÀ-ÿ]))"
 _GIVEN = rf"[{_C}][{_L}']+(?:-[{_C}][{_L}']+)*"
 
-INDICATOR = re.compile(rf"(?:{_any(fx.INDICATORS)})[{_W}]+", re.I)
+INDICATOR = re.compile(rf"(?:{_by_letter(fx.INDICATORS)})[{_W}]+", re.I)
 NAMED = re.compile(rf"{_GIVEN}(?:[{_W}]+{_GIVEN})?[{_W}]+(?:(?:{_LONG_PARTICLES})[{_W}]+)*[{_C}][{_L}']+")
 SINGLE = re.compile(rf"[{_C}][{_L}']{{2,}}(?:-[{_C}][{_L}']+)*")
 WORD = re.compile(rf"{_after(_WIDE)}([{_C}]{_LETTER}+(?:-[{_C}]{_LETTER}+)*)(?={_WIDE}|$)", re.M)
@@ -71,6 +79,8 @@ class Lexicon:
 
     first: frozenset[str] = field(default_factory=lambda: frozenset(fx.DEFAULT_FIRST))
     last: frozenset[str] = field(default_factory=lambda: frozenset(fx.DEFAULT_LAST))
+    #: Further given names, looked up beside `first` so that neither list is copied.
+    more: frozenset[str] = frozenset()
 
     @classmethod
     def from_files(cls, first: str, last: str) -> Lexicon:
@@ -78,11 +88,21 @@ class Lexicon:
         read = lambda p: frozenset(x.strip() for x in open(p, encoding="utf-8") if x.strip())  # noqa: E731, SIM115
         return cls(read(first), read(last))
 
+    @classmethod
+    def from_tables(cls, first, last, column: str = "name", most: int = 1_000_000) -> Lexicon:
+        """From two DataFrames with a column of names; lists are sent to every worker, so more than `most` names are refused."""
+        lists = [[r[0] for r in t.where(f"{column} is not null").select(column).distinct().limit(most + 1).collect()] for t in (first, last)]
+        if max(map(len, lists)) > most:
+            raise ValueError(f"a list has more than {most} names")
+        return cls(*map(frozenset, lists))
+
     def with_first(self, names: Iterable[str]) -> Lexicon:
-        return Lexicon(self.first | frozenset(names), self.last)
+        more = frozenset(names)
+        return Lexicon(self.first, self.last, self.more | more) if more else self
 
     def is_first(self, word: str) -> bool:
-        return word in self.first or "-" in word and all(p in self.first for p in word.split("-"))
+        known = lambda w: w in self.first or w in self.more
+        return known(word) or "-" in word and all(map(known, word.split("-")))
 
     def is_last(self, word: str) -> bool:
         return word in self.last or likely_surname(word)
@@ -121,10 +141,11 @@ class _Found:
         self.held, self.new = held, []
 
     def free(self, start: int, end: int) -> bool:
-        return not taken(start, end, self.held) and not any(start < e and end > s for s, e in self.new)
+        return not taken(start, end, self.held) and not taken(start, end, self.new)
 
     def add(self, start: int, end: int) -> None:
-        self.new.append((start, end))
+        """A span that overlaps none of those added before."""
+        insort(self.new, (start, end))
 
 
 def _scan(pattern: re.Pattern, text: str, use: Callable[[re.Match], int | None]) -> None:

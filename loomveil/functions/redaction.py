@@ -38,30 +38,34 @@ class Match:
 
 # --- normalisation -------------------------------------------------------------------------
 
-_HYPHENATED = re.compile(rf"(?<=[{fx.LOW}])-[ \t]*\n[ \t]*(?=[{fx.LOW}])")
+#: What normalisation takes out: words broken at line ends, invisible characters, and runs of blanks.
+_EVENT = re.compile(rf"(?<=[{fx.LOW}])-[ \t]*\n[ \t]*(?=[{fx.LOW}])|[{fx.INVISIBLE}]|[\t \u00a0]+")
 _BOUNDARY = re.compile(rf"(?<=[{fx.LOW}0-9])(?=[A-ZÀ-Ý])")
 
 
 def normalised(text: str) -> tuple[str, list[int]]:
     """Text as detectors see it, and where each of its characters is in `text` (-1: inserted)."""
-    cut = {i for m in _HYPHENATED.finditer(text) for i in range(*m.span())}
-    out: list[str] = []
-    at: list[int] = []
-    for i, c in enumerate(text):
-        if i in cut or c in fx.INVISIBLE:
-            continue
-        if c in "\t \u00a0":
-            if out and out[-1] == " ":
-                continue
-            c = " "
-        out.append(c)
-        at.append(i)
+    out, at, upto, blank = [], [], 0, False
+    for m in _EVENT.finditer(text):
+        a, b = m.span()
+        if a > upto:
+            out.append(text[upto:a])
+            at += range(upto, a)
+            blank = False
+        if text[a] in "\t \u00a0" and not blank:
+            out.append(" ")
+            at.append(a)
+            blank = True
+        upto = b
+    out.append(text[upto:])
+    at += range(upto, len(text))
     clean = "".join(out)
     places = [m.start() for m in _BOUNDARY.finditer(clean)]
-    for p in reversed(places):
-        out.insert(p, " ")
-        at.insert(p, -1)
-    return "".join(out), at
+    if not places:
+        return clean, at
+    cuts = list(zip([0, *places], [*places, len(clean)], strict=True))
+    whole = [x for a, b in cuts for x in (-1, *at[a:b])]
+    return " ".join(clean[a:b] for a, b in cuts), whole[1:]
 
 
 def mapped_back(start: int, end: int, at: list[int]) -> tuple[int, int] | None:

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from loomveil.functions import columns as c
 
 DEFAULT_TITLE = "Nieuw gesprek"
-#: Texts of the system prompt (fixed values).
-BASE_PROMPT = """Je bent een behulpzame assistent die vragen beantwoordt over documenten.
-Gebruik ALLEEN de informatie uit de gegeven context om te antwoorden.
-Als het antwoord niet in de context staat, zeg dat eerlijk.
-Antwoord in dezelfde taal als de vraag."""
+#: What a model is told where the caller gives no prompt.
+BASE_PROMPT = """Je helpt met vragen over de documenten van de gebruiker.
+Baseer je antwoord alleen op de context hieronder en verzin niets.
+Zeg het eerlijk als de context geen antwoord geeft.
+Gebruik de taal van de vraag."""
 CONTEXT_OPEN, CONTEXT_CLOSE = "--- DOCUMENT CONTEXT ---", "--- EINDE CONTEXT ---"
 
 
@@ -223,3 +223,33 @@ def answer(model, question: str, results: DataFrame, history: DataFrame | None =
 
 def title_of(question: Column) -> Column:
     return c.title_of(question)
+
+
+def say(model, question: str, conversation: DataFrame, messages: DataFrame, results: DataFrame, now: Column, history: int = 10, custom: str | None = None) -> tuple[DataFrame, DataFrame, str]:
+    """One turn of a conversation (one row): conversations and messages after it, and the answer's text.
+
+    The question and the answer with its sources become messages; the first question of a
+    conversation becomes its title. What is collected is one question's: the k best results,
+    the last `history` messages and the answer.
+    """
+    spark, row = conversation.sparkSession, conversation.select("id", "title").first()
+    own = messages.where(F.col("conversation_id") == row.id)
+    past = last_messages(own, history)
+    deltas, sources = answer(model, question, results, past if history else None, custom)
+    text = "".join(d.content for d in deltas)
+    first = (own.agg(F.max("seq")).first()[0] or 0) + 1
+    found = [{"chunk_id": str(s.chunk_id), "document_id": str(s.document_id), "document_name": s.document_name, "content": s.content, "score": float(s.score)} for s in sources]
+    kind = "conversation_id string, seq int, role string, content string, sources array<struct<chunk_id:string,document_id:string,document_name:string,content:string,score:double>>"
+    new = spark.createDataFrame([(row.id, first, "user", question, None), (row.id, first + 1, "assistant", text, found)], kind).withColumn("created_at", now)
+    moved, every = append_messages(conversation, messages, new)
+    title = F.when((F.lit(first) == 1) & (F.col("title") == DEFAULT_TITLE), title_of(F.lit(question))).otherwise(F.col("title"))
+    return moved.withColumn("title", title), every, text
+
+
+def answer_text(model, question: str, results: DataFrame, **options) -> str:
+    """The whole answer at once."""
+    return "".join(d.content for d in answer(model, question, results, **options)[0])
+
+
+#: Names of older callers, who speak of sessions.
+create_sessions, update_sessions, delete_sessions, session_messages, append_to_session = create_conversations, update_conversations, delete_conversations, with_messages, append_messages

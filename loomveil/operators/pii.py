@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from loomveil.functions import columns as c
 from loomveil.functions import fixed as fx
@@ -18,21 +20,32 @@ MATCHES = "array<struct<placeholder:string,original:string,type:string,start_off
 _PA_MATCHES = pa.list_(pa.struct([("placeholder", pa.string()), ("original", pa.string()), ("type", pa.string()), ("start_offset", pa.int32()), ("end_offset", pa.int32())]))
 
 
-def filter_documents(docs: DataFrame, config: r.FilterConfig = r.FilterConfig(), text: str = "text", names: str | None = None) -> DataFrame:
-    """`docs` with filtered_text and matches. names: a column of further given names for each row.
+def filter_documents(docs: DataFrame, config: r.FilterConfig = r.FilterConfig(), text: str = "text", names: str | None = None, sheet: str | None = None, sheets: dict | None = None) -> DataFrame:
+    """`docs` with filtered_text and matches.
 
-    One pass in Arrow batches, no shuffle; a null text gives null and no matches.
+    names: a column of further given names for each row; or sheet: a column whose value has
+    its further given names in `sheets`, which is broadcast. One pass in Arrow batches, no
+    shuffle; a null text gives null and no matches. Columns of the caller's named
+    filtered_text or matches are replaced.
     """
-    lexicon = docs.sparkSession.sparkContext.broadcast((config.lexicon.first, config.lexicon.last))
+    lexicon = docs.sparkSession.sparkContext.broadcast((config.lexicon.first, config.lexicon.last, config.lexicon.more, sheets))
     bare = config.updated(lexicon=None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = bare.updated(lexicon=Lexicon(*lexicon.value))
+        first, last, more, by_sheet = lexicon.value
+        own, of_sheet = bare.updated(lexicon=Lexicon(first, last, more)), {}
         for batch in batches:
-            more = batch.column(names).to_pylist() if names else None
+            further = batch.column(names).to_pylist() if names else None
+            at = batch.column(sheet).to_pylist() if sheet else None
             texts, found = [], []
             for i, t in enumerate(batch.column(text).to_pylist()):
-                cfg = own.updated(custom_names=(*own.custom_names, *(more[i] or ()))) if more else own
+                cfg = own
+                if at is not None:  # one lexicon for each sheet
+                    if at[i] not in of_sheet:
+                        of_sheet[at[i]] = own.updated(lexicon=own.lexicon.with_first(by_sheet.get(at[i], ())))
+                    cfg = of_sheet[at[i]]
+                elif further:
+                    cfg = own.updated(custom_names=(*own.custom_names, *(further[i] or ())))
                 m = r.find_matches(t, cfg) if t else []
                 texts.append(r.spliced(t, m) if m else t)
                 found.append([{"placeholder": x.placeholder, "original": x.original, "type": x.type, "start_offset": x.start, "end_offset": x.end} for x in m])
@@ -63,8 +76,19 @@ def native_redaction(docs: DataFrame, detectors: list[str], style: str = "bracke
     held = docs.withColumn("__found", _resolved(F.col(text), detectors))
     found = F.col("__found")
 
+    # running counts by type in one fold
+    kinds = sorted({c.KIND_OF[d] for d in detectors})
+    zero = F.struct(F.array(*(F.lit(0) for _ in kinds)).alias("n"), F.array().cast("array<int>").alias("out"))
+
+    def count(acc: Column, m: Column) -> Column:
+        here = [F.when(m["type"] == k, acc["n"][i] + 1).otherwise(acc["n"][i]) for i, k in enumerate(kinds)]
+        own = reduce(lambda a, b: F.when(m["type"] == b[0], b[1]).otherwise(a), zip(kinds, here, strict=True), F.lit(0))
+        return F.struct(F.array(*here).alias("n"), F.array_append(acc["out"], own).alias("out"))
+
+    numbers = found["type"] if len(kinds) == 1 else F.aggregate(found, zero, count, lambda acc: acc["out"])
+
     def numbered(m: Column, i: Column) -> Column:
-        number = F.size(F.filter(F.slice(found, F.lit(1), i + 1), lambda x: x["type"] == m["type"]))
+        number = i + 1 if len(kinds) == 1 else F.get(numbers, i)
         shown = F.repeat(F.lit("█"), F.length(m["original"])) if style == "redacted" else c.placeholder(m["type"], number)
         return F.struct(shown.alias("placeholder"), m["original"].alias("original"), m["type"].alias("type"), m["start"].alias("start"), m["end"].alias("end"))
 
@@ -84,6 +108,41 @@ def stats(filtered: DataFrame, key: str | list[str] = "doc_id") -> DataFrame:
     return rows.groupBy(*keys).agg(*(F.sum(x).alias(x) for x in (*fx.TYPES, "total")))
 
 
+# --- joins of spans ------------------------------------------------------------------------
+
+
+def near_spans(spans: DataFrame, others: DataFrame, distance: int = 200) -> DataFrame:
+    """`spans` (doc_id, start_offset, ...) that start within `distance` of the start or the end of one of `others` of their document.
+
+    Both sides meet by stretches of `distance` characters, so work grows with what is near and not with a document's spans.
+    """
+    at = F.floor(F.col("start_offset") / distance)
+    points = others.select(F.col("doc_id").alias("__doc"), F.explode(F.array("start_offset", "end_offset")).alias("__at")).distinct()
+    points = points.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("__at") / distance) - 1, F.floor(F.col("__at") / distance) + 1)))
+    return spans.withColumn("__own", at).join(points, (F.col("doc_id") == F.col("__doc")) & (F.col("__own") == F.col("__cell")) & (F.abs(F.col("__at") - F.col("start_offset")) < distance), "left_semi").drop("__own")
+
+
+def uncovered_spans(spans: DataFrame, others: DataFrame) -> DataFrame:
+    """`spans` that overlap none of `others` of their document."""
+    held = others.select(F.col("doc_id").alias("__doc"), F.col("start_offset").alias("__start"), F.col("end_offset").alias("__end"))
+    return spans.join(held, (F.col("doc_id") == F.col("__doc")) & (F.col("start_offset") < F.col("__end")) & (F.col("end_offset") > F.col("__start")), "left_anti")
+
+
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """doc_id, paragraph (from 0), p_start and p_end of the stretches of each text between blank lines."""
+    pieces = F.split("text", "\n\n")
+    lengths = F.transform(pieces, F.length)
+    ends = F.aggregate(lengths, F.array().cast("array<int>"), lambda acc, n: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)) + 2, F.lit(0)) + n))
+    rows = docs.select("doc_id", F.posexplode(F.arrays_zip(ends.alias("e"), lengths.alias("n"))).alias("paragraph", "x"))
+    return rows.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), (F.col("x.e") - F.col("x.n")).cast("long").alias("p_start"), F.col("x.e").cast("long").alias("p_end"))
+
+
+def in_paragraphs(spans: DataFrame, docs: DataFrame) -> DataFrame:
+    """`spans` with the paragraph of their document that holds them whole; those across two are left out."""
+    held = paragraphs(docs).withColumnRenamed("doc_id", "__doc")
+    return spans.join(held, (F.col("doc_id") == F.col("__doc")) & (F.col("start_offset") >= F.col("p_start")) & (F.col("end_offset") <= F.col("p_end"))).drop("__doc")
+
+
 def safe_matches(matches: Column) -> Column:
     """Matches without what they matched."""
     return F.transform(matches, lambda m: F.struct(m["placeholder"].alias("placeholder"), F.lit("[VERWIJDERD]").alias("original"), m["type"].alias("type"), F.lit(0).alias("start_offset"), F.lit(0).alias("end_offset")))
@@ -111,11 +170,20 @@ def to_cells(table: DataFrame, sheet: Column, row: Column) -> DataFrame:
     return table.select(sheet.alias("sheet"), row.alias("row"), F.posexplode(cells).alias("col", "c")).select("sheet", "row", "col", "c.header", "c.value")
 
 
-def sheet_texts(cells: DataFrame) -> DataFrame:
-    """Each sheet's non-blank cells, trimmed, row by row, one to a line."""
+#: Rows of a sheet that are read as one text, when rows have numbers.
+BLOCK_ROWS = 10_000
+#: Names of all sheets that are broadcast; more travel with their cells.
+MOST_NAMES = 2_000_000
+
+
+def sheet_texts(cells: DataFrame, block_rows: int | None = None) -> DataFrame:
+    """Each sheet's non-blank cells, trimmed, row by row, one to a line; with block_rows, one text for each block of so many rows."""
     full = cells.withColumn("value", c.trimmed(F.col("value"))).where("value <> ''")
     ordered = F.sort_array(F.collect_list(F.struct("row", "col", "value")))
-    return full.groupBy("sheet").agg(F.array_join(F.transform(ordered, lambda x: x["value"]), "\n").alias("text"))
+    joined = F.array_join(F.transform(ordered, lambda x: x["value"]), "\n").alias("text")
+    if not block_rows or not isinstance(cells.schema["row"].dataType, IntegralType):
+        return full.groupBy("sheet").agg(joined)
+    return full.groupBy("sheet", F.floor(F.col("row") / block_rows).alias("block")).agg(joined).drop("block")
 
 
 _SMALL = re.compile("(?:van|de|den|der|het|te|ten|ter|in|op|aan|bij|uit|voor|over|onder|tot)", re.I)
@@ -127,22 +195,48 @@ def name_parts(name: str) -> list[str]:
 
 
 def discovered_names(cells: DataFrame, config: r.FilterConfig = r.FilterConfig()) -> DataFrame:
-    """sheet and names: what the whole sheet's text reveals."""
-    found = filter_documents(sheet_texts(cells), config)
+    """sheet and names: what the sheet's text reveals, read in blocks of BLOCK_ROWS rows, together."""
+    found = filter_documents(sheet_texts(cells, BLOCK_ROWS), config)
     parts = F.pandas_udf(lambda s: s.map(lambda xs: sorted({p for x in xs for p in name_parts(x)})), "array<string>")
     names = F.transform(F.filter("matches", lambda m: m["type"] == "name"), lambda m: m["original"])
-    return found.select("sheet", parts(names).alias("names"))
+    return found.select("sheet", F.explode(parts(names)).alias("name")).groupBy("sheet").agg(F.sort_array(F.collect_set("name")).alias("names"))
 
 
 def filter_cells(cells: DataFrame, config: r.FilterConfig = r.FilterConfig()) -> DataFrame:
     """Two passes: names found in the whole sheet count as given names in each of its cells; numbering restarts in each cell."""
-    joined = cells.join(discovered_names(cells, config), "sheet", "left")
-    out = filter_documents(joined, config, text="value", names="names").drop("names")
+    found = discovered_names(cells, config).cache()
+    if (found.agg(F.sum(F.size("names"))).first()[0] or 0) <= MOST_NAMES:
+        sheets = {x.sheet: x.names for x in found.collect()}
+        found.unpersist()
+        out = filter_documents(cells, config, text="value", sheet="sheet", sheets=sheets)
+    else:
+        out = filter_documents(cells.join(found, "sheet", "left"), config, text="value", names="names").drop("names")
     blank = c.trimmed(F.col("value")) == ""
     header = F.coalesce(F.nullif("header", F.lit("")), F.concat(F.lit("Kolom "), (F.col("col") + 1).cast("string")))
     return out.withColumns({"filtered_text": F.when(blank, F.lit("")).otherwise(F.col("filtered_text")), "header": header})
 
 
+def sheet_totals(filtered: DataFrame) -> DataFrame:
+    """rows, cols, changed (cells with matches) and items of each sheet of filtered cells."""
+    return filtered.groupBy("sheet").agg(F.count_distinct("row").alias("rows"), F.count_distinct("col").alias("cols"), F.count_if(F.size("matches") > 0).alias("changed"), F.sum(F.size("matches")).cast("long").alias("items"))
+
+
+def badges(stats_rows: DataFrame) -> DataFrame:
+    """`stats_rows` with counts, a map of the types that occur and their numbers."""
+    every = F.create_map(*(x for t in fx.TYPES for x in (F.lit(t), F.col(t))))
+    return stats_rows.withColumn("counts", F.map_filter(every, lambda k, v: v > 0))
+
+
+def missed_names(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """`expected` (name) with `found`: whether some found name (original) holds it or is held by it, in any letter case.
+
+    Both are lists of distinct names; the shorter one is broadcast by Spark where it is small.
+    """
+    a, b = F.lower("name"), F.lower("original")
+    hits = expected.select("name").distinct().join(found.select("original").distinct(), a.contains(b) | b.contains(a), "left_semi")
+    return expected.join(hits.withColumn("found", F.lit(True)), "name", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def changed_cells(filtered: DataFrame) -> DataFrame:
     return filtered.where(F.size("matches") > 0).withColumn("matches", safe_matches(F.col("matches")))
 

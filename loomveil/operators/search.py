@@ -1,19 +1,31 @@
 """Chunks, inverted index and BM25 search.
 
 The index is two tables: postings (term, chunk_id, document_id, tf, positions) and
-chunk_stats (chunk_id, dl). A query touches the postings of its terms only; corpus
-statistics are single rows. Top-k is TakeOrderedAndProject.
+chunk_stats (chunk_id, document_id, dl). A stored index keeps its postings in folders by
+their terms' first character, so a query opens the folders and reads the row groups of
+its own terms only; an index that isn't stored is filtered to those terms before
+anything is grouped. Corpus statistics are single rows. Top-k is TakeOrderedAndProject.
+
+Chunks are added to a stored index by appending, and documents are deleted by appending
+their ids: a deletion holds for all that was written before it, so a document can come
+back. No file is ever rewritten by a reader's side.
+
+Edge cases: null contents have no terms and length 0; a query without words finds nothing
+and never raises; equal scores are ordered by chunk_id. Rows that repeat a chunk_id count
+as one chunk's text twice over, so ids have to be distinct.
 """
 
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomveil.functions import fixed as fx
@@ -95,14 +107,54 @@ class Index:
 
 def build_index(chunks: DataFrame, stemmed: bool = True) -> Index:
     """Postings of (chunk_id, document_id, content). Stems are computed once for each distinct term."""
-    words = chunks.select("chunk_id", "document_id", terms(F.translate(F.lower("content"), *_ACCENTS) if stemmed else F.col("content")).alias("t"))
+    text = F.coalesce(F.col("content"), F.lit(""))
+    words = chunks.select("chunk_id", "document_id", terms(F.translate(F.lower(text), *_ACCENTS) if stemmed else text).alias("t"))
     flat = words.select("chunk_id", "document_id", F.posexplode("t").alias("position", "term"))
+    # grouped before stems come in: what is joined is a row for each chunk and term
+    grouped = flat.groupBy("term", "chunk_id", "document_id").agg(F.sort_array(F.collect_list("position")).alias("positions"))
     if stemmed:
-        porter = F.pandas_udf(lambda s: pd.Series([stem(x) for x in s]), "string")
-        stems = flat.select("term").distinct().withColumn("stem", porter("term"))
-        flat = flat.join(stems, "term").select("chunk_id", "document_id", "position", F.col("stem").alias("term"))
-    postings = flat.groupBy("term", "chunk_id", "document_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
-    return Index(postings, words.select("chunk_id", F.size("t").cast("long").alias("dl")))
+        porter = F.pandas_udf(lambda s: pd.Series([stem(x) for x in s], dtype=object), "string")
+        stems = grouped.select("term").distinct().withColumn("stem", porter("term"))
+        grouped = grouped.join(stems, "term").groupBy(F.col("stem").alias("term"), "chunk_id", "document_id").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    postings = grouped.select("term", "chunk_id", "document_id", F.size("positions").cast("long").alias("tf"), "positions")
+    return Index(postings, words.select("chunk_id", "document_id", F.size("t").cast("long").alias("dl")))
+
+
+#: Folders of a stored index.
+FOLDERS = 64
+
+
+def _folder(term: Column) -> Column:
+    return F.pmod(F.ascii(term), F.lit(FOLDERS))
+
+
+def insert_chunks(chunks: DataFrame, path: str, stemmed: bool = True) -> None:
+    """Add chunks (chunk_id, document_id, content) to the index below `path`, which is made if there is none."""
+    index, now = build_index(chunks, stemmed), F.lit(time.time_ns())
+    index.postings.withColumns({"version": now, "folder": _folder(F.col("term"))}).sortWithinPartitions("folder", "term").write.mode("append").partitionBy("folder").parquet(f"{path}/postings")
+    index.chunk_stats.withColumn("version", now).write.mode("append").parquet(f"{path}/chunks")
+
+
+def delete_documents(ids: DataFrame, path: str) -> None:
+    """Take the documents in `ids` (document_id) out of the index: what was inserted before now is gone."""
+    ids.select("document_id", F.lit(time.time_ns()).alias("before")).write.mode("append").parquet(f"{path}/deleted")
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    """The index below `path` without deleted documents."""
+    postings, stats = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/chunks")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/deleted")
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        gone = spark.read.parquet(f"{path}/deleted").groupBy("document_id").agg(F.max("before").alias("before"))
+        held = lambda t: t.join(gone.withColumnRenamed("document_id", "__gone"), (F.col("document_id") == F.col("__gone")) & (F.col("version") < F.col("before")), "left_anti")
+        postings, stats = held(postings), held(stats)
+    return Index(postings, stats)
+
+
+# --- queries -------------------------------------------------------------------------------
+
+#: Words in a row, and whether the last one is a prefix.
+Phrase = tuple[tuple[str, ...], bool]
 
 
 def sanitize_query(query: str) -> list[tuple[str, bool]]:
@@ -114,32 +166,98 @@ def sanitize_query(query: str) -> list[tuple[str, bool]]:
     return [(words[0].lower(), True)] if len(words) == 1 else [(w.lower(), False) for w in words]
 
 
-def bm25(index: Index, query: list[tuple[str, bool]]) -> DataFrame:
-    """chunk_id, document_id and score (larger is better) of chunks that match every term; a prefix is one term."""
+def parse_query(query: str) -> list[list[Phrase]]:
+    """Alternatives of a query, each a list of phrases that are all required.
+
+    Quotes of either kind hold a phrase, * after a word makes it a prefix, OR between two
+    parts parts alternatives (what stands side by side binds closer) and AND changes
+    nothing. A query of one bare word is a prefix. Everything else separates words; an
+    operator without both sides, or a quote without its other one, is none. Never raises.
+    """
+    parts = re.findall(r'"([^"]*)"(\*?)|([\w*-]+)', re.sub(r'[^\w\s"*-]', " ", query.replace("'", '"'), flags=re.A), re.A)
+    said: list[Phrase | str] = []
+    for quoted, star, bare in parts:
+        words = tuple(re.findall(r"\w+", (quoted or bare).lower(), re.A))
+        if bare in ("OR", "AND"):
+            said.append(bare)
+        elif quoted and words:
+            said.append((words, bool(star)))
+        else:
+            said += [((w.rstrip("*").lower(),), w.endswith("*")) for w in re.findall(r"\w+\*?", bare, re.A)]
+    out: list[list[Phrase]] = [[]]
+    for i, x in enumerate(said):
+        between = 0 < i < len(said) - 1 and not isinstance(said[i - 1], str) and not isinstance(said[i + 1], str)
+        if isinstance(x, str) and between:
+            out += [[]] if x == "OR" else []
+        else:
+            out[-1].append(((x.lower(),), False) if isinstance(x, str) else x)
+    if len(said) == 1 and len(out[0]) == 1 and len(out[0][0][0]) == 1 and '"' not in query and "'" not in query:
+        out = [[(out[0][0][0], True)]]
+    return [x for x in out if x]
+
+
+def match(index: Index, query: list[list[Phrase]]) -> DataFrame:
+    """chunk_id, document_id and score (larger is better) of chunks that match an alternative.
+
+    Every phrase of the query counts for the score of a chunk that has it; a prefix is one
+    phrase over all its expansions.
+    """
+    phrases = [p for alternative in query for p in alternative]
+    slots = [(q, i, w, prefix and i == len(words) - 1) for q, (words, prefix) in enumerate(phrases) for i, w in enumerate(words)]
+    term = F.col("term")
+    hit = lambda w, prefix: term.startswith(w) if prefix else term == w
+    some = reduce(lambda a, b: a | b, (hit(w, prefix) for _, _, w, prefix in slots))
+    rows = index.postings.where(some)
+    if "folder" in rows.columns:
+        rows = rows.where(F.col("folder").isin(sorted({ord(w[0]) % FOLDERS for _, _, w, _ in slots})))
+    wanted = [F.when(hit(w, prefix), F.struct(F.lit(q).alias("q"), F.lit(i).alias("slot"))) for q, i, w, prefix in slots]
+    rows = rows.withColumn("s", F.explode(F.array_compact(F.array(*wanted))))
+    # positions of each word as positions of its phrase
+    rows = rows.select("chunk_id", "document_id", "s.q", "s.slot", F.transform("positions", lambda p: p - F.col("s.slot")).alias("at"))
+    by_slot = rows.groupBy("q", "slot", "chunk_id", "document_id").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
+    lengths = F.element_at(F.array(*(F.lit(len(words)) for words, _ in phrases)), F.col("q") + 1)
+    by_phrase = by_slot.groupBy("q", "chunk_id", "document_id").agg(F.collect_list("at").alias("all")).where(F.size("all") == lengths)
+    tf = F.size(F.aggregate(F.slice("all", 2, 1_000_000), F.col("all")[0], F.array_intersect)).cast("long")
+    hits = by_phrase.select("q", "chunk_id", "document_id", tf.alias("tf")).where("tf > 0")
     corpus = index.chunk_stats.agg(F.count("*").alias("n_all"), F.avg("dl").alias("avgdl"))
-    wanted = [F.when(F.col("term").startswith(t) if prefix else F.col("term") == t, F.lit(i)) for i, (t, prefix) in enumerate(query)]
-    hits = index.postings.withColumn("q", F.explode(F.array_compact(F.array(*wanted)))).groupBy("q", "chunk_id", "document_id").agg(F.sum("tf").alias("tf"))
-    found = hits.groupBy("q").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(found), "q").join(F.broadcast(corpus)).join(index.chunk_stats, "chunk_id")
+    found = hits.groupBy("q").agg(F.count("*").alias("df"))  # a row for each phrase
+    scored = hits.join(F.broadcast(found), "q").join(F.broadcast(corpus)).join(index.chunk_stats.select("chunk_id", "dl"), "chunk_id")
     raw = F.log((F.col("n_all") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return scored.groupBy("chunk_id", "document_id").agg(F.sum(part).alias("score"), F.count("*").alias("n")).where(F.col("n") == len(query)).drop("n")
+    numbers, upto = [], 0
+    for alternative in query:
+        numbers.append(F.array(*(F.lit(upto + i) for i in range(len(alternative)))))
+        upto += len(alternative)
+    whole = reduce(lambda a, b: a | b, (F.size(F.array_except(n, "has")) == 0 for n in numbers))
+    return scored.groupBy("chunk_id", "document_id").agg(F.sum(part).alias("score"), F.collect_set("q").alias("has")).where(whole).drop("has")
+
 
+def bm25(index: Index, query: list[tuple[str, bool]]) -> DataFrame:
+    """chunk_id, document_id and score (larger is better) of chunks that match every term; a prefix is one term."""
+    return match(index, [[((t,), prefix) for t, prefix in query]])
 
-def search(index: Index, chunks: DataFrame, documents: DataFrame, query: str, document_ids: list | None = None, limit: int = 10, min_score: float = 0.0, stemmed: bool = True) -> DataFrame:
-    """The best chunks with their chunk, document, score and highlights; min_score applies after the limit."""
-    words = [(stem(t) if stemmed else t, p) for t, p in sanitize_query(query)]
-    if not words:
+
+def search(index: Index, chunks: DataFrame, documents: DataFrame, query: str, document_ids: list | DataFrame | None = None, limit: int = 10, min_score: float = 0.0, stemmed: bool = True) -> DataFrame:
+    """The best chunks with their chunk, document, score and highlights; min_score applies after the limit.
+
+    document_ids: a list, or a DataFrame (document_id) of any size; statistics stay those of the whole corpus.
+    """
+    asked = [[(tuple(stem(w) for w in words) if stemmed else words, p) for words, p in alternative] for alternative in parse_query(query)]
+    if not asked:
         return chunks.join(documents.withColumnRenamed("doc_id", "document_id"), "document_id").withColumns({"score": F.lit(0.0), "highlights": F.array(F.lit(""))}).limit(0)
-    hits = bm25(index, words)
-    if document_ids:
+    hits = match(index, asked)
+    if isinstance(document_ids, DataFrame):
+        hits = hits.join(document_ids.select("document_id"), "document_id", "left_semi")
+    elif document_ids:
         hits = hits.where(F.col("document_id").isin(document_ids))
     top = hits.orderBy(F.desc("score"), "chunk_id").limit(limit)
     if min_score:
         top = top.where(F.abs("score") >= min_score)
-    out = F.broadcast(top).join(chunks.drop("document_id"), "chunk_id").join(documents.withColumnRenamed("doc_id", "document_id"), "document_id")
-    return out.withColumn("highlights", F.array(snippet(F.col("content"), words, stemmed))).orderBy(F.desc("score"), "chunk_id")
+    # the k best are broadcast; chunks and documents are read once
+    out = chunks.drop("document_id").join(F.broadcast(top), "chunk_id").join(documents.withColumnRenamed("doc_id", "document_id"), "document_id")
+    marked = [(w, p and i == len(words) - 1) for alternative in asked for words, p in alternative for i, w in enumerate(words)]
+    return out.withColumn("highlights", F.array(snippet(F.col("content"), marked, stemmed))).orderBy(F.desc("score"), "chunk_id")
 
 
 def snippet_of(text: str, words: list[tuple[str, bool]], stemmed: bool = True, most: int = 32) -> str:

@@ -6,6 +6,8 @@ that both engines run, so that every detector has something to find.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,6 +19,8 @@ from loomveil.functions import fixed as fx
 from loomveil.functions.names import _speakers as speakers
 from loomveil.functions.redaction import FilterConfig
 from loomveil.operators import chat, pii, search
+from loomveil.plans import golden
+from loomveil.sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,6 +59,17 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; one of our own only in local mode, where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="loomveil-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 # --- detectors -----------------------------------------------------------------------------
 
 _RE2 = {
@@ -125,6 +140,135 @@ def date_plausibility(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("doc_id", F.col("m.original").alias("original"), c.plausible_date(F.col("m.original")).alias("plausible"))
 
 
+PHONES = f"""select {_CK} as doc_id, 'Bel +31 6 ' || {_PAD(f"({_CK} * 31337) % 100000000", 8)} || ' of 0031(0)6-' || {_PAD(f"({_CK} * 77) % 100000000", 8)} || ', kantoor +31 20 ' || {_PAD(f"({_CK} * 91) % 10000000", 7)}
+  || ', 0031-70-' || {_PAD(f"({_CK} * 17) % 10000000", 7)} || '. Tel: 020 ' || {_PAD(f"({_CK} * 13) % 10000000", 7)} || ' en TELEFOON: (030) ' || {_PAD(f"({_CK} * 7) % 1000000", 6)} as text from customer"""
+_RE2_PHONES = {
+    "phone_intl_mobile": r"(?:\+31|0031)[-\s.]?(?:\(0\)|0)?[-\s.]?6(?:[-\s.]?[0-9]{2}){4}",
+    "phone_intl": r"(?:\+31|0031)[-\s.]?(?:\(0\)|0)?[-\s.]?[1-9][0-9]{1,2}[-\s.]?[0-9]{6,7}\b",
+    "phone_prefixed": r"(?i)\b(?:tel:|telefoon:)\s*[-\s0-9()]+",
+}
+
+
+def _detect_phone(name: str) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        d = spark.sql(PHONES.replace(" from customer", " from {customer}"), customer=read(spark, sf, "customer"))
+        found = d.select("doc_id", F.explode(c.detected(F.col("text"), name)).alias("m"))
+        return found.select("doc_id", F.col("m.start").cast("long").alias("start_offset"), F.col("m.original").alias("original"))
+
+    QUERIES[f"detect_{name}"] = run
+    SQL[f"detect_{name}"] = f"with notes as ({PHONES}), {_positions('notes', _RE2_PHONES[name])} select doc_id, start_offset, original from hits where {_CHECK['phone']}"
+
+
+for _n in _RE2_PHONES:
+    _detect_phone(_n)
+
+
+# --- the document with everything in it ----------------------------------------------------
+
+_TEXT = golden.TEXT.replace("'", "''")
+_GOLDEN = "g(type, number, s, e) as (values " + ", ".join(map(str, golden.MATCHES)) + f"), t as (select '{_TEXT}' as text), m as (select type, number, s, e, substr(text, s + 1, e - s) as original from g, t)"
+
+
+def _golden(spark: SparkSession, **changes) -> DataFrame:
+    d = spark.createDataFrame([(0, golden.TEXT)], "doc_id long, text string")
+    return pii.filter_documents(d, FilterConfig(**changes))
+
+
+@query(f"with {_GOLDEN} select '[' || upper(type) || '-' || lpad(number::varchar, 3, '0') || ']' as placeholder, type, s as start_offset, e as end_offset, original from m")
+def golden_matches(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.exploded(_golden(spark)).select("placeholder", "type", "start_offset", "end_offset", "original")
+
+
+@query(f"""with {_GOLDEN}, k as (select *, lag(e, 1, 0) over (order by s) as before from m)
+  select string_agg(substr(text, before + 1, s - before) || '[' || upper(type) || '-' || lpad(number::varchar, 3, '0') || ']', '' order by s) || substr(any_value(text), max(e) + 1) as filtered_text from k, t""")
+def golden_text(spark: SparkSession, sf: str) -> DataFrame:
+    return _golden(spark).select("filtered_text")
+
+
+@query(f"with {_GOLDEN} select sum((type = 'bsn')::int)::bigint as bsn, sum((type = 'date')::int)::bigint as date, sum((type = 'name')::int)::bigint as name, sum((type = 'phone')::int)::bigint as phone, sum((type = 'email')::int)::bigint as email, sum((type = 'iban')::int)::bigint as iban, sum((type = 'postcode')::int)::bigint as postcode, sum((type = 'address')::int)::bigint as address, count(*) as total from m")
+def golden_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.stats(_golden(spark)).drop("doc_id")
+
+
+@query(f"with {_GOLDEN} select original, count(*) as n, row_number() over (order by original) as position from m where type = 'name' group by original")
+def golden_names(spark: SparkSession, sf: str) -> DataFrame:
+    n = pii.exploded(_golden(spark)).where("type = 'name'").groupBy("original").agg(F.count("*").alias("n"))
+    return n.withColumn("position", F.row_number().over(Window.orderBy("original")).cast("long"))  # the names of one document
+
+
+@query(f"""with {_GOLDEN}, x(name) as (values {", ".join("('" + n.replace("'", "''") + "')" for n in golden.EXPECTED_NAMES)})
+  select name, exists (select 1 from m where type = 'name' and (contains(lower(original), lower(name)) or contains(lower(name), lower(original)))) as found from x""")
+def golden_recall(spark: SparkSession, sf: str) -> DataFrame:
+    expected = spark.createDataFrame([(n,) for n in golden.EXPECTED_NAMES], "name string")
+    return pii.missed_names(expected, pii.exploded(_golden(spark)).where("type = 'name'"))
+
+
+@query(f"with {_GOLDEN}, t2 as (select text from t) select text as restored_text, 98::bigint as n from t2")
+def golden_restore(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.restore_documents(_golden(spark)).select("restored_text", F.size("matches").cast("long").alias("n"))
+
+
+# --- joins of spans ------------------------------------------------------------------------
+
+
+def _two_spans(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Notes with blank lines between paragraphs, their numbers of nine digits, and their e-mail addresses."""
+    n = _notes(read(spark, sf, "customer")).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    of = lambda p: n.select("doc_id", F.explode(c.spans(F.col("text"), p)).alias("m")).select("doc_id", F.col("m.start").cast("long").alias("start_offset"), F.col("m.end").cast("long").alias("end_offset"))
+    return n, of(c.PATTERNS["bsn"][0]), of(c.PATTERNS["phone_landline"][0])
+
+
+def _spans_sql(select: str) -> str:
+    one = _positions("wide", _RE2["bsn"])
+    two = _positions("wide", _RE2["phone_landline"]).replace("found", "found2").replace("flat", "flat2").replace("hits", "hits2")
+    return f"with notes as ({NOTES}), wide as (select doc_id, replace(text, chr(10), chr(10) || chr(10)) as text from notes), {one}, {two}, a as (select *, start_offset + length(original) as end_offset from hits), b as (select *, start_offset + length(original) as end_offset from hits2) {select}"
+
+
+@query(_spans_sql("select doc_id, start_offset from a where exists (select 1 from b where a.doc_id = b.doc_id and (abs(a.start_offset - b.start_offset) < 60 or abs(b.end_offset - a.start_offset) < 60))"))
+def spans_near_others(spark: SparkSession, sf: str) -> DataFrame:
+    _, a, b = _two_spans(spark, sf)
+    return pii.near_spans(a, b, 60).select("doc_id", "start_offset")
+
+
+@query(_spans_sql("select doc_id, start_offset from b where not exists (select 1 from a where a.doc_id = b.doc_id and b.start_offset < a.end_offset + 40 and b.end_offset > a.start_offset)"))
+def spans_uncovered(spark: SparkSession, sf: str) -> DataFrame:
+    _, a, b = _two_spans(spark, sf)
+    return pii.uncovered_spans(b, a.withColumn("end_offset", F.col("end_offset") + 40)).select("doc_id", "start_offset")
+
+
+@query(_spans_sql(", cut as (select doc_id, string_split(text, chr(10) || chr(10)) as l from wide), par as (select doc_id, unnest(l) as p, generate_subscripts(l, 1) - 1 as paragraph from cut), placed as (select *, (sum(length(p) + 2) over (partition by doc_id order by paragraph) - length(p) - 2)::bigint as q from par) "
+                  "select b.doc_id, b.start_offset, paragraph from b join placed on placed.doc_id = b.doc_id and b.start_offset >= q and b.end_offset <= q + length(p)"))
+def spans_in_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    n, _, b = _two_spans(spark, sf)
+    return pii.in_paragraphs(b, n).select("doc_id", "start_offset", "paragraph")
+
+
+_FIRST_DICT, _LAST_DICT = (", ".join(f"('{w}')" for w in words) for words in (fx.DEFAULT_FIRST, fx.DEFAULT_LAST))
+_HYPHENED = "raw as (select doc_id, unnest(string_split_regex(text || ' Jan-Peter Jan-Xyz Anna', '[^\\p{L}-]+')) as w from documents), tokens as (select doc_id, w, count(*) as n from raw where w <> '' group by doc_id, w)"
+
+
+def _hyphened(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.split(F.concat("text", F.lit(" Jan-Peter Jan-Xyz Anna")), r"[^\p{L}-]+")
+    return docs(spark, sf).select("doc_id", F.explode(words).alias("w")).where("w <> ''").groupBy("doc_id", "w").agg(F.count("*").alias("n"))
+
+
+@query(f"with {_HYPHENED}, dict(d) as (values {_FIRST_DICT}) select doc_id, w, n from tokens where w in (select d from dict) or contains(w, '-') and len(list_filter(string_split(w, '-'), lambda p: p not in ({', '.join(chr(39) + x + chr(39) for x in fx.DEFAULT_FIRST)}))) = 0")
+def first_names(spark: SparkSession, sf: str) -> DataFrame:
+    return _hyphened(spark, sf).where(c.known_first(F.col("w"), tuple(fx.DEFAULT_FIRST)))
+
+
+@query(f"""with {_HYPHENED} select doc_id, w, n from tokens where w in (select * from (values {_LAST_DICT})) or length(w) >= 3 and lower(w) not in (select * from (values {", ".join(f"('{w}')" for w in fx.COMMON_WORDS)}))
+  and (regexp_matches(lower(w), '(?:{"|".join(fx.SURNAME_ENDINGS)})$') or (length(w) > 5 and regexp_matches(lower(w), '^(?:{"|".join(fx.SURNAME_STARTS)})')))""")
+def last_names(spark: SparkSession, sf: str) -> DataFrame:
+    return _hyphened(spark, sf).where(c.known_last(F.col("w"), tuple(fx.DEFAULT_LAST)))
+
+
+@query(f"with notes as ({NOTES}), {_positions('notes', _RE2['email'])} select doc_id, start_offset, original from hits where lower(original) <> 'k.bakker7@testmail.example'")
+def excluded_words(spark: SparkSession, sf: str) -> DataFrame:
+    m = pii.exploded(pii.filter_documents(_notes(read(spark, sf, "customer")), FilterConfig(enabled_types=("email",), exclude_words=("K.Bakker7@testmail.example",))))
+    return m.select("doc_id", F.col("start_offset").cast("long").alias("start_offset"), "original")
+
+
 # --- resolution, numbering, redaction ------------------------------------------------------
 
 _EMAIL_HITS = f"with {_positions('documents', _RE2['email'])}, ranked as (select *, row_number() over (partition by doc_id order by start_offset) as number from hits)"
@@ -340,16 +484,84 @@ def _paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
 
 
-@query()
+# Paragraphs are taken in order; what is held goes out before one that would make it too long, and its end is carried over.
+_OVERLAP = r"""case when length({0}) <= 100 then {0} when regexp_matches(right({0}, 200), '[.!?]\s+[A-Z]') then substr(right({0}, 200), length(regexp_extract(right({0}, 200), '^(.*?)[.!?]\s+[A-Z]', 1, 's')) + 3)
+  when contains(left(right({0}, 200), 101), ' ') then substr(right({0}, 200), length(regexp_extract(left(right({0}, 200), 101), '^(.*) ', 1, 's')) + 2) else right({0}, 100) end"""
+_CHUNKS = f"""recursive cut as (select doc_id, string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\n\n+') as l from documents where text <> ''),
+  pieces as (select doc_id, generate_subscripts(l, 1) as i, len(l) as k, unnest(l) as p from cut), texts as (select doc_id, i, k, case when i > 1 then chr(10) || chr(10) else '' end || p as piece from pieces),
+  walk as (select doc_id, i, k, piece as held, 0 as start, length(piece) as pos, null::varchar as content, null::int as c_start, null::int as c_end, 0 as done from texts where i = 1
+           union all select doc_id, i, k, case when over then tail || piece else held || piece end, case when over then pos - length(tail) else start end, pos + length(piece),
+                            case when over then held end, case when over then start end, case when over then start + length(held) end, done + over::int
+           from (select w.doc_id, w.k, w.held, w.start, w.pos, w.done, t.piece, t.i, held <> '' and length(held) + length(t.piece) > 1000 as over, {_OVERLAP.format("held")} as tail
+                 from walk w join texts t on t.doc_id = w.doc_id and t.i = w.i + 1) x),
+  chunks as (select doc_id, done - 1 as chunk_index, content, c_start, c_end from walk where content is not null
+             union all select doc_id, done, held, start, start + length(held) from walk where i = k and regexp_matches(held, '[^\\s]')),
+  made as (select doc_id as document_id, chunk_index::int as chunk_index, trim(content, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as content, c_start as start_offset, c_end as end_offset,
+           doc_id || '-' || lpad(chunk_index::varchar, 6, '0') as chunk_id from chunks)"""
+
+
+@query(f"with {_CHUNKS} select document_id, chunk_index, content, start_offset, end_offset, chunk_id from made")
 def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
     return search.chunk_documents(_paragraphs(spark, sf))
 
 
-@query()
+@query(f"with {_CHUNKS} select document_id, count(*) as chunks, max(end_offset) as last_end from made group by document_id")
 def chunk_count_by_doc(spark: SparkSession, sf: str) -> DataFrame:
     return search.chunk_documents(_paragraphs(spark, sf)).groupBy("document_id").agg(F.count("*").alias("chunks"), F.max("end_offset").alias("last_end"))
 
 
+@query(f"with {_CHUNKS} select document_id, string_agg(content, chr(10) || chr(10) order by chunk_index) as full_text from made group by document_id")
+def chunk_join_back(spark: SparkSession, sf: str) -> DataFrame:
+    return store.joined_chunks(search.chunk_documents(_paragraphs(spark, sf)))
+
+
+@query(f"with {_CHUNKS} select chunk_id as id, row_number() over (order by document_id::varchar, chunk_index) as position from made where document_id % 7 = 0")
+def chunks_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    d = _paragraphs(spark, sf).where("doc_id % 7 = 0").select(F.col("doc_id").cast("string").alias("id"), "text")
+    return _positioned(store.chunks_of(store.chunk_rows(d)).select("id"))
+
+
+def _positioned(ordered: DataFrame) -> DataFrame:
+    """Rows of an ordered list with their place; ordered rows have increasing ids in Spark."""
+    return ordered.withColumn("position", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long"))
+
+
+_STORED = "stored as (select doc_id::varchar as id, 'doc ' || doc_id as name, '/in/' || source || '/' || doc_id || '.txt' as path, timestamp '2024-01-01' + to_hours((doc_id * 37 % 500)::int) as updated_at from documents)"
+
+
+def _stored(spark: SparkSession, sf: str) -> DataFrame:
+    d = docs(spark, sf)
+    rows = d.select(F.col("doc_id").alias("id"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("name"), F.concat(F.lit("/in/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
+                    (F.lit("2024-01-01").cast("timestamp") + F.make_interval(hours=(F.col("doc_id") * 37 % 500).cast("int"))).alias("updated_at"), "text")
+    return store.shaped(rows, "documents", F.lit("2024-01-01").cast("timestamp"))
+
+
+@query(f"with {_STORED} select id, row_number() over (order by updated_at desc, id) as position from stored")
+def documents_newest_first(spark: SparkSession, sf: str) -> DataFrame:
+    return _positioned(store.newest_first(_stored(spark, sf)).select("id"))
+
+
+@query(f"with {_STORED} select id, name, path from stored where path = (select path from stored where id = '17')")
+def document_by_path(spark: SparkSession, sf: str) -> DataFrame:
+    path = store.by_key(_stored(spark, sf), id="17").select("path")
+    return _stored(spark, sf).join(path, "path", "left_semi").select("id", "name", "path")
+
+
+@query("select conv_id::varchar as conversation_id, '[' || string_agg('\"' || turn || '\"', ',' order by turn) || ']' as document_ids, count(*) as n, min(turn)::varchar as first from conversations group by conv_id")
+def json_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Arrays as JSON text and back."""
+    ids = F.transform(F.sort_array(F.collect_list("turn")), lambda t: t.cast("string"))
+    rows = store.to_json_columns(read(spark, sf, "conversations").groupBy(F.col("conv_id").cast("string").alias("conversation_id")).agg(ids.alias("document_ids")))
+    back = store.from_json_columns(rows.withColumn("json", F.col("document_ids")))
+    return back.select("conversation_id", F.col("json").alias("document_ids"), F.size("document_ids").cast("long").alias("n"), F.element_at("document_ids", 1).alias("first"))
+
+
+@query("select count(*) as n, count(*) as ids, 36::bigint as chars, count(*) as titled from conversations")
+def new_ids(spark: SparkSession, sf: str) -> DataFrame:
+    rows = store.shaped(read(spark, sf, "conversations").select("conv_id"), "conversations", F.current_timestamp())
+    return rows.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.max(F.length("id")).cast("long").alias("chars"), F.count_if(F.col("title") == chat.DEFAULT_TITLE).alias("titled"))
+
+
 @query("select doc_id, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as content from documents where not contains(text, chr(10)) and trim(text) <> ''")
 def chunk_single_paragraph(spark: SparkSession, sf: str) -> DataFrame:
     one = docs(spark, sf).where(~F.contains("text", F.lit("\n")))
@@ -407,24 +619,68 @@ def bm25_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return _top(search.bm25(_index(spark, sf), [("path", True)]))
 
 
+def _phrase_sql(where: list[tuple[str, str]], matched: str) -> str:
+    """bm25 of queries given as (source of positions, condition), where a chunk's set of them has to fulfil `matched`."""
+    qs = " union all ".join(f"select {i} as q, doc_id, count(*) as tf from {source} where {w} group by doc_id" for i, (source, w) in enumerate(where))
+    return f"""with raw0 as (select doc_id, string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+') as l from documents), raw as (select doc_id, unnest(l) as term, generate_subscripts(l, 1) as p from raw0),
+      terms as (select * from raw where term <> ''), pairs as (select *, lead(term) over (partition by doc_id order by p) as next from terms),
+      dls as (select doc_id, count(*) as dl from terms group by doc_id), st as (select (select count(*) from documents) as n, (select sum(dl) from dls) / (select count(*) from documents)::double as avgdl),
+      hits as ({qs}), df as (select q, count(*) as df from hits group by q),
+      parts as (select h.doc_id, h.q, case when ln((n - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n - df + 0.5) / (df + 0.5)) end * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) as s
+                from hits h join df using (q) join dls using (doc_id), st),
+      scored as (select doc_id, sum(s) as score from parts group by doc_id having {matched})
+      select doc_id, round(score, 6) as score from scored {_TOP}"""
+
+
+@query(_phrase_sql([("pairs", "term = 'on' and next = 'and'")], "true"))
+def bm25_phrase(spark: SparkSession, sf: str) -> DataFrame:
+    return _top(search.match(_index(spark, sf), search.parse_query('"on and"')))
+
+
+@query(_phrase_sql([("terms", "term = 'idiot'"), ("terms", "term = 'clown'"), ("terms", "starts_with(term, 'path')")], "bool_or(q = 0) and bool_or(q = 1) or bool_or(q = 2)"))
+def bm25_or(spark: SparkSession, sf: str) -> DataFrame:
+    return _top(search.match(_index(spark, sf), search.parse_query("idiot clown OR path*")))
+
+
+def _search(spark: SparkSession, sf: str, **options) -> DataFrame:
+    """The operator's search for the one word, documents being chunks of their own."""
+    d = docs(spark, sf)
+    chunks = d.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("text").alias("content"))
+    hits = search.search(_index(spark, sf), chunks, d.select("doc_id", "lang", "source"), '"idiot"', stemmed=False, **options)
+    return hits.withColumn("score", F.round("score", 6)).withColumnRenamed("document_id", "doc_id")
+
+
 @query(_bm25_sql(["term = 'idiot'"], "doc_id % 2 = 0"))
 def search_scoped(spark: SparkSession, sf: str) -> DataFrame:
-    return _top(search.bm25(_index(spark, sf), [("idiot", False)]).where("document_id % 2 = 0"))
+    even = docs(spark, sf).where("doc_id % 2 = 0").select(F.col("doc_id").alias("document_id"))
+    return _search(spark, sf, document_ids=even).select("doc_id", "score")
 
 
 @query("select * from (" + _bm25_sql(["term = 'idiot'"]) + ") where score >= 2.5")
 def search_min_score(spark: SparkSession, sf: str) -> DataFrame:
-    return _top(search.bm25(_index(spark, sf), [("idiot", False)])).where("score >= 2.5")
+    return _search(spark, sf, min_score=2.5).select("doc_id", "score")
 
 
 @query("select doc_id, lang, score from (" + _bm25_sql(["term = 'idiot'"]) + ") join documents using (doc_id)")
 def search_join_back(spark: SparkSession, sf: str) -> DataFrame:
-    return F.broadcast(bm25_single(spark, sf)).join(docs(spark, sf), "doc_id").select("doc_id", "lang", "score")
+    return _search(spark, sf).select("doc_id", "lang", "score")
+
+
+@query(_bm25_sql(["term = 'clown'"]).replace("documents", "kept").replace("with raw", "with kept as (select * from documents where doc_id % 5 <> 0 or doc_id % 10 = 0), raw"))
+def search_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored index in two inserts, with a fifth of its documents deleted and half of those inserted again."""
+    d = docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("text").alias("content"))
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    for part in (0, 1):
+        search.insert_chunks(d.where(f"document_id % 2 = {part}"), path, stemmed=False)
+    search.delete_documents(d.where("document_id % 5 = 0"), path)
+    search.insert_chunks(d.where("document_id % 10 = 0"), path, stemmed=False)
+    return _top(search.bm25(search.open_index(spark, path), [("clown", False)]))
 
 
 @query("select string_agg('[Bron ' || i || ': ' || source || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by i) as context from (select *, row_number() over (order by score desc, doc_id) as i from (" + _bm25_sql(["term = 'idiot'"]) + ") join documents using (doc_id))")
 def build_context(spark: SparkSession, sf: str) -> DataFrame:
-    hits = bm25_single(spark, sf).join(docs(spark, sf), "doc_id").select(F.col("doc_id").alias("chunk_id"), "source", F.col("text").alias("content"), "score")
+    hits = _search(spark, sf).select("chunk_id", "source", "content", "score")
     return chat.context_text(hits, "source")
 
 
@@ -510,6 +766,19 @@ def tabular_filter(spark: SparkSession, sf: str) -> DataFrame:
     return pii.changed_cells(pii.filter_cells(cells)).select("sheet", "row", "col", "header", "filtered_text")
 
 
+@query(f"with notes as ({NOTES}) select 'notes' as sheet, count(*) as rows, 2::bigint as cols, count(*) as changed, sum(len(regexp_extract_all(text, '{_RE2['email']}')))::bigint as items from notes")
+def sheet_totals(spark: SparkSession, sf: str) -> DataFrame:
+    cells = pii.to_cells(_notes(read(spark, sf, "customer")).select("doc_id", "text"), F.lit("notes"), F.col("doc_id"))
+    return pii.sheet_totals(pii.filter_cells(cells, FilterConfig(enabled_types=("email",))))
+
+
+@query(_STAT_SQL + " select doc_id, case when email > 0 and date > 0 then 'date:' || date || ',email:' || email when email > 0 then 'email:' || email when date > 0 then 'date:' || date else '' end as badges from e")
+def type_badges(spark: SparkSession, sf: str) -> DataFrame:
+    rows = pii.badges(pii.stats(pii.filter_documents(docs(spark, sf).select("doc_id", "text"), FilterConfig(enabled_types=("email", "date")))))
+    said = F.transform(F.sort_array(F.map_entries("counts")), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string")))
+    return rows.select("doc_id", F.array_join(said, ",").alias("badges"))
+
+
 @query(f"with {_CELLS} select string_agg(value, chr(10) order by row, col) as text from cells where trim(value) <> ''")
 def sheet_text(spark: SparkSession, sf: str) -> DataFrame:
     return pii.sheet_texts(_cells(spark, sf)).select("text")

@@ -7,6 +7,8 @@ import json
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
+from decimal import ROUND_HALF_UP, Decimal
 from pathlib import Path
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
@@ -108,8 +110,36 @@ def filtered_name(path: Column, extension_: str = ".txt") -> Column:
 
 
 def write_filtered(filtered: DataFrame, path: str) -> None:
-    """Filtered texts as Parquet, each under its output name."""
-    filtered.select(filtered_name(F.col("path")).alias("file_name"), "filtered_text").write.mode("overwrite").parquet(path)
+    """Filtered texts (path, filtered_text) as text, each in a folder with its output name and with a line end behind it.
+
+    A null text is an empty line. Of equal names the folder holds one file for each text.
+    """
+    rows = filtered.select(filtered_name(F.col("path")).alias("file_name"), F.coalesce("filtered_text", F.lit("")).alias("value"))
+    rows.write.mode("overwrite").partitionBy("file_name").text(path)
+
+
+def workbooks(cells: DataFrame) -> DataFrame:
+    """file_name, rows and content (XLSX) of each sheet of filtered cells (sheet, row, col, header, filtered_text).
+
+    A sheet is one workbook, which the format bounds at 1,048,576 rows; a larger one is an error.
+    """
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        heads = pdf.sort_values("col").drop_duplicates("col")
+        rows = pdf.pivot_table(index="row", columns="col", values="filtered_text", aggfunc="first").sort_index().reindex(columns=heads["col"])
+        if len(rows) >= 1 << 20:
+            raise ValueError("a sheet of a workbook has at most 1,048,575 rows of data")
+        data = xlsx_bytes([str(h) for h in heads["header"]], rows.fillna("").astype(str).values.tolist())
+        return pd.DataFrame({"sheet": pdf["sheet"].iloc[:1], "rows": [len(rows)], "content": [data]})
+
+    made = cells.select("sheet", "row", "col", "header", "filtered_text").groupBy("sheet").applyInPandas(build, "sheet string, rows long, content binary")
+    return made.select("sheet", filtered_name(F.col("sheet"), ".xlsx").alias("file_name"), "rows", "content")
+
+
+def export_audit(books: DataFrame, now: Column) -> DataFrame:
+    """Audit rows of an export of workbooks: what counts are rows."""
+    none = F.lit(None).cast("string")
+    return books.select(F.sha2("file_name", 256).alias("id"), now.alias("timestamp"), "file_name", F.sha2("content", 256).alias("file_hash"), F.lit("export").alias("operation"), F.col("rows").cast("int").alias("items_filtered"), none.alias("filter_stats"), none.alias("user_action"))
 
 
 def audit_rows(filtered: DataFrame, operation: str, now: Column) -> DataFrame:
@@ -133,6 +163,46 @@ def _column(ref: str) -> int:
     return n - 1
 
 
+#: Number formats that every workbook has (fixed values).
+BUILTIN_FORMATS = {1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 14: "m/d/yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss", 22: "m/d/yy h:mm", 45: "mm:ss", 49: "@"}
+_MONTH_NAMES = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
+
+
+def _formats(z: zipfile.ZipFile) -> list[str]:
+    """The number format of each cell style."""
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): f.get("formatCode") for f in root.iter(f"{_S}numFmt")}
+    styles = root.find(f"{_S}cellXfs")
+    return [own.get(k) or BUILTIN_FORMATS.get(k, "General") for k in (int(x.get("numFmtId") or 0) for x in (styles if styles is not None else ()))]
+
+
+def shown(number: str, code: str) -> str:
+    """A stored number as its format shows it: dates, times, percentages, fixed and grouped decimals; other formats show it plainly."""
+    try:
+        x = float(number)
+    except ValueError:
+        return number
+    code = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]|_.', lambda m: m[0][1:-1] if m[0][0] == '"' else m[0][1:] if m[0][0] == "\\" else "", code.split(";")[0])
+    if re.search("[dmyhs]", code, re.I) and not re.search("[0#]", code) and code != "General":
+        when = datetime(1899, 12, 30) + timedelta(seconds=round(x * 86400))
+        half = "AM/PM" in code.upper()
+        hour = (when.hour % 12 or 12) if half else when.hour
+        parts = {"yyyy": f"{when.year:04d}", "yy": f"{when.year % 100:02d}", "mmm": _MONTH_NAMES[when.month - 1], "mm": f"{when.month:02d}", "m": str(when.month), "dd": f"{when.day:02d}", "d": str(when.day), "hh": f"{hour:02d}", "h": str(hour), "ss": f"{when.second:02d}", "s": str(when.second), "am/pm": "AM" if when.hour < 12 else "PM"}
+        out, before = "", ""
+        for m in re.finditer(r"am/pm|y+|m+|d+|h+|s+|[^ymdhsa]+|a", code, re.I):
+            k = m[0].lower()
+            if k in ("m", "mm") and (before == "h" or re.match(r"[^ymdh]*s", code[m.end() :], re.I)):
+                out += f"{when.minute:0{len(k)}d}"
+            else:
+                out += parts.get(k) or parts.get({"yyy": "yyyy", "y": "yy"}.get(k, k)) or m[0]
+            before = k[0] if k[0] in "ymdhs" else before
+        return out
+    if m := re.search(r"(#,##)?0(?:\.(0+))?(%?)", code):
+        places = len(m[2] or "")
+        return code[: m.start()] + f"{Decimal(repr(x * (100 if m[3] else 1))).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP):{',' if m[1] else ''}.{places}f}" + m[3] + code[m.end() :]
+    return str(int(x)) if x == int(x) and abs(x) < 1e15 else repr(x)
+
+
 def xlsx_rows(data: bytes) -> list[list[str]]:
     """The first sheet as rows of strings; missing cells are empty."""
     z = zipfile.ZipFile(io.BytesIO(data))
@@ -140,7 +210,8 @@ def xlsx_rows(data: bytes) -> list[list[str]]:
     shared = []
     if "xl/sharedStrings.xml" in names:
         shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_S}si")]
-    sheets = sorted(n for n in names if n.startswith("xl/worksheets/sheet"))
+    sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+    formats = _formats(z) if "xl/styles.xml" in names else []
     if not sheets:
         raise ValueError("the workbook has no sheet")
     rows: list[list[str]] = []
@@ -149,6 +220,11 @@ def xlsx_rows(data: bytes) -> list[list[str]]:
         for k, cell in enumerate(row.iter(f"{_S}c")):
             v, kind = cell.find(f"{_S}v"), cell.get("t")
             text = "".join(t.text or "" for t in cell.iter(f"{_S}t")) if kind == "inlineStr" else shared[int(v.text)] if kind == "s" and v is not None else (v.text or "" if v is not None else "")
+            if kind in (None, "n") and text:
+                style = int(cell.get("s") or 0)
+                text = shown(text, formats[style] if style < len(formats) else "General")
+            elif kind == "b":
+                text = {"1": "TRUE", "0": "FALSE"}.get(text, text)
             cells[_column(cell.get("r")) if cell.get("r") else k] = text
         rows.append([cells.get(i, "") for i in range(max(cells, default=-1) + 1)])
     if not rows:
@@ -159,16 +235,24 @@ def xlsx_rows(data: bytes) -> list[list[str]]:
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """sheet (its path), row, col, header and value of the first sheet of every workbook below `path`."""
+    """sheet (its path), row, col, header, value and error of the first sheet of every workbook below `path`.
+
+    A workbook that can't be read, is empty or has no data is one row with an error.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["sheet", "row", "col", "header", "value", "error"]
         for pdf in batches:
             for p, data in zip(pdf["path"], pdf["content"], strict=True):
-                head, *body = xlsx_rows(bytes(data))
-                yield pd.DataFrame([(p, i, k, h, r[k] if k < len(r) else "") for i, r in enumerate(body) for k, h in enumerate(head)], columns=["sheet", "row", "col", "header", "value"])
+                try:
+                    head, *body = xlsx_rows(bytes(data))
+                except Exception as e:  # noqa: BLE001  a broken file is a row with an error, not a failed job
+                    yield pd.DataFrame([(p, None, None, None, None, str(e) or type(e).__name__)], columns=names)
+                    continue
+                yield pd.DataFrame([(p, i, k, h, r[k] if k < len(r) else "", None) for i, r in enumerate(body) for k, h in enumerate(head)], columns=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
-    return files.mapInPandas(parse, "sheet string, row int, col int, header string, value string")
+    return files.mapInPandas(parse, "sheet string, row int, col int, header string, value string, error string")
 
 
 def xlsx_bytes(headers: list[str], rows: list[list[str]]) -> bytes:

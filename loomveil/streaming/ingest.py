@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from loomveil.functions.redaction import FilterConfig
@@ -31,16 +32,40 @@ def chunk_stream(docs: DataFrame, out: str, checkpoint: str, cfg: search.ChunkCo
     return chunks.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def upsert_stream(docs: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Keep a table of documents current by path and hash: each micro-batch is merged into a new version of it."""
+def upsert_stream(docs: DataFrame, table: str, checkpoint: str, order: str | None = None) -> StreamingQuery:
+    """Keep a table of documents (path, hash, ...) current: each micro-batch is merged into a new version of it.
+
+    Of several rows of one path in a batch the one with the largest `order` counts, then the
+    largest hash. A version is there once its folder has Spark's success mark; a batch that is
+    run again after a failure starts from the version before it and writes the same one. The
+    version before the last is deleted. Reading: `newest_version`.
+    """
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        newest = batch.dropDuplicates(["path"])
-        try:
-            held = spark.read.parquet(f"{table}/v{epoch - 1}")
-        except Exception:  # noqa: BLE001  the first batch finds no table
-            held = newest.limit(0)
+        rank = Window.partitionBy("path").orderBy(*([F.desc(order)] if order else []), F.desc("hash"))
+        newest = batch.withColumn("__n", F.row_number().over(rank)).where("__n = 1").drop("__n")
+        before = newest_version(spark, table, below=epoch)
+        held = spark.read.schema(newest.schema).parquet(f"{table}/v{before}") if before is not None else newest.limit(0)
         files.upsert(held, newest).write.mode("overwrite").parquet(f"{table}/v{epoch}")
+        for old in _versions(spark, table):
+            if before is not None and old < before:
+                path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/v{old}")
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     return docs.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _versions(spark: SparkSession, table: str) -> list[int]:
+    """Versions that were written to their end. Errors other than a missing folder are the caller's."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(table)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(top)]
+    done = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/{n}/_SUCCESS"))
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and done(n))
+
+
+def newest_version(spark: SparkSession, table: str, below: int | None = None) -> int | None:
+    return max((v for v in _versions(spark, table) if below is None or v < below), default=None)
