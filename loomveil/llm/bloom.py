@@ -51,7 +51,8 @@ def build(keys: DataFrame, n: int, rate: float, level: int = 0) -> Filter:
         whole[group.column("cell").to_numpy()] = group.column("bits").to_numpy().astype(np.uint8)
         return pa.table({"segment": group.column("segment").slice(0, 1), "bits": pa.array([whole.tobytes()], pa.binary())})
 
-    merged = keys.select("hash").mapInArrow(cells, "segment long, cell int, bits short").groupBy("segment", "cell").agg(F.bit_or("bits").alias("bits"))
+    # one exchange serves both steps: a segment has at most SEGMENT cells, and repeats are put together in each batch
+    merged = keys.select("hash").mapInArrow(cells, "segment long, cell int, bits short").repartition("segment").groupBy("segment", "cell").agg(F.bit_or("bits").alias("bits"))
     out = np.zeros((m // 8 // SEGMENT + 1) * SEGMENT, np.uint8)
     for row in merged.groupBy("segment").applyInArrow(segment, "segment long, bits binary").collect():
         out[row.segment * SEGMENT : (row.segment + 1) * SEGMENT] = np.frombuffer(row.bits, np.uint8)

@@ -192,7 +192,7 @@ def _sets(group: pa.Table | pa.RecordBatch, n: int) -> Iterator[tuple[int, np.nd
 def close_pairs(pairs: DataFrame, classes: DataFrame, rules: NearRules) -> DataFrame:
     """Those (a, b) of `pairs` whose sketches and sizes allow a link."""
     of = lambda c: classes.select(F.col("cid").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    both = pairs.join(of("b"), "b").join(of("a"), "a")  # pairs come dealt by b
     bins, percent, least_agree = rules.bins, rules.percent, rules.least_agree
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,25 +246,24 @@ def roots_of_trees(parents: DataFrame) -> DataFrame:
     now = scratch.table(parents.select("cid", F.col("parent").alias("root")), "near-roots")
     while True:
         up = now.select(F.col("cid").alias("root"), F.col("root").alias("higher"))
-        following = scratch.table(now.join(up, "root", "left").select("cid", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")), "near-roots")
-        now = following.select("cid", "root")
-        if not following.where("moved").limit(1).count():
+        now, seen = scratch.observed(now.join(up, "root", "left").select("cid", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")), "near-roots", F.count_if("moved").alias("moved"))
+        now = now.select("cid", "root")
+        if not seen["moved"]:
             return now
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(cid, component) of an undirected graph (a, b) of longs: alternating large-star and small-star rounds."""
-    now = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-edges")
-    print_of = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
-    before = print_of(now)
+    """(cid, component) of an undirected graph (a, b) of longs: alternating large-star and small-star rounds, one table each."""
+    of_all = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)")).alias("s"))
+    now, before = scratch.observed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-edges", *of_all)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = scratch.table(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "near-large")
+        # no more rows than edges, so that repeats may wait for the end of the round
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        now = scratch.table(small, "near-edges")
-        after = print_of(now)
+        now, after = scratch.observed(small, "near-edges", *of_all)
         if after == before:
             return now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "cid")
         before = after
@@ -324,7 +323,7 @@ def cluster_links(stars: DataFrame, classes: DataFrame, labels: DataFrame, docs:
     """Verified (a, b) between roots: at least one for each two roots of a cluster that a link joins, directly or through others."""
     n, percent = rules.words, rules.percent
     joined = components(stars.select(F.col("cid").alias("a"), F.col("star").alias("b")))
-    held = stars.select("key", "cid").distinct().join(joined, "cid", "left").join(classes.select("cid", "n_shingles"), "cid").join(labels, "cid", "left")
+    held = stars.select("key", "cid").repartition("cid").distinct().join(joined, "cid", "left").join(classes.select("cid", "n_shingles"), "cid").join(labels, "cid", "left")
     held = held.select("key", "cid", F.coalesce("root", "cid").alias("root"), F.coalesce("component", "cid").alias("cluster"), (F.col("n_shingles") + 32).alias("weight"))
     held = scratch.table(held, "near-clusters")
     blocks = lambda w: F.ceil(w / rules.block_shingles).cast("int")

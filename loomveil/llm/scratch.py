@@ -11,7 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql.types import StructType
 
 _written: list[str] = []
@@ -42,6 +42,12 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, dict]:
+    """table(), and aggregates of its rows taken while it is written. A repeated task may count twice: use them only to ask whether to go on."""
+    seen = Observation(name)
+    return table(df.observe(seen, *metrics), name), seen.get
+
+
 def mark() -> int:
     """How many tables there are; what is written after this can be dropped with `drop_since`."""
     return len(_written)
