@@ -14,8 +14,9 @@ hash, one of them listed) are carried verbatim, as strings, and compared as such
 
 Level 0 is sized for as many false positives as there are listed keys, so the
 cascade takes about n * log2(universe / n) bits. Its size is measured against
-`max_bytes` before it is sent out; beyond it the keys are looked up by a
-distributed join instead, which has no size limit.
+`max_bytes` before it is sent out. Beyond it the keys are dealt to shards by their hash, each
+small enough for a cascade of its own; that is built over its shard's keys alone, asked where
+they are read, and the pages then gather their answers, so the list's size has no limit.
 
 Edge cases: a null URL or one without "://" has an empty host and path and no
 keys. Repeated pages are judged each for itself. Rules given twice must agree.
@@ -39,6 +40,12 @@ from loomveil.llm import bloom, scratch
 from loomveil.llm import bytescan as bs
 
 
+#: Shards get a cascade of at least so many bytes, however small the bound is.
+LEAST_SHARD = 1 << 20
+#: Parts over which the rows of one shard are spread.
+SPREAD = 64
+
+
 @dataclass(frozen=True)
 class Rule:
     host: str
@@ -161,7 +168,7 @@ def judge_urls(pages: DataFrame, rules: Iterable[Rule] | DataFrame, max_bytes: i
     # which listed keys block: a second cascade, whose universe is the list
     blocking = build_cascade(listed.where("action = 'block'"), listed, max_bytes=max_bytes) if cascade else None
     if cascade is None or blocking is None:
-        return _judge_by_join(keyed, listed, default)
+        return _judge_in_shards(keyed, listed, default, max_bytes)
     plain = [(c.levels, c.verbatim) for c in (cascade, blocking)]
     held, token = spark.sparkContext.broadcast(plain), uuid.uuid4().hex
 
@@ -190,9 +197,42 @@ def judge_urls(pages: DataFrame, rules: Iterable[Rule] | DataFrame, max_bytes: i
     return keyed.mapInArrow(run, f"page_id {id_type}, host string, path string, rule string, verdict string")
 
 
-def _judge_by_join(keyed: DataFrame, listed: DataFrame, default: str) -> DataFrame:
-    """For lists whose cascade exceeds the size bound: each page's keys meet the list in a shuffled join."""
+def _judge_in_shards(keyed: DataFrame, listed: DataFrame, default: str, max_bytes: int, shards: int = 0) -> DataFrame:
+    """For lists whose cascade exceeds the size bound: one cascade for each shard of the keys, asked where that shard's keys are read."""
+    spark, bound = keyed.sparkSession, max(max_bytes, LEAST_SHARD)
     rows = scratch.table(keyed.withColumn("row", F.expr("uuid()")), "url-rows")
-    hits = rows.select("row", F.posexplode("keys").alias("pos", "k")).select("row", "pos", "k.key").join(listed.select("key", "action").distinct(), "key")
-    best = hits.groupBy("row").agg(F.min_by(F.struct("key", "action"), "pos").alias("b"))
-    return rows.join(best, "row", "left").select("page_id", "host", "path", F.translate("b.key", "\t", "").alias("rule"), F.coalesce("b.action", F.lit(default)).alias("verdict"))
+    listed = scratch.table(listed.select("key", "hash", "action").distinct(), "url-list")
+    keys = rows.select("row", F.posexplode("keys").alias("pos", "k")).select("row", "pos", "k.key", "k.hash")
+    if not shards:
+        n = max(listed.count(), 1)
+        total = max(keys.agg(F.approx_count_distinct("hash")).first()[0], n)
+        shards = max(2, math.ceil(bloom.bits_needed(n, min(0.5, n / (total * math.sqrt(2)))) / 4 / bound))
+    shard = F.pmod("hash", F.lit(shards)).cast("int").alias("shard")
+    # dealt by shard and row, so that a key of many pages spreads; a shard's keys are folders of their own
+    dealt = keys.select("*", shard).repartition("shard", F.pmod(F.xxhash64("row"), F.lit(SPREAD)))
+    path = scratch.new_path(spark, "url-keys")
+    dealt.write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    stored = spark.read.schema(dealt.schema).parquet(path)
+    found: DataFrame | None = None
+    for k in range(shards):
+        own, names = stored.where(F.col("shard") == k), listed.where(shard == k)
+        inner = build_cascade(names, own, max_bytes=bound)
+        block = build_cascade(names.where("action = 'block'"), names, max_bytes=bound) if inner else None
+        if inner is None or block is None:
+            return _judge_in_shards(keyed, listed, default, max_bytes, 2 * shards)
+        held = spark.sparkContext.broadcast([(c.levels, c.verbatim) for c in (inner, block)])
+
+        def ask(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            inner, block = (Cascade(*x) for x in held.value)
+            for batch in batches:
+                on = inner.contains(batch.column("hash").to_numpy().view(np.uint64), batch.column("key"))
+                hit = batch.filter(pa.array(on))
+                blocks = block.contains(hit.column("hash").to_numpy().view(np.uint64), hit.column("key"))
+                yield pa.RecordBatch.from_arrays([hit.column("row"), hit.column("pos"), hit.column("key"), pa.array(blocks)], ["row", "pos", "key", "blocks"])
+
+        hits = scratch.table(own.select("row", "pos", "key", "hash").mapInArrow(ask, "row string, pos int, key string, blocks boolean"), "url-hits")
+        held.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    best = found.groupBy("row").agg(F.min_by(F.struct("key", "blocks"), "pos").alias("b"))
+    verdict = F.when(F.col("b").isNull(), F.lit(default)).when(F.col("b.blocks"), F.lit("block")).otherwise(F.lit("allow"))
+    return rows.join(best, "row", "left").select("page_id", "host", "path", F.translate("b.key", "\t", "").alias("rule"), verdict.alias("verdict"))
