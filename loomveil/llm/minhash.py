@@ -26,7 +26,8 @@ Links, without all pairs of a bucket:
    outside a cluster's most common root meet all others, by their full sets. One link for
    each two trees leaves the task. A cluster of more than `most_blocks` blocks is dealt
    bucket by bucket instead: no bucket is capped and no link between trees is lost.
-4. merged roots are components by large-star/small-star rounds.
+4. merged roots are components by large-star/small-star rounds, in which ends of many
+   links are split.
 
 Exact checks stream: texts are sorted behind their centre's text, and a task holds
 one centre's shingles at a time; hot centres are salted. What is compared are the
@@ -252,17 +253,42 @@ def roots_of_trees(parents: DataFrame) -> DataFrame:
             return now
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(cid, component) of an undirected graph (a, b) of longs: alternating large-star and small-star rounds, one table each."""
+#: Hot ends of links are sent out, this many at most.
+HOT_ENDS = 100_000
+
+
+def _with_least(rows: DataFrame, least: DataFrame, most: int) -> DataFrame:
+    """`rows` (a, b) with the m of `least` (a, m, n), a written table; ends of more than `most` links don't meet them by a shuffle."""
+    hot = F.broadcast(least.where(F.col("n") > most).select("a", F.col("m").alias("hot")))
+    met = rows.join(hot, "a", "left")
+    cold = met.where("hot is null").select("a", "b").join(least.select("a", "m"), "a")
+    return met.where("hot is not null").select("a", "b", F.col("hot").alias("m")).unionByName(cold)
+
+
+def components(edges: DataFrame, rows_per_end: int = 2000) -> DataFrame:
+    """(cid, component) of an undirected graph (a, b) of longs: alternating large-star and small-star rounds.
+
+    Ends of more than `rows_per_end` links (of more, where the links are so many that more than `HOT_ENDS` ends
+    could have that) are split: their links stay where they are, and the ends' least neighbours come to them.
+    """
     of_all = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)")).alias("s"))
     now, before = scratch.observed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-edges", *of_all)
     while True:
+        # 2 * n ends of links, so that at most HOT_ENDS keys have more than this
+        most = max(rows_per_end, -(-2 * before["n"] // HOT_ENDS))
+        split = before["n"] > most  # no end has more links than there are
+
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
         # no more rows than edges, so that repeats may wait for the end of the round
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        if split:
+            least = scratch.table(least, "near-least")
+        upper = both.where("b > a")
+        large = (_with_least(upper, least, most) if split else upper.join(least, "a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        if split:
+            least = scratch.table(least, "near-least")
+        small = (_with_least(large, least, most) if split else large.join(least, "a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         now, after = scratch.observed(small, "near-edges", *of_all)
         if after == before:
             return now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "cid")
@@ -322,7 +348,7 @@ def close_clusters(keys: DataFrame, classes: DataFrame, labels: DataFrame, rules
 def cluster_links(stars: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, rules: NearRules) -> DataFrame:
     """Verified (a, b) between roots: at least one for each two roots of a cluster that a link joins, directly or through others."""
     n, percent = rules.words, rules.percent
-    joined = components(stars.select(F.col("cid").alias("a"), F.col("star").alias("b")))
+    joined = components(stars.select(F.col("cid").alias("a"), F.col("star").alias("b")), rules.rows_per_salt)
     held = stars.select("key", "cid").repartition("cid").distinct().join(joined, "cid", "left").join(classes.select("cid", "n_shingles"), "cid").join(labels, "cid", "left")
     held = held.select("key", "cid", F.coalesce("root", "cid").alias("root"), F.coalesce("component", "cid").alias("cluster"), (F.col("n_shingles") + 32).alias("weight"))
     held = scratch.table(held, "near-clusters")
@@ -375,12 +401,12 @@ def cluster_links(stars: DataFrame, classes: DataFrame, labels: DataFrame, docs:
     return rows.groupBy("kind", "at", "x", "y").applyInArrow(check, "a long, b long").distinct()
 
 
-def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+def merged(labels: DataFrame, links: DataFrame, rows_per_end: int) -> DataFrame:
     """(cid, root) after joining the trees that links connect."""
     root = lambda c: F.coalesce(F.col(f"{c}_root"), F.col(c))
     of = lambda c: labels.select(F.col("cid").alias(c), F.col("root").alias(f"{c}_root"))
     lifted = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(root("a").alias("a"), root("b").alias("b"))
-    joined = scratch.table(components(lifted), "near-components")
+    joined = scratch.table(components(lifted, rows_per_end), "near-components")
     tops = labels.join(joined.withColumnRenamed("cid", "root"), "root", "left").select("cid", F.coalesce("component", "root").alias("root"))
     return scratch.table(tops.unionByName(joined.join(labels, "cid", "left_anti").select("cid", F.col("component").alias("root"))), "near-labels")
 
@@ -405,12 +431,13 @@ def component_rows(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame
     stars = scratch.table(close_clusters(shared.select("key", "cid"), classes, labels, rules), "near-stars")
     links = scratch.table(cluster_links(stars, classes, labels, docs, rules), "near-links")
     if links.limit(1).count():
-        labels = merged(labels, links)
+        labels = merged(labels, links, rules.rows_per_salt)
     tops = labels.withColumnRenamed("root", "top")
     # the least id of each component of several classes
     named = tops.select("cid", "top").unionByName(tops.select(F.col("top").alias("cid"), "top")).distinct()
     few = classes.select("cid", "node", "least")
-    ids = named.join(few, "cid").groupBy("top").agg(F.min("least").alias("component_id"))
+    # a table of its own, so that a large component's classes can be split when they meet its id
+    ids = scratch.table(named.join(few, "cid").groupBy("top").agg(F.min("least").alias("component_id")), "near-least-ids")
     many = scratch.table(named.join(ids, "top"), "near-ids")
     found = few.join(many, "cid", "left").select("node", F.coalesce("top", "cid").alias("top"), F.when(F.col("top").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     out = sketched.select("doc_id", "rid", "n_shingles", "node").join(found, "node", "left")

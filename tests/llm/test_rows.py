@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomveil.llm import bloom, bytescan, chatfmt, decontam, linededup, minhash, packing, quality, queries, scratch, sharding, surrogates, urlfilter, warc
-from tests.llm.test_llm import WORDS, base, low, prose
+from tests.llm.test_llm import WORDS, base, judged, low, prose
 
 KEY = surrogates.SurrogateRules(key=b"test")
 
@@ -43,6 +43,15 @@ def test_urls_with_many_shapes_long_paths_and_further_columns(spark):
     assert urlfilter.judge_urls(pages, [rules[0]]).where("rule is not null").count() == 1
 
 
+def test_lists_beyond_the_bound_go_by_shards(spark, monkeypatch):
+    rules = [urlfilter.Rule(f"h{i}.com", f"/{'a' * (i % 5)}", "block" if i % 3 else "allow") for i in range(400)]
+    rows = [(i % 1500 if i % 7 else None, f"http://w.h{i % 900 if i % 3 else 0}.com/{'a' * (i % 6)}{i}") for i in range(1800)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    exp = collections.Counter((i, *judged(u, rules)) for i, u in rows)
+    monkeypatch.setattr(urlfilter, "LEAST_SHARD", 300)
+    assert collections.Counter(map(tuple, urlfilter.judge_urls(pages, rules, max_bytes=300).collect())) == exp
+
+
 def test_keys_with_one_hash_are_told_apart(spark):
     u = spark.createDataFrame([("a", 7), ("b", 7), ("c", 8)], "key string, hash long")
     c = urlfilter.build_cascade(u.where("key = 'a'"), u, max_levels=4)
@@ -179,6 +188,28 @@ def test_rows_without_ids_and_hot_families(spark):
     assert minhash.without_near_duplicates(blank).count() == 4 and minhash.without_near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rows_per_end", [5, 10**6])
+def test_components_with_hot_ends(spark, rows_per_end):
+    """Stars whose centre is the least, the largest or neither, chains of stars, loops and repeated links."""
+    r = random.Random(3)
+    edges = [(1, k) for k in range(2, 60)] + [(200, k) for k in range(140, 200)] + [(300 + k, 330) for k in range(60)] + [(59, 140), (400, 401), (401, 400), (402, 402)]
+    edges += [(500 + k, 501 + k) for k in range(12)] + [(r.randrange(600, 700), r.randrange(600, 700)) for _ in range(70)]
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((top(a), top(b)))
+            up[b] = a
+    got = {x.cid: x.component for x in minhash.components(spark.createDataFrame(edges, "a long, b long"), rows_per_end).collect()}
+    assert got == {x: top(x) for x in got} and {x for x in up if top(x) != x} <= set(got)
+    assert minhash.components(spark.createDataFrame([], "a long, b long"), rows_per_end).count() == 0
+
+
 # --- 8 -----------------------------------------------------------------------------------------
 
 
