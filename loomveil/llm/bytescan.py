@@ -79,7 +79,10 @@ class Texts:
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of all words, and where each text's words begin among them."""
-        solid = ~self.space[self.buf]
+        return self.stretches(~self.space[self.buf])
+
+    def stretches(self, solid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of all stretches of flagged bytes, none across texts, and where each text's begin among them."""
         edge = np.zeros(len(self.buf) + 1, bool)
         edge[self.off] = True
         begins, ends = solid.copy(), solid
@@ -165,3 +168,26 @@ def slices(column: pa.Array, most: int = MAX_BYTES) -> Iterator[Texts]:
         j = max(i + 1, int(np.searchsorted(off, off[i] + most, side="right")) - 1)
         yield Texts(buf[off[i] : off[j]], off[i : j + 1] - off[i], i)
         i = j
+
+
+def joined(t: Texts, start: np.ndarray, end: np.ndarray, first: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of each text's kept words joined by one space, the texts' offsets in them and the kept words' starts."""
+    at = np.flatnonzero(keep)
+    n = np.searchsorted(at, first)  # kept words before each text's
+    start, end = start[at], end[at]
+    more = np.ones(len(at), bool)
+    more[n[1:][np.diff(n) > 0] - 1] = False  # no space behind a text's last kept word
+    flag = np.zeros(len(t.buf) + 1, np.int8)
+    flag[start] = 1
+    flag[end] -= 1
+    inside = np.cumsum(flag[:-1], dtype=np.int8).view(bool)
+    # a word with another behind it in its text is followed by white space
+    out, gap = t.buf.copy(), end[more]
+    out[gap], inside[gap] = 0x20, True
+    begin = np.concatenate([[0], np.cumsum(end - start + more)])
+    return out[inside], begin[n], begin[:-1]
+
+
+def as_strings(buf: np.ndarray, off: np.ndarray) -> pa.Array:
+    """Texts from UTF-8 bytes and offsets."""
+    return pa.Array.from_buffers(pa.large_string(), len(off) - 1, [None, pa.py_buffer(np.ascontiguousarray(off, np.int64).tobytes()), pa.py_buffer(buf.tobytes())])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomveil.llm import chatfmt, decontam, linededup, minhash, packing, quality, scratch, sharding, surrogates, urlfilter, warc
+from loomveil.llm import chatfmt, decontam, divergence, linededup, minhash, packing, periods, quality, repeats, scratch, sharding, surrogates, urlfilter, warc
 
 URL_RULES = (
     urlfilter.Rule("com", "/en/", "block"),
@@ -70,13 +70,26 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace_pii(read(spark, sf_dir, "documents"), rules).select("doc_id", "text", "n_entities", "kinds")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digest(periods.with_periods(read(spark, sf_dir, "documents")))
+
+
+def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(read(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_url_cascade, op2_quality_ratio, op3_byte_shards, op4_line_dedup, op5_preferences, op6_warc_chain, op7_near_dedup, op8_vector_packing, op9_template_leaks, op10_surrogates)
+    made = (op1_url_cascade, op2_quality_ratio, op3_byte_shards, op4_line_dedup, op5_preferences, op6_warc_chain, op7_near_dedup, op8_vector_packing, op9_template_leaks, op10_surrogates, op11_periodic_runs, op12_repeated_passages, op13_source_divergence)
     return {f.__name__: f for f in made}
 
 
 _HOST = r"translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = r"coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '')"
+_WORD, _TERM = r"[^\x20\x09-\x0D]+", r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLES = {
@@ -129,6 +142,50 @@ ORACLES = {
         select page_id, payload_bytes, payload_digest,
                case when payload_bytes >= 1000 and page_id <> top then 'revisit' else 'response' end as record_type,
                case when payload_bytes >= 1000 and page_id <> top then top end as refers_to from d""",
+    "op11_periodic_runs": rf"""
+        with rows as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as w, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint) as id from documents),
+        hashed as (select r, doc_id, w, len(w) as n, coalesce(xor(4294967295, list_reduce(list_prepend(4294967295, id), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))), 1) as h from rows),
+        placed as (select *, case when h % 10 = 0 and n > 0 then (h // 10) % n end as a from hashed),
+        paced as (select *, 1 + (n - a) // (3 + (h // 10) % 8) as p from placed),
+        docs as (select r, doc_id, n, case when a is null then w else list_transform(range(0, n), lambda i: w[1 + case when i >= a then a + (i - a) % p else i end]) end as w from paced),
+        words as (select r, n, unnest(w) as v, generate_subscripts(w, 1) - 1 as i from docs),
+        grams as (select r, n, i, md5(v || ' ' || lead(v, 1) over o || ' ' || lead(v, 2) over o || ' ' || lead(v, 3) over o || ' ' || lead(v, 4) over o) as g from words window o as (partition by r order by i)),
+        again as (select a.r, b.i - a.i as q, a.i from grams a join grams b on a.r = b.r and a.g = b.g and a.i < b.i and 4 * (b.i - a.i) <= a.n),
+        islands as (select *, i - row_number() over (partition by r, q order by i) as island from again),
+        found as (select r, q, min(i) as s, count(*) + 4 + q as l from islands group by r, q, island having count(*) + 4 + q >= greatest(6, 4 * q)),
+        runs as (select r, s, l, min(q) as q from found group by r, s, l),
+        gone as (select distinct r, unnest(range(s + q, s + l)) as i from runs),
+        left_over as (select w.r, string_agg(v, ' ' order by i) as t from words w anti join gone using (r, i) group by w.r),
+        per as (select r, count(*) as n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' order by s, q) as t from runs group by r),
+        best as (select * from runs qualify row_number() over (partition by r order by l / q desc, s, q) = 1)
+        select doc_id, coalesce(n_runs, 0)::bigint as n_runs, s::bigint as start, l::bigint as length, q::bigint as period, (1000 * l // q)::bigint as exponent_milli,
+               sha256(coalesce(per.t, '')) as runs_sha256, sha256(coalesce(left_over.t, '')) as collapsed_sha256
+        from docs left join per using (r) left join best using (r) left join left_over using (r)""",
+    "op12_repeated_passages": rf"""
+        with rows as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as w from documents),
+        spots as (select r, unnest(range(1, len(w) - 33)) as i, w from rows where len(w) >= 35),
+        windows as (select r, i, md5(array_to_string(w[i:i + 34], ' ')) as k from spots),
+        twice as (select k from windows group by k having count(*) > 1),
+        gone as (select distinct r, unnest(range(i, i + 35)) as i from windows where k in (select k from twice)),
+        per as (select r, list(i) as gone, count(*) as n from gone group by r),
+        kept as (select rows.*, per.n, list_filter(range(1, len(w) + 1), lambda i: not list_contains(coalesce(gone, []), i)) as stay from rows left join per using (r))
+        select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(array_to_string(list_transform(stay, lambda i: w[i]), ' '), '')) as kept_sha256 from kept""",
+    "op13_source_divergence": rf"""
+        with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+        found as (select r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')) as term from d),
+        kept as (select lang, term, count(*) as n from found group by lang, term having count(distinct r) >= 30),
+        counts as (select lang, source, term, count(*) as n from found semi join kept using (lang, term) group by lang, source, term),
+        grp as (select distinct lang, source from d),
+        lsize as (select lang, sum(n) as total, count(*) as v from kept group by lang),
+        gsize as (select g.lang, g.source, coalesce(sum(c.n), 0) as total from grp g left join counts c using (lang, source) group by g.lang, g.source),
+        p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (g.total + 5 * l.v) as p, 1 + (1000000000::hugeint * (k.n + 5)) // (l.total + 5 * l.v) as q
+              from gsize g join lsize l using (lang) join kept k using (lang) left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+        far as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source),
+        every as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+                  from grp a join grp b on a.lang = b.lang and a.source <> b.source left join far f on f.lang = a.lang and f.source = a.source and f.item = b.source
+                  union all select lang, source, 'term', term, p - q from p where n > 0 and p > q),
+        ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from every)
+        select lang, source, part, item, value::bigint as value, rank::int as rank from ranked where part = 'pair' or rank <= 50""",
     "op7_near_dedup": r"""
         with recursive rows as (select row_number() over () as r, doc_id,
             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
