@@ -8,6 +8,7 @@ case means A-Z only, as all word operators here define them.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Iterator
 
@@ -15,7 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MAX_BYTES = 2_000_000
+#: Bytes of text that are looked at together; what a scan holds is some ten times as much.
+MAX_BYTES = 1_000_000
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _P, _P_INV = np.uint64(0xD1342543DE82EF95), np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
@@ -109,6 +111,14 @@ def process_store() -> dict:
     return sys.__dict__.setdefault("_loomveil_store", {})
 
 
+def release() -> None:
+    """Give memory that earlier tasks of this worker have freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier and of its inverse modulo 2^64, for 0 to n."""
     kept = process_store()

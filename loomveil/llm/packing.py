@@ -52,6 +52,10 @@ from loomveil.llm import bytescan as bs
 from loomveil.llm import scratch
 
 
+#: Pieces of text that are encoded at once.
+ENCODED = 2048
+
+
 @dataclass(frozen=True)
 class PackRules:
     capacity: int = 2048
@@ -98,6 +102,12 @@ class TokenTable:
     def clear(self) -> None:
         self.keys, self.begin, self.count, self.ids, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
 
+    def _append(self, ids: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(ids), len(self.ids)), np.uint32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
     def look_up(self, h: np.ndarray, t: bs.Texts, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each piece's ids begin in self.ids, and how many there are."""
         order = np.argsort(h)
@@ -111,14 +121,13 @@ class TokenTable:
         if new.any():
             example = order[head][new]
             raw = t.buf.tobytes()
-            got = self.encode([raw[a:b].decode() for a, b in zip(start[example].tolist(), end[example].tolist(), strict=True)])
-            count = np.fromiter(map(len, got), np.int64, len(got))
-            total = int(count.sum())
-            if self.used + total > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(total, len(self.ids)), np.uint32)])
-            self.ids[self.used : self.used + total] = np.fromiter((x for g in got for x in g), np.uint32, total)
-            begin = self.used + np.cumsum(count) - count
-            self.used += total
+            count = np.zeros(len(example), np.int64)
+            for k in range(0, len(example), ENCODED):  # an encoding is many times larger than its ids
+                part = example[k : k + ENCODED]
+                got = self.encode([raw[a:b].decode() for a, b in zip(start[part].tolist(), end[part].tolist(), strict=True)])
+                count[k : k + ENCODED] = np.fromiter(map(len, got), np.int64, len(got))
+                self._append(np.fromiter((x for g in got for x in g), np.uint32))
+            begin = self.used - np.cumsum(count[::-1])[::-1]
             k = np.concatenate([self.keys, keys[new]])
             o = np.argsort(k, kind="stable")
             self.keys, self.begin, self.count = k[o], np.concatenate([self.begin, begin])[o], np.concatenate([self.count, count])[o]
@@ -173,6 +182,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, rules: PackRules = PackRu
     token, cap, end_id, most = uuid.uuid4().hex, rules.capacity, rules.end_id, rules.table_entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bs.release()
         kept = bs.process_store()
         if kept.get("tokens-of") != token:
             kept["tokens-of"], kept["tokens"] = token, TokenTable(load_encoder(vocabulary.value), most, added_strings(vocabulary.value))

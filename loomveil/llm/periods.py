@@ -19,7 +19,7 @@ long and at least `min_exponent` periods, that no neighbouring word extends.
    and where prefix hashes lied it is measured again without them.
 
 Words are compared by 64-bit hashes. Each row is judged by itself; no rows meet, and
-nothing is shuffled. A task holds a batch of at most 2 MB of texts, or one longer text.
+nothing is shuffled. A task holds a batch of at most 1 MB of texts, or one longer text.
 
 Edge cases: null, empty and blank texts have no words and no runs, and collapse to the
 empty text. Repeated rows get equal results each. Columns of the caller's named runs or
