@@ -161,10 +161,15 @@ def title_of(x: Column) -> Column:
     return F.when(F.length(t) > 50, F.concat(F.substring(t, 1, 47), F.lit("..."))).otherwise(t)
 
 
+def common(x: Column) -> Column:
+    """Whether a word is too common for a name, in any letter case."""
+    return F.lower(x).isin(*fx.COMMON_WORDS)
+
+
 def likely_surname(x: Column) -> Column:
     low = F.lower(x)
     ends, starts = "|".join(fx.SURNAME_ENDINGS), "|".join(fx.SURNAME_STARTS)
-    return (F.length(x) >= 3) & ~low.isin(*fx.COMMON_WORDS) & (low.rlike(f"(?:{ends})$") | ((F.length(x) > 5) & low.rlike(f"^(?:{starts})")))
+    return (F.length(x) >= 3) & ~common(x) & (low.rlike(f"(?:{ends})$") | ((F.length(x) > 5) & low.rlike(f"^(?:{starts})")))
 
 
 def known_first(word: Column, names: tuple[str, ...]) -> Column:

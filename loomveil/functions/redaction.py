@@ -6,6 +6,7 @@ Offsets are code points of the original text.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
@@ -38,40 +39,68 @@ class Match:
 
 # --- normalisation -------------------------------------------------------------------------
 
-#: What normalisation takes out: words broken at line ends, invisible characters, and runs of blanks.
-_EVENT = re.compile(rf"(?<=[{fx.LOW}])-[ \t]*\n[ \t]*(?=[{fx.LOW}])|[{fx.INVISIBLE}]|[\t \u00a0]+")
+#: What normalisation changes: words broken at line ends, and stretches of blanks and invisible characters but for a lone blank.
+_EVENT = re.compile(rf"(?<=[{fx.LOW}])-[ \t]*\n[ \t]*(?=[{fx.LOW}])|[\t \u00a0{fx.INVISIBLE}]{{2,}}|[\t\u00a0{fx.INVISIBLE}]")
+_BLANK = re.compile(r"[\t \u00a0]")
 _BOUNDARY = re.compile(rf"(?<=[{fx.LOW}0-9])(?=[A-ZÀ-Ý])")
 
 
-def normalised(text: str) -> tuple[str, list[int]]:
-    """Text as detectors see it, and where each of its characters is in `text` (-1: inserted)."""
-    out, at, upto, blank = [], [], 0, False
+class Places:
+    """Where stretches of the normalised text are in the original one; what is between them was put in."""
+
+    def __init__(self, starts: list[int], origins: list[int], lengths: list[int]):
+        self.starts, self.origins, self.lengths = starts, origins, lengths
+
+    def of(self, start: int, end: int) -> tuple[int, int] | None:
+        """A span of the normalised text in the original one; what was put in at its ends is left out."""
+        k = max(bisect_right(self.starts, start) - 1, 0)
+        while k < len(self.starts) and self.starts[k] + self.lengths[k] <= start:
+            k += 1
+        if k == len(self.starts) or self.starts[k] >= end:
+            return None
+        first = self.origins[k] + max(start - self.starts[k], 0)
+        k = bisect_left(self.starts, end) - 1
+        return first, self.origins[k] + min(end - self.starts[k], self.lengths[k])
+
+
+def normalised(text: str) -> tuple[str, Places]:
+    """Text as detectors see it, and where its characters are in `text`."""
+    pieces, at, upto = [], [], 0  # stretches of `text` that stay, one after another
     for m in _EVENT.finditer(text):
         a, b = m.span()
-        if a > upto:
-            out.append(text[upto:a])
-            at += range(upto, a)
-            blank = False
-        if text[a] in "\t \u00a0" and not blank:
-            out.append(" ")
-            at.append(a)
-            blank = True
+        blank = None if text[a] == "-" else _BLANK.search(text, a, b)
+        pieces.append(text[upto:a])
+        at.append(upto)
+        if blank:
+            pieces.append(" ")
+            at.append(blank.start())
         upto = b
-    out.append(text[upto:])
-    at += range(upto, len(text))
-    clean = "".join(out)
-    places = [m.start() for m in _BOUNDARY.finditer(clean)]
-    if not places:
-        return clean, at
-    cuts = list(zip([0, *places], [*places, len(clean)], strict=True))
-    whole = [x for a, b in cuts for x in (-1, *at[a:b])]
-    return " ".join(clean[a:b] for a, b in cuts), whole[1:]
-
-
-def mapped_back(start: int, end: int, at: list[int]) -> tuple[int, int] | None:
+    pieces.append(text[upto:])
+    at.append(upto)
+    clean = "".join(pieces)
+    cuts = [m.start() for m in _BOUNDARY.finditer(clean)]
+    starts, origins, lengths, begin, shift, i = [], [], [], 0, 0, 0
+    for piece, origin in zip(pieces, at, strict=True):
+        end, here = begin + len(piece), begin
+        while i < len(cuts) and cuts[i] < end:  # a blank comes in before that character
+            if cuts[i] > here:
+                starts.append(here + shift)
+                origins.append(origin + here - begin)
+                lengths.append(cuts[i] - here)
+            here, shift, i = cuts[i], shift + 1, i + 1
+        if end > here:
+            starts.append(here + shift)
+            origins.append(origin + here - begin)
+            lengths.append(end - here)
+        begin = end
+    if cuts:
+        clean = " ".join(clean[a:b] for a, b in zip([0, *cuts], [*cuts, len(clean)], strict=True))
+    return clean, Places(starts, origins, lengths)
+
+
+def mapped_back(start: int, end: int, at: Places) -> tuple[int, int] | None:
     """A span of the normalised text in the original one; inserted blanks at its ends are left out."""
-    own = [p for p in at[start:end] if p >= 0]
-    return (own[0], own[-1] + 1) if own else None
+    return at.of(start, end)
 
 
 # --- detectors -----------------------------------------------------------------------------
@@ -100,6 +129,9 @@ PATTERNS: dict[str, list[re.Pattern]] = {
     "postcode": [re.compile(rf"\b\d{{4}}[{_W}]?[A-Z]{{2}}\b", _A)],
     "address": [re.compile(rf"\b[A-Z][a-zéèêëïöüà]+(?:[{_W}][a-z]+)*(?:{'|'.join(fx.STREETS)})[{_W}]+\d{{1,5}}[{_W}]?[a-zA-Z]?(?:[{_W}]?(?:bis|hs))?\b", _A)],
 }
+#: All types but these two have a digit.
+_WITHOUT_DIGITS = ("name", "email")
+_DIGIT = re.compile(r"\d", _A)
 _BSN_WORD = re.compile(r"\bbsn\b|burgerservicenummer", _A)
 _NUMERIC_DATE = re.compile(r"(\d{1,2})[-/.](\d{1,2})[-/.](\d{2,4})", _A)
 _DASHES = str.maketrans({"–": "-", "—": "-", "−": "-"})
@@ -134,6 +166,8 @@ def detect(text: str, kind: str, lexicon: Lexicon) -> list[tuple[int, int]]:
     """Spans of one type in normalised text."""
     if kind == "name":
         return detect_names(text, lexicon)
+    if kind not in _WITHOUT_DIGITS and not _DIGIT.search(text) or kind == "email" and "@" not in text:
+        return []
     seen = text.translate(_DASHES) if kind == "phone" else text
     return [m.span() for p in PATTERNS[kind] for m in p.finditer(seen) if _accepted(kind, seen, m)]
 

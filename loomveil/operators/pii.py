@@ -14,7 +14,7 @@ from pyspark.sql.types import IntegralType
 from loomveil.functions import columns as c
 from loomveil.functions import fixed as fx
 from loomveil.functions import redaction as r
-from loomveil.functions.names import Lexicon
+from loomveil.functions.names import LABEL_PARTICLES, Lexicon
 
 MATCHES = "array<struct<placeholder:string,original:string,type:string,start_offset:int,end_offset:int>>"
 _PA_MATCHES = pa.list_(pa.struct([("placeholder", pa.string()), ("original", pa.string()), ("type", pa.string()), ("start_offset", pa.int32()), ("end_offset", pa.int32())]))
@@ -128,21 +128,47 @@ def uncovered_spans(spans: DataFrame, others: DataFrame) -> DataFrame:
     return spans.join(held, (F.col("doc_id") == F.col("__doc")) & (F.col("start_offset") < F.col("__end")) & (F.col("end_offset") > F.col("__start")), "left_anti")
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph (from 0), p_start and p_end of the stretches of each text between blank lines."""
-    pieces = F.split("text", "\n\n")
+def paragraphs(docs: DataFrame, between: str = "\n\n") -> DataFrame:
+    """doc_id, paragraph (from 0), p_start and p_end of the stretches of each text between blank lines, or between another string."""
+    pieces = F.split("text", F.concat(F.lit("\\Q"), F.lit(between), F.lit("\\E")))
     lengths = F.transform(pieces, F.length)
-    ends = F.aggregate(lengths, F.array().cast("array<int>"), lambda acc, n: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)) + 2, F.lit(0)) + n))
+    ends = F.aggregate(lengths, F.array().cast("array<int>"), lambda acc, n: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)) + len(between), F.lit(0)) + n))
     rows = docs.select("doc_id", F.posexplode(F.arrays_zip(ends.alias("e"), lengths.alias("n"))).alias("paragraph", "x"))
     return rows.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), (F.col("x.e") - F.col("x.n")).cast("long").alias("p_start"), F.col("x.e").cast("long").alias("p_end"))
 
 
-def in_paragraphs(spans: DataFrame, docs: DataFrame) -> DataFrame:
+def in_paragraphs(spans: DataFrame, docs: DataFrame, between: str = "\n\n") -> DataFrame:
     """`spans` with the paragraph of their document that holds them whole; those across two are left out."""
-    held = paragraphs(docs).withColumnRenamed("doc_id", "__doc")
+    held = paragraphs(docs, between).withColumnRenamed("doc_id", "__doc")
     return spans.join(held, (F.col("doc_id") == F.col("__doc")) & (F.col("start_offset") >= F.col("p_start")) & (F.col("end_offset") <= F.col("p_end"))).drop("__doc")
 
 
+def without_words(matches: DataFrame, words: DataFrame) -> DataFrame:
+    """`matches` (original, ...) without those that equal one of `words` (original), in any letter case."""
+    return matches.join(words.select(F.lower("original").alias("__word")).distinct(), F.lower("original") == F.col("__word"), "left_anti")
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no (from 0), line and the previous line of all lines; a text's lines stay together, so nothing is shuffled."""
+    lines = F.split("text", "\n")
+    rows = docs.select("doc_id", lines.alias("l")).select("doc_id", "l", F.posexplode("l").alias("at", "line"))
+    return rows.select("doc_id", F.col("at").cast("long").alias("line_no"), "line", F.get("l", F.col("at") - 1).alias("previous"))
+
+
+def speaker_lines(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """doc_id, line_no and line of labels: a first line, or one after a clock, of two to five name-like words with a known or likely name.
+
+    The lists are expressions of the plan, so they are meant to be short; the exact filter takes long ones.
+    """
+    blank = f"[{fx.WS}]+"
+    line, words = c.trimmed(F.col("line")), F.split(c.trimmed(F.col("line")), blank)
+    after = F.col("previous").isNull() | c.trimmed(F.col("previous")).rlike("^[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?$")
+    name_like = lambda w: w.rlike(f"^[{fx.CAP}]") | F.lower(w).isin(*LABEL_PARTICLES.split("|")) | (w == "-")
+    known = lambda w: c.known_first(w, tuple(sorted(lexicon.first | lexicon.more))) | c.known_last(w, tuple(sorted(lexicon.last)))
+    fits = line.rlike(f"^[{fx.CAP}]") & ~line.rlike(r"[.!?;]\z") & F.size(words).between(2, 5) & F.forall(words, name_like) & F.exists(words, known)
+    return lines_of(docs).where(after & fits).select("doc_id", "line_no", "line")
+
+
 def safe_matches(matches: Column) -> Column:
     """Matches without what they matched."""
     return F.transform(matches, lambda m: F.struct(m["placeholder"].alias("placeholder"), F.lit("[VERWIJDERD]").alias("original"), m["type"].alias("type"), F.lit(0).alias("start_offset"), F.lit(0).alias("end_offset")))

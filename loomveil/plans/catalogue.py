@@ -8,18 +8,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomveil.functions import columns as c
 from loomveil.functions import fixed as fx
-from loomveil.functions.names import _speakers as speakers
 from loomveil.functions.redaction import FilterConfig
 from loomveil.operators import chat, pii, search
-from loomveil.plans import golden
+from loomveil.operators.layout import spread
+from loomveil.plans import planted
 from loomveil.sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,49 +162,64 @@ for _n in _RE2_PHONES:
     _detect_phone(_n)
 
 
-# --- the document with everything in it ----------------------------------------------------
+# --- notes with personal data at known places ----------------------------------------------
 
-_TEXT = golden.TEXT.replace("'", "''")
-_GOLDEN = "g(type, number, s, e) as (values " + ", ".join(map(str, golden.MATCHES)) + f"), t as (select '{_TEXT}' as text), m as (select type, number, s, e, substr(text, s + 1, e - s) as original from g, t)"
 
+def _planted(spark: SparkSession, sf: str, config: FilterConfig = planted.CONFIG) -> DataFrame:
+    return pii.filter_documents(planted.notes(spread(read(spark, sf, "customer"))), config)
 
-def _golden(spark: SparkSession, **changes) -> DataFrame:
-    d = spark.createDataFrame([(0, golden.TEXT)], "doc_id long, text string")
-    return pii.filter_documents(d, FilterConfig(**changes))
 
+@query(f"with {planted.SQL} select * from hit")
+def filter_planted(spark: SparkSession, sf: str) -> DataFrame:
+    """All matches of all types with their numbers, names among them."""
+    return pii.exploded(_planted(spark, sf))
 
-@query(f"with {_GOLDEN} select '[' || upper(type) || '-' || lpad(number::varchar, 3, '0') || ']' as placeholder, type, s as start_offset, e as end_offset, original from m")
-def golden_matches(spark: SparkSession, sf: str) -> DataFrame:
-    return pii.exploded(_golden(spark)).select("placeholder", "type", "start_offset", "end_offset", "original")
 
+@query(f"with {planted.SQL} select doc_id, string_agg(case when type is null then piece else '[' || upper(type) || '-' || lpad(number::varchar, 3, '0') || ']' end, '' order by i) as filtered_text from piece group by doc_id")
+def redact_planted(spark: SparkSession, sf: str) -> DataFrame:
+    return _planted(spark, sf).select("doc_id", "filtered_text")
 
-@query(f"""with {_GOLDEN}, k as (select *, lag(e, 1, 0) over (order by s) as before from m)
-  select string_agg(substr(text, before + 1, s - before) || '[' || upper(type) || '-' || lpad(number::varchar, 3, '0') || ']', '' order by s) || substr(any_value(text), max(e) + 1) as filtered_text from k, t""")
-def golden_text(spark: SparkSession, sf: str) -> DataFrame:
-    return _golden(spark).select("filtered_text")
 
+@query(f"with {planted.SQL} select doc_id, string_agg(case when type is null then piece else repeat('█', length(piece)) end, '' order by i) as filtered_text from piece group by doc_id")
+def redact_planted_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return _planted(spark, sf, planted.CONFIG.updated(placeholder_style="redacted")).select("doc_id", "filtered_text")
 
-@query(f"with {_GOLDEN} select sum((type = 'bsn')::int)::bigint as bsn, sum((type = 'date')::int)::bigint as date, sum((type = 'name')::int)::bigint as name, sum((type = 'phone')::int)::bigint as phone, sum((type = 'email')::int)::bigint as email, sum((type = 'iban')::int)::bigint as iban, sum((type = 'postcode')::int)::bigint as postcode, sum((type = 'address')::int)::bigint as address, count(*) as total from m")
-def golden_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return pii.stats(_golden(spark)).drop("doc_id")
 
+@query(f"with {planted.SQL} select doc_id, text as restored_text, upper(text) as by_text from planted where doc_id % {len(planted.FORMS)} not in (0, 1, 3, 4, 5)"
+       f" union all select doc_id, text, null from planted where doc_id % {len(planted.FORMS)} in (0, 1, 3, 4, 5)")
+def restore_planted(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts from the redacted ones and their matches alone; by first occurrences too where no placeholder repeats (in capitals, to tell the two apart)."""
+    filtered = _planted(spark, sf).select("doc_id", "filtered_text", "matches")
+    exact = pii.restore_documents(filtered)
+    loose = pii.restore_documents(filtered, by_text=True).select(F.col("doc_id").alias("d"), F.col("restored_text").alias("loose"))
+    again = F.size(F.array_distinct(F.transform("matches", lambda m: m["placeholder"]))) < F.size("matches")
+    return exact.join(loose, F.col("doc_id") == F.col("d")).select("doc_id", "restored_text", F.when(~again, F.upper("loose")).alias("by_text"))
 
-@query(f"with {_GOLDEN} select original, count(*) as n, row_number() over (order by original) as position from m where type = 'name' group by original")
-def golden_names(spark: SparkSession, sf: str) -> DataFrame:
-    n = pii.exploded(_golden(spark)).where("type = 'name'").groupBy("original").agg(F.count("*").alias("n"))
-    return n.withColumn("position", F.row_number().over(Window.orderBy("original")).cast("long"))  # the names of one document
 
+@query(f"with {planted.SQL}, n as (select p.doc_id, " + ", ".join(f"count(*) filter (where type = '{t}') as {t}" for t in fx.TYPES) + ", count(type) as total from planted p left join hit h on h.doc_id = p.doc_id group by p.doc_id) select * from n")
+def stats_planted(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.stats(_planted(spark, sf))
 
-@query(f"""with {_GOLDEN}, x(name) as (values {", ".join("('" + n.replace("'", "''") + "')" for n in golden.EXPECTED_NAMES)})
-  select name, exists (select 1 from m where type = 'name' and (contains(lower(original), lower(name)) or contains(lower(name), lower(original)))) as found from x""")
-def golden_recall(spark: SparkSession, sf: str) -> DataFrame:
-    expected = spark.createDataFrame([(n,) for n in golden.EXPECTED_NAMES], "name string")
-    return pii.missed_names(expected, pii.exploded(_golden(spark)).where("type = 'name'"))
 
+@query(f"with {planted.SQL} select original, count(*) as n, count(distinct doc_id) as documents from hit where type = 'name' group by original")
+def names_planted(spark: SparkSession, sf: str) -> DataFrame:
+    m = pii.exploded(_planted(spark, sf, planted.CONFIG.updated(enabled_types=("name",))))
+    return m.groupBy("original").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"))
 
-@query(f"with {_GOLDEN}, t2 as (select text from t) select text as restored_text, 98::bigint as n from t2")
-def golden_restore(spark: SparkSession, sf: str) -> DataFrame:
-    return pii.restore_documents(_golden(spark)).select("restored_text", F.size("matches").cast("long").alias("n"))
+
+@query(f"""with {planted.SQL}, found as (select distinct lower(original) as o from hit where type = 'name'), x as (select distinct c_name as name from customer where c_custkey % 10 = 0 union select distinct original from hit where type = 'name' and doc_id % 50 = 0)
+  select name, exists (select 1 from found where contains(lower(name), o) or contains(o, lower(name))) as found from x""")
+def recall_planted(spark: SparkSession, sf: str) -> DataFrame:
+    """Which of some expected names are found: those planted are, customers' numbers aren't."""
+    m = pii.exploded(_planted(spark, sf)).where("type = 'name'")
+    expected = read(spark, sf, "customer").where("c_custkey % 10 = 0").select(F.col("c_name").alias("name")).union(m.where("doc_id % 50 = 0").select("original")).distinct()
+    return pii.missed_names(expected, m)
+
+
+@query(f"with {planted.SQL} select doc_id, case when i = 1 then 0 else 3 end::bigint as line_no, piece as line from piece where doc_id % {len(planted.FORMS)} = 3 and i in (1, 3)")
+def speaker_labels_planted(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of speakers in first lines and after clocks, by built-in expressions."""
+    return pii.speaker_lines(planted.notes(read(spark, sf, "customer")), planted.LEXICON)
 
 
 # --- joins of spans ------------------------------------------------------------------------
@@ -243,29 +257,31 @@ def spans_in_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     return pii.in_paragraphs(b, n).select("doc_id", "start_offset", "paragraph")
 
 
-_FIRST_DICT, _LAST_DICT = (", ".join(f"('{w}')" for w in words) for words in (fx.DEFAULT_FIRST, fx.DEFAULT_LAST))
-_HYPHENED = "raw as (select doc_id, unnest(string_split_regex(text || ' Jan-Peter Jan-Xyz Anna', '[^\\p{L}-]+')) as w from documents), tokens as (select doc_id, w, count(*) as n from raw where w <> '' group by doc_id, w)"
+_GIVEN, _LAST = sorted(planted.LEXICON.first), sorted(planted.LEXICON.last)
+_FIRST_DICT, _LAST_DICT = (", ".join(f"('{w}')" for w in words) for words in (_GIVEN, _LAST))
+_NAMED = "case doc_id % 3 when 0 then ' Marelle-Lovano' when 1 then ' Marelle-Xyz Bravaart' else ' Sodika Kelstra' end"
+_HYPHENED = f"raw as (select doc_id, unnest(string_split_regex(text || {_NAMED}, '[^\\p{{L}}-]+')) as w from documents), tokens as (select doc_id, w, count(*) as n from raw where w <> '' group by doc_id, w)"
 
 
 def _hyphened(spark: SparkSession, sf: str) -> DataFrame:
-    words = F.split(F.concat("text", F.lit(" Jan-Peter Jan-Xyz Anna")), r"[^\p{L}-]+")
+    words = F.split(F.concat("text", F.expr(_NAMED)), r"[^\p{L}-]+")
     return docs(spark, sf).select("doc_id", F.explode(words).alias("w")).where("w <> ''").groupBy("doc_id", "w").agg(F.count("*").alias("n"))
 
 
-@query(f"with {_HYPHENED}, dict(d) as (values {_FIRST_DICT}) select doc_id, w, n from tokens where w in (select d from dict) or contains(w, '-') and len(list_filter(string_split(w, '-'), lambda p: p not in ({', '.join(chr(39) + x + chr(39) for x in fx.DEFAULT_FIRST)}))) = 0")
+@query(f"with {_HYPHENED}, dict(d) as (values {_FIRST_DICT}) select doc_id, w, n from tokens where w in (select d from dict) or contains(w, '-') and len(list_filter(string_split(w, '-'), lambda p: p not in ({', '.join(chr(39) + x + chr(39) for x in _GIVEN)}))) = 0")
 def first_names(spark: SparkSession, sf: str) -> DataFrame:
-    return _hyphened(spark, sf).where(c.known_first(F.col("w"), tuple(fx.DEFAULT_FIRST)))
+    return _hyphened(spark, sf).where(c.known_first(F.col("w"), tuple(_GIVEN)))
 
 
 @query(f"""with {_HYPHENED} select doc_id, w, n from tokens where w in (select * from (values {_LAST_DICT})) or length(w) >= 3 and lower(w) not in (select * from (values {", ".join(f"('{w}')" for w in fx.COMMON_WORDS)}))
   and (regexp_matches(lower(w), '(?:{"|".join(fx.SURNAME_ENDINGS)})$') or (length(w) > 5 and regexp_matches(lower(w), '^(?:{"|".join(fx.SURNAME_STARTS)})')))""")
 def last_names(spark: SparkSession, sf: str) -> DataFrame:
-    return _hyphened(spark, sf).where(c.known_last(F.col("w"), tuple(fx.DEFAULT_LAST)))
+    return _hyphened(spark, sf).where(c.known_last(F.col("w"), tuple(_LAST)))
 
 
 @query(f"with notes as ({NOTES}), {_positions('notes', _RE2['email'])} select doc_id, start_offset, original from hits where lower(original) <> 'k.bakker7@testmail.example'")
 def excluded_words(spark: SparkSession, sf: str) -> DataFrame:
-    m = pii.exploded(pii.filter_documents(_notes(read(spark, sf, "customer")), FilterConfig(enabled_types=("email",), exclude_words=("K.Bakker7@testmail.example",))))
+    m = pii.exploded(pii.filter_documents(_notes(spread(read(spark, sf, "customer"))), FilterConfig(enabled_types=("email",), exclude_words=("K.Bakker7@testmail.example",))))
     return m.select("doc_id", F.col("start_offset").cast("long").alias("start_offset"), "original")
 
 
@@ -308,31 +324,61 @@ def overlap_resolution(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", F.col("m.start").cast("long").alias("start_offset"), F.col("m.end").cast("long").alias("end_offset"))
 
 
-def _stat_rows(spark: SparkSession, sf: str, types: tuple[str, ...] = ("email", "date", "iban")) -> DataFrame:
-    """doc_id, lang, source and the resolved matches of each type and in total, of all formats of the types."""
-    found = pii.filter_documents(docs(spark, sf).select("doc_id", "lang", "source", "text"), FilterConfig(enabled_types=types))
-    return pii.stats(found, ["doc_id", "lang", "source"]).select("doc_id", "lang", "source", *types, "total")
+_STAT_DETECTORS = ("email", "date_numeric", "date_short", "date_text", "date_month", "date_birth", "iban")
+
+
+def _stat_rows(spark: SparkSession, sf: str, types: tuple[str, ...] | None = None) -> DataFrame:
+    """doc_id, lang, source and the resolved matches of each type and in total: of all formats of three types, natively; or of `types`, names among them."""
+    d = docs(spark, sf).select("doc_id", "lang", "source", "text")
+    if types:
+        return pii.stats(pii.filter_documents(spread(d), planted.CONFIG.updated(enabled_types=types)), ["doc_id", "lang", "source"]).select("doc_id", "lang", "source", *types, "total")
+    return pii.stats(pii.native_redaction(d, list(_STAT_DETECTORS)), ["doc_id", "lang", "source"]).select("doc_id", "lang", "source", "email", "date", "iban", "total")
+
+
+def _kept_sql(source: str, names: tuple[str, ...]) -> str:
+    """Common tables that end in `kept` (doc_id, type, s, e): accepted matches of all formats, overlaps resolved by walking through them."""
+    parts, every = [], []
+    for i, name in enumerate(names):
+        here = _positions(source, _RE2.get(name) or _RE2_PHONES[name])
+        for word in ("found", "flat", "hits"):
+            here = here.replace(f"{word} as", f"{word}{i} as").replace(f"from {word}", f"from {word}{i}")
+        parts.append(here)
+        every.append(f"select doc_id, '{c.KIND_OF[name]}' as type, start_offset as s, start_offset + length(original) as e, {i} as p from hits{i} where {_CHECK.get(c.KIND_OF[name], 'true')}")
+    return ", ".join(parts) + f""", every as ({" union all ".join(every)}), ranked as (select *, row_number() over (partition by doc_id order by s, e desc, p) as n from every),
+  walk as (select doc_id, n, type, s, e, true as kept, e as upto from ranked where n = 1
+           union all select r.doc_id, r.n, r.type, r.s, r.e, r.s >= w.upto, case when r.s >= w.upto then r.e else w.upto end from walk w join ranked r on r.doc_id = w.doc_id and r.n = w.n + 1),
+  kept as (select * from walk where kept)"""
 
 
-_STAT_SQL = f"""with e as (select doc_id, lang, source, len(regexp_extract_all(text, '{_RE2["email"]}')) as email,
-  len(list_filter(regexp_extract_all(text, '{_RE2["date_short"]}'), lambda x: {_PLAUSIBLE.replace("original", "x")})) as date from documents)"""
+_STAT_SQL = f"""with recursive {_kept_sql("documents", _STAT_DETECTORS)}, e as (select d.doc_id, any_value(lang) as lang, any_value(source) as source,
+  count(*) filter (where type = 'email') as email, count(*) filter (where type = 'date') as date, count(*) filter (where type = 'iban') as iban from documents d left join kept k on k.doc_id = d.doc_id group by d.doc_id)"""
 
 
-@query(_STAT_SQL + " select doc_id, email::bigint as email, date::bigint as date, 0::bigint as iban, (email + date)::bigint as total from e")
+@query(_STAT_SQL + " select doc_id, email, date, iban, email + date + iban as total from e")
 def pii_stats_by_doc(spark: SparkSession, sf: str) -> DataFrame:
     return _stat_rows(spark, sf).select("doc_id", "email", "date", "iban", "total")
 
 
-@query(_STAT_SQL + " select lang, sum(email)::bigint as email, sum(date)::bigint as date, sum(email + date)::bigint as total from e group by lang")
+@query(_STAT_SQL + " select lang, sum(email)::bigint as email, sum(date)::bigint as date, sum(email + date + iban)::bigint as total from e group by lang")
 def pii_stats_by_lang(spark: SparkSession, sf: str) -> DataFrame:
     return _stat_rows(spark, sf).groupBy("lang").agg(F.sum("email").alias("email"), F.sum("date").alias("date"), F.sum("total").alias("total"))
 
 
-@query(_STAT_SQL + " select lang, source, sum(email + date)::bigint as total from e group by rollup (lang, source)")
+@query(_STAT_SQL + " select lang, source, sum(email + date + iban)::bigint as total from e group by rollup (lang, source)")
 def pii_stats_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return _stat_rows(spark, sf).rollup("lang", "source").agg(F.sum("total").alias("total"))
 
 
+_NOTE_DETECTORS = (*_STAT_DETECTORS, "phone_mobile", "phone_landline", "postcode", "address")
+
+
+@query(f"""with recursive notes as ({NOTES}), {_kept_sql("notes", _NOTE_DETECTORS)} select d.doc_id, {", ".join(f"count(*) filter (where type = '{t}') as {t}" for t in fx.TYPES)}, count(type) as total
+  from notes d left join kept k on k.doc_id = d.doc_id group by d.doc_id""")
+def stats_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """Notes with seven types in eleven formats, which overlap."""
+    return pii.stats(pii.native_redaction(_notes(read(spark, sf, "customer")), list(_NOTE_DETECTORS)))
+
+
 # All eight types, names among them, which SQL can't find; the three queries above keep the columns of their SQL.
 
 
@@ -354,8 +400,7 @@ def pii_stats_all_rollup(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"with {_positions('documents', _RE2['email'])} select doc_id, start_offset, original from hits where lower(original) not in (select lower(original) from hits where original like '%mail7%')")
 def exclude_words(spark: SparkSession, sf: str) -> DataFrame:
     m = pii.native_matches(docs(spark, sf), ["email"])
-    words = m.where(F.col("original").contains("mail7")).select(F.lower("original").alias("w")).distinct()
-    return m.join(words, F.lower("original") == F.col("w"), "left_anti").select("doc_id", "start_offset", "original")
+    return pii.without_words(m, m.where(F.col("original").contains("mail7")).select("original")).select("doc_id", "start_offset", "original")
 
 
 @query(f"with notes as ({NOTES}) select doc_id, len(regexp_extract_all(text, '{_RE2['email']}'))::bigint as n from notes")
@@ -382,10 +427,9 @@ def _values(words: list[str]) -> str:
     return ", ".join(f"('{w}')" for w in words)
 
 
-@query(f"with {_WORDS}, dict(w) as (values {_values(['Thea', 'Bo', 'Dora', 'Ties', *fx.DEFAULT_FIRST])}) select doc_id, w, count(*) as n from tokens where w in (select w from dict) group by doc_id, w")
+@query(f"with {_WORDS}, dict(w) as (values {_values(['Thea', 'Bo', 'Dora', 'Ties', *_GIVEN])}) select doc_id, w, count(*) as n from tokens where w in (select w from dict) group by doc_id, w")
 def dictionary_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    names = spark.createDataFrame([(x,) for x in ["Thea", "Bo", "Dora", "Ties", *fx.DEFAULT_FIRST]], "w string")
-    return _words(spark, sf).join(F.broadcast(names), "w", "left_semi").groupBy("doc_id", "w").agg(F.count("*").alias("n"))
+    return _words(spark, sf).where(c.known_first(F.col("w"), ("Thea", "Bo", "Dora", "Ties", *_GIVEN))).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
 
 
 @query(f"""with {_WORDS} select w, count(*) as n from tokens where length(w) >= 3 and lower(w) not in (select * from (values {_values(fx.COMMON_WORDS)}))
@@ -396,8 +440,7 @@ def likely_surname(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {_WORDS} select doc_id, count(*) as n from tokens where lower(w) not in (select * from (values {_values(fx.COMMON_WORDS)})) group by doc_id")
 def common_word_filter(spark: SparkSession, sf: str) -> DataFrame:
-    common = spark.createDataFrame([(x,) for x in fx.COMMON_WORDS], "cw string")
-    return _words(spark, sf).join(F.broadcast(common), F.lower("w") == F.col("cw"), "left_anti").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return _words(spark, sf).where(~c.common(F.col("w"))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query(f"""with notes as ({NOTES}), {_positions("notes", _RE2["bsn"])}, mail as (select doc_id, instr(text, '@')::bigint - 1 as p from notes)
@@ -405,30 +448,26 @@ def common_word_filter(spark: SparkSession, sf: str) -> DataFrame:
 def near_name_range_join(spark: SparkSession, sf: str) -> DataFrame:
     n = _notes(read(spark, sf, "customer"))
     hits = n.select("doc_id", F.explode(c.spans(F.col("text"), c.PATTERNS["bsn"][0])).alias("m")).select("doc_id", F.col("m.start").cast("long").alias("start_offset"))
-    mail = n.select(F.col("doc_id").alias("d"), (F.instr("text", "@") - 1).cast("long").alias("p"))
-    near = (F.abs(F.col("p") - F.col("start_offset")) < 100) | (F.abs(F.col("p") + 1 - F.col("start_offset")) < 100)
-    return hits.join(mail, (F.col("doc_id") == F.col("d")) & near, "left_semi")
+    at = (F.instr("text", "@") - 1).cast("long")
+    return pii.near_spans(hits, n.select("doc_id", at.alias("start_offset"), (at + 1).alias("end_offset")), 100).select("doc_id", "start_offset")
 
 
 _LINES = "lines as (select doc_id, string_split(text, chr(10)) as l from documents), numbered as (select doc_id, unnest(l) as line, generate_subscripts(l, 1)::bigint - 1 as line_no from lines)"
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    return docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
+    return pii.lines_of(docs(spark, sf)).select("doc_id", "line_no", "line")
 
 
 @query(f"with {_LINES}, placed as (select *, sum(length(line) + 1) over (partition by doc_id order by line_no) - length(line) - 1 as p from numbered), {_positions('documents', _RE2['email'])[0:]} select h.doc_id, h.start_offset, p.line_no from hits h join placed p on h.doc_id = p.doc_id and h.start_offset >= p.p and h.start_offset + length(h.original) <= p.p + length(p.line)")
 def paragraph_containment(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    placed = _lines(spark, sf).withColumn("p", F.sum(F.length("line") + 1).over(w) - F.length("line") - 1).withColumn("q", F.col("p") + F.length("line"))
-    hits = pii.native_matches(docs(spark, sf), ["email"]).select(F.col("doc_id").alias("d"), "start_offset", "end_offset")
-    inside = (F.col("doc_id") == F.col("d")) & (F.col("start_offset") >= F.col("p")) & (F.col("end_offset") <= F.col("q"))
-    return placed.join(hits, inside).select("doc_id", "start_offset", "line_no")
+    found = pii.native_matches(docs(spark, sf), ["email"])
+    return pii.in_paragraphs(found, docs(spark, sf), "\n").select("doc_id", "start_offset", F.col("paragraph").alias("line_no"))
 
 
 @query(f"with {_LINES} select doc_id, line_no, lag(line) over (partition by doc_id order by line_no) as prev_line from numbered")
 def prev_line(spark: SparkSession, sf: str) -> DataFrame:
-    return _lines(spark, sf).select("doc_id", "line_no", F.lag("line").over(Window.partitionBy("doc_id").orderBy("line_no")).alias("prev_line"))
+    return pii.lines_of(docs(spark, sf)).select("doc_id", "line_no", F.col("previous").alias("prev_line"))
 
 
 @query(f"with {_LINES} select doc_id, line_no, line from numbered where line_no = 0 and len(string_split_regex(trim(line), '\\s+')) between 2 and 5 and regexp_matches(trim(line), '^[A-ZÀ-ÿ]') and not regexp_matches(trim(line), '[.!?;]$')")
@@ -440,15 +479,7 @@ def speaker_labels(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def speaker_labels_all(spark: SparkSession, sf: str) -> DataFrame:
     """The operator's labels: first lines and lines after a clock, with name-like words and a known or likely name; the query above keeps what its SQL says."""
-    lexicon = FilterConfig().lexicon
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(i, t.count("\n", 0, a), t) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for a, _ in (speakers(t, lexicon) if t else ())]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in rows], batch.schema.field("doc_id").type), pa.array([n for _, n, _ in rows], pa.int64()), pa.array([t.split("\n")[n] for _, n, t in rows], pa.string())], ["doc_id", "line_no", "line"])
-
-    d = docs(spark, sf).select("doc_id", "text")
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, line_no long, line string")
+    return pii.speaker_lines(docs(spark, sf), planted.LEXICON)
 
 
 # --- ingest and chunks ---------------------------------------------------------------------
@@ -706,9 +737,10 @@ def generate_title(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select conv_id, count(*) as n, string_agg(role || ': ' || text, chr(10) order by turn) as messages from conversations group by conv_id")
 def conversation_messages(spark: SparkSession, sf: str) -> DataFrame:
-    ordered = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    said = F.transform(ordered, lambda m: F.concat(m["role"], F.lit(": "), m["text"]))
-    return read(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.array_join(said, "\n").alias("messages"))
+    said = read(spark, sf, "conversations").select(F.col("conv_id").alias("conversation_id"), F.col("turn").alias("created_at"), F.col("turn").alias("seq"), "role", F.col("text").alias("content"))
+    whole = chat.with_messages(said.select(F.col("conversation_id").alias("id")).distinct(), said)
+    lines = F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
+    return whole.select(F.col("id").alias("conv_id"), F.size("messages").cast("long").alias("n"), F.array_join(lines, "\n").alias("messages"))
 
 
 @query(rf"""with notes as ({NOTES}) select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b[0-9]{{9}}\b', '[GETAL]', 'g'),
@@ -762,8 +794,8 @@ def cell_widths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def tabular_filter(spark: SparkSession, sf: str) -> DataFrame:
-    cells = pii.to_cells(_notes(read(spark, sf, "customer")).select("doc_id", "text"), F.lit("notes"), F.col("doc_id"))
-    return pii.changed_cells(pii.filter_cells(cells)).select("sheet", "row", "col", "header", "filtered_text")
+    cells = pii.to_cells(_notes(spread(read(spark, sf, "customer"))).select("doc_id", "text"), F.lit("notes"), F.col("doc_id"))
+    return pii.changed_cells(pii.filter_cells(cells, planted.CONFIG)).select("sheet", "row", "col", "header", "filtered_text")
 
 
 @query(f"with notes as ({NOTES}) select 'notes' as sheet, count(*) as rows, 2::bigint as cols, count(*) as changed, sum(len(regexp_extract_all(text, '{_RE2['email']}')))::bigint as items from notes")
@@ -774,7 +806,7 @@ def sheet_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_STAT_SQL + " select doc_id, case when email > 0 and date > 0 then 'date:' || date || ',email:' || email when email > 0 then 'email:' || email when date > 0 then 'date:' || date else '' end as badges from e")
 def type_badges(spark: SparkSession, sf: str) -> DataFrame:
-    rows = pii.badges(pii.stats(pii.filter_documents(docs(spark, sf).select("doc_id", "text"), FilterConfig(enabled_types=("email", "date")))))
+    rows = pii.badges(pii.stats(pii.native_redaction(docs(spark, sf).select("doc_id", "text"), [d for d in _STAT_DETECTORS if d != "iban"])))
     said = F.transform(F.sort_array(F.map_entries("counts")), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string")))
     return rows.select("doc_id", F.array_join(said, ",").alias("badges"))
 
@@ -789,18 +821,18 @@ def sheet_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def names_full(spark: SparkSession, sf: str) -> DataFrame:
-    m = pii.exploded(pii.filter_documents(docs(spark, sf).select("doc_id", "text")))
+    m = pii.exploded(pii.filter_documents(spread(docs(spark, sf).select("doc_id", "text")), planted.CONFIG))
     return m.where("type = 'name'").select("doc_id", "original", "placeholder", "start_offset", "end_offset")
 
 
 @query()
 def filter_notes(spark: SparkSession, sf: str) -> DataFrame:
-    return pii.stats(pii.filter_documents(_notes(read(spark, sf, "customer"))))
+    return pii.stats(pii.filter_documents(_notes(spread(read(spark, sf, "customer"))), planted.CONFIG))
 
 
 @query("select doc_id, text as restored_text from documents")
 def restore_offset(spark: SparkSession, sf: str) -> DataFrame:
-    return pii.restore_documents(pii.filter_documents(docs(spark, sf).select("doc_id", "text"))).select("doc_id", "restored_text")
+    return pii.restore_documents(pii.filter_documents(spread(docs(spark, sf).select("doc_id", "text")), planted.CONFIG)).select("doc_id", "restored_text")
 
 
 def queries() -> dict[str, Query]:

@@ -81,3 +81,12 @@ MATCHES = (
     ("name", 23, 5052, 5063), ("name", 24, 5067, 5083), ("name", 25, 5186, 5192), ("name", 26, 5198, 5203),
     ("bsn", 7, 5272, 5281), ("phone", 15, 5301, 5317),
 )
+
+#: Names in the document, in its order, that a lexicon has to hold for all of it to be found.
+FIRST = (
+    "Anna", "Jeroen", "Sanne", "Jan", "Pieter", "Fatima", "Lotte", "Marijke", "Nienke", "Jean", "Luc", "Noor", "Jane", "Bram", "Zoë",
+    "Hicham", "Elize",
+)
+LAST = (
+    "Vries", "Kuipers", "Smit", "Rijn", "Çelik", "Wit", "Leeuwen",
+)

@@ -2,7 +2,7 @@
 
 from loomveil.plans import catalogue
 
-TEXT = "Jan de Vries, IBAN NL91 ABNA 0417 1643 00, geboren op 14-03-1948, gezien 15 maart 2023 en 1/2/99, mail a.b@testmail.example, Tel 06-12345678, 1234 AB, BSN 111222333"
+TEXT = "Marelle de Bravaart, IBAN NL91 ABNA 0417 1643 00, geboren op 14-03-1948, gezien 15 maart 2023 en 1/2/99, mail a.b@testmail.example, Tel 06-12345678, 1234 AB, BSN 111222333"
 
 
 def test_stats_count_every_format(spark, tmp_path):
@@ -22,8 +22,8 @@ def test_stats_count_every_format(spark, tmp_path):
 
 
 def test_speaker_labels_of_all_lines(spark, tmp_path):
-    text = "Jan Bakker\nhallo daar\n04:20\n Anna de Vries\nJan Bakker\n1:02:03\nGoed Weer Vandaag.\n01:05\nPeter van Dijk"
+    text = "Marelle Bravaart\nhallo daar\n04:20\n Sodika de Kelmoed\nMarelle Bravaart\n1:02:03\nGoed Weer Vandaag.\n01:05\nPeter van Dijk"
     rows = [(1, text), (2, "Geen Xq Label"), (3, None), (4, "")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.doc_id, r.line_no, r.line) for r in catalogue.queries()["speaker_labels_all"](spark, str(tmp_path)).collect()}
-    assert got == {(1, 0, "Jan Bakker"), (1, 3, " Anna de Vries"), (1, 8, "Peter van Dijk")}
+    assert got == {(1, 0, "Marelle Bravaart"), (1, 3, " Sodika de Kelmoed"), (1, 8, "Peter van Dijk")}

@@ -7,13 +7,15 @@ from io import BytesIO
 import pytest
 from pyspark.sql import functions as F
 
+from loomveil.functions import redaction as r
 from loomveil.functions.names import Lexicon
 from loomveil.functions.redaction import FilterConfig
 from loomveil.operators import chat, pii, search
-from loomveil.plans import golden
 from loomveil.sources import files, store
 from loomveil.streaming import ingest
 
+import golden
+
 TEXTS = ["running dogs run fast", "the quick brown fox", "a dog ran away. The dogs run", "runs and runners running", "nothing here", "fox fox fox dog", "quick the brown run dogs", "dogs run dogs run"]
 
 
@@ -143,14 +145,28 @@ def test_sheets_in_blocks_have_one_lexicon(spark, monkeypatch):
     assert sorted(map(str, pii.filter_cells(cells, lex).collect())) == one
 
 
-def test_golden_document_by_reading():
-    from loomveil.functions import redaction as r
+GOLDEN = FilterConfig(lexicon=Lexicon.of(golden.FIRST, golden.LAST))
+
 
-    m = r.find_matches(golden.TEXT, FilterConfig())
+def test_golden_document_by_reading():
+    m = r.find_matches(golden.TEXT, GOLDEN)
     assert [(x.type, int(x.placeholder[-4:-1]), x.start, x.end) for x in m] == list(golden.MATCHES)
     assert r.restored(r.spliced(golden.TEXT, m), m) == golden.TEXT
 
 
+def test_golden_document_as_a_table(spark):
+    d = spark.createDataFrame([(0, golden.TEXT)], "doc_id long, text string")
+    filtered = pii.filter_documents(d, GOLDEN)
+    found = pii.exploded(filtered)
+    rows = [(x.type, int(x.placeholder[-4:-1]), x.start_offset, x.end_offset) for x in found.orderBy("position").collect()]
+    assert rows == list(golden.MATCHES)
+    kinds = [x[0] for x in golden.MATCHES]
+    assert pii.stats(filtered).first().asDict() == {"doc_id": 0, "total": len(kinds)} | {k: kinds.count(k) for k in r.fx.TYPES}
+    expected = spark.createDataFrame([(n,) for n in golden.EXPECTED_NAMES], "name string")
+    assert all(x.found for x in pii.missed_names(expected, found.where("type = 'name'")).collect())
+    assert pii.restore_documents(filtered.drop("text")).first().restored_text == golden.TEXT
+
+
 def test_upsert_stream_keeps_the_table(spark, tmp_path):
     table, source = str(tmp_path / "t"), str(tmp_path / "in")
 
