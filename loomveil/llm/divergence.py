@@ -47,8 +47,8 @@ PRIOR = 5
 class AuditRules:
     min_docs: int = 30
     top: int = 50
-    #: Rows of the kept counts in one block.
-    block_rows: int = 250_000
+    #: Rows of the kept counts in one block; more where a block's pairs of sources would be more than its rows.
+    block_rows: int = 20_000
     #: Sources in one tile.
     tile: int = 256
 
@@ -177,9 +177,11 @@ def pair_distances(kept: DataFrame, groups: DataFrame, rules: AuditRules) -> Dat
     kept: (lang, term, nr, n); groups: (lang, nr, of, sources, cells), nr numbering a language's sources from 0.
     """
     tile = rules.tile
+    block_rows = F.greatest(F.lit(rules.block_rows), F.pow(F.least("sources", F.lit(tile)), 2).cast("long"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("cells") / block_rows))
     spread = kept.join(groups.select("lang", "nr", "of", "sources", "cells"), ["lang", "nr"])
-    rows = spread.withColumn("block", F.pmod(F.xxhash64("term"), F.greatest(F.lit(1), F.ceil(F.col("cells") / rules.block_rows))))
-    empty = groups.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), F.ceil(F.col("cells") / rules.block_rows)) - 1)))
+    rows = spread.withColumn("block", F.pmod(F.xxhash64("term"), blocks))
+    empty = groups.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     every = rows.select("lang", "block", "nr", "of", "sources", "term", "n").unionByName(empty.select("lang", "block", "nr", "of", "sources", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("n")))
     own = F.expr(f"nr div {tile}")
     every = every.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(sources - 1) div {tile}")))).withColumns({"x": F.least(own, "other"), "y": F.greatest(own, "other")})

@@ -208,7 +208,7 @@ def audit_rows():
     return rows
 
 
-@pytest.mark.parametrize("rules", [{}, {"min_docs": 3, "top": 4, "tile": 2, "block_rows": 5}, {"min_docs": 1, "block_rows": 3}, {"min_docs": 10**6}])
+@pytest.mark.parametrize("rules", [{}, {"min_docs": 3, "top": 4, "tile": 2, "block_rows": 5}, {"min_docs": 1, "block_rows": 3, "tile": 1}, {"min_docs": 10**6}])
 def test_audit(spark, rules):
     rules = divergence.AuditRules(**rules)
     rows = audit_rows()
