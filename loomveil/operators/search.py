@@ -1,14 +1,23 @@
 """Chunks, inverted index and BM25 search.
 
-The index is two tables: postings (term, chunk_id, document_id, tf, positions) and
-chunk_stats (chunk_id, document_id, dl). A stored index keeps its postings in folders by
-their terms' first character, so a query opens the folders and reads the row groups of
-its own terms only; an index that isn't stored is filtered to those terms before
-anything is grouped. Corpus statistics are single rows. Top-k is TakeOrderedAndProject.
-
-Chunks are added to a stored index by appending, and documents are deleted by appending
-their ids: a deletion holds for all that was written before it, so a document can come
-back. No file is ever rewritten by a reader's side.
+The index is two tables: postings (term, chunk_id, document_id, tf, dl, positions) and
+chunk_stats (chunk_id, document_id, dl). An index for one query keeps the query's terms
+only: distinct terms are stemmed, those that it asks for are sent out, and nothing else is
+grouped. Corpus statistics are single rows. Top-k is TakeOrderedAndProject.
+
+A stored index has a third table, blocks (term, tier, n, low, high, avgdl): the term
+dictionary, and bounds of what the postings of one term and tier score. A term's postings
+lie by tiers of that share, which follows from frequency and length; the bounds hold for the
+average length at which they were written, and are widened where it has changed since. A query looks its words and prefixes up in the dictionary, opens the folders
+of those terms, and for the best k chunks of one word, or of words parted by OR, reads the
+tiers only that can hold one of them: enough chunks score at least the lower bound of some
+tiers, and tiers whose upper bound, with the best of all other words, is below that are left
+out. Where all words are needed, chunks of the rarest one are looked up in the others'.
+
+Chunks are added to a stored index and documents taken out of it by commits (sources.parts):
+a deletion holds for all that was written before it, so a document can come back.
+`compact_index` folds deletions in; until then no tiers are left out, as it isn't known in
+which of them the deleted chunks are.
 
 Edge cases: null contents have no terms and length 0; a query without words finds nothing
 and never raises; equal scores are ordered by chunk_id. Rows that repeat a chunk_id count
@@ -17,21 +26,25 @@ as one chunk's text twice over, so ids have to be distinct.
 
 from __future__ import annotations
 
+import math
 import re
-import time
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomveil.functions import columns
 from loomveil.functions import fixed as fx
 from loomveil.functions.porter import stem
+from loomveil.sources.parts import Parts
 
 K1, B = 1.2, 0.75
+#: Words in a row, and whether the last one is a prefix.
+Phrase = tuple[tuple[str, ...], bool]
 
 
 @dataclass(frozen=True)
@@ -74,17 +87,40 @@ def chunks_of(text: str, cfg: ChunkConfig = ChunkConfig()) -> list[tuple[str, in
     return out
 
 
-def chunk_documents(docs: DataFrame, cfg: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """document_id, chunk_index, chunk_id, content, start_offset and end_offset of all chunks of (doc_id, text, ...)."""
+def _overlap(chunk: Column, overlap: int) -> Column:
+    """overlap_of() as an expression."""
+    region = F.when(F.length(chunk) <= 2 * overlap, chunk).otherwise(F.substring(chunk, -2 * overlap, 2 * overlap)) if overlap else chunk
+    before = F.length(F.regexp_extract(region, f"(?s)^(.*?){_SENTENCE.pattern}", 1))
+    head = F.substring(region, 1, overlap + 1)
+    back = F.instr(F.reverse(head), " ")
+    rest = F.when(back > 0, F.substring(region, F.length(head) - back + 2, F.length(region))).otherwise(F.substring(region, -overlap, overlap) if overlap else region)
+    return F.when(F.length(chunk) <= overlap, chunk).when(region.rlike(_SENTENCE.pattern), F.substring(region, before + 3, F.length(region))).otherwise(rest)
+
+
+def chunked(text: Column, cfg: ChunkConfig = ChunkConfig()) -> Column:
+    """chunks_of() as an expression: an array of (content, start_offset, end_offset), by one fold over the paragraphs."""
+    kind = "array<struct<content: string, start_offset: int, end_offset: int>>"
+    pieces = F.transform(F.split(text, "\n\n+"), lambda p, i: F.when(i > 0, F.concat(F.lit("\n\n"), p)).otherwise(p))
+    zero = F.struct(F.lit("").alias("held"), F.lit(0).alias("start"), F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+
+    def emitted(acc: Column) -> Column:
+        made = F.struct(columns.trimmed(acc["held"]).alias("content"), acc["start"].alias("start_offset"), (acc["start"] + F.length(acc["held"])).alias("end_offset"))
+        return F.array_append(acc["out"], made)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(i, k, *x) for i, t in enumerate(batch.column("text").to_pylist()) if t for k, x in enumerate(chunks_of(t, cfg))]
-            at, k, content, start, end = (list(x) for x in zip(*rows, strict=True)) if rows else ([],) * 5
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(x, pa.int32() if n != 1 else pa.string()) for n, x in enumerate((k, content, start, end)))], ["document_id", "chunk_index", "content", "start_offset", "end_offset"])
+    def add(acc: Column, piece: Column) -> Column:
+        held, at = acc["held"], acc["at"] + F.length(piece)
+        tail = _overlap(held, cfg.overlap)
+        full = F.struct(F.concat(tail, piece).alias("held"), (acc["at"] - F.length(tail)).alias("start"), at.alias("at"), emitted(acc).alias("out"))
+        more = F.struct(F.concat(held, piece).alias("held"), acc["start"].alias("start"), at.alias("at"), acc["out"].alias("out"))
+        return F.when((held != "") & (F.length(held) + F.length(piece) > cfg.size), full).otherwise(more)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(run, f"document_id {kind}, chunk_index int, content string, start_offset int, end_offset int")
+    return F.aggregate(pieces, zero, add, lambda acc: F.when(columns.trimmed(acc["held"]) != "", emitted(acc)).otherwise(acc["out"]))
+
+
+def chunk_documents(docs: DataFrame, cfg: ChunkConfig = ChunkConfig()) -> DataFrame:
+    """document_id, chunk_index, chunk_id, content, start_offset and end_offset of all chunks of (doc_id, text, ...); null and empty texts have none."""
+    made = docs.where("text <> ''").select(F.col("doc_id").alias("document_id"), F.posexplode(chunked(F.col("text"), cfg)).alias("chunk_index", "c"))
+    out = made.select("document_id", "chunk_index", "c.*")
     return out.withColumn("chunk_id", F.format_string("%s-%06d", F.col("document_id").cast("string"), "chunk_index"))
 
 
@@ -103,59 +139,122 @@ _ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaacee
 class Index:
     postings: DataFrame
     chunk_stats: DataFrame
+    #: The term dictionary of a stored index; and whether chunks were deleted since it was compacted.
+    blocks: DataFrame | None = None
+    deleted: bool = False
+
 
+def build_index(chunks: DataFrame, stemmed: bool = True, asked: list[list[Phrase]] | None = None) -> Index:
+    """Postings of (chunk_id, document_id, content). Stems are computed once for each distinct term.
 
-def build_index(chunks: DataFrame, stemmed: bool = True) -> Index:
-    """Postings of (chunk_id, document_id, content). Stems are computed once for each distinct term."""
+    asked: a query of stemmed words, if the index is for that query only; all other terms are left out before anything is grouped.
+    """
     text = F.coalesce(F.col("content"), F.lit(""))
     words = chunks.select("chunk_id", "document_id", terms(F.translate(F.lower(text), *_ACCENTS) if stemmed else text).alias("t"))
-    flat = words.select("chunk_id", "document_id", F.posexplode("t").alias("position", "term"))
-    # grouped before stems come in: what is joined is a row for each chunk and term
-    grouped = flat.groupBy("term", "chunk_id", "document_id").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-    if stemmed:
-        porter = F.pandas_udf(lambda s: pd.Series([stem(x) for x in s], dtype=object), "string")
-        stems = grouped.select("term").distinct().withColumn("stem", porter("term"))
-        grouped = grouped.join(stems, "term").groupBy(F.col("stem").alias("term"), "chunk_id", "document_id").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
-    postings = grouped.select("term", "chunk_id", "document_id", F.size("positions").cast("long").alias("tf"), "positions")
+    flat = words.select("chunk_id", "document_id", F.size("t").cast("long").alias("dl"), F.posexplode("t").alias("position", "term"))
+    if stemmed or asked is not None:
+        stems = flat.select("term").distinct()
+        if stemmed:
+            porter = F.pandas_udf(lambda s: pd.Series([stem(x) for x in s], dtype=object), "string")
+            stems = stems.withColumn("stem", porter("term"))
+        else:
+            stems = stems.withColumn("stem", F.col("term"))
+        if asked is not None:  # the terms of a query: they go to the words, not the words to them
+            stems = stems.where(_hits_some(F.col("stem"), asked))
+            few = stems.limit(MOST_TERMS + 1).collect()
+            if len(few) <= MOST_TERMS:
+                stems = F.broadcast(chunks.sparkSession.createDataFrame([(r.term, r.stem) for r in few], "term string, stem string"))
+        flat = flat.join(stems, "term").drop("term").withColumnRenamed("stem", "term")
+    grouped = flat.groupBy("term", "chunk_id", "document_id", "dl").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+    postings = grouped.select("term", "chunk_id", "document_id", F.size("positions").cast("long").alias("tf"), "dl", "positions")
     return Index(postings, words.select("chunk_id", "document_id", F.size("t").cast("long").alias("dl")))
 
 
-#: Folders of a stored index.
-FOLDERS = 64
+def term_counts(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, document_id, term, tf) of all terms as they are written."""
+    text = F.coalesce(F.col("content"), F.lit(""))
+    return chunks.select("chunk_id", "document_id", F.explode(terms(text)).alias("term")).groupBy("chunk_id", "document_id", "term").agg(F.count("*").alias("tf"))
+
+
+# --- stored indexes ------------------------------------------------------------------------
+
+#: Folders of a part of the postings, and tiers of a term's postings.
+FOLDERS, TIERS = 64, 32
+#: Terms of a query, prefixes expanded, that are sent as a list; beyond, postings are filtered by prefix.
+MOST_TERMS = 10_000
+
+
+def _share(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """What a posting scores, by idf and k1 + 1."""
+    return tf / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+def index_parts(chunks: DataFrame, parts: Parts, stemmed: bool = True) -> dict[str, str]:
+    """Write postings, blocks and chunk_stats of chunks as parts, to be committed."""
+    index = build_index(chunks, stemmed)
+    stats = parts.write(index.chunk_stats, "chunk_stats")
+    return _write_postings(parts, index.postings, parts.spark.read.parquet(f"{parts.path}/chunk_stats/part={stats}")) | {"chunk_stats": stats}
 
 
-def _folder(term: Column) -> Column:
-    return F.pmod(F.ascii(term), F.lit(FOLDERS))
+def _write_postings(parts: Parts, postings: DataFrame, stats: DataFrame) -> dict[str, str]:
+    avgdl = F.broadcast(stats.agg(F.greatest(F.avg("dl"), F.lit(1e-9)).alias("avgdl")))
+    share = _share(F.col("tf"), F.col("dl"), F.col("avgdl"))
+    tier = F.floor((1 - share) * TIERS).cast("int")
+    placed = postings.join(avgdl).withColumns({"tier": tier, "folder": F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(FOLDERS)).cast("int")}).drop("avgdl")
+    # a folder's rows together, but in as many files as they need
+    name = parts.write(placed.hint("rebalance", F.col("folder")).sortWithinPartitions("folder", "term", "tier"), "postings", ("folder",))
+    written = parts.spark.read.parquet(f"{parts.path}/postings/part={name}").join(avgdl)
+    blocks = written.groupBy("term", "tier", "avgdl").agg(F.count("*").alias("n"), F.min(share).alias("low"), F.max(share).alias("high"))
+    return {"postings": name, "blocks": parts.write(blocks.repartitionByRange("term").sortWithinPartitions("term", "tier"), "blocks")}
 
 
 def insert_chunks(chunks: DataFrame, path: str, stemmed: bool = True) -> None:
     """Add chunks (chunk_id, document_id, content) to the index below `path`, which is made if there is none."""
-    index, now = build_index(chunks, stemmed), F.lit(time.time_ns())
-    index.postings.withColumns({"version": now, "folder": _folder(F.col("term"))}).sortWithinPartitions("folder", "term").write.mode("append").partitionBy("folder").parquet(f"{path}/postings")
-    index.chunk_stats.withColumn("version", now).write.mode("append").parquet(f"{path}/chunks")
+    parts = Parts(chunks.sparkSession, path)
+    parts.commit(index_parts(chunks, parts, stemmed))
 
 
 def delete_documents(ids: DataFrame, path: str) -> None:
     """Take the documents in `ids` (document_id) out of the index: what was inserted before now is gone."""
-    ids.select("document_id", F.lit(time.time_ns()).alias("before")).write.mode("append").parquet(f"{path}/deleted")
+    Parts(ids.sparkSession, path).delete(ids, "document_id", {"postings": "document_id", "chunk_stats": "document_id"})
 
 
-def open_index(spark: SparkSession, path: str) -> Index:
-    """The index below `path` without deleted documents."""
-    postings, stats = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/chunks")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/deleted")
-    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        gone = spark.read.parquet(f"{path}/deleted").groupBy("document_id").agg(F.max("before").alias("before"))
-        held = lambda t: t.join(gone.withColumnRenamed("document_id", "__gone"), (F.col("document_id") == F.col("__gone")) & (F.col("version") < F.col("before")), "left_anti")
-        postings, stats = held(postings), held(stats)
-    return Index(postings, stats)
+def _schemas(parts: Parts, state: dict) -> dict[str, str]:
+    """Ids have the types that the first chunks gave them."""
+    first = parts.spark.read.parquet(f"{parts.path}/chunk_stats/part={state['parts']['chunk_stats'][0][0]}").schema
+    ids = ", ".join(f"{c} {first[c].dataType.simpleString()}" for c in ("chunk_id", "document_id"))
+    return {
+        "postings": f"term string, {ids}, tf long, dl long, positions array<int>, tier int, folder int",
+        "chunk_stats": f"{ids}, dl long",
+        "blocks": "term string, tier int, avgdl double, n long, low double, high double",
+    }
 
 
-# --- queries -------------------------------------------------------------------------------
+def open_index(spark: SparkSession, path: str, version: int | None = None) -> Index:
+    """The index below `path`, as of a version or now, without deleted documents."""
+    parts = Parts(spark, path)
+    state = parts.state(version)
+    kinds = _schemas(parts, state)
+    postings, stats, blocks = (parts.read(t, kinds[t], state=state).drop("part") for t in ("postings", "chunk_stats", "blocks"))
+    return Index(postings, stats, blocks, any(g["table"] == "postings" for g in state["gone"]))
 
-#: Words in a row, and whether the last one is a prefix.
-Phrase = tuple[tuple[str, ...], bool]
 
+def compact_index(spark: SparkSession, path: str) -> int:
+    """Write the index anew as one part without deleted documents; readers see it from one commit to the next."""
+    parts = Parts(spark, path)
+    state = parts.state()
+    kinds, made = _schemas(parts, state), {}
+
+    def put_postings(rows: DataFrame) -> str:
+        live = parts.read("chunk_stats", kinds["chunk_stats"], state=state)
+        made.update(_write_postings(parts, rows.drop("tier", "folder"), live))
+        return made["postings"]
+
+    # the blocks follow from the postings that were just written
+    return parts.compact({"postings": (kinds["postings"], put_postings), "blocks": (kinds["blocks"], lambda _: made["blocks"]), "chunk_stats": (kinds["chunk_stats"], lambda r: parts.write(r, "chunk_stats"))})
+
+
+# --- queries -------------------------------------------------------------------------------
 
 def sanitize_query(query: str) -> list[tuple[str, bool]]:
     """Terms of a query and whether each is a prefix: one word is a prefix, several are all required.
@@ -196,6 +295,44 @@ def parse_query(query: str) -> list[list[Phrase]]:
     return [x for x in out if x]
 
 
+def _slots(query: list[list[Phrase]]) -> list[tuple[int, int, str, bool]]:
+    """The words of all phrases: phrase, place in it, word, and whether it is a prefix."""
+    phrases = [p for alternative in query for p in alternative]
+    return [(q, i, w, prefix and i == len(words) - 1) for q, (words, prefix) in enumerate(phrases) for i, w in enumerate(words)]
+
+
+def _hit(term: Column, word: str, prefix: bool) -> Column:
+    return term.startswith(word) if prefix else term == word
+
+
+def _hits_some(term: Column, query: list[list[Phrase]]) -> Column:
+    return reduce(lambda a, b: a | b, (_hit(term, w, prefix) for _, _, w, prefix in _slots(query)))
+
+
+def _folder(term: str) -> int:
+    return zlib.crc32(term.encode()) % FOLDERS
+
+
+def _rows_of(index: Index, query: list[list[Phrase]]) -> DataFrame:
+    """The postings of a query's words. In a stored index they are looked up in the dictionary, and only their folders are opened."""
+    if index.blocks is not None:
+        exact = {w for _, _, w, prefix in _slots(query) if not prefix}
+        prefixes = [w for _, _, w, prefix in _slots(query) if prefix]
+        more: set[str] = set()
+        if prefixes:
+            some = reduce(lambda a, b: a | b, (F.col("term").startswith(w) for w in prefixes))
+            more = {r.term for r in index.blocks.where(some).select("term").distinct().limit(MOST_TERMS + 1).collect()}
+        if len(more) <= MOST_TERMS:
+            asked = sorted(exact | more)
+            return index.postings.where(F.col("folder").isin(sorted({_folder(t) for t in asked})) & F.col("term").isin(asked))
+    return index.postings.where(_hits_some(F.col("term"), query))
+
+
+def _idf(n_all: Column, df: Column) -> Column:
+    raw = F.log((n_all - df + 0.5) / (df + 0.5))
+    return F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
+
+
 def match(index: Index, query: list[list[Phrase]]) -> DataFrame:
     """chunk_id, document_id and score (larger is better) of chunks that match an alternative.
 
@@ -203,28 +340,20 @@ def match(index: Index, query: list[list[Phrase]]) -> DataFrame:
     phrase over all its expansions.
     """
     phrases = [p for alternative in query for p in alternative]
-    slots = [(q, i, w, prefix and i == len(words) - 1) for q, (words, prefix) in enumerate(phrases) for i, w in enumerate(words)]
-    term = F.col("term")
-    hit = lambda w, prefix: term.startswith(w) if prefix else term == w
-    some = reduce(lambda a, b: a | b, (hit(w, prefix) for _, _, w, prefix in slots))
-    rows = index.postings.where(some)
-    if "folder" in rows.columns:
-        rows = rows.where(F.col("folder").isin(sorted({ord(w[0]) % FOLDERS for _, _, w, _ in slots})))
-    wanted = [F.when(hit(w, prefix), F.struct(F.lit(q).alias("q"), F.lit(i).alias("slot"))) for q, i, w, prefix in slots]
+    rows = _rows_of(index, query)
+    wanted = [F.when(_hit(F.col("term"), w, prefix), F.struct(F.lit(q).alias("q"), F.lit(i).alias("slot"))) for q, i, w, prefix in _slots(query)]
     rows = rows.withColumn("s", F.explode(F.array_compact(F.array(*wanted))))
     # positions of each word as positions of its phrase
-    rows = rows.select("chunk_id", "document_id", "s.q", "s.slot", F.transform("positions", lambda p: p - F.col("s.slot")).alias("at"))
-    by_slot = rows.groupBy("q", "slot", "chunk_id", "document_id").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
+    rows = rows.select("chunk_id", "document_id", "dl", "s.q", "s.slot", F.transform("positions", lambda p: p - F.col("s.slot")).alias("at"))
+    by_slot = rows.groupBy("q", "slot", "chunk_id", "document_id", "dl").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
     lengths = F.element_at(F.array(*(F.lit(len(words)) for words, _ in phrases)), F.col("q") + 1)
-    by_phrase = by_slot.groupBy("q", "chunk_id", "document_id").agg(F.collect_list("at").alias("all")).where(F.size("all") == lengths)
+    by_phrase = by_slot.groupBy("q", "chunk_id", "document_id", "dl").agg(F.collect_list("at").alias("all")).where(F.size("all") == lengths)
     tf = F.size(F.aggregate(F.slice("all", 2, 1_000_000), F.col("all")[0], F.array_intersect)).cast("long")
-    hits = by_phrase.select("q", "chunk_id", "document_id", tf.alias("tf")).where("tf > 0")
+    hits = by_phrase.select("q", "chunk_id", "document_id", "dl", tf.alias("tf")).where("tf > 0")
     corpus = index.chunk_stats.agg(F.count("*").alias("n_all"), F.avg("dl").alias("avgdl"))
     found = hits.groupBy("q").agg(F.count("*").alias("df"))  # a row for each phrase
-    scored = hits.join(F.broadcast(found), "q").join(F.broadcast(corpus)).join(index.chunk_stats.select("chunk_id", "dl"), "chunk_id")
-    raw = F.log((F.col("n_all") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = hits.join(F.broadcast(found), "q").join(F.broadcast(corpus))
+    part = _idf(F.col("n_all"), F.col("df")) * (K1 + 1) * _share(F.col("tf"), F.col("dl"), F.col("avgdl"))
     numbers, upto = [], 0
     for alternative in query:
         numbers.append(F.array(*(F.lit(upto + i) for i in range(len(alternative)))))
@@ -233,25 +362,111 @@ def match(index: Index, query: list[list[Phrase]]) -> DataFrame:
     return scored.groupBy("chunk_id", "document_id").agg(F.sum(part).alias("score"), F.collect_set("q").alias("has")).where(whole).drop("has")
 
 
+@dataclass(frozen=True)
+class _Tier:
+    term: str
+    tier: int
+    n: int
+    low: float  # what each of its postings scores at least, and at most
+    high: float
+
+
+def _needed(tiers: list[_Tier], k: int) -> dict[str, set[int]]:
+    """The tiers of each term that can hold one of the best k chunks, where each term's own postings are enough for a match."""
+    best = {t.term: max(x.high for x in tiers if x.term == t.term) for t in tiers}
+    bound = 0.0
+    for term in best:  # k chunks of one term score that much at least, whatever else they have
+        held = 0
+        for x in sorted((x for x in tiers if x.term == term), key=lambda x: -x.low):
+            held += x.n
+            if held >= k:
+                bound = max(bound, x.low)
+                break
+    out: dict[str, set[int]] = {term: set() for term in best}
+    for x in tiers:
+        if x.high + sum(v for t, v in best.items() if t != x.term) >= bound * (1 - 1e-9):
+            out[x.term].add(x.tier)
+    return out
+
+
+def top_rows(index: Index, query: list[list[Phrase]], k: int) -> tuple[DataFrame, dict[str, int]] | None:
+    """The postings that the best k chunks of a query follow from, and each term's number of chunks.
+
+    None where they don't follow from single words alone, or chunks were deleted since the index was compacted.
+    """
+    phrases = [p for alternative in query for p in alternative]
+    if index.blocks is None or index.deleted or any(prefix or len(words) > 1 for words, prefix in phrases):
+        return None
+    any_word, all_words = all(len(a) == 1 for a in query), len(query) == 1
+    terms_ = [words[0] for words, _ in phrases]
+    if len(set(terms_)) < len(terms_) or not (any_word or all_words):
+        return None
+    corpus = index.chunk_stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    # of several parts of the index a row each
+    rows = index.blocks.where(F.col("term").isin(terms_)).collect()
+    df = dict.fromkeys(terms_, 0)
+    for r in rows:
+        df[r.term] += r.n
+    weight = {t: max(math.log((corpus.n - n + 0.5) / (n + 0.5)), 0.0) * (K1 + 1) or 1e-6 * (K1 + 1) for t, n in df.items()}
+
+    def bound(share: float, written: float, widen: Callable[[float, float], float]) -> float:
+        """A share 1 / (1 + x) where lengths count `written` / avgdl times as much as when it was written."""
+        return 1 / (1 + (1 / share - 1) * widen(1.0, written / corpus.avgdl))
+
+    tiers = [_Tier(r.term, r.tier, r.n, weight[r.term] * bound(r.low, r.avgdl, max), weight[r.term] * bound(r.high, r.avgdl, min)) for r in rows]
+    of = lambda t: index.postings.where((F.col("folder") == _folder(t)) & (F.col("term") == t)).select("term", "chunk_id", "document_id", "tf", "dl", "tier")
+    if any_word:
+        # parts tier their postings by themselves, so a tier may be one in one part and another in the next: all of that number are read
+        parts = [of(t).where(F.col("tier").isin(sorted(need))) for t, need in _needed(tiers, k).items()]
+        return (reduce(DataFrame.unionByName, parts) if parts else of(terms_[0])), df
+    if not all(df.values()):
+        return of(terms_[0]).limit(0), df
+    rarest = min(df, key=df.get)
+    first = of(rarest)
+    ids = first.select("chunk_id")
+    return reduce(DataFrame.unionByName, [first, *(of(t).join(ids, "chunk_id", "left_semi") for t in df if t != rarest)]), df
+
+
+def best(index: Index, query: list[list[Phrase]], k: int) -> DataFrame:
+    """The k best rows of match(), best first; a stored index reads no more than they need."""
+    pruned = top_rows(index, query, k)
+    if pruned is None:
+        hits = match(index, query)
+    else:
+        rows, df = pruned
+        corpus = F.broadcast(index.chunk_stats.agg(F.count("*").alias("n_all"), F.avg("dl").alias("avgdl")))
+        number = F.element_at(F.create_map(*(F.lit(x) for pair in df.items() for x in pair)), F.col("term"))
+        part = _idf(F.col("n_all"), number) * (K1 + 1) * _share(F.col("tf"), F.col("dl"), F.col("avgdl"))
+        hits = rows.join(corpus).groupBy("chunk_id", "document_id").agg(F.sum(part).alias("score"), F.count("*").alias("has"))
+        hits = hits.where(F.col("has") == (len(df) if len(query) == 1 else F.col("has"))).drop("has")
+    return hits.orderBy(F.desc("score"), "chunk_id").limit(k)
+
+
 def bm25(index: Index, query: list[tuple[str, bool]]) -> DataFrame:
     """chunk_id, document_id and score (larger is better) of chunks that match every term; a prefix is one term."""
     return match(index, [[((t,), prefix) for t, prefix in query]])
 
 
-def search(index: Index, chunks: DataFrame, documents: DataFrame, query: str, document_ids: list | DataFrame | None = None, limit: int = 10, min_score: float = 0.0, stemmed: bool = True) -> DataFrame:
+def stemmed_query(query: str) -> list[list[Phrase]]:
+    return [[(tuple(stem(w) for w in words), p) for words, p in alternative] for alternative in parse_query(query)]
+
+
+def search(index: Index | None, chunks: DataFrame, documents: DataFrame, query: str, document_ids: list | DataFrame | None = None, limit: int = 10, min_score: float = 0.0, stemmed: bool = True) -> DataFrame:
     """The best chunks with their chunk, document, score and highlights; min_score applies after the limit.
 
+    index: of all chunks; None reads them for this query alone.
     document_ids: a list, or a DataFrame (document_id) of any size; statistics stay those of the whole corpus.
     """
-    asked = [[(tuple(stem(w) for w in words) if stemmed else words, p) for words, p in alternative] for alternative in parse_query(query)]
+    asked = stemmed_query(query) if stemmed else parse_query(query)
     if not asked:
         return chunks.join(documents.withColumnRenamed("doc_id", "document_id"), "document_id").withColumns({"score": F.lit(0.0), "highlights": F.array(F.lit(""))}).limit(0)
-    hits = match(index, asked)
-    if isinstance(document_ids, DataFrame):
-        hits = hits.join(document_ids.select("document_id"), "document_id", "left_semi")
-    elif document_ids:
-        hits = hits.where(F.col("document_id").isin(document_ids))
-    top = hits.orderBy(F.desc("score"), "chunk_id").limit(limit)
+    index = index or build_index(chunks, stemmed, asked)
+    if document_ids is None or isinstance(document_ids, list) and not document_ids:
+        top = best(index, asked, limit)
+    else:
+        hits = match(index, asked)
+        hits = hits.join(document_ids.select("document_id"), "document_id", "left_semi") if isinstance(document_ids, DataFrame) else hits.where(F.col("document_id").isin(document_ids))
+        top = hits.orderBy(F.desc("score"), "chunk_id").limit(limit)
     if min_score:
         top = top.where(F.abs("score") >= min_score)
     # the k best are broadcast; chunks and documents are read once

@@ -62,7 +62,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; one of our own only in local mode, where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loomveil-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -599,6 +600,24 @@ def chunk_single_paragraph(spark: SparkSession, sf: str) -> DataFrame:
     return search.chunk_documents(one).select(F.col("document_id").alias("doc_id"), "content")
 
 
+_LOADED = "a as (select doc_id, '/in/' || doc_id as path, sha256(text) as hash from documents where doc_id % 3 <> 0), b as (select doc_id, '/in/' || doc_id as path, sha256(case when doc_id % 5 = 0 then text || 'x' else text end) as hash from documents where doc_id % 4 <> 0)"
+
+
+@query(f"""with {_LOADED}, v2 as (select coalesce(b.path, a.path) as path, coalesce(b.hash, a.hash) as hash, a.hash is not distinct from coalesce(b.hash, a.hash) as kept from a full join b on a.path = b.path)
+  select 1 as version, path, hash, true as kept from a union all select 2, path, hash, kept from v2 union all select 3, path, hash, kept from v2 where not ends_with(path, '7')""")
+def stored_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """A table of documents with chunks and index: loaded, upserted by path and hash, some deleted; read as of each version."""
+    d, path = docs(spark, sf), f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    rows = lambda text, which: d.where(which).select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string")).alias("path"), F.sha2(text, 256).alias("hash"), text.alias("text"))
+    store.insert_documents(rows(F.col("text"), "doc_id % 3 <> 0"), path)
+    store.upsert_documents(rows(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), "doc_id % 4 <> 0"), path)
+    store.delete_documents(store.table(spark, path, "documents").where("path like '%7'").select("id"), path)
+    first = store.table(spark, path, "documents", 1).select(F.col("id").alias("old"))
+    seen = [store.table(spark, path, "documents", v).select(F.lit(v).alias("version"), "path", "hash", "id") for v in (1, 2, 3)]
+    every = seen[0].union(seen[1]).union(seen[2]).join(first.withColumn("kept", F.lit(True)), F.col("id") == F.col("old"), "left")
+    return every.select("version", "path", "hash", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
 # --- full-text search ----------------------------------------------------------------------
 
 _TERMS = r"raw as (select doc_id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) as term from documents), terms as (select * from raw where term <> '')"
@@ -616,8 +635,14 @@ def _bm25_sql(where: list[str], scope: str = "true") -> str:
       select doc_id, round(score, 6) as score from scored where {scope} {_TOP}"""
 
 
-def _index(spark: SparkSession, sf: str) -> search.Index:
-    return search.build_index(docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("text").alias("content")), stemmed=False)
+def _contents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as chunks of their own."""
+    return docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("text").alias("content"))
+
+
+def _matches(spark: SparkSession, sf: str, asked: list[list[search.Phrase]]) -> DataFrame:
+    """The best ten for a query, whose terms alone are indexed."""
+    return _top(search.match(search.build_index(_contents(spark, sf), False, asked), asked))
 
 
 def _top(hits: DataFrame) -> DataFrame:
@@ -626,28 +651,28 @@ def _top(hits: DataFrame) -> DataFrame:
 
 @query(f"with {_TERMS} select doc_id, term, count(*) as tf from terms group by doc_id, term")
 def tokenize_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return _index(spark, sf).postings.select(F.col("document_id").alias("doc_id"), "term", "tf")
+    return search.term_counts(_contents(spark, sf)).select(F.col("document_id").alias("doc_id"), "term", "tf")
 
 
 @query(f"with {_TERMS}, d as (select doc_id, count(*) as dl from terms group by doc_id) select (select count(*) from documents) as n, (select count(distinct term) from terms) as terms, round((select sum(dl) from d) / (select count(*) from documents)::double, 6) as avgdl")
 def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
-    i = _index(spark, sf)
+    i = search.build_index(_contents(spark, sf), False)
     return i.chunk_stats.agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("avgdl")).join(i.postings.agg(F.count_distinct("term").alias("terms")))
 
 
 @query(_bm25_sql(["term = 'idiot'"]))
 def bm25_single(spark: SparkSession, sf: str) -> DataFrame:
-    return _top(search.bm25(_index(spark, sf), [("idiot", False)]))
+    return _matches(spark, sf, [[(("idiot",), False)]])
 
 
 @query(_bm25_sql(["term = 'the'", "term = 'clown'"]))
 def bm25_and(spark: SparkSession, sf: str) -> DataFrame:
-    return _top(search.bm25(_index(spark, sf), [("the", False), ("clown", False)]))
+    return _matches(spark, sf, search.parse_query("the clown"))
 
 
 @query(_bm25_sql(["starts_with(term, 'path')"]))
 def bm25_prefix(spark: SparkSession, sf: str) -> DataFrame:
-    return _top(search.bm25(_index(spark, sf), [("path", True)]))
+    return _matches(spark, sf, search.parse_query("path"))
 
 
 def _phrase_sql(where: list[tuple[str, str]], matched: str) -> str:
@@ -665,19 +690,17 @@ def _phrase_sql(where: list[tuple[str, str]], matched: str) -> str:
 
 @query(_phrase_sql([("pairs", "term = 'on' and next = 'and'")], "true"))
 def bm25_phrase(spark: SparkSession, sf: str) -> DataFrame:
-    return _top(search.match(_index(spark, sf), search.parse_query('"on and"')))
+    return _matches(spark, sf, search.parse_query('"on and"'))
 
 
 @query(_phrase_sql([("terms", "term = 'idiot'"), ("terms", "term = 'clown'"), ("terms", "starts_with(term, 'path')")], "bool_or(q = 0) and bool_or(q = 1) or bool_or(q = 2)"))
 def bm25_or(spark: SparkSession, sf: str) -> DataFrame:
-    return _top(search.match(_index(spark, sf), search.parse_query("idiot clown OR path*")))
+    return _matches(spark, sf, search.parse_query("idiot clown OR path*"))
 
 
 def _search(spark: SparkSession, sf: str, **options) -> DataFrame:
     """The operator's search for the one word, documents being chunks of their own."""
-    d = docs(spark, sf)
-    chunks = d.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("text").alias("content"))
-    hits = search.search(_index(spark, sf), chunks, d.select("doc_id", "lang", "source"), '"idiot"', stemmed=False, **options)
+    hits = search.search(None, _contents(spark, sf), docs(spark, sf).select("doc_id", "lang", "source"), '"idiot"', stemmed=False, **options)
     return hits.withColumn("score", F.round("score", 6)).withColumnRenamed("document_id", "doc_id")
 
 
@@ -697,16 +720,49 @@ def search_join_back(spark: SparkSession, sf: str) -> DataFrame:
     return _search(spark, sf).select("doc_id", "lang", "score")
 
 
-@query(_bm25_sql(["term = 'clown'"]).replace("documents", "kept").replace("with raw", "with kept as (select * from documents where doc_id % 5 <> 0 or doc_id % 10 = 0), raw"))
-def search_stored(spark: SparkSession, sf: str) -> DataFrame:
-    """A stored index in two inserts, with a fifth of its documents deleted and half of those inserted again."""
-    d = docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("text").alias("content"))
-    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+_KEPT = "with kept as (select * from documents where doc_id % 5 <> 0 or doc_id % 10 = 0), raw"
+
+
+def _stored_index(spark: SparkSession, sf: str, deleted: bool) -> str:
+    """A stored index in two inserts; `deleted`: with a fifth of its documents deleted and half of those inserted again."""
+    d, path = _contents(spark, sf), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
     for part in (0, 1):
         search.insert_chunks(d.where(f"document_id % 2 = {part}"), path, stemmed=False)
-    search.delete_documents(d.where("document_id % 5 = 0"), path)
-    search.insert_chunks(d.where("document_id % 10 = 0"), path, stemmed=False)
-    return _top(search.bm25(search.open_index(spark, path), [("clown", False)]))
+    if deleted:
+        search.delete_documents(d.where("document_id % 5 = 0"), path)
+        search.insert_chunks(d.where("document_id % 10 = 0"), path, stemmed=False)
+    return path
+
+
+def _reported(rows: DataFrame, path: str) -> DataFrame:
+    """The few rows of a report, after which its index is deleted."""
+    spark, got, schema = rows.sparkSession, rows.collect(), rows.schema
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return spark.createDataFrame(got, schema)
+
+
+@query(_bm25_sql(["term = 'clown'"]).replace("documents", "kept").replace("with raw", _KEPT))
+def search_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored index with deletions that are looked up."""
+    path = _stored_index(spark, sf, True)
+    return _reported(_top(search.bm25(search.open_index(spark, path), [("clown", False)])), path)
+
+
+@query(_phrase_sql([("terms", "term = 'the'"), ("terms", "starts_with(term, 'clow')")], "count(*) = 2").replace("documents", "kept").replace("with raw0", _KEPT.replace(", raw", ", raw0")))
+def search_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """The same index after compaction, asked for a word and a prefix."""
+    path = _stored_index(spark, sf, True)
+    search.compact_index(spark, path)
+    return _reported(_top(search.match(search.open_index(spark, path), search.parse_query("the clow*"))), path)
+
+
+@query(_phrase_sql([("terms", "term = 'idiot'"), ("terms", "term = 'clown'"), ("terms", "term = 'the'")], "true"))
+def search_top_tiers(spark: SparkSession, sf: str) -> DataFrame:
+    """The best ten of words parted by OR, from the tiers of postings that can hold them."""
+    path = _stored_index(spark, sf, False)
+    hits = search.best(search.open_index(spark, path), search.parse_query("idiot OR clown OR the"), 10)
+    return _reported(hits.select(F.col("document_id").alias("doc_id"), F.round("score", 6).alias("score")), path)
 
 
 @query("select string_agg('[Bron ' || i || ': ' || source || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by i) as context from (select *, row_number() over (order by score desc, doc_id) as i from (" + _bm25_sql(["term = 'idiot'"]) + ") join documents using (doc_id))")
@@ -715,11 +771,20 @@ def build_context(spark: SparkSession, sf: str) -> DataFrame:
     return chat.context_text(hits, "source")
 
 
-@query()
+_CHUNK_TERMS = f"""{_CHUNKS}, raw as (select chunk_id, document_id, unnest(string_split_regex(lower(translate(content, '{"".join(search._ACCENTS[0])}', '{"".join(search._ACCENTS[1])}')), '[^\\p{{L}}\\p{{N}}]+')) as term from made),
+  terms as (select * from raw where term <> ''), dls as (select chunk_id, count(*) as dl from terms group by chunk_id), st as (select count(*) as n, (select sum(dl) from dls) / count(*)::double as avgdl from made),
+  hits as (select 0 as q, chunk_id, count(*) as tf from terms where starts_with(term, 'pathet') group by chunk_id union all select 1, chunk_id, count(*) from terms where regexp_matches(term, '^rewh(e|es|s|ed|eds|ing|ings)?$') group by chunk_id),
+  df as (select q, count(*) as df from hits group by q),
+  scored as (select chunk_id, sum(case when ln((n - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n - df + 0.5) / (df + 0.5)) end * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score from hits join df using (q) join dls using (chunk_id), st group by chunk_id)"""
+
+
+@query(f"with {_CHUNK_TERMS} select chunk_id, document_id::bigint as document_id, source as name, round(score, 6) as score from scored join made using (chunk_id) join documents on doc_id = document_id order by score desc, chunk_id limit 10")
 def search_stemmed(spark: SparkSession, sf: str) -> DataFrame:
-    d = docs(spark, sf).select("doc_id", "text", F.col("source").alias("name"))
-    chunks = search.chunk_documents(d)
-    return search.search(search.build_index(chunks), chunks, d.select("doc_id", "name"), "idiots").select("chunk_id", "document_id", "name", "score", "highlights")
+    """Chunks with forms of two words, of which one is a prefix: their stems are found, whatever their endings."""
+    d = docs(spark, sf).select("doc_id", F.col("source").alias("name"))
+    chunks = search.chunk_documents(_paragraphs(spark, sf))
+    hits = search.search(None, chunks, d, "rewhed OR pathetic*")
+    return hits.select("chunk_id", "document_id", "name", F.round("score", 6).alias("score"))
 
 
 # --- conversations -------------------------------------------------------------------------

@@ -1,10 +1,10 @@
-"""The stored tables: documents, chunks, conversations, messages and the audit log.
+"""The stored tables: documents, chunks, conversations, messages, the audit log and the index.
 
-Tables are Parquet folders below one path, defined by the schemas here. Arrays and structs
-are columns; JSON text of them is made and read at the edge only (`to_json_columns`,
-`from_json_columns`). Inserting documents derives their chunks and postings from the same
-rows in one step; there are no keys to enforce, so upserts and deletes are joins
-(`files.upsert`, `files.cascade_delete`).
+Tables lie below one path under one list of commits (`parts.Parts`), with the schemas here.
+Arrays and structs are columns; JSON text of them is made and read at the edge only
+(`to_json_columns`, `from_json_columns`). Documents come in with their chunks and postings, and
+go with them, in one commit each: a reader sees all of it or nothing, and a version that was
+opened stays as it is. Paths are unique because `upsert_documents` replaces what has the same.
 
 Nulls: a missing id becomes a new random one, missing times become the insert's time, a
 missing title the default; null sources stay null. Equal times are ordered by id.
@@ -12,13 +12,12 @@ missing title the default; null sources stay null. Equal times are ordered by id
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomveil.operators import search
 from loomveil.operators.chat import DEFAULT_TITLE
+from loomveil.sources.parts import Parts
 
 SOURCE = "struct<chunk_id:string,document_id:string,document_name:string,content:string,score:double>"
 SCHEMAS = {
@@ -32,14 +31,18 @@ SCHEMAS = {
 JSON_COLUMNS = {"document_ids": "array<string>", "sources": f"array<{SOURCE}>"}
 
 
+#: Tables that hold rows of documents, and their column with the document's id.
+OF_DOCUMENTS = {"documents": "id", "chunks": "document_id", "postings": "document_id", "chunk_stats": "document_id"}
+
+
 def create_tables(spark: SparkSession, path: str) -> None:
     """Empty tables below `path`; those that exist stay."""
-    for name, schema in SCHEMAS.items():
-        spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/{name}")
+    Parts(spark, path).change(lambda state, _: [state["parts"].setdefault(name, []) for name in SCHEMAS])
 
 
-def table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}")
+def table(spark: SparkSession, path: str, name: str, version: int | None = None) -> DataFrame:
+    """A table as it is now, or as it was in a version."""
+    return Parts(spark, path).read(name, SCHEMAS[name], version).drop("part")
 
 
 def new_id(given: Column) -> Column:
@@ -64,9 +67,10 @@ def shaped(rows: DataFrame, name: str, now: Column) -> DataFrame:
     return rows.select(*made)
 
 
-def insert(rows: DataFrame, path: str, name: str, now: Column | None = None) -> None:
-    """Append rows to a table."""
-    shaped(rows, name, F.current_timestamp() if now is None else now).write.mode("append").parquet(f"{path}/{name}")
+def insert(rows: DataFrame, path: str, name: str, now: Column | None = None) -> int:
+    """Append rows to a table; gives the version that has them."""
+    parts = Parts(rows.sparkSession, path)
+    return parts.commit({name: parts.write(shaped(rows, name, F.current_timestamp() if now is None else now), name)})
 
 
 def chunk_rows(documents: DataFrame, cfg: search.ChunkConfig = search.ChunkConfig()) -> DataFrame:
@@ -75,17 +79,38 @@ def chunk_rows(documents: DataFrame, cfg: search.ChunkConfig = search.ChunkConfi
     return made.select(F.col("chunk_id").alias("id"), "document_id", "content", "chunk_index", "start_offset", "end_offset")
 
 
-def insert_documents(documents: DataFrame, path: str, now: Column | None = None, cfg: search.ChunkConfig = search.ChunkConfig()) -> None:
-    """Documents with their chunks and postings, all from one written copy, so that random ids are the same in all three."""
-    spark, copy = documents.sparkSession, f"{path}/incoming/{uuid.uuid4().hex}"
-    shaped(documents, "documents", F.current_timestamp() if now is None else now).write.parquet(copy)
-    new = spark.read.schema(SCHEMAS["documents"]).parquet(copy)
-    chunks = chunk_rows(new.select("id", "text"), cfg)
-    chunks.write.mode("append").parquet(f"{path}/chunks")
-    search.insert_chunks(chunks.select(F.col("id").alias("chunk_id"), "document_id", "content"), f"{path}/index")
-    new.write.mode("append").parquet(f"{path}/documents")  # last: a document that is listed has its chunks
-    done = spark._jvm.org.apache.hadoop.fs.Path(copy)
-    done.getFileSystem(spark._jsc.hadoopConfiguration()).delete(done, True)
+def _document_parts(documents: DataFrame, parts: Parts, now: Column | None, cfg: search.ChunkConfig) -> dict[str, str]:
+    """Write documents, their chunks and the index of those as parts; random ids are drawn once."""
+    written = lambda name, part: parts.spark.read.schema(SCHEMAS[name]).parquet(f"{parts.path}/{name}/part={part}")
+    made = {"documents": parts.write(shaped(documents, "documents", F.current_timestamp() if now is None else now), "documents")}
+    made["chunks"] = parts.write(chunk_rows(written("documents", made["documents"]).select("id", "text"), cfg), "chunks")
+    chunks = written("chunks", made["chunks"]).select(F.col("id").alias("chunk_id"), "document_id", "content")
+    return made | search.index_parts(chunks, parts)
+
+
+def insert_documents(documents: DataFrame, path: str, now: Column | None = None, cfg: search.ChunkConfig = search.ChunkConfig()) -> int:
+    """Documents with their chunks and postings in one commit; gives the version that has them."""
+    parts = Parts(documents.sparkSession, path)
+    return parts.commit(_document_parts(documents, parts, now, cfg))
+
+
+def delete_documents(ids: DataFrame, path: str) -> int:
+    """Documents in `ids` (id) go with their chunks and postings, in one commit."""
+    return Parts(ids.sparkSession, path).delete(ids, "id", OF_DOCUMENTS)
+
+
+def upsert_documents(documents: DataFrame, path: str, now: Column | None = None, cfg: search.ChunkConfig = search.ChunkConfig()) -> int:
+    """Documents by path and hash, one row a path: equal ones stay as they are, others replace that of their path, new ids and all.
+
+    One commit takes the old ones out with their chunks and postings and brings the new ones in; a null path is nobody's.
+    """
+    parts = Parts(documents.sparkSession, path)
+    state = parts.state()
+    held = parts.read("documents", SCHEMAS["documents"], state=state).select(F.col("path").alias("__path"), F.col("hash").alias("__hash"), F.col("id").alias("__id"))
+    both = documents.join(held, F.col("path") == F.col("__path"), "left").where(F.col("__path").isNull() | ~F.col("hash").eqNullSafe(F.col("__hash")))
+    gone = parts.write(both.where("__id is not null").select(F.col("__id").alias("key")).distinct(), "deleted")
+    new = _document_parts(both.drop("__path", "__hash", "__id", "id"), parts, now, cfg)
+    return parts.commit(new, {table: (key, gone) for table, key in OF_DOCUMENTS.items()})
 
 
 # --- reading -------------------------------------------------------------------------------

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import StructType
 
 from loomveil.functions.redaction import FilterConfig
 from loomveil.operators import pii, search
 from loomveil.sources import files
+from loomveil.sources.parts import Parts
 
 
 def stream_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -33,39 +35,36 @@ def chunk_stream(docs: DataFrame, out: str, checkpoint: str, cfg: search.ChunkCo
 
 
 def upsert_stream(docs: DataFrame, table: str, checkpoint: str, order: str | None = None) -> StreamingQuery:
-    """Keep a table of documents (path, hash, ...) current: each micro-batch is merged into a new version of it.
+    """Keep a table of documents (path, hash, ...) current: what a micro-batch changes comes in, and takes out what it replaces, in one commit.
 
     Of several rows of one path in a batch the one with the largest `order` counts, then the
-    largest hash. A version is there once its folder has Spark's success mark; a batch that is
-    run again after a failure starts from the version before it and writes the same one. The
-    version before the last is deleted. Reading: `newest_version`.
+    largest hash; rows with the hash that is there change nothing, and a null path is nobody's.
+    A batch that is run again after a failure is found among the commits and left out. Only
+    changed rows are written; `compact_upserts` folds replaced rows in. Reading: `current_rows`.
     """
+    schema = docs.schema
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
+        parts = Parts(batch.sparkSession, table)
         rank = Window.partitionBy("path").orderBy(*([F.desc(order)] if order else []), F.desc("hash"))
-        newest = batch.withColumn("__n", F.row_number().over(rank)).where("__n = 1").drop("__n")
-        before = newest_version(spark, table, below=epoch)
-        held = spark.read.schema(newest.schema).parquet(f"{table}/v{before}") if before is not None else newest.limit(0)
-        files.upsert(held, newest).write.mode("overwrite").parquet(f"{table}/v{epoch}")
-        for old in _versions(spark, table):
-            if before is not None and old < before:
-                path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/v{old}")
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        newest = batch.withColumn("__n", F.row_number().over(rank)).where("__n = 1 or path is null").drop("__n")
+        held = parts.read("rows", schema).select(F.col("path").alias("__path"), F.col("hash").alias("__hash"))
+        changed = newest.join(held, (F.col("path") == F.col("__path")) & F.col("hash").eqNullSafe(F.col("__hash")), "left_anti")
+        part = parts.write(changed, "rows")
+        paths = parts.spark.read.schema(schema).parquet(f"{parts.path}/rows/part={part}").where("path is not null").select("path")
+        parts.delete(paths, "path", {"rows": "path"}, {"rows": part}, (checkpoint, epoch))
 
     return docs.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _versions(spark: SparkSession, table: str) -> list[int]:
-    """Versions that were written to their end. Errors other than a missing folder are the caller's."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(table)
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(top):
-        return []
-    names = [f.getPath().getName() for f in fs.listStatus(top)]
-    done = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/{n}/_SUCCESS"))
-    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and done(n))
+def current_rows(spark: SparkSession, table: str, schema: str | StructType, version: int | None = None) -> DataFrame:
+    """A table that `upsert_stream` keeps, as it is now or was in a version."""
+    return Parts(spark, table).read("rows", schema, version).drop("part")
 
 
-def newest_version(spark: SparkSession, table: str, below: int | None = None) -> int | None:
-    return max((v for v in _versions(spark, table) if below is None or v < below), default=None)
+def compact_upserts(spark: SparkSession, table: str, schema: str | StructType) -> int:
+    """Write the table anew without replaced rows, and delete what only older versions name."""
+    parts = Parts(spark, table)
+    version = parts.compact({"rows": (schema, lambda rows: parts.write(rows, "rows"))})
+    parts.vacuum()
+    return version

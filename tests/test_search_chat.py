@@ -48,6 +48,20 @@ def test_chunks():
     assert search.chunks_of("  \n\n ") == [] and search.overlap_of("x" * 150 + ". Next one", 100) == "Next one"
 
 
+def test_chunks_by_expressions_equal_those_of_one_text(spark):
+    import random
+
+    r = random.Random(3)
+    bits = ["a" * 40, "Een zin. Nog een", "x" * 130, "woord woord", "é😀 ", "! Ja", "\u00a0", "", "\n", " ", "lang" * 60]
+    texts = ["".join(r.choice(bits) + r.choice(["\n\n", "\n\n\n", "\n", " ", ""]) for _ in range(r.randint(0, 40))) for _ in range(150)] + [None, "", " \n\n "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for cfg in (search.ChunkConfig(), search.ChunkConfig(120, 30), search.ChunkConfig(50, 0)):
+        got = {}
+        for x in search.chunk_documents(docs, cfg).orderBy("document_id", "chunk_index").collect():
+            got.setdefault(x.document_id, []).append((x.content, x.start_offset, x.end_offset))
+        assert got == {i: c for i, t in enumerate(texts) if t and (c := search.chunks_of(t, cfg))}
+
+
 def test_chat(spark):
     m = spark.createDataFrame([("c", i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(5)], "conversation_id string, seq int, role string, content string").withColumn("created_at", F.col("seq"))
     assert sorted(x.seq for x in chat.last_messages(m, 2).collect()) == [3, 4]

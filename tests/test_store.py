@@ -12,6 +12,7 @@ from loomveil.functions.names import Lexicon
 from loomveil.functions.redaction import FilterConfig
 from loomveil.operators import chat, pii, search
 from loomveil.sources import files, store
+from loomveil.sources.parts import Parts
 from loomveil.streaming import ingest
 
 import golden
@@ -72,7 +73,7 @@ def test_tables(spark, tmp_path):
     chunks = store.table(spark, path, "chunks")
     assert {r.document_id for r in chunks.collect()} == {"a", "c"} and [r.chunk_index for r in store.chunks_of(chunks, "a").collect()] == [0]
     assert {r.document_id: r.full_text for r in store.joined_chunks(chunks).collect()} == {"a": "alpha one\n\nbeta two", "c": "gamma"}
-    hits = search.search(search.open_index(spark, f"{path}/index"), chunks.withColumnRenamed("id", "chunk_id"), held.select(F.col("id").alias("doc_id"), "name"), "beta")
+    hits = search.search(search.open_index(spark, path), chunks.withColumnRenamed("id", "chunk_id"), held.select(F.col("id").alias("doc_id"), "name"), "beta")
     assert [(r.document_id, r.name) for r in hits.collect()] == [("a", "A")]
     store.insert(spark.createDataFrame([("k", ["a"]), ("m", None)], "id string, document_ids array<string>"), path, "conversations", now)
     talks = store.table(spark, path, "conversations")
@@ -168,25 +169,117 @@ def test_golden_document_as_a_table(spark):
 
 
 def test_upsert_stream_keeps_the_table(spark, tmp_path):
-    table, source = str(tmp_path / "t"), str(tmp_path / "in")
+    table, source, schema = str(tmp_path / "t"), str(tmp_path / "in"), "path string, hash string, seq int"
+
+    def now(version=None):
+        return {(r.path, r.hash) for r in ingest.current_rows(spark, table, schema, version).collect()}
 
     def feed(rows):
-        spark.createDataFrame(rows, "path string, hash string, seq int").coalesce(1).write.mode("append").parquet(source)
-        ingest.upsert_stream(ingest.stream_table(spark, source, "path string, hash string, seq int"), table, str(tmp_path / "cp"), "seq").awaitTermination(60)
-        return {(r.path, r.hash) for r in spark.read.parquet(f"{table}/v{ingest.newest_version(spark, table)}").collect()}
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        ingest.upsert_stream(ingest.stream_table(spark, source, schema), table, str(tmp_path / "cp"), "seq").awaitTermination(60)
+        return now()
 
     assert feed([("a", "1", 1), ("b", "1", 1), ("a", "2", 2)]) == {("a", "2"), ("b", "1")}
-    assert feed([("b", "3", 3), ("c", "1", 3)]) == {("a", "2"), ("b", "3"), ("c", "1")}
+    assert feed([("b", "3", 3), ("c", "1", 3), ("a", "2", 3)]) == {("a", "2"), ("b", "3"), ("c", "1")}
+    # a row with the hash that is there stays the older one
+    assert {(r.path, r.seq) for r in ingest.current_rows(spark, table, schema).collect()} == {("a", 2), ("b", 3), ("c", 3)}
     assert feed([("c", "2", 4)]) == {("a", "2"), ("b", "3"), ("c", "2")}
-    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v")]) == 2
-    # a version that isn't whole is not taken for the table, and a broken one is an error, not an empty start
-    (tmp_path / "t" / "v9").mkdir()
-    newest = ingest.newest_version(spark, table)
-    assert newest == 2
-    for part in (tmp_path / "t" / "v2").glob("part-*"):
+    assert now(1) == {("a", "2"), ("b", "1")}  # the first batch's version
+    parts = Parts(spark, table)
+    assert len(parts.versions()) == 3
+    # a batch that is run again is left out, and a commit that is not written to its end is not there
+    again = parts.write(spark.createDataFrame([("z", "9", 9)], schema), "rows")
+    assert parts.commit({"rows": again}, batch=(str(tmp_path / "cp"), 2)) == 3
+    assert ingest.compact_upserts(spark, table, schema) == 4 and now() == {("a", "2"), ("b", "3"), ("c", "2")}
+    (tmp_path / "t" / "commits" / f"{5:012d}.json").write_text('{"version": 5, "pa')
+    assert now() == {("a", "2"), ("b", "3"), ("c", "2")}
+    for part in (tmp_path / "t" / "rows").glob("*/part-*"):
         part.write_bytes(b"broken")
     with pytest.raises(Exception):  # noqa: B017, PT011
-        feed([("d", "1", 5)])
+        now()
+
+
+def test_commits_hold_all_or_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path)
+    docs = spark.createDataFrame([("a", "/a", "1", "alpha one"), ("b", "/b", "1", "beta two")], "id string, path string, hash string, text string")
+    first = store.insert_documents(docs, path)
+    more = spark.createDataFrame([("c", "/c", "1", "gamma alpha")], "id string, path string, hash string, text string")
+    with monkeypatch.context() as m:  # the writer dies after its chunks, before its index
+        m.setattr(search, "index_parts", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.insert_documents(more, path)
+    state = lambda v=None: ({r.path for r in store.table(spark, path, "documents", v).collect()}, {r.document_id for r in store.table(spark, path, "chunks", v).collect()}, {r.document_id for r in search.match(search.open_index(spark, path, v), [[(("alpha",), False)]]).collect()})
+    assert state() == ({"/a", "/b"}, {"a", "b"}, {"a"})
+    second = store.insert_documents(more, path)
+    changed = spark.createDataFrame([("x", "/a", "2", "alpha alpha"), ("y", "/b", "1", "other"), ("z", "/d", "1", "delta")], "id string, path string, hash string, text string")
+    third = store.upsert_documents(changed, path)
+    held = {r.path: (r.id, r.hash) for r in store.table(spark, path, "documents").collect()}
+    assert held["/b"] == ("b", "1") and held["/a"][1] == "2" and held["/a"][0] not in ("a", "x") and set(held) == {"/a", "/b", "/c", "/d"}
+    assert state()[1] == state()[0].__class__(i for i, _ in held.values()) and "a" not in state()[2] and len(state()[2]) == 2
+    fourth = store.delete_documents(spark.createDataFrame([("c",)], "id string"), path)
+    assert [first, second, third, fourth] == [1, 2, 3, 4] and state(1) == ({"/a", "/b"}, {"a", "b"}, {"a"}) and state(2)[2] == {"a", "c"}
+    assert state()[0] == {"/a", "/b", "/d"} and len(state()[2]) == 1
+    # two writers at once: the second takes the next version
+    parts = Parts(spark, path)
+    seen, real = [], parts.state
+    monkeypatch.setattr(parts, "state", lambda v=None: seen.pop() if seen else real(v))
+    seen.append(real(3))
+    assert parts.commit({"documents": parts.write(spark.createDataFrame([], store.SCHEMAS["documents"]), "documents")}) == 5
+
+
+def test_compaction_keeps_scores_and_later_commits(spark, tmp_path):
+    path = str(tmp_path)
+    chunks = spark.createDataFrame([(str(i), i, t) for i, t in enumerate([*TEXTS, None, ""])], "chunk_id string, document_id int, content string")
+    search.insert_chunks(chunks.where("document_id < 5"), path)
+    search.insert_chunks(chunks.where("document_id >= 5"), path)
+    search.delete_documents(chunks.where("document_id in (0, 5)"), path)
+    score = lambda q: {x.document_id: x.score for x in search.match(search.open_index(spark, path), search.stemmed_query(q)).collect()}
+    before = {q: score(q) for q in ("dog", "run*", '"dogs run"', "fox OR brown")}
+    assert search.open_index(spark, path).deleted
+    search.compact_index(spark, path)
+    index = search.open_index(spark, path)
+    assert not index.deleted and {q: score(q) for q in before} == {q: pytest.approx(v) for q, v in before.items()}
+    parts = Parts(spark, path)
+    parts.vacuum(1)
+    assert {q: score(q) for q in before} == {q: pytest.approx(v) for q, v in before.items()}
+    assert [len(parts.state()["parts"][t]) for t in ("postings", "blocks", "chunk_stats")] == [1, 1, 1]
+    # what is committed while a compaction writes stays
+    real, added = parts.read, []
+
+    def read(*a, **k):
+        if not added:
+            added.append(parts.commit({"t": parts.write(spark.range(2), "t")}))
+        return real(*a, **k)
+
+    parts.commit({"t": parts.write(spark.range(5), "t")})
+    parts.read = read
+    parts.compact({"t": ("id long", lambda rows: parts.write(rows, "t"))})
+    assert sorted(r.id for r in real("t", "id long").collect()) == [0, 0, 1, 1, 2, 3, 4]
+
+
+def test_top_k_reads_fewer_postings(spark, tmp_path):
+    import random
+
+    r = random.Random(1)
+    words = ["rare"] * 2 + ["mid"] * 20 + ["often"] * 200 + [f"w{i}" for i in range(300)]
+    rows = [(f"{i:04d}", i, " ".join(r.choice(words) for _ in range(r.randint(3, 60)))) for i in range(1500)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_id int, content string")
+    path = str(tmp_path)
+    for k in (0, 1):
+        search.insert_chunks(chunks.where(f"document_id % 2 = {k}"), path, stemmed=False)
+    index = search.open_index(spark, path)
+    for query in ("'often'", "'mid'", "often OR mid OR rare", "often mid", "mid rare often", "'nothing'", "nothing often", "nothing OR often"):
+        asked = search.parse_query(query)
+        every = search.match(index, asked)
+        exp = [(x.chunk_id, round(x.score, 9)) for x in every.orderBy(F.desc("score"), "chunk_id").limit(5).collect()]
+        assert [(x.chunk_id, round(x.score, 9)) for x in search.best(index, asked, 5).collect()] == exp
+        read, held = search.top_rows(index, asked, 5)[0].count(), search._rows_of(index, asked).count()
+        assert read <= held and (query != "'often'" or read < held / 2) and (query not in ("often mid", "mid rare often") or read < held)
+    assert search.top_rows(index, search.parse_query("oft*"), 5) is None and search.top_rows(index, search.parse_query('"often mid"'), 5) is None
+    search.delete_documents(chunks.where("document_id = 3"), path)
+    again = search.open_index(spark, path)
+    assert search.top_rows(again, search.parse_query("'often'"), 5) is None
+    assert {x.document_id for x in search.best(again, search.parse_query("'often'"), 2000).collect()} == {x.document_id for x in search.match(index, search.parse_query("'often'")).where("document_id <> 3").collect()}
 
 
 def test_missed_names_and_paragraphs(spark):
