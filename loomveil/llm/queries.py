@@ -141,7 +141,7 @@ ORACLES = {
                      max(page_id) over (partition by html) as top from p)
         select page_id, payload_bytes, payload_digest,
                case when payload_bytes >= 1000 and page_id <> top then 'revisit' else 'response' end as record_type,
-               case when payload_bytes >= 1000 and page_id <> top then top end as refers_to from d""",
+               case when payload_bytes >= 1000 and page_id <> top then top end as refers_to, true as intact from d""",
     "op11_periodic_runs": rf"""
         with rows as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as w, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint) as id from documents),
         hashed as (select r, doc_id, w, len(w) as n, coalesce(xor(4294967295, list_reduce(list_prepend(4294967295, id), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))), 1) as h from rows),

@@ -15,7 +15,8 @@ their exits; pointer jumping over the splits' entry points then marks, in rounds
 that are logarithmic in the number of splits of a file, what the file's start
 reaches, and each split is walked once from its entries. Only reachable records
 are returned; magic inside payloads falls out, and payloads that hold the magic are
-put together again from their pieces.
+put together again from their pieces, which a second scan finds by 128 bits of their
+contents, so that it may cut the archives elsewhere than the first.
 
 Memory: a task holds the offsets of one split's candidates, and the pieces of one
 record. A chain that meets something that is no record ends there; `read_archives`
@@ -31,11 +32,11 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from loomveil.llm import scratch
+from loomveil.llm import bloom, scratch
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -93,6 +94,11 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     return read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"))
 
 
+def _hashes() -> list[Column]:
+    """128 bits that a piece is known by, wherever the splits of a scan cut the archives."""
+    return [F.xxhash64("value").alias("h1"), F.xxhash64("value", F.lit(1)).alias("h2")]
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """All pieces that follow a magic: file, block, seq, off, and, where they parse as a record, its fields and `succ`."""
     head = F.substring_index("value", END, 1)
@@ -109,6 +115,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         some(get("WARC-Payload-Digest", r"sha1:([0-9a-f]{40})")).alias("said_digest"),
         some(get("WARC-Payload-Length", r"([0-9]{1,18})")).cast("long").alias("said_length"),
         some(get("WARC-Refers-To", r"<urn:page:(-?[0-9]+)>")).alias("refers_to"),
+        *_hashes(),
         "value",
     )
     body = F.expr("substring(cast(value as binary), cast(head_bytes + 1 as int), cast(length as int))")
@@ -172,9 +179,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     cut = real.where("not whole")
     if cut.limit(1).count():
         owner = F.last(F.when(F.col("real"), F.col("off")), True).over(Window.partitionBy("file").orderBy("off"))
-        marks = found.select("file", "block", "seq", "off").join(real.select("file", "off", F.lit(True).alias("real")), ["file", "off"], "left")
+        marks = found.select("file", "off", "h1", "h2").join(real.select("file", "off", F.lit(True).alias("real")), ["file", "off"], "left")
         owned = marks.withColumn("owner", owner).join(cut.select("file", F.col("off").alias("owner")), ["file", "owner"], "left_semi")
-        parts = _pieces(spark, path).join(owned, ["file", "block", "seq"]).groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("off", "value"))).alias("parts"))
+        owned = scratch.table(owned.select("file", "owner", "off", "h1", "h2"), "warc-owned")
+        # this scan may cut the archives into other splits than the first: pieces are found by what they hold
+        again = bloom.keep_maybe(_pieces(spark, path).select("value", *_hashes()), "h1", owned.select(F.col("h1").alias("hash")).distinct())
+        parts = owned.join(again.groupBy("h1", "h2").agg(F.first("value").alias("value")), ["h1", "h2"]).groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("off", "value"))).alias("parts"))
         joined = F.array_join(F.transform("parts", lambda x: x["value"]), MAGIC)
         body = F.expr("substring(cast(value as binary), cast(head_bytes + 1 as int), cast(length as int))")
         mended = parts.select("file", F.col("owner").alias("off"), joined.alias("value")).join(cut.select("file", "off", "head_bytes", "length"), ["file", "off"])
@@ -196,4 +206,4 @@ def round_trip(pages: DataFrame, path: str, min_revisit_bytes: int = 1000) -> Da
     write_archives(pages, path, min_revisit_bytes)
     got = read_archives(pages.sparkSession, path)
     kind = pages.schema["page_id"].dataType
-    return got.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    return got.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "intact")
