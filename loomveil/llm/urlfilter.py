@@ -40,6 +40,8 @@ from loomveil.llm import bloom, scratch
 from loomveil.llm import bytescan as bs
 
 
+#: Between the host and the path of a key: neither of a URL's has it, so a key has it once.
+BETWEEN = "?"
 #: Shards get a cascade of at least so many bytes, however small the bound is.
 LEAST_SHARD = 1 << 20
 #: Parts over which the rows of one shard are spread.
@@ -79,7 +81,7 @@ def candidate_keys(rules: DataFrame, host: str = "host", path: str = "path") ->
         chars = F.filter(F.coalesce(F.try_element_at(lengths, n), F.array().cast("array<int>")), lambda k: k <= F.length(p))
 
         def one(k: Column) -> Column:
-            key = F.concat(domain, F.lit("\t"), F.substring(p, F.lit(1), k))
+            key = F.concat(domain, F.lit(BETWEEN), F.substring(p, F.lit(1), k))
             return F.struct((F.length(domain) + k).alias("size"), n.alias("labels"), key.alias("key"), F.xxhash64(key).alias("hash"))
 
         return F.transform(chars, one)
@@ -160,7 +162,7 @@ def judge_urls(pages: DataFrame, rules: Iterable[Rule] | DataFrame, max_bytes: i
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
         rules = spark.createDataFrame([(r.host, r.path, r.action) for r in rules], "host string, path string, action string")
-    listed = rules.select("host", "path", "action", F.concat("host", F.lit("\t"), "path").alias("key")).withColumn("hash", F.xxhash64("key"))
+    listed = rules.select("host", "path", "action", F.concat("host", F.lit(BETWEEN), "path").alias("key")).withColumn("hash", F.xxhash64("key"))
     host, path = host_and_path()
     keyed = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("keys", candidate_keys(rules))
     universe = keyed.select(F.explode("keys").alias("k")).select("k.key", "k.hash")
@@ -190,7 +192,7 @@ def judge_urls(pages: DataFrame, rules: Iterable[Rule] | DataFrame, max_bytes: i
             verdict = np.full(len(has), default, object)
             verdict[has] = np.where(block.contains(h[picked], keys.take(pa.array(picked))), "block", "allow")
             rule = np.full(len(has), None, object)
-            rule[has] = [x.replace("\t", "", 1) for x in keys.take(pa.array(picked)).to_pylist()]
+            rule[has] = [x.replace(BETWEEN, "") for x in keys.take(pa.array(picked)).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), batch.column("path"), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
 
     id_type = pages.schema["page_id"].dataType.simpleString()
@@ -235,4 +237,4 @@ def _judge_in_shards(keyed: DataFrame, listed: DataFrame, default: str, max_byte
         found = hits if found is None else found.unionByName(hits)
     best = found.groupBy("row").agg(F.min_by(F.struct("key", "blocks"), "pos").alias("b"))
     verdict = F.when(F.col("b").isNull(), F.lit(default)).when(F.col("b.blocks"), F.lit("block")).otherwise(F.lit("allow"))
-    return rows.join(best, "row", "left").select("page_id", "host", "path", F.translate("b.key", "\t", "").alias("rule"), verdict.alias("verdict"))
+    return rows.join(best, "row", "left").select("page_id", "host", "path", F.replace("b.key", F.lit(BETWEEN), F.lit("")).alias("rule"), verdict.alias("verdict"))

@@ -75,6 +75,15 @@ def test_urls(spark, max_bytes):
     assert urlfilter.judge_urls(pages.limit(0), queries.URL_RULES, max_bytes).count() == 0
 
 
+@pytest.mark.parametrize("max_bytes", [1 << 26, 0])
+def test_urls_with_odd_characters(spark, max_bytes):
+    rules = [urlfilter.Rule("com", "/x\ty", "block"), urlfilter.Rule("a\tb.org", "/\t\t", "block"), urlfilter.Rule("net", "x", "block"), urlfilter.Rule("é.de", "/日本", "block")]
+    urls = ["h://com/x\tyz", "h://u.com/x\ty", "h://com/xy", "h://a\tb.org/\t\t?", "h://a\tb.org/\t", "h://netx/", "h://net/x", "h://w.é.de/日本/1", "h://é.de/日"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: tuple(r)[1:] for r in urlfilter.judge_urls(pages, rules, max_bytes).collect()}
+    assert got == {i: judged(u, rules) for i, u in enumerate(urls)}
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     keys = [f"k{i}" for i in range(5000)]
     u = spark.createDataFrame([(k,) for k in keys], "key string").withColumn("hash", F.xxhash64("key"))
@@ -210,7 +219,11 @@ def test_archives(spark):
             spark.conf.set("spark.sql.files.maxPartitionBytes", size)
             spark.conf.set("spark.sql.files.openCostInBytes", "1000")
             path = scratch.new_path(spark, "archives")
-            assert collections.Counter(tuple(r) for r in warc.round_trip(pages, path).collect()) == exp
+            made = warc.round_trip(pages, path)
+            # executors that come or go change the splits between the two scans
+            spark.conf.set("spark.sql.files.maxPartitionBytes", {"128m": "2000", "3000": "5000"}[size])
+            got = made.collect()
+            assert collections.Counter(tuple(r)[:5] for r in got) == exp and all(r.intact for r in got)
             assert all(r.intact for r in warc.read_archives(spark, path).collect())
     finally:
         for k, v in old.items():
