@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import json
+import re
 import urllib.request
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomveil.functions import columns as c
+from loomveil.functions import fixed as fx
 
 DEFAULT_TITLE = "Nieuw gesprek"
 #: What a model is told where the caller gives no prompt.
@@ -246,6 +251,60 @@ def say(model, question: str, conversation: DataFrame, messages: DataFrame, resu
     return moved.withColumn("title", title), every, text
 
 
+#: What `converse` gives for each question: the question and the answer, and how many earlier messages the model saw.
+TURN = "seq bigint, role string, content string, seen int, title string"
+
+
+class Talk:
+    """A conversation's last messages, from which the next question is answered."""
+
+    def __init__(self, model, history: int, past: Iterable[tuple[str, str]] = (), asked: int = 0):
+        self.model, self.past, self.asked = model, deque(past, maxlen=history), asked
+
+    def turn(self, question: str | None, context: str | None = None) -> list[tuple]:
+        """Rows of TURN for a question; the first of a conversation gives its title."""
+        question = question or ""
+        messages = [*({"role": r, "content": x} for r, x in self.past), {"role": "user", "content": question}]
+        system = BASE_PROMPT + (f"\n\n{CONTEXT_OPEN}\n{context}\n{CONTEXT_CLOSE}" if context else "")
+        text = "".join(d.content for d in self.model.stream(messages, system))
+        self.asked += 1
+        at, seen = 2 * self.asked - 1, len(messages) - 1
+        self.past.extend((("user", question), ("assistant", text)))
+        return [(at, "user", question, seen, title_text(question) if self.asked == 1 else None), (at + 1, "assistant", text, seen, None)]
+
+
+def title_text(question: str) -> str:
+    """title_of() of one question."""
+    t = re.sub(f"[{fx.WS}]+", " ", question).strip(" ")
+    return t if len(t) <= 50 else t[:47] + "..."
+
+
+def converse(questions: DataFrame, model, history: int = 10, order: str = "seq") -> DataFrame:
+    """Answer the questions (conversation_id, `order`, content, and context if there is one) of any number of conversations.
+
+    Gives conversation_id and TURN. Conversations are dealt to tasks and each goes on in its order, as an answer is part of
+    the next question's history; a task holds the last `history` messages of one conversation. The model goes to the
+    executors, so it has to be picklable. A null question is an empty one; a null id is a conversation of its own.
+    """
+    with_context = "context" in questions.columns
+    kind = questions.schema["conversation_id"].dataType.simpleString()
+    rows = questions.select("conversation_id", order, "content", *(["context"] if with_context else []))
+    dealt = rows.repartition("conversation_id").sortWithinPartitions("conversation_id", order, "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        talk, of = None, object()
+        for batch in batches:
+            ids = batch["conversation_id"].astype(object).where(batch["conversation_id"].notna(), None)
+            out = []
+            for i, question, context in zip(ids, batch["content"], batch["context"] if with_context else repeat(None), strict=with_context):
+                if talk is None or i != of:
+                    talk, of = Talk(model, history), i
+                out += [(i, *row) for row in talk.turn(question, context)]
+            yield pd.DataFrame(out, columns=["conversation_id", "seq", "role", "content", "seen", "title"])
+
+    return dealt.mapInPandas(run, f"conversation_id {kind}, {TURN}")
+
+
 def answer_text(model, question: str, results: DataFrame, **options) -> str:
     """The whole answer at once."""
     return "".join(d.content for d in answer(model, question, results, **options)[0])

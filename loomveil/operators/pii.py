@@ -122,10 +122,26 @@ def near_spans(spans: DataFrame, others: DataFrame, distance: int = 200) -> Data
     return spans.withColumn("__own", at).join(points, (F.col("doc_id") == F.col("__doc")) & (F.col("__own") == F.col("__cell")) & (F.abs(F.col("__at") - F.col("start_offset")) < distance), "left_semi").drop("__own")
 
 
+#: Characters of a cell: spans meet by the cells that they touch.
+CELL = 512
+
+
+def _cells(start: str, end: str) -> Column:
+    """The cells that a span touches; none for a null."""
+    return F.sequence(F.floor(F.col(start) / CELL), F.floor(F.greatest(F.col(end) - 1, F.col(start)) / CELL))
+
+
 def uncovered_spans(spans: DataFrame, others: DataFrame) -> DataFrame:
-    """`spans` that overlap none of `others` of their document."""
+    """`spans` that overlap none of `others` of their document; equal spans are judged alike.
+
+    Both sides meet by cells of their document, so work grows with what is near and not with a document's spans.
+    """
     held = others.select(F.col("doc_id").alias("__doc"), F.col("start_offset").alias("__start"), F.col("end_offset").alias("__end"))
-    return spans.join(held, (F.col("doc_id") == F.col("__doc")) & (F.col("start_offset") < F.col("__end")) & (F.col("end_offset") > F.col("__start")), "left_anti")
+    held = held.withColumn("__cell", F.explode(_cells("__start", "__end")))
+    own = spans.select("doc_id", "start_offset", "end_offset").distinct().withColumn("__at", F.explode(_cells("start_offset", "end_offset")))
+    overlap = (F.col("doc_id") == F.col("__doc")) & (F.col("__at") == F.col("__cell")) & (F.col("start_offset") < F.col("__end")) & (F.col("end_offset") > F.col("__start"))
+    hit = own.join(held, overlap, "left_semi").select(F.col("doc_id").alias("__doc"), F.col("start_offset").alias("__start"), F.col("end_offset").alias("__end")).distinct()
+    return spans.join(hit, (F.col("doc_id") == F.col("__doc")) & (F.col("start_offset") == F.col("__start")) & (F.col("end_offset") == F.col("__end")), "left_anti")
 
 
 def paragraphs(docs: DataFrame, between: str = "\n\n") -> DataFrame:
@@ -138,9 +154,13 @@ def paragraphs(docs: DataFrame, between: str = "\n\n") -> DataFrame:
 
 
 def in_paragraphs(spans: DataFrame, docs: DataFrame, between: str = "\n\n") -> DataFrame:
-    """`spans` with the paragraph of their document that holds them whole; those across two are left out."""
-    held = paragraphs(docs, between).withColumnRenamed("doc_id", "__doc")
-    return spans.join(held, (F.col("doc_id") == F.col("__doc")) & (F.col("start_offset") >= F.col("p_start")) & (F.col("end_offset") <= F.col("p_end"))).drop("__doc")
+    """`spans` with the paragraph of their document that holds them whole; those across two are left out.
+
+    A span looks in the cell where it begins, a paragraph is in each cell that it touches: so they meet once.
+    """
+    held = paragraphs(docs, between).withColumnRenamed("doc_id", "__doc").withColumn("__cell", F.explode(_cells("p_start", "p_end")))
+    inside = (F.col("doc_id") == F.col("__doc")) & (F.col("__at") == F.col("__cell")) & (F.col("start_offset") >= F.col("p_start")) & (F.col("end_offset") <= F.col("p_end"))
+    return spans.withColumn("__at", F.floor(F.col("start_offset") / CELL)).join(held, inside).drop("__doc", "__cell", "__at")
 
 
 def without_words(matches: DataFrame, words: DataFrame) -> DataFrame:

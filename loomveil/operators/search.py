@@ -470,31 +470,31 @@ def search(index: Index | None, chunks: DataFrame, documents: DataFrame, query:
     if min_score:
         top = top.where(F.abs("score") >= min_score)
     # the k best are broadcast; chunks and documents are read once
-    out = chunks.drop("document_id").join(F.broadcast(top), "chunk_id").join(documents.withColumnRenamed("doc_id", "document_id"), "document_id")
-    marked = [(w, p and i == len(words) - 1) for alternative in asked for words, p in alternative for i, w in enumerate(words)]
-    return out.withColumn("highlights", F.array(snippet(F.col("content"), marked, stemmed))).orderBy(F.desc("score"), "chunk_id")
-
-
-def snippet_of(text: str, words: list[tuple[str, bool]], stemmed: bool = True, most: int = 32) -> str:
-    """A window of at most `most` words around hits, each marked; dots where the text goes on."""
-    tokens = list(re.finditer(r"[^\W_]+", text))
-    fold = lambda w: stem(w.lower().translate(str.maketrans(*_ACCENTS))) if stemmed else w.lower()
-    is_hit = [any(fold(m[0]).startswith(t) if p else fold(m[0]) == t for t, p in words) for m in tokens]
-    hits = [i for i, h in enumerate(is_hit) if h]
-    if len(tokens) <= most:
-        lo, hi = 0, len(tokens)
-    else:
-        first = hits[0] if hits else 0
-        begins = [i for i in range(max(0, first - most + 1), first + 1) if i == 0 or re.search(r"[.:]", text[tokens[i - 1].end() : tokens[i].start()])]
-        best = max(begins or [max(0, min(first, len(tokens) - most))], key=lambda i: (sum(is_hit[i : i + most]), -i))
-        lo, hi = best, min(len(tokens), best + most)
-    out, at = ["..." if lo else ""], tokens[lo].start() if lo else 0
-    for i in range(lo, hi):
-        m = tokens[i]
-        out += [text[at : m.start()], f"<mark>{m[0]}</mark>" if is_hit[i] else m[0]]
-        at = m.end()
-    return "".join([*out, "..." if hi < len(tokens) else text[at:]])
-
-
-def snippet(text: Column, words: list[tuple[str, bool]], stemmed: bool = True) -> Column:
-    return F.pandas_udf(lambda s: pd.Series([snippet_of(x or "", words, stemmed) for x in s]), "string")(text)
+    ids = F.broadcast(top.select("chunk_id"))
+    marks = _rows_of(index, asked).join(ids, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("__marks"))
+    out = chunks.drop("document_id").join(F.broadcast(top), "chunk_id").join(documents.withColumnRenamed("doc_id", "document_id"), "document_id").join(marks, "chunk_id")
+    return out.withColumn("highlights", F.array(snippet(F.col("content"), F.col("__marks")))).drop("__marks").orderBy(F.desc("score"), "chunk_id")
+
+
+def snippet(text: Column, marks: Column, most: int = 32) -> Column:
+    """A window of at most `most` words around marked ones (numbers of words, sorted), each in <mark>; dots where the text goes on.
+
+    Of the windows that hold the first mark and begin with the text or a sentence that with the most marks, the earliest
+    of equal ones; where none does, the window from the first mark, or as far before it as the text is too short.
+    """
+    word = r"[\p{L}\p{N}]+"
+    given = F.struct(F.regexp_extract_all(text, F.lit(word), F.lit(0)).alias("words"), F.split(text, word).alias("gaps"), marks.alias("marks"))
+
+    def cut(x: Column) -> Column:
+        words, gaps, marks = x["words"], x["gaps"], x["marks"]
+        n, first = F.size(words), F.coalesce(F.get(marks, F.lit(0)), F.lit(0))
+        held = lambda i: F.size(F.filter(marks, lambda m: (m >= i) & (m < i + most)))
+        begins = F.filter(F.sequence(F.greatest(F.lit(0), first - most + 1), first), lambda i: (i == 0) | F.get(gaps, i).rlike("[.:]"))
+        best = F.array_max(F.transform(begins, lambda i: F.struct(held(i).alias("held"), (-i).alias("before"))))
+        lo = F.when(n <= most, F.lit(0)).otherwise(F.coalesce(-best["before"], F.greatest(F.lit(0), F.least(first, n - most))))
+        hi = F.least(n, lo + most)
+        shown = F.transform(F.slice(words, lo + 1, hi - lo), lambda w, i: F.concat(F.when((i > 0) | (lo == 0), F.get(gaps, lo + i)).otherwise(""), F.when(F.array_contains(marks, lo + i), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w)))
+        return F.concat(F.when(lo > 0, "...").otherwise(""), F.array_join(shown, ""), F.when(hi < n, "...").otherwise(F.coalesce(F.get(gaps, n), F.lit(""))))
+
+    # one struct, so that a text is cut into words once
+    return F.get(F.transform(F.array(given), cut), F.lit(0))

@@ -704,6 +704,18 @@ def _search(spark: SparkSession, sf: str, **options) -> DataFrame:
     return hits.withColumn("score", F.round("score", 6)).withColumnRenamed("document_id", "doc_id")
 
 
+@query("with best as (" + _bm25_sql(["term = 'idiot'"]) + r"""), cut as (select doc_id, score, regexp_extract_all(text, '[\p{L}\p{N}]+') as w, string_split_regex(text, '[\p{L}\p{N}]+') as g from best join documents using (doc_id)),
+  marked as (select *, len(w) as n, list_transform(w, lambda x: lower(x) = 'idiot') as hit from cut), placed as (select *, list_position(hit, true) - 1 as first from marked),
+  chosen as (select *, list_filter(range(greatest(0, first - 31), first + 1), lambda i: i = 0 or regexp_matches(g[i + 1], '[.:]')) as begins from placed),
+  counted as (select *, list_transform(begins, lambda i: len(list_filter(hit[i + 1:i + 32], lambda h: h))) as held from chosen),
+  bounds as (select *, case when n <= 32 then 0 when len(begins) = 0 then greatest(0, least(first, n - 32)) else begins[list_position(held, list_max(held))] end as lo from counted)
+  select doc_id, round(score, 6) as score, case when lo > 0 then '...' else '' end || array_to_string(list_transform(range(lo, least(n, lo + 32)), lambda i: case when i > lo or lo = 0 then g[i + 1] else '' end || case when hit[i + 1] then '<mark>' || w[i + 1] || '</mark>' else w[i + 1] end), '')
+         || case when least(n, lo + 32) < n then '...' else g[n + 1] end as highlight from bounds""")
+def search_highlights(spark: SparkSession, sf: str) -> DataFrame:
+    """The best ten for a word, each with its snippet."""
+    return _search(spark, sf).select("doc_id", "score", F.col("highlights")[0].alias("highlight"))
+
+
 @query(_bm25_sql(["term = 'idiot'"], "doc_id % 2 = 0"))
 def search_scoped(spark: SparkSession, sf: str) -> DataFrame:
     even = docs(spark, sf).where("doc_id % 2 = 0").select(F.col("doc_id").alias("document_id"))
@@ -808,6 +820,16 @@ def conversation_messages(spark: SparkSession, sf: str) -> DataFrame:
     return whole.select(F.col("id").alias("conv_id"), F.size("messages").cast("long").alias("n"), F.array_join(lines, "\n").alias("messages"))
 
 
+@query(r"""with q as (select conv_id, text, row_number() over (partition by conv_id order by turn, text) as k from conversations where role = 'user'),
+  x as (select *, trim(regexp_replace(text, '\s+', ' ', 'g')) as t from q)
+  select conv_id as conversation_id, 2 * k - 1 as seq, 'user' as role, text as content, least(4, 2 * (k - 1))::int as seen, case when k = 1 then case when length(t) > 50 then left(t, 47) || '...' else t end end as title from x
+  union all select conv_id, 2 * k, 'assistant', t || case when t = '' then '' else ' ' end, least(4, 2 * (k - 1))::int, null from x""")
+def converse(spark: SparkSession, sf: str) -> DataFrame:
+    """All questions of all conversations answered in order by a model that repeats them, with four messages of history."""
+    asked = read(spark, sf, "conversations").where("role = 'user'").select(F.col("conv_id").alias("conversation_id"), F.col("turn").alias("seq"), F.col("text").alias("content"))
+    return chat.converse(asked, chat.EchoModel(), 4)
+
+
 @query(rf"""with notes as ({NOTES}) select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b[0-9]{{9}}\b', '[GETAL]', 'g'),
   '\b[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{4,30}}\b', '[IBAN]', 'g'), '(?i)\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-z]{{2,10}}\b', '[EMAIL]', 'g'), '\b0[0-9][0-9\s.-]{{8,}}\b', '[TELEFOON]', 'g'),
   '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b', '[NAAM]', 'g') as message from notes""")

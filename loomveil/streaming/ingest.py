@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.types import StructType
 
 from loomveil.functions.redaction import FilterConfig
-from loomveil.operators import pii, search
+from loomveil.operators import chat, pii, search
 from loomveil.sources import files
 from loomveil.sources.parts import Parts
 
@@ -57,6 +62,42 @@ def upsert_stream(docs: DataFrame, table: str, checkpoint: str, order: str | Non
     return docs.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def chat_stream(questions: DataFrame, model, table: str, checkpoint: str, history: int = 10, order: str = "seq", idle_seconds: int = 7 * 86_400) -> StreamingQuery:
+    """Answer questions (conversation_id string, `order`, content) as they arrive; messages are committed to the table once for each batch.
+
+    The state of a conversation is its last `history` messages and how many questions it has had; it goes when no question has
+    come for `idle_seconds`, after which a conversation starts anew. A batch that is run again after a failure may ask the model again,
+    but its answers are committed once. Reading: `answers`.
+    """
+
+    def answered(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        asked, past = (state.get[0], json.loads(state.get[1])) if state.exists else (0, [])
+        talk = chat.Talk(model, history, [tuple(x) for x in past], asked)
+        new = pd.concat(list(batches)).sort_values([order, "content"])
+        out = [(key[0], *row) for q in new["content"] for row in talk.turn(q)]
+        state.update((talk.asked, json.dumps(list(talk.past))))
+        state.setTimeoutDuration(idle_seconds * 1000)
+        yield pd.DataFrame(out, columns=["conversation_id", "seq", "role", "content", "seen", "title"])
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        parts = Parts(batch.sparkSession, table)
+        parts.commit({"answers": parts.write(batch, "answers")}, batch=(checkpoint, epoch))
+
+    said = questions.groupBy("conversation_id").applyInPandasWithState(answered, ANSWERS, "asked bigint, past string", "append", "ProcessingTimeTimeout")
+    return said.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+ANSWERS = f"conversation_id string, {chat.TURN}"
+
+
+def answers(spark: SparkSession, table: str, version: int | None = None) -> DataFrame:
+    """Questions and answers that `chat_stream` has committed."""
+    return Parts(spark, table).read("answers", ANSWERS, version).drop("part")
+
+
 def current_rows(spark: SparkSession, table: str, schema: str | StructType, version: int | None = None) -> DataFrame:
     """A table that `upsert_stream` keeps, as it is now or was in a version."""
     return Parts(spark, table).read("rows", schema, version).drop("part")

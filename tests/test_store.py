@@ -282,6 +282,94 @@ def test_top_k_reads_fewer_postings(spark, tmp_path):
     assert {x.document_id for x in search.best(again, search.parse_query("'often'"), 2000).collect()} == {x.document_id for x in search.match(index, search.parse_query("'often'")).where("document_id <> 3").collect()}
 
 
+def test_conversations_in_a_stream_and_at_once(spark, tmp_path):
+    class Counts:
+        def stream(self, messages, system=""):
+            yield chat.Delta(f"{len(messages)}:{messages[-1]['content']}|{messages[0]['content']}|{system[-3:]}", True)
+
+    rows = [(f"c{i % 3}", i, f"vraag {i}  van {i % 3} " + "x" * (i * 7)) for i in range(18)] + [("solo", 1, None), ("solo", 2, "")]
+    schema = "conversation_id string, seq long, content string"
+
+    def expected(history):
+        out = []
+        for c in ("c0", "c1", "c2", "solo"):
+            past = []
+            for k, (_, _, q) in enumerate(sorted((r for r in rows if r[0] == c), key=lambda r: r[1])):
+                said = [*past[-history:], q or ""]
+                text = f"{len(said)}:{said[-1]}|{said[0]}|{chat.BASE_PROMPT[-3:]}"
+                title = " ".join((q or "").split())
+                out += [(c, 2 * k + 1, "user", q or "", len(said) - 1, (title if len(title) <= 50 else title[:47] + "...") if k == 0 else None), (c, 2 * k + 2, "assistant", text, len(said) - 1, None)]
+                past += [q or "", text]
+        return sorted(out, key=str)
+
+    got = chat.converse(spark.createDataFrame(rows, schema), Counts(), 5).collect()
+    assert sorted(map(tuple, got), key=str) == expected(5)
+    with_context = spark.createDataFrame([("a", 1, "q", "Bron")], schema + ", context string")
+    assert chat.converse(with_context, Counts()).where("role = 'assistant'").first().content.endswith("--")
+    assert chat.converse(spark.createDataFrame([], schema), Counts()).count() == 0
+    source, table = str(tmp_path / "in"), str(tmp_path / "log")
+    for part in (rows[:7], rows[7:9], rows[9:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        ingest.chat_stream(ingest.stream_table(spark, source, schema), Counts(), table, str(tmp_path / "cp"), 5).awaitTermination(120)
+    assert sorted(map(tuple, ingest.answers(spark, table).collect()), key=str) == expected(5)
+    assert {r.conversation_id for r in ingest.answers(spark, table, 1).collect()} == {"c0", "c1", "c2"}
+
+
+def test_span_joins_equal_all_pairs(spark):
+    import random
+
+    r = random.Random(4)
+    make = lambda n, wide: [(r.choice([1, 2, None]), a := r.randint(0, 3000), a + r.randint(0, wide)) for _ in range(n)]
+    a, b = make(150, 40) + [(1, 600, 600), (1, 7, 7), (1, 7, 7)], make(60, 1500)
+    kind = "doc_id long, start_offset long, end_offset long"
+    got = pii.uncovered_spans(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind)).collect()
+    free = [x for x in a if not any(x[0] is not None and x[0] == y[0] and x[1] < y[2] and x[2] > y[1] for y in b)]
+    assert sorted(map(tuple, got), key=str) == sorted(free, key=str)
+    near = pii.near_spans(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind), 25).collect()
+    assert sorted(map(tuple, near), key=str) == sorted((x for x in a if any(x[0] is not None and x[0] == y[0] and min(abs(x[1] - y[1]), abs(x[1] - y[2])) < 25 for y in b)), key=str)
+    text = "\n\n".join("p" * n for n in (700, 0, 3, 1200, 513, 512))
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    parts, at = [], 0
+    for k, p in enumerate(text.split("\n\n")):
+        parts.append((k, at, at + len(p)))
+        at += len(p) + 2
+    inside = [(*x, k) for x in a for k, s, e in parts if x[0] == 1 and x[1] >= s and x[2] <= e]
+    found = pii.in_paragraphs(spark.createDataFrame(a, kind), docs).select("doc_id", "start_offset", "end_offset", "paragraph").collect()
+    assert sorted(map(tuple, found)) == sorted(inside)
+    plan = pii.in_paragraphs(spark.createDataFrame(a, kind), docs)._jdf.queryExecution().toString()
+    assert "__at" in plan and "__cell" in plan
+
+
+def test_snippets(spark):
+    import re
+
+    def cut(text, marks, most=32):
+        tokens = list(re.finditer(r"[^\W_]+", text))
+        if len(tokens) <= most:
+            lo, hi = 0, len(tokens)
+        else:
+            first = marks[0] if marks else 0
+            begins = [i for i in range(max(0, first - most + 1), first + 1) if i == 0 or re.search(r"[.:]", text[tokens[i - 1].end() : tokens[i].start()])]
+            lo = max(begins or [max(0, min(first, len(tokens) - most))], key=lambda i: (sum(i <= m < i + most for m in marks), -i))
+            hi = min(len(tokens), lo + most)
+        out, at = ["..." if lo else ""], tokens[lo].start() if lo else 0
+        for i in range(lo, hi):
+            out += [text[at : tokens[i].start()], f"<mark>{tokens[i][0]}</mark>" if i in marks else tokens[i][0]]
+            at = tokens[i].end()
+        return "".join([*out, "..." if hi < len(tokens) else text[at:]])
+
+    import random
+
+    r = random.Random(7)
+    rows = [("", []), ("één", [0]), (" a b. ", [1])]
+    for _ in range(120):
+        n = r.randint(1, 90)
+        text = "".join(f"w{i}" + r.choice([" ", " ", " ", ". ", ": ", ", ", "\n"]) for i in range(n))
+        rows.append((r.choice(["", "  "]) + text, sorted(r.sample(range(n), min(n, r.randint(1, 6))))))
+    df = spark.createDataFrame(rows, "t string, m array<int>")
+    assert [x[0] for x in df.select(search.snippet(F.col("t"), F.col("m"))).collect()] == [cut(t, m) for t, m in rows]
+
+
 def test_missed_names_and_paragraphs(spark):
     expected, found = spark.createDataFrame([("Anna de Vries",), ("Piet",)], "name string"), spark.createDataFrame([("anna",), ("Klaas",)], "original string")
     assert {(r.name, r.found) for r in pii.missed_names(expected, found).collect()} == {("Anna de Vries", True), ("Piet", False)}
