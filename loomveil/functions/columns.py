@@ -161,6 +161,18 @@ def title_of(x: Column) -> Column:
     return F.when(F.length(t) > 50, F.concat(F.substring(t, 1, 47), F.lit("..."))).otherwise(t)
 
 
+def excerpt(x: Column, most: int = 200) -> Column:
+    """The first `most` characters, and dots where there are more."""
+    return F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit("..."))).otherwise(x)
+
+
+def day_label(when: Column, today: Column) -> Column:
+    """A day as people say it: today, yesterday, days ago within a week, else the date."""
+    days = F.datediff(today.cast("date"), when.cast("date"))
+    near = F.when(days == 0, "Vandaag").when(days == 1, "Gisteren").when(days < 7, F.concat(days.cast("string"), F.lit(" dagen geleden")))
+    return F.when(days < 7, near).otherwise(F.date_format(when, "dd-MM-yyyy"))
+
+
 def common(x: Column) -> Column:
     """Whether a word is too common for a name, in any letter case."""
     return F.lower(x).isin(*fx.COMMON_WORDS)

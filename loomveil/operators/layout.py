@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def spread(scan: DataFrame) -> DataFrame:
@@ -13,3 +14,15 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def positioned(ordered: DataFrame, name: str = "position") -> DataFrame:
+    """Rows of an ordered list with their place from 1: rows are counted by task, and each task's go on where those before it end.
+
+    The list stays dealt over its tasks; what meets is a row for each of them. The list is made twice, so its order must be total.
+    """
+    marked = ordered.withColumn("__at", F.monotonically_increasing_id())  # the task, and the place in it
+    task, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = marked.groupBy(task.alias("__task")).count()
+    before = counts.select("__task", (F.sum("count").over(Window.orderBy("__task")) - F.col("count")).alias("__before"))
+    return marked.join(F.broadcast(before), task == F.col("__task")).withColumn(name, F.col("__before") + place + 1).drop("__at", "__task", "__before")

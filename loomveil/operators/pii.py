@@ -273,14 +273,27 @@ def badges(stats_rows: DataFrame) -> DataFrame:
     return stats_rows.withColumn("counts", F.map_filter(every, lambda k, v: v > 0))
 
 
-def missed_names(expected: DataFrame, found: DataFrame) -> DataFrame:
-    """`expected` (name) with `found`: whether some found name (original) holds it or is held by it, in any letter case.
+def names_in_order(found: DataFrame, locale: str = "nl") -> DataFrame:
+    """Distinct names (original) in the order of a language: letters first, then accents, then letter case."""
+    return found.select("original").distinct().orderBy(F.collate("original", locale), "original")
 
-    Both are lists of distinct names; the shorter one is broadcast by Spark where it is small.
-    """
-    a, b = F.lower("name"), F.lower("original")
-    hits = expected.select("name").distinct().join(found.select("original").distinct(), a.contains(b) | b.contains(a), "left_semi")
-    return expected.join(hits.withColumn("found", F.lit(True)), "name", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+def _holding(long: DataFrame, short: DataFrame) -> DataFrame:
+    """(long, short) where the lower-case string `l` of a row of `long` holds `s` of a row of `short`: they meet by the first three letters of `s`."""
+    starts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("l")), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring(F.col("l"), i, n)))))
+    pieces = long.where("l <> ''").select("l", F.explode(starts).alias("__piece"))
+    met = pieces.join(short.where("s <> ''").withColumn("__start", F.substring("s", 1, 3)), F.col("__piece") == F.col("__start"))
+    return met.where(F.col("l").contains(F.col("s"))).select("l", "s").distinct()
+
+
+def missed_names(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """`expected` (name) with `found`: whether some found name (original) holds it or is held by it, in any letter case. An empty or null name isn't found."""
+    a, b = expected.select(F.lower("name").alias("l")).distinct(), found.select(F.lower("original").alias("s")).distinct()
+    wider = _holding(a, b).select(F.col("l").alias("__name"))
+    narrower = _holding(b.withColumnRenamed("s", "l"), a.withColumnRenamed("l", "s")).select(F.col("s").alias("__name"))
+    hits = wider.union(narrower).distinct().withColumn("__found", F.lit(True))
+    rows = expected.drop("found").join(hits, F.lower("name") == F.col("__name"), "left")
+    return rows.withColumn("found", F.coalesce("__found", F.lit(False))).drop("__name", "__found")
 
 
 def changed_cells(filtered: DataFrame) -> DataFrame:

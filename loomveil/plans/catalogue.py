@@ -17,7 +17,7 @@ from loomveil.functions import columns as c
 from loomveil.functions import fixed as fx
 from loomveil.functions.redaction import FilterConfig
 from loomveil.operators import chat, pii, search
-from loomveil.operators.layout import spread
+from loomveil.operators.layout import positioned, spread
 from loomveil.plans import planted
 from loomveil.sources import store
 
@@ -208,6 +208,13 @@ def names_planted(spark: SparkSession, sf: str) -> DataFrame:
     return m.groupBy("original").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"))
 
 
+@query(f"with {planted.SQL}, words as (select distinct original from hit where type = 'name' and regexp_full_match(original, '[A-Za-z]+')) select original, row_number() over (order by lower(original)) as position from words")
+def names_in_locale_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of one word as a Dutch list has them, whatever their letter case."""
+    names = pii.exploded(_planted(spark, sf)).where("type = 'name' and original rlike '^[A-Za-z]+$'")
+    return positioned(pii.names_in_order(names)).select("original", "position")
+
+
 @query(f"""with {planted.SQL}, found as (select distinct lower(original) as o from hit where type = 'name'), x as (select distinct c_name as name from customer where c_custkey % 10 = 0 union select distinct original from hit where type = 'name' and doc_id % 50 = 0)
   select name, exists (select 1 from found where contains(lower(name), o) or contains(o, lower(name))) as found from x""")
 def recall_planted(spark: SparkSession, sf: str) -> DataFrame:
@@ -547,15 +554,10 @@ def chunk_join_back(spark: SparkSession, sf: str) -> DataFrame:
     return store.joined_chunks(search.chunk_documents(_paragraphs(spark, sf)))
 
 
-@query(f"with {_CHUNKS} select chunk_id as id, row_number() over (order by document_id::varchar, chunk_index) as position from made where document_id % 7 = 0")
+@query(f"with {_CHUNKS} select chunk_id as id, row_number() over (order by document_id::varchar, chunk_index) as position from made")
 def chunks_in_order(spark: SparkSession, sf: str) -> DataFrame:
-    d = _paragraphs(spark, sf).where("doc_id % 7 = 0").select(F.col("doc_id").cast("string").alias("id"), "text")
-    return _positioned(store.chunks_of(store.chunk_rows(d)).select("id"))
-
-
-def _positioned(ordered: DataFrame) -> DataFrame:
-    """Rows of an ordered list with their place; ordered rows have increasing ids in Spark."""
-    return ordered.withColumn("position", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long"))
+    d = _paragraphs(spark, sf).select(F.col("doc_id").cast("string").alias("id"), "text")
+    return positioned(store.chunks_of(store.chunk_rows(d)).select("id"))
 
 
 _STORED = "stored as (select doc_id::varchar as id, 'doc ' || doc_id as name, '/in/' || source || '/' || doc_id || '.txt' as path, timestamp '2024-01-01' + to_hours((doc_id * 37 % 500)::int) as updated_at from documents)"
@@ -570,7 +572,7 @@ def _stored(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {_STORED} select id, row_number() over (order by updated_at desc, id) as position from stored")
 def documents_newest_first(spark: SparkSession, sf: str) -> DataFrame:
-    return _positioned(store.newest_first(_stored(spark, sf)).select("id"))
+    return positioned(store.newest_first(_stored(spark, sf)).select("id"))
 
 
 @query(f"with {_STORED} select id, name, path from stored where path = (select path from stored where id = '17')")
@@ -839,15 +841,13 @@ def sanitize_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select doc_id, case when length(text) > 200 then substr(text, 1, 200) || '...' else text end as excerpt from documents")
 def excerpt_200(spark: SparkSession, sf: str) -> DataFrame:
-    return docs(spark, sf).select("doc_id", F.when(F.length("text") > 200, F.concat(F.substring("text", 1, 200), F.lit("..."))).otherwise(F.col("text")).alias("excerpt"))
+    return docs(spark, sf).select("doc_id", c.excerpt(F.col("text")).alias("excerpt"))
 
 
 @query("""select o_orderkey, case when d = 0 then 'Vandaag' when d = 1 then 'Gisteren' when d < 7 then d || ' dagen geleden' else strftime(o_orderdate, '%d-%m-%Y') end as label
   from (select o_orderkey, o_orderdate, date_diff('day', o_orderdate::date, date '1998-08-02') as d from orders)""")
 def relative_day(spark: SparkSession, sf: str) -> DataFrame:
-    d = F.datediff(F.lit("1998-08-02").cast("date"), F.col("o_orderdate").cast("date"))
-    label = F.when(d == 0, "Vandaag").when(d == 1, "Gisteren").when(d < 7, F.concat(d.cast("string"), F.lit(" dagen geleden"))).otherwise(F.date_format("o_orderdate", "dd-MM-yyyy"))
-    return read(spark, sf, "orders").select("o_orderkey", label.alias("label"))
+    return read(spark, sf, "orders").select("o_orderkey", c.day_label(F.col("o_orderdate"), F.lit("1998-08-02")).alias("label"))
 
 
 @query(r"select page_id, lower(regexp_extract(u, '(\.[^./]+)$', 1)) as ext, regexp_matches(lower(u), '\.(xlsx|xls)$') as sheet, regexp_replace(u, '\.[^.]+$', '') || '_gefilterd.txt' as out_name from (select page_id, string_split(string_split(url, '?')[1], '/')[-1] as u from pages)")
@@ -861,7 +861,7 @@ def file_names(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- tabular data --------------------------------------------------------------------------
 
-_COLS = ("c_custkey", "c_name", "c_mktsegment")
+_COLS = ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
 _CELLS = "cells as (" + " union all ".join(f"select 'customer' as sheet, c_custkey as row, {i} as col, '{x}' as header, coalesce({x}::varchar, '') as value from customer" for i, x in enumerate(_COLS)) + ")"
 
 
@@ -879,6 +879,19 @@ def cell_widths(spark: SparkSession, sf: str) -> DataFrame:
     return pii.column_widths(_cells(spark, sf)).withColumn("col", F.col("col").cast("long"))
 
 
+@query(f"""with {planted.SQL}, cells as (select p.doc_id, 'sheet' || p.doc_id % 3 as sheet, string_agg(case when type is null then piece else '[' || upper(type) || '-' || lpad(number::varchar, 3, '0') || ']' end, '' order by i) as filtered_text,
+  string_agg('[' || upper(type) || '-' || lpad(number::varchar, 3, '0') || '] [VERWIJDERD] ' || type || ' 0 0', ',' order by i) as safe from piece p group by p.doc_id)
+  select sheet, doc_id as row, 1::bigint as col, 'Kolom 2' as header, filtered_text, safe from cells""")
+def tabular_planted(spark: SparkSession, sf: str) -> DataFrame:
+    """Sheets of planted notes, whose names count as given names in each of their cells; the changed cells, with matches that show nothing."""
+    n = planted.notes(spread(read(spark, sf, "customer")))
+    cells = pii.to_cells(n.select("doc_id", F.col("text").alias(" ")), F.concat(F.lit("sheet"), (F.col("doc_id") % 3).cast("string")), F.col("doc_id"))
+    cells = cells.withColumn("header", F.trim("header"))
+    said = F.transform("matches", lambda m: F.concat_ws(" ", m["placeholder"], m["original"], m["type"], m["start_offset"], m["end_offset"]))
+    found = pii.changed_cells(pii.filter_cells(cells, planted.CONFIG))
+    return found.select("sheet", "row", F.col("col").cast("long").alias("col"), "header", "filtered_text", F.array_join(said, ",").alias("safe"))
+
+
 @query()
 def tabular_filter(spark: SparkSession, sf: str) -> DataFrame:
     cells = pii.to_cells(_notes(spread(read(spark, sf, "customer"))).select("doc_id", "text"), F.lit("notes"), F.col("doc_id"))

@@ -148,7 +148,7 @@ def audit_rows(filtered: DataFrame, operation: str, now: Column) -> DataFrame:
         return F.size(F.filter("matches", lambda m: m["type"] == kind))
 
     counts = F.to_json(F.create_map(*(y for t in TYPES for y in (F.lit(t), many(t)))))
-    return filtered.select(F.sha2(F.concat_ws("|", "path", "hash"), 256).alias("id"), now.alias("timestamp"), F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("hash").alias("file_hash"), F.lit(operation).alias("operation"), F.size("matches").alias("items_filtered"), counts.alias("filter_stats"), F.lit(None).cast("string").alias("user_action"))
+    return filtered.select(F.uuid().alias("id"), now.alias("timestamp"), F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("hash").alias("file_hash"), F.lit(operation).alias("operation"), F.size("matches").alias("items_filtered"), counts.alias("filter_stats"), F.lit(None).cast("string").alias("user_action"))
 
 
 # --- spreadsheets --------------------------------------------------------------------------
