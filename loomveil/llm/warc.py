@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from loomveil.llm import bloom, scratch
+from loomveil.llm import scratch
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -183,7 +183,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         owned = marks.withColumn("owner", owner).join(cut.select("file", F.col("off").alias("owner")), ["file", "owner"], "left_semi")
         owned = scratch.table(owned.select("file", "owner", "off", "h1", "h2"), "warc-owned")
         # this scan may cut the archives into other splits than the first: pieces are found by what they hold
-        again = bloom.keep_maybe(_pieces(spark, path).select("value", *_hashes()), "h1", owned.select(F.col("h1").alias("hash")).distinct())
+        again = _pieces(spark, path).select("value", *_hashes()).join(owned.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
         parts = owned.join(again.groupBy("h1", "h2").agg(F.first("value").alias("value")), ["h1", "h2"]).groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("off", "value"))).alias("parts"))
         joined = F.array_join(F.transform("parts", lambda x: x["value"]), MAGIC)
         body = F.expr("substring(cast(value as binary), cast(head_bytes + 1 as int), cast(length as int))")
