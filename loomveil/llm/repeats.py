@@ -20,7 +20,7 @@ windows are judged on the input.
 4. Streaming. The contexts of all documents go to their anchor's shard and through its
    automaton, which gives the place of every passage in them. Shards of many contexts are
    salted with a copy of their passages for each salt, and the passages of an anchor that
-   has more than a shard's words are parted, its contexts going to every part.
+   has more than `part_words` are parted, its contexts going to every part.
 5. The covered words of a text come back by two 64-bit hashes of the text, as equal texts
    lose equal words. Texts that lose nothing, which a Bloom filter tells, are not moved.
 
@@ -54,8 +54,10 @@ from loomveil.llm import bytescan as bs
 class RepeatRules:
     words: int = 35
     anchor: int = 8
-    #: Words of the passages of one automaton.
-    shard_words: int = 200_000
+    #: Words of the passages of one automaton, small enough for a processor's cache.
+    shard_words: int = 25_000
+    #: Words of the passages of one anchor in one automaton.
+    part_words: int = 200_000
     #: Contexts that one task streams through one automaton.
     rows_per_salt: int = 50_000
     #: Bytes of the filter of repeated anchors; beyond, all contexts leave the scan.
@@ -232,7 +234,7 @@ def stream(found: DataFrame, phrases: DataFrame, rules: RepeatRules) -> DataFram
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
     few = bloom.keep_maybe(found, "anchor", sized.select(F.col("anchor").alias("hash"))).select(shard, "anchor", "t1", "t2", "at", "words")
     kept = phrases.select(shard, "anchor", "words").withColumn("part", F.lit(0))
-    wide = scratch.table(sized.where(F.col("n") > rules.shard_words).select("anchor", F.ceil(F.col("n") / rules.shard_words).cast("int").alias("parts")), "repeat-wide")
+    wide = scratch.table(sized.where(F.col("n") > rules.part_words).select("anchor", F.ceil(F.col("n") / rules.part_words).cast("int").alias("parts")), "repeat-wide")
     few = few.withColumn("part", F.lit(0))
     if wide.limit(1).count():  # anchors of too many passages for one automaton
         kept = kept.join(wide, "anchor", "left").withColumn("part", F.pmod(F.xxhash64("words"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")

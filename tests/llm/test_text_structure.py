@@ -141,7 +141,7 @@ def passage_rows():
     return rows
 
 
-@pytest.mark.parametrize("rules", [{}, {"shard_words": 100, "rows_per_salt": 7}, {"shard_words": 60, "max_filter": 0, "words": 12, "anchor": 4}, {"words": 9, "anchor": 9}])
+@pytest.mark.parametrize("rules", [{}, {"shard_words": 100, "part_words": 100, "rows_per_salt": 7}, {"shard_words": 60, "part_words": 40, "max_filter": 0, "words": 12, "anchor": 4}, {"words": 9, "anchor": 9}])
 def test_repeated_passages(spark, rules):
     rules = repeats.RepeatRules(**rules)
     rows = passage_rows()
