@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import re
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
@@ -14,7 +15,9 @@ from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.fs as pa_fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomveil.functions import columns as c
@@ -118,6 +121,35 @@ def write_filtered(filtered: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("file_name").text(path)
 
 
+def write_texts(filtered: DataFrame, path: str) -> DataFrame:
+    """Write each text (path, filtered_text) below `path` as one file of its own name, as it is; gives (path, file_name, bytes).
+
+    Tasks write the files themselves, by the file system that pyarrow knows for `path` (file, hdfs, s3, gs); on a cluster it
+    has to be one that all executors reach. A file is there whole or not at all, and a task that is run again writes it
+    again. Documents whose names would be the same are told apart by a hash of their paths. A null text is an empty file.
+    """
+    name = filtered_name(F.col("path"))
+    same = F.count("*").over(Window.partitionBy("name"))
+    rows = filtered.select("path", name.alias("name"), F.coalesce("filtered_text", F.lit("")).alias("text")).withColumn("same", same)
+    marked = F.concat(F.regexp_replace("name", r"\.[^.]+$", ""), F.lit("-"), F.substring(F.sha2("path", 256), 1, 16), F.lit(".txt"))
+    rows = rows.select("path", F.when(F.col("same") > 1, marked).otherwise(F.col("name")).alias("file_name"), "text")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = pa_fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        store.create_dir(top, recursive=True)
+        for batch in batches:
+            sizes = []
+            for file_name, text in zip(batch.column("file_name").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                data, draft = text.encode(), f"{top}/.{file_name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(draft) as out:
+                    out.write(data)
+                store.move(draft, f"{top}/{file_name}")
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("file_name"), pa.array(sizes, pa.int64())], ["path", "file_name", "bytes"])
+
+    return rows.mapInArrow(put, "path string, file_name string, bytes long")
+
+
 def workbooks(cells: DataFrame) -> DataFrame:
     """file_name, rows and content (XLSX) of each sheet of filtered cells (sheet, row, col, header, filtered_text).
 

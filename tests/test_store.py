@@ -114,6 +114,19 @@ def test_sinks(spark, tmp_path):
     assert a.read_text(encoding="utf-8") == "een\ntwee\n" and len(list((tmp_path / "out").glob("file_name=b_gefilterd.txt"))) == 1
 
 
+def test_texts_are_files_of_their_names(spark, tmp_path):
+    rows = [("/in/a.txt", "een\r\ntwee"), ("/in/b.md", None), ("/x/c.txt", "é"), ("/y/c.docx", "zonder eind\n"), ("/in/d", "")]
+    out = tmp_path / "uit"
+    done = files.write_texts(spark.createDataFrame(rows, "path string, filtered_text string").repartition(3), str(out)).collect()
+    held = {p.name: p.read_bytes().decode() for p in out.iterdir() if not p.name.startswith(".")}
+    assert {held[r.file_name] for r in done} == {t or "" for _, t in rows} and len(held) == 5
+    by_path = {r.path: r for r in done}
+    assert held["a_gefilterd.txt"] == "een\r\ntwee" and by_path["/x/c.txt"].file_name != by_path["/y/c.docx"].file_name
+    assert all(r.bytes == len((dict(rows)[r.path] or "").encode()) for r in done)
+    again = files.write_texts(spark.createDataFrame(rows, "path string, filtered_text string"), f"file://{out}").collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, done)) and len(list(out.iterdir())) == 5
+
+
 @pytest.mark.parametrize(("number", "code", "expected"), [("45000", "m/d/yy", "3/15/23"), ("45000.5", "yyyy\\-mm\\-dd hh:mm", "2023-03-15 12:00"), ("45000", "dd-mmm-yyyy", "15-Mar-2023"), ("0.5", "h:mm AM/PM", "12:00 PM"), ("0.256", "0%", "26%"), ("1234.5", "#,##0.00", "1,234.50"), ("2.345", "0.00", "2.35"), ("7", "General", "7"), ("7.25", "General", "7.25"), ("12", '"EUR" 0.0', "EUR 12.0"), ("x", "0", "x")])
 def test_numbers_as_shown(number, code, expected):
     assert files.shown(number, code) == expected
