@@ -602,6 +602,33 @@ def chunk_single_paragraph(spark: SparkSession, sf: str) -> DataFrame:
     return search.chunk_documents(one).select(F.col("document_id").alias("doc_id"), "content")
 
 
+@query("select doc_id || '_gefilterd.txt' as name, 'text/plain' as mime_type, strlen(coalesce(text, ''))::bigint as size, sha256(coalesce(text, '')) as hash, coalesce(text, '') as text, null::varchar as error from documents")
+def text_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as files of their own names, and read back as documents."""
+    from loomveil.sources import files
+
+    path = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+    rows = docs(spark, sf).select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("filtered_text"))
+    files.write_texts(rows, path).write.format("noop").mode("overwrite").save()
+    return files.read_documents(spark, path).drop("path")
+
+
+@query("""select 'n' || c_nationkey || '_gefilterd.xlsx' as file, nr as row, k::int as col, ['c_custkey', 'c_name', 'c_mktsegment'][k + 1] as header,
+  case k when 0 then c_custkey::varchar when 1 then c_name else coalesce(c_mktsegment, '') end as value
+  from (select *, row_number() over (partition by c_nationkey order by c_custkey)::int - 1 as nr from customer), range(3) t(k)""")
+def sheet_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The customers of each nation as a workbook, written as files and read back as cells."""
+    from loomveil.sources import files
+
+    path = f"{shared_folder(spark)}/sheets-{uuid.uuid4().hex}"
+    c_ = read(spark, sf, "customer")
+    cells = pii.to_cells(c_.select("c_custkey", "c_name", "c_mktsegment"), F.lit("x"), F.col("c_custkey")).drop("sheet")
+    cells = cells.join(c_.select(F.col("c_custkey").alias("row"), F.concat(F.lit("/in/n"), F.col("c_nationkey").cast("string"), F.lit(".xlsx")).alias("sheet")), "row")
+    books = files.workbooks(cells.withColumn("filtered_text", F.col("value")))
+    files.write_files(books.select(F.col("file_name").alias("path"), "file_name", "content"), path).write.format("noop").mode("overwrite").save()
+    return files.read_cells(spark, path).select(F.element_at(F.split("sheet", "/"), -1).alias("file"), "row", "col", "header", "value")
+
+
 _LOADED = "a as (select doc_id, '/in/' || doc_id as path, sha256(text) as hash from documents where doc_id % 3 <> 0), b as (select doc_id, '/in/' || doc_id as path, sha256(case when doc_id % 5 = 0 then text || 'x' else text end) as hash from documents where doc_id % 4 <> 0)"
 
 
@@ -706,6 +733,12 @@ def _search(spark: SparkSession, sf: str, **options) -> DataFrame:
     return hits.withColumn("score", F.round("score", 6)).withColumnRenamed("document_id", "doc_id")
 
 
+@query("select doc_id as chunk_id, doc_id as document_id, source as document_name, text as content, score from (" + _bm25_sql(["term = 'idiot'"]) + ") join documents using (doc_id)")
+def search_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """What an answer names as its sources."""
+    return chat.sources_of(_search(spark, sf).withColumn("document_id", F.col("doc_id")), "source")
+
+
 @query("with best as (" + _bm25_sql(["term = 'idiot'"]) + r"""), cut as (select doc_id, score, regexp_extract_all(text, '[\p{L}\p{N}]+') as w, string_split_regex(text, '[\p{L}\p{N}]+') as g from best join documents using (doc_id)),
   marked as (select *, len(w) as n, list_transform(w, lambda x: lower(x) = 'idiot') as hit from cut), placed as (select *, list_position(hit, true) - 1 as first from marked),
   chosen as (select *, list_filter(range(greatest(0, first - 31), first + 1), lambda i: i = 0 or regexp_matches(g[i + 1], '[.:]')) as begins from placed),
@@ -822,6 +855,23 @@ def conversation_messages(spark: SparkSession, sf: str) -> DataFrame:
     return whole.select(F.col("id").alias("conv_id"), F.size("messages").cast("long").alias("n"), F.array_join(lines, "\n").alias("messages"))
 
 
+@query("""with t as (select conv_id::varchar as id, count(*) as n, max(turn) as last from conversations group by conv_id)
+  select id, case when conv_id % 3 = 0 then 'T' || id when conv_id % 2 = 0 then 'eigen' else 'Nieuw gesprek' end as title, case when conv_id % 3 = 0 then '["' || id || '"]' else '[]' end as document_ids,
+    timestamp '2024-01-01' as created_at, greatest(timestamp '2024-01-01' + to_minutes(last), case when conv_id % 3 = 0 then timestamp '2024-01-01 00:01:00' else timestamp '2024-01-01' end) as updated_at, n as messages
+  from (select *, id::bigint as conv_id from t) where conv_id % 5 <> 0""")
+def conversation_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations created, some renamed, all with messages, some deleted with theirs."""
+    start = F.lit("2024-01-01").cast("timestamp")
+    turns = read(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("conversation_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content"), (start + F.make_dt_interval(mins=F.col("turn").cast("int"))).alias("created_at"))
+    ids = turns.select(F.col("conversation_id").alias("id"), F.col("conversation_id").cast("long").alias("k")).distinct()
+    talks = chat.create_conversations(ids.select("id", F.when(F.col("k") % 2 == 0, F.lit("eigen")).alias("title"), F.lit(None).cast("array<string>").alias("document_ids"), start.alias("now")))
+    renamed = ids.where("k % 3 = 0").select("id", F.concat(F.lit("T"), "id").alias("title"), F.array("id").alias("document_ids"), (start + F.make_dt_interval(mins=F.lit(1))).alias("now"))
+    talks, messages = chat.append_messages(chat.update_conversations(talks, renamed), turns.limit(0), turns)
+    talks, messages = chat.delete_conversations(talks, messages, ids.where("k % 5 = 0").select("id"))
+    every = chat.with_messages(talks, messages)
+    return store.to_json_columns(every.select("id", "title", "document_ids", *(F.col(x).cast("timestamp_ntz").alias(x) for x in ("created_at", "updated_at")), F.size("messages").cast("long").alias("messages")))
+
+
 @query(r"""with q as (select conv_id, text, row_number() over (partition by conv_id order by turn, text) as k from conversations where role = 'user'),
   x as (select *, trim(regexp_replace(text, '\s+', ' ', 'g')) as t from q)
   select conv_id as conversation_id, 2 * k - 1 as seq, 'user' as role, text as content, least(4, 2 * (k - 1))::int as seen, case when k = 1 then case when length(t) > 50 then left(t, 47) || '...' else t end end as title from x

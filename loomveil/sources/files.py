@@ -134,20 +134,25 @@ def write_texts(filtered: DataFrame, path: str) -> DataFrame:
     marked = F.concat(F.regexp_replace("name", r"\.[^.]+$", ""), F.lit("-"), F.substring(F.sha2("path", 256), 1, 16), F.lit(".txt"))
     rows = rows.select("path", F.when(F.col("same") > 1, marked).otherwise(F.col("name")).alias("file_name"), "text")
 
+    return write_files(rows.select("path", "file_name", F.col("text").cast("binary").alias("content")), path)
+
+
+def write_files(files: DataFrame, path: str) -> DataFrame:
+    """Write each row's content (path, file_name, content) as a file of that name below `path`; gives (path, file_name, bytes) when it is read."""
+
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = pa_fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
         store.create_dir(top, recursive=True)
         for batch in batches:
-            sizes = []
-            for file_name, text in zip(batch.column("file_name").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                data, draft = text.encode(), f"{top}/.{file_name}.{uuid.uuid4().hex}"
+            contents = batch.column("content").to_pylist()
+            for file_name, data in zip(batch.column("file_name").to_pylist(), contents, strict=True):
+                draft = f"{top}/.{file_name}.{uuid.uuid4().hex}"
                 with store.open_output_stream(draft) as out:
                     out.write(data)
                 store.move(draft, f"{top}/{file_name}")
-                sizes.append(len(data))
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("file_name"), pa.array(sizes, pa.int64())], ["path", "file_name", "bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("file_name"), pa.array(map(len, contents), pa.int64())], ["path", "file_name", "bytes"])
 
-    return rows.mapInArrow(put, "path string, file_name string, bytes long")
+    return files.select("path", "file_name", "content").mapInArrow(put, "path string, file_name string, bytes long")
 
 
 def workbooks(cells: DataFrame) -> DataFrame:
