@@ -53,7 +53,7 @@ from loomveil.llm import scratch
 
 
 #: Pieces of text that are encoded at once.
-ENCODED = 2048
+ENCODED = 8192
 
 
 @dataclass(frozen=True)
@@ -71,15 +71,35 @@ class PackRules:
 # --- tokens ------------------------------------------------------------------------------
 
 
-def load_encoder(tokenizer_json: str) -> Callable[[list[str]], list[list[int]]]:
-    """Ids of texts by the tokenizer of a file, special tokens not added."""
+def load_encoder(tokenizer_json: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """Ids of texts, one after another, and how many each has, by the tokenizer of a file, special tokens not added.
+
+    Texts are encoded as one, with an added token's string between them: the tokenizer takes what lies between two of those
+    by itself, which is tried here on some texts. Without such a token, or where a text holds it, each is encoded alone.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_str(tokenizer_json)
     made.no_truncation()
     made.no_padding()
-    return lambda texts: [x.ids for x in made.encode_batch_fast(texts, add_special_tokens=False)]
+    between = next(iter(added_strings(tokenizer_json)), None)
+    mark = made.token_to_id(between) if between else None
+
+    def alone(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [x.ids for x in made.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter((x for ids in got for x in ids), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+
+    def together(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(made.encode_batch_fast([between.join(texts)], add_special_tokens=False)[0].ids, np.uint32)
+        at = np.flatnonzero(ids == mark)
+        if len(at) != len(texts) - 1:
+            return alone(texts)
+        return np.delete(ids, at), np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
+
+    some = ["a", " b", "c d", "\n x", "", " é1", "\t", "."]
+    fits = mark is not None and all(np.array_equal(x, y) for x, y in zip(alone(some), together(some), strict=True))
+    return together if fits else alone
 
 
 def added_strings(tokenizer_json: str) -> list[str]:
@@ -93,7 +113,7 @@ def added_strings(tokenizer_json: str) -> list[str]:
 class TokenTable:
     """Ids of text pieces by their hash, sorted; at most `most` pieces. No piece crosses a string in `added`."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int, added: list[str]):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int, added: list[str]):
         self.encode, self.most = encode, most
         longest = sorted((x.encode() for x in added), key=len, reverse=True)
         self.pattern = re.compile(b"|".join(map(re.escape, longest))) if longest else None
@@ -124,13 +144,11 @@ class TokenTable:
             count = np.zeros(len(example), np.int64)
             for k in range(0, len(example), ENCODED):  # an encoding is many times larger than its ids
                 part = example[k : k + ENCODED]
-                got = self.encode([raw[a:b].decode() for a, b in zip(start[part].tolist(), end[part].tolist(), strict=True)])
-                count[k : k + ENCODED] = np.fromiter(map(len, got), np.int64, len(got))
-                self._append(np.fromiter((x for g in got for x in g), np.uint32))
+                ids, count[k : k + ENCODED] = self.encode([raw[a:b].decode() for a, b in zip(start[part].tolist(), end[part].tolist(), strict=True)])
+                self._append(ids)
             begin = self.used - np.cumsum(count[::-1])[::-1]
-            k = np.concatenate([self.keys, keys[new]])
-            o = np.argsort(k, kind="stable")
-            self.keys, self.begin, self.count = k[o], np.concatenate([self.begin, begin])[o], np.concatenate([self.count, count])[o]
+            place = np.searchsorted(self.keys, keys[new])
+            self.keys, self.begin, self.count = np.insert(self.keys, place, keys[new]), np.insert(self.begin, place, begin), np.insert(self.count, place, count)
             at = np.searchsorted(self.keys, keys)
         where = np.empty(len(h), np.int64)
         where[order] = at[group]
