@@ -111,8 +111,11 @@ def process_store() -> dict:
     return sys.__dict__.setdefault("_loomveil_store", {})
 
 
-def release() -> None:
-    """Give memory that earlier tasks of this worker have freed back to the system."""
+def release(*keep: str) -> None:
+    """Drop what other operators hold in this worker, but for the named entries, and give freed memory back to the system."""
+    held = process_store()
+    for name in [k for k in held if k not in ("powers", *keep)]:
+        del held[name]
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
     if trim:

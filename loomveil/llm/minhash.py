@@ -146,6 +146,7 @@ def sketch_documents(docs: DataFrame, rules: NearRules) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bs.release()
         bands = bins // rows
         tag = bs.seeds(bands, 4)
         for batch in batches:

@@ -200,7 +200,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, rules: PackRules = PackRu
     token, cap, end_id, most = uuid.uuid4().hex, rules.capacity, rules.end_id, rules.table_entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bs.release()
+        bs.release("tokens", "tokens-of")
         kept = bs.process_store()
         if kept.get("tokens-of") != token:
             kept["tokens-of"], kept["tokens"] = token, TokenTable(load_encoder(vocabulary.value), most, added_strings(vocabulary.value))

@@ -78,6 +78,7 @@ def fit(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> Model:
     marked = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"), (~F.coalesce("trusted", F.lit(True))).alias("judge"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bs.release()
         raw, target = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for batch in batches:
             flags = batch.column("trusted").to_numpy(zero_copy_only=False)
