@@ -98,3 +98,16 @@ def test_tabular(spark):
     assert out[1, 1].filtered_text == "[NAME-001]" and out[1, 2].header == "Kolom 3" and out[2, 2].filtered_text == ""
     assert {x.col: x.width for x in pii.column_widths(cells).collect()} == {0: 10, 1: 15, 2: 10}
     assert all(m.original == "[VERWIJDERD]" for x in pii.changed_cells(pii.filter_cells(cells, CFG)).collect() for m in x.matches)
+
+
+def test_notes_are_dealt_and_numbers_counted_once(spark, tmp_path):
+    from loomveil.plans import catalogue
+
+    spark.range(1, 50).selectExpr("id as c_custkey", "'K' || id as c_name").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    notes = catalogue._notes(catalogue.read(spark, str(tmp_path), "customer"))
+    assert notes.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    # the fold that numbers matches stands beside the matches, not in the lambda that is run for each of them
+    plan = pii.native_redaction(notes, ["email", "iban"]).select("matches")._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with(__found" in plan
+    got = pii.native_redaction(notes, ["email", "iban"]).selectExpr("transform(matches, m -> m.placeholder)").distinct().collect()
+    assert [r[0] for r in got] == [["[EMAIL-001]", "[IBAN-001]"]]
