@@ -391,3 +391,31 @@ def test_missed_names_and_paragraphs(spark):
     spans = spark.createDataFrame([(1, 4, 6), (1, 1, 5), (2, 0, 1), (None, 4, 6)], "doc_id long, start_offset long, end_offset long")
     assert [(r.start_offset, r.paragraph) for r in pii.in_paragraphs(spans, docs).collect()] == [(4, 1)]
     assert {r.start_offset for r in pii.uncovered_spans(spans.where("doc_id = 1"), spans.where("start_offset = 1")).collect()} == set()
+
+
+def test_positions_of_a_list_whose_cuts_are_sampled(spark):
+    from pyspark.sql import functions as F
+
+    from loomveil.operators.layout import positioned
+
+    # what is counted is much smaller than the rows, so that it would be dealt to fewer tasks
+    text = F.concat(*(F.sha2((F.col("id") + k).cast("string"), 256) for k in range(8)))
+    rows = spark.range(0, 50_000, 1, 4).select((F.col("id") * 7919 % 100_003).alias("key"), text.alias("name"))
+    got = positioned(rows.orderBy("key").select("name")).select("name", "position")
+    # the list is read, not made again for its counts: its cuts could be others
+    assert "Sort [" not in got._jdf.queryExecution().optimizedPlan().toString()
+    told = got.agg(F.count("*").alias("n"), F.min("position").alias("low"), F.max("position").alias("high"), F.count_distinct("position").alias("places")).first()
+    assert tuple(told) == (50_000, 1, 50_000, 50_000)
+
+
+def test_scores_equal_as_shown_are_ordered_by_id(spark, tmp_path):
+    from loomveil.plans import catalogue
+
+    # a word that all have weighs 1e-6, so longer texts score less by less than what is shown
+    rows = [(i, i, "the clown" + " x" * (20 - i)) for i in range(1, 13)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, document_id long, content string")
+    one = [[(("the",), False)]]
+    assert [r.doc_id for r in catalogue._top(search.match(search.build_index(chunks, False), one)).collect()] == list(range(1, 11))
+    path = str(tmp_path / "index")
+    search.insert_chunks(chunks, path, stemmed=False)
+    assert [r.chunk_id for r in search.best(search.open_index(spark, path), one, 10).collect()] == list(range(1, 11))
