@@ -18,8 +18,9 @@ and those found verbatim. A document is contaminated by an item if the item's
 windows found that way are at least `coverage` of the item's windows, or those of
 them with open slots are at least `coverage` of the item's windows with open slots.
 
-Items with one and the same template are looked up once, under the least item_id;
-their windows to be found verbatim are looked up under the least item_id of each text.
+Items of the same tokens, slots' values included, are looked up once, under the least item_id.
+Items of one template with other values are looked up each by itself: which of their values are equal
+decides which parameters they can have, and their windows to be found verbatim differ.
 Benchmark windows are broadcast while they are at most `block_rows` rows; a larger
 benchmark meets the documents' windows in one shuffled hash join, which needs no second
 look at the documents and splits hot windows.
@@ -108,9 +109,9 @@ def benchmark_windows(items: DataFrame, rules: LeakRules, n: int, whole: bool) -
     made = made.withColumn("hash", F.when(F.col("exact"), F.xxhash64(*(F.translate(t, NAME, "") for t in here))).otherwise(F.col("hash")))
     # an item's windows; those with open slots are held against their own number too
     sizes = made.groupBy("item_id").agg(F.count_distinct("at").alias("windows"), F.count_distinct(F.when(~F.col("exact"), F.col("at"))).alias("open_windows"))
-    made = made.withColumn("same", F.when(F.col("exact"), F.xxhash64("tokens")).otherwise(F.xxhash64(F.transform("tokens", _canonical))))
-    least = made.groupBy("exact", "same").agg(F.min("item_id").alias("item_id"))
-    made = made.join(least, ["exact", "same", "item_id"], "left_semi").join(sizes, "item_id")
+    made = made.withColumn("same", F.xxhash64("tokens"))
+    least = made.groupBy("same").agg(F.min("item_id").alias("item_id"))
+    made = made.join(least, ["same", "item_id"], "left_semi").join(sizes, "item_id")
     return made.select("item_id", F.col("at").alias("item_at"), "exact", "hash", _slots(n).alias("item_slots"), "windows", "open_windows").distinct()
 
 

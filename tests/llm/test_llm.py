@@ -392,6 +392,16 @@ def test_leaks_with_slots_that_become_equal(spark):
     assert {(r.doc_id, r.verbatim, r.matched == r.windows) for r in decontam.contaminated(said, odd).collect()} == {(1, False, True), (2, False, True)}
 
 
+def test_leaks_of_items_of_one_template(spark):
+    # the first item's values are equal, so other parameters have to be equal, too; the second's needn't
+    items = [(1, "if x equals 3 then add 3 to it and then take 3 from it again"), (2, "if x equals 4 then add 5 to it and then take 6 from it again")]
+    rows = [(1, "if x equals 7 then add 8 to it and then take 9 from it again"), (2, "if x equals 7 then add 7 to it and then take 7 from it again"), (3, items[1][1])]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.verbatim for r in decontam.contaminated(df, bench).collect()}
+    assert got == {(1, 2): False, (2, 1): False, (2, 2): False, (3, 2): True}
+    assert decontam.drop_contaminated(df, bench).count() == 0
+
+
 # --- 10 ------------------------------------------------------------------------------------
 
 
