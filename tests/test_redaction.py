@@ -111,3 +111,14 @@ def test_notes_are_dealt_and_numbers_counted_once(spark, tmp_path):
     assert "zip_with(__found" in plan
     got = pii.native_redaction(notes, ["email", "iban"]).selectExpr("transform(matches, m -> m.placeholder)").distinct().collect()
     assert [r[0] for r in got] == [["[EMAIL-001]", "[IBAN-001]"]]
+
+
+def test_batches_are_cut_into_few_rows(spark):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"x": list(range(1000))})
+    cut = list(pii._slices(iter([batch, batch.slice(0, 0)])))
+    assert max(b.num_rows for b in cut) == pii.SLICE_ROWS and [x for b in cut for x in b.column("x").to_pylist()] == list(range(1000))
+    df = spark.range(0, 700, 1, 1).selectExpr("id as doc_id", "'Mail a' || id || '@b.nl' as text")
+    out = pii.restore_documents(pii.filter_documents(df, CFG))
+    assert out.where("restored_text = text and filtered_text = 'Mail [EMAIL-001]'").count() == 700
