@@ -122,3 +122,17 @@ def test_batches_are_cut_into_few_rows(spark):
     df = spark.range(0, 700, 1, 1).selectExpr("id as doc_id", "'Mail a' || id || '@b.nl' as text")
     out = pii.restore_documents(pii.filter_documents(df, CFG))
     assert out.where("restored_text = text and filtered_text = 'Mail [EMAIL-001]'").count() == 700
+
+
+def test_spans_are_sent_to_no_executor_whole(spark):
+    kind = "doc_id long, start_offset long, end_offset long"
+    a = spark.createDataFrame([(d, s, s + 9) for d in range(20) for s in range(0, 600, 7)], kind)
+    b = spark.createDataFrame([(d, s, s + 12) for d in range(20) for s in (d, 200 + 3 * d, 203 + 3 * d, 390)], kind)
+    near, free = pii.near_spans(a, b, 60), pii.uncovered_spans(a, b)
+    others = [(d, (d, d + 12, 200 + 3 * d, 212 + 3 * d, 203 + 3 * d, 215 + 3 * d, 390, 402)) for d in range(20)]
+    assert sorted((x.doc_id, x.start_offset) for x in near.collect()) == [(d, s) for d, at in others for s in range(0, 600, 7) if any(abs(p - s) < 60 for p in at)]
+    assert sorted((x.doc_id, x.start_offset) for x in free.collect()) == [(d, s) for d, at in others for s in range(0, 600, 7) if not any(s < at[i + 1] and s + 9 > at[i] for i in (0, 2, 4, 6))]
+    for joined in (near, free):
+        joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
