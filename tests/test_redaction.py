@@ -1,6 +1,7 @@
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loomveil.functions import redaction as r
 from loomveil.functions.names import Lexicon, detect_names, likely_surname, sweep
@@ -136,3 +137,15 @@ def test_spans_are_sent_to_no_executor_whole(spark):
         joined.collect()
         plan = joined._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_texts_without_what_a_match_needs_are_not_searched(spark):
+    from loomveil.functions import columns as c
+
+    texts = ["Mail a1@b.nl", "a at b", None, "", "op 1-2-2024, 3/4/99 en 15 maart 2023", "in april 2024, geb. 1-2-1990", "IBAN NL12 ABNA 0417 1234 30", "1.2 1234"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").orderBy("id")
+    for name, needs in c.NEEDS.items():
+        guarded, plain = (rows.select(c.spans(F.col("text"), c.PATTERNS[name][0], n).alias("m")) for n in (needs, None))
+        assert guarded.collect() == plain.collect() and guarded.where("size(m) > 0").count() > 0
+        plan = rows.select(c.detected(F.col("text"), name).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+        assert "CASE WHEN NOT" in plan  # the guard stands before the search
