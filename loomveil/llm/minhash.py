@@ -46,7 +46,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +68,8 @@ class NearRules:
     rows_per_salt: int = 2000
     block_shingles: int = 1 << 17
     most_blocks: int = 50
+    #: Most tasks for what is written on the way; by default as many as the table of sketches has, or a few for each core.
+    tasks: int | None = None
 
 
 # --- shingles and sketches ---------------------------------------------------------------
@@ -211,11 +213,11 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rules: NearRul
     """Those (a, b) of `pairs`, a written table, whose full sets reach the threshold."""
     n, percent = rules.words, rules.percent
     # a table of its own, so that a hot centre's pairs can be split when they meet their number of salts
-    hot = scratch.table(pairs.groupBy("a").count().where(F.col("count") > rules.rows_per_salt).select("a", F.ceil(F.col("count") / rules.rows_per_salt).cast("int").alias("many")), "near-hot")
+    hot = scratch.table(pairs.groupBy("a").count().where(F.col("count") > rules.rows_per_salt).select("a", F.ceil(F.col("count") / rules.rows_per_salt).cast("int").alias("many")), "near-hot", rules.tasks)
     salts = F.coalesce("many", F.lit(1))
     sides = pairs.join(hot, "a", "left").select("a", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("b").alias("cid"))
     centres = pairs.select("a").distinct().join(hot, "a", "left").select("a", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("cid"))
-    members = scratch.table(sides.unionByName(centres).join(classes.select("cid", "rid", "node"), "cid"), "near-members")
+    members = scratch.table(sides.unionByName(centres).join(classes.select("cid", "rid", "node"), "cid"), "near-members", rules.tasks)
     dealt = with_texts(members, docs).select("a", "salt", "kind", "cid", "node", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,12 +245,12 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rules: NearRul
 # --- components --------------------------------------------------------------------------
 
 
-def roots_of_trees(parents: DataFrame) -> DataFrame:
+def roots_of_trees(parents: DataFrame, tasks: int | None = None) -> DataFrame:
     """(cid, root) for (cid, parent) edges of a forest, by pointer jumping."""
-    now = scratch.table(parents.select("cid", F.col("parent").alias("root")), "near-roots")
+    now = scratch.table(parents.select("cid", F.col("parent").alias("root")), "near-roots", tasks)
     while True:
         up = now.select(F.col("cid").alias("root"), F.col("root").alias("higher"))
-        now, seen = scratch.observed(now.join(up, "root", "left").select("cid", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")), "near-roots", F.count_if("moved").alias("moved"))
+        now, seen = scratch.observed(now.join(up, "root", "left").select("cid", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")), "near-roots", F.count_if("moved").alias("moved"), most=tasks)
         now = now.select("cid", "root")
         if not seen["moved"]:
             return now
@@ -266,14 +268,15 @@ def _with_least(rows: DataFrame, least: DataFrame, most: int) -> DataFrame:
     return met.where("hot is not null").select("a", "b", F.col("hot").alias("m")).unionByName(cold)
 
 
-def components(edges: DataFrame, rows_per_end: int = 2000) -> DataFrame:
+def components(edges: DataFrame, rows_per_end: int = 2000, tasks: int | None = None) -> DataFrame:
     """(cid, component) of an undirected graph (a, b) of longs: alternating large-star and small-star rounds.
 
     Ends of more than `rows_per_end` links (of more, where the links are so many that more than `HOT_ENDS` ends
     could have that) are split: their links stay where they are, and the ends' least neighbours come to them.
+    Each round's tables are written by `tasks` tasks at most.
     """
     of_all = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)")).alias("s"))
-    now, before = scratch.observed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-edges", *of_all)
+    now, before = scratch.observed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-edges", *of_all, most=tasks)
     while True:
         # 2 * n ends of links, so that at most HOT_ENDS keys have more than this
         most = max(rows_per_end, -(-2 * before["n"] // HOT_ENDS))
@@ -283,14 +286,14 @@ def components(edges: DataFrame, rows_per_end: int = 2000) -> DataFrame:
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
         # no more rows than edges, so that repeats may wait for the end of the round
         if split:
-            least = scratch.table(least, "near-least")
+            least = scratch.table(least, "near-least", tasks)
         upper = both.where("b > a")
         large = (_with_least(upper, least, most) if split else upper.join(least, "a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         if split:
-            least = scratch.table(least, "near-least")
+            least = scratch.table(least, "near-least", tasks)
         small = (_with_least(large, least, most) if split else large.join(least, "a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        now, after = scratch.observed(small, "near-edges", *of_all)
+        now, after = scratch.observed(small, "near-edges", *of_all, most=tasks)
         if after == before:
             return now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "cid")
         before = after
@@ -316,10 +319,10 @@ def close_clusters(keys: DataFrame, classes: DataFrame, labels: DataFrame, rules
 
     keys: (key, cid); classes: (cid, n_shingles, sig); labels: (cid, root) of those that aren't their own root.
     """
-    rooted = scratch.table(keys.join(labels, "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("root")), "near-rooted")
+    rooted = scratch.table(keys.join(labels, "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("root")), "near-rooted", rules.tasks)
     by_root = rooted.groupBy("key", "root").count()
     mixed = by_root.groupBy("key").agg(F.max(F.struct("count", "root")).alias("top"), F.sum("count").alias("n"), F.count("*").alias("roots")).where("roots > 1")
-    mixed = scratch.table(mixed.select("key", F.col("top.root").alias("main"), F.ceil(F.col("n") / rules.block).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("top.count")) / rules.block).cast("int").alias("out_blocks")), "near-mixed")
+    mixed = scratch.table(mixed.select("key", F.col("top.root").alias("main"), F.ceil(F.col("n") / rules.block).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("top.count")) / rules.block).cast("int").alias("out_blocks")), "near-mixed", rules.tasks)
     rows = _dealt(rooted.join(mixed, "key").join(classes.select("cid", "n_shingles", "sig"), "cid"))
     bins, percent, least_agree = rules.bins, rules.percent, rules.least_agree
 
@@ -349,20 +352,20 @@ def close_clusters(keys: DataFrame, classes: DataFrame, labels: DataFrame, rules
 def cluster_links(stars: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, rules: NearRules) -> DataFrame:
     """Verified (a, b) between roots: at least one for each two roots of a cluster that a link joins, directly or through others."""
     n, percent = rules.words, rules.percent
-    joined = components(stars.select(F.col("cid").alias("a"), F.col("star").alias("b")), rules.rows_per_salt)
+    joined = components(stars.select(F.col("cid").alias("a"), F.col("star").alias("b")), rules.rows_per_salt, rules.tasks)
     held = stars.select("key", "cid").repartition("cid").distinct().join(joined, "cid", "left").join(classes.select("cid", "n_shingles"), "cid").join(labels, "cid", "left")
     held = held.select("key", "cid", F.coalesce("root", "cid").alias("root"), F.coalesce("component", "cid").alias("cluster"), (F.col("n_shingles") + 32).alias("weight"))
-    held = scratch.table(held, "near-clusters")
+    held = scratch.table(held, "near-clusters", rules.tasks)
     blocks = lambda w: F.ceil(w / rules.block_shingles).cast("int")
-    large = scratch.table(held.select("cluster", "cid", "weight").distinct().groupBy("cluster").agg(blocks(F.sum("weight")).alias("many")), "near-large-clusters")
+    large = scratch.table(held.select("cluster", "cid", "weight").distinct().groupBy("cluster").agg(blocks(F.sum("weight")).alias("many")), "near-large-clusters", rules.tasks)
     whole = F.col("many") <= rules.most_blocks
     # the cluster, or the bucket of a cluster that is too large
     dealt = held.join(large, "cluster").select(F.when(whole, F.lit(0)).otherwise(1).alias("kind"), F.when(whole, F.col("cluster")).otherwise(F.col("key")).alias("at"), "cid", "root", "weight").distinct()
-    dealt = scratch.table(dealt, "near-groups")
+    dealt = scratch.table(dealt, "near-groups", rules.tasks)
     by_root = dealt.groupBy("kind", "at", "root").agg(F.sum("weight").alias("w"))
     plan = by_root.groupBy("kind", "at").agg(F.max(F.struct("w", "root")).alias("top"), F.sum("w").alias("total"), F.count("*").alias("roots")).where("roots > 1")
-    plan = scratch.table(plan.select("kind", "at", F.col("top.root").alias("main"), blocks(F.col("total")).alias("blocks"), blocks(F.col("total") - F.col("top.w")).alias("out_blocks")), "near-plan")
-    members = scratch.table(dealt.join(plan, ["kind", "at"]).drop("weight").join(classes.select("cid", "rid", "node"), "cid"), "near-members")
+    plan = scratch.table(plan.select("kind", "at", F.col("top.root").alias("main"), blocks(F.col("total")).alias("blocks"), blocks(F.col("total") - F.col("top.w")).alias("out_blocks")), "near-plan", rules.tasks)
+    members = scratch.table(dealt.join(plan, ["kind", "at"]).drop("weight").join(classes.select("cid", "rid", "node"), "cid"), "near-members", rules.tasks)
     rows = _dealt(with_texts(members, docs).drop("rid"))
 
     def check(group: pa.Table) -> pa.Table:
@@ -402,44 +405,53 @@ def cluster_links(stars: DataFrame, classes: DataFrame, labels: DataFrame, docs:
     return rows.groupBy("kind", "at", "x", "y").applyInArrow(check, "a long, b long").distinct()
 
 
-def merged(labels: DataFrame, links: DataFrame, rows_per_end: int) -> DataFrame:
+def merged(labels: DataFrame, links: DataFrame, rules: NearRules) -> DataFrame:
     """(cid, root) after joining the trees that links connect."""
     root = lambda c: F.coalesce(F.col(f"{c}_root"), F.col(c))
     of = lambda c: labels.select(F.col("cid").alias(c), F.col("root").alias(f"{c}_root"))
     lifted = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(root("a").alias("a"), root("b").alias("b"))
-    joined = scratch.table(components(lifted, rows_per_end), "near-components")
+    joined = scratch.table(components(lifted, rules.rows_per_salt, rules.tasks), "near-components", rules.tasks)
     tops = labels.join(joined.withColumnRenamed("cid", "root"), "root", "left").select("cid", F.coalesce("component", "root").alias("root"))
-    return scratch.table(tops.unionByName(joined.join(labels, "cid", "left_anti").select("cid", F.col("component").alias("root"))), "near-labels")
+    return scratch.table(tops.unionByName(joined.join(labels, "cid", "left_anti").select("cid", F.col("component").alias("root"))), "near-labels", rules.tasks)
 
 
 def component_rows(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
     """doc_id, rid, n_shingles, component_id and `top` (a number of the component, null without shingles) of every row."""
+    return _component_rows(docs, *_sketched(docs, rules))
+
+
+def _sketched(docs: DataFrame, rules: NearRules) -> tuple[DataFrame, NearRules]:
+    """The table of sketches, which what follows doesn't exceed but for texts, and rules with their number of tasks."""
     sketched = scratch.table(sketch_documents(docs, rules), "near-sketches")
+    return sketched, replace(rules, tasks=rules.tasks or scratch.tasks_for(sketched))
+
+
+def _component_rows(docs: DataFrame, sketched: DataFrame, rules: NearRules) -> DataFrame:
     same = sketched.where("node is not null").groupBy("node")
     # a class speaks through one of its rows
     classes = same.agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sig")))
-    classes = scratch.table(classes.withColumn("cid", F.monotonically_increasing_id()), "near-classes")
+    classes = scratch.table(classes.withColumn("cid", F.monotonically_increasing_id()), "near-classes", rules.tasks)
     keys = classes.select(F.explode("bands").alias("key"), "cid")
-    centres = scratch.table(keys.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("top")).where("a <> top").select("key", "a"), "near-centres")
+    centres = scratch.table(keys.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("top")).where("a <> top").select("key", "a"), "near-centres", rules.tasks)
     # keys of one class only don't leave the scan
-    shared = scratch.table(bloom.keep_maybe(keys, "key", centres.select(F.col("key").alias("hash"))).join(centres, "key"), "near-buckets")
+    shared = scratch.table(bloom.keep_maybe(keys, "key", centres.select(F.col("key").alias("hash"))).join(centres, "key"), "near-buckets", rules.tasks)
     hits = shared.where("cid <> a").repartition("cid").groupBy("cid", "a").count()
     # most shared bands, then the largest centre: ids of rows are below 2 ** 56
     best = hits.groupBy("cid").agg(F.max(F.shiftleft("count", 56).bitwiseOR(F.col("a"))).alias("x")).select(F.col("x").bitwiseAND(F.lit((1 << 56) - 1)).alias("a"), F.col("cid").alias("b"))
-    near = scratch.table(close_pairs(best, classes, rules), "near-pairs")
-    trees = scratch.table(verify(near, classes, docs, rules), "near-trees")
-    labels = roots_of_trees(trees.select(F.col("b").alias("cid"), F.col("a").alias("parent")))
-    stars = scratch.table(close_clusters(shared.select("key", "cid"), classes, labels, rules), "near-stars")
-    links = scratch.table(cluster_links(stars, classes, labels, docs, rules), "near-links")
+    near = scratch.table(close_pairs(best, classes, rules), "near-pairs", rules.tasks)
+    trees = scratch.table(verify(near, classes, docs, rules), "near-trees", rules.tasks)
+    labels = roots_of_trees(trees.select(F.col("b").alias("cid"), F.col("a").alias("parent")), rules.tasks)
+    stars = scratch.table(close_clusters(shared.select("key", "cid"), classes, labels, rules), "near-stars", rules.tasks)
+    links = scratch.table(cluster_links(stars, classes, labels, docs, rules), "near-links", rules.tasks)
     if links.limit(1).count():
-        labels = merged(labels, links, rules.rows_per_salt)
+        labels = merged(labels, links, rules)
     tops = labels.withColumnRenamed("root", "top")
     # the least id of each component of several classes
     named = tops.select("cid", "top").unionByName(tops.select(F.col("top").alias("cid"), "top")).distinct()
     few = classes.select("cid", "node", "least")
     # a table of its own, so that a large component's classes can be split when they meet its id
-    ids = scratch.table(named.join(few, "cid").groupBy("top").agg(F.min("least").alias("component_id")), "near-least-ids")
-    many = scratch.table(named.join(ids, "top"), "near-ids")
+    ids = scratch.table(named.join(few, "cid").groupBy("top").agg(F.min("least").alias("component_id")), "near-least-ids", rules.tasks)
+    many = scratch.table(named.join(ids, "top"), "near-ids", rules.tasks)
     found = few.join(many, "cid", "left").select("node", F.coalesce("top", "cid").alias("top"), F.when(F.col("top").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     out = sketched.select("doc_id", "rid", "n_shingles", "node").join(found, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
@@ -454,13 +466,14 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
 
 def without_near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
     """`docs` with one row of each component: that with the least doc_id, a null one last. Rows without shingles stay."""
-    rows = scratch.table(component_rows(docs, rules).where("top is not null").select("top", "doc_id", "rid"), "near-rows")
+    sketched, rules = _sketched(docs, rules)
+    rows = scratch.table(_component_rows(docs, sketched, rules).where("top is not null").select("top", "doc_id", "rid"), "near-rows", rules.tasks)
     first = rows.groupBy("top").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"))
-    first = scratch.table(first.select("top", F.col("first.doc_id").alias("first_id"), F.col("first.rid").alias("first_rid")), "near-first")
+    first = scratch.table(first.select("top", F.col("first.doc_id").alias("first_id"), F.col("first.rid").alias("first_rid")), "near-first", rules.tasks)
     marked = rows.join(first, "top").withColumn("kept", (F.col("rid") == F.col("first_rid")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
     by_row = marked.groupBy("doc_id", "rid").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     # rows that go, and rows of which one of several equal ones stays
-    odd = scratch.table(by_row.where("not kept or n > 1").select(F.col("doc_id").alias("__of_id"), F.col("rid").alias("__of_rid"), F.col("kept").alias("__kept")), "near-odd")
+    odd = scratch.table(by_row.where("not kept or n > 1").select(F.col("doc_id").alias("__of_id"), F.col("rid").alias("__of_rid"), F.col("kept").alias("__kept")), "near-odd", rules.tasks)
     held = docs.withColumn("__rid", row_key(docs))
     ask = bloom.asker(docs, odd.select(F.col("__of_rid").alias("hash")))
     same = (F.col("__rid") == F.col("__of_rid")) & F.col("doc_id").eqNullSafe(F.col("__of_id"))

@@ -34,18 +34,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it again."""
+def tasks_for(scan: DataFrame) -> int:
+    """Most tasks for tables no larger than `scan`, a written table: as many as it has, and at least a few for each core."""
+    return max(4 * scan.sparkSession.sparkContext.defaultParallelism, scan.rdd.getNumPartitions())
+
+
+def table(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """Write `df` as Parquet in the shared folder and read it again; by `most` tasks at most, each of which makes a file.
+
+    A file costs far more than its rows where these are few: without native code, Hadoop starts a process for the rights of
+    each file, of its checksums and of its folder.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    (df.coalesce(most) if most else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def observed(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, dict]:
+def observed(df: DataFrame, name: str, *metrics: Column, most: int | None = None) -> tuple[DataFrame, dict]:
     """table(), and aggregates of its rows taken while it is written. A repeated task may count twice: use them only to ask whether to go on."""
     seen = Observation(name)
-    return table(df.observe(seen, *metrics), name), seen.get
+    return table((df.coalesce(most) if most else df).observe(seen, *metrics), name), seen.get
 
 
 def mark() -> int:

@@ -6,6 +6,7 @@ import random
 import re
 import unicodedata
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -210,6 +211,29 @@ def test_components_with_hot_ends(spark, rows_per_end):
     assert minhash.components(spark.createDataFrame([], "a long, b long"), rows_per_end).count() == 0
 
 
+def test_near_duplicates_are_written_by_few_tasks(spark, monkeypatch):
+    """Tables on the way have at most as many files as tasks are asked for, however many partitions a shuffle has, and the same results."""
+    written = []
+    new_path = scratch.new_path
+    monkeypatch.setattr(scratch, "new_path", lambda s, name: written.append(new_path(s, name)) or written[-1])
+    text = [" ".join(f"w{(7 * i + j) % 90}" for j in range(60)) + (" end" if i % 3 else "") for i in range(30)]
+    docs = spark.createDataFrame([(k, text[k % 30] + (f" {k}" if k % 2 else "")) for k in range(120)], "doc_id long, text string").repartition(2)
+    alike = lambda rules: sorted(map(tuple, minhash.near_duplicates(docs, rules).collect()))
+    want = alike(minhash.NearRules())
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        written.clear()
+        got = alike(minhash.NearRules(tasks=3))
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert got == want and len({x[2] for x in got}) < 120
+    files = {p.rsplit("/", 1)[-1]: len(list(Path(p.removeprefix("file://")).glob("*.parquet"))) for p in written}
+    assert len(files) > 10 and max(files.values()) <= 3, files
+
+
 # --- 8 -----------------------------------------------------------------------------------------
 
 
