@@ -149,3 +149,24 @@ def test_texts_without_what_a_match_needs_are_not_searched(spark):
         assert guarded.collect() == plain.collect() and guarded.where("size(m) > 0").count() > 0
         plan = rows.select(c.detected(F.col("text"), name).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
         assert "CASE WHEN NOT" in plan  # the guard stands before the search
+
+
+def test_a_detector_searches_a_text_once(spark):
+    import re
+
+    from loomveil.functions import columns as c
+
+    mark = "\ue000"
+    texts = [
+        None, "", mark, "niets", f"{mark}123456782{mark}{mark} 111222333", "\U0001f600 1234.56.782 en\n14-03-1948, 1/2/99, 15 Maart 2023, MEI 2024, xmei 2024, Geb. 1.2.1990", f"a.b%c@d.e.nl{mark}x+y@z.nl a@b a@@b.nl",
+        "NL91 ABNA 0417 1643 00 NL91ABNA0417164300, 1017AB 0999 ZZ 1234 ab", "06-12345678 0612345678 020 123 45 67 +31 6 99998888 0031(0)6-12345678 +31 20 1234567 Telefoon: (030) 123456 tel:1",
+        "Parklaan 12, Oude hoge Woustraat 99 hs! éParklaan 3 Eéndaan 4 Lange straat 12345 b", "\u00e9123456782 _123456782 x123456782",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").orderBy("id")
+    for name, patterns in c.PATTERNS.items():
+        for p in patterns:
+            made = rows.select(c.spans(F.col("text"), p, c.NEEDS.get(name)).alias("m"))
+            expected = [None if t is None else [(x.start(), x.end(), x[0]) for x in re.finditer(p, t, re.ASCII)] for t in texts]
+            assert [None if r.m is None else [tuple(x) for x in r.m] for r in made.collect()] == expected and any(expected), name
+            plan = made._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("regexp_replace(") == 1 and "regexp_extract_all" not in plan and plan.count("split(") == 1
