@@ -417,6 +417,17 @@ def test_snippets(spark):
     assert [x[0] for x in df.select(search.snippet(F.col("t"), F.col("m"))).collect()] == [cut(t, m) for t, m in rows]
 
 
+def test_uncovered_spans_are_made_once(spark):
+    kind = "doc_id long, start_offset long, end_offset long, note string"
+    # copies, spans over three cells that are covered in one, and rows with nulls; what makes a span is in the plan once
+    a = [(1, 0, 9, "a")] * 3 + [(1, 500, 1100, "b")] * 3 + [(1, 1500, 2600, "c"), (1, 1500, 2600, "c"), (1, 1500, 2600, "d"), (2, 0, 9, None), (None, 0, 9, "e"), (1, None, 9, "f"), (1, 3, None, "g")]
+    others = spark.createDataFrame([(1, 1050, 1060, ""), (1, 9, 12, ""), (None, 0, 9, ""), (2, None, 5, "")], kind)
+    got = pii.uncovered_spans(spark.createDataFrame(a, kind).where("note is null or upper(note) <> 'Z'"), others)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted((x for x in a if x[3] != "b"), key=str)
+    assert got.columns == ["doc_id", "start_offset", "end_offset", "note"]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 1
+
+
 def test_missed_names_and_paragraphs(spark):
     expected, found = spark.createDataFrame([("Anna de Vries",), ("Piet",)], "name string"), spark.createDataFrame([("anna",), ("Klaas",)], "original string")
     assert {(r.name, r.found) for r in pii.missed_names(expected, found).collect()} == {("Anna de Vries", True), ("Piet", False)}
