@@ -22,8 +22,11 @@ Items of the same tokens, slots' values included, are looked up once, under the
 Items of one template with other values are looked up each by itself: which of their values are equal
 decides which parameters they can have, and their windows to be found verbatim differ.
 Benchmark windows are broadcast while they are at most `block_rows` rows; a larger
-benchmark meets the documents' windows in one shuffled hash join, which needs no second
-look at the documents and splits hot windows.
+benchmark meets the documents' windows in one shuffled join, which needs no second
+look at the documents and splits hot windows. Its hashes alone are broadcast up to
+`filter_rows` of them, so that only documents' windows that meet one are shuffled.
+No row of a window carries its document's tokens out of generated code: the windows of a
+document are buffered there together, which would take the square of its length.
 
 Edge cases: null and empty texts have no windows and match nothing. Items with
 fewer tokens than a window are looked up whole, by windows of their own length
@@ -55,6 +58,7 @@ class LeakRules:
     min_literals: int = 3
     coverage: float = 0.3
     block_rows: int = 500_000
+    filter_rows: int = 2_000_000
 
 
 #: Marks before a slot's value; private-use characters, so no word has them.
@@ -93,9 +97,9 @@ def windows(df: DataFrame, keys: list[str], n: int, exact: bool = False) -> Data
 
 
 def _slots(n: int) -> Column:
-    """A window's slot values in order, with their marks."""
+    """A window's slot values in order, with their marks; by functions that stay in generated code, which array_compact() does not."""
     here = (F.get("tokens", F.col("at") + k) for k in range(n))
-    return F.array_compact(F.array(*(F.when(F.substring(t, 1, 1).between(NUMBER, UNIT), t) for t in here)))
+    return F.array_remove(F.array(*(F.when(F.substring(t, 1, 1).between(NUMBER, UNIT), t).otherwise(F.lit("")) for t in here)), F.lit(""))
 
 
 def benchmark_windows(items: DataFrame, rules: LeakRules, n: int, whole: bool) -> DataFrame:
@@ -107,12 +111,12 @@ def benchmark_windows(items: DataFrame, rules: LeakRules, n: int, whole: bool) -
     literals = reduce(lambda a, b: a + b, ((~F.substring(t, 1, 1).between(NUMBER, UNIT)).cast("int") for t in here))
     made = made.withColumn("exact", literals < min(rules.min_literals, n))
     made = made.withColumn("hash", F.when(F.col("exact"), F.xxhash64(*(F.translate(t, NAME, "") for t in here))).otherwise(F.col("hash")))
+    made = made.select("item_id", "at", "exact", "hash", _slots(n).alias("item_slots"), F.xxhash64("tokens").alias("same"))
     # an item's windows; those with open slots are held against their own number too
     sizes = made.groupBy("item_id").agg(F.count_distinct("at").alias("windows"), F.count_distinct(F.when(~F.col("exact"), F.col("at"))).alias("open_windows"))
-    made = made.withColumn("same", F.xxhash64("tokens"))
     least = made.groupBy("same").agg(F.min("item_id").alias("item_id"))
     made = made.join(least, ["same", "item_id"], "left_semi").join(sizes, "item_id")
-    return made.select("item_id", F.col("at").alias("item_at"), "exact", "hash", _slots(n).alias("item_slots"), "windows", "open_windows").distinct()
+    return made.select("item_id", F.col("at").alias("item_at"), "exact", "hash", "item_slots", "windows", "open_windows").distinct()
 
 
 def caught_rows(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()) -> DataFrame:
@@ -131,7 +135,10 @@ def caught_rows(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules(
             found = windows(docs, ["doc_id", "text_hash"], n, exact)
             if held <= rules.block_rows:
                 some = F.broadcast(some)
-            else:  # rows are shuffled: only what the match needs
+            else:  # rows are shuffled: only those that meet a hash, and of them what the match needs
+                hashes = some.select("hash").distinct()
+                if hashes.count() <= rules.filter_rows:
+                    found = found.join(F.broadcast(hashes), "hash", "left_semi")
                 found = found.select("doc_id", "text_hash", "at", "hash", _slots(n).alias("slots"))
             slots = F.col("item_slots") if exact else _slots(n) if held <= rules.block_rows else F.col("slots")
             met = found.join(some, "hash")

@@ -402,6 +402,21 @@ def test_leaks_of_items_of_one_template(spark):
     assert decontam.drop_contaminated(df, bench).count() == 0
 
 
+def test_windows_leave_their_tokens_behind(spark):
+    # a row that leaves generated code is copied, and those of a document wait there together
+    items = [(1, "if x equals 3 then add 5 to it and then take 7 from it again")]
+    df, bench = spark.createDataFrame([(1, items[0][1]), (2, prose(60, 40))], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for rules in (decontam.LeakRules(), decontam.LeakRules(block_rows=3), decontam.LeakRules(block_rows=3, filter_rows=0)):
+            caught = decontam.caught_rows(df, bench, rules)
+            lines = [x for x in caught._jdf.queryExecution().executedPlan().toString().splitlines() if "tokens#" in x]
+            assert lines and all("*(" in x for x in lines)
+            assert [(x.doc_id, x.item_id, x.verbatim) for x in caught.collect()] == [(1, 1, True)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 # --- 10 ------------------------------------------------------------------------------------
 
 
