@@ -4,6 +4,7 @@ import sqlite3
 import zipfile
 from io import BytesIO
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,6 +217,20 @@ def test_sheets_in_blocks_have_one_lexicon(spark, monkeypatch):
     assert sorted(map(str, pii.filter_cells(cells, lex).collect())) == one
 
 
+def test_blocks_are_held_one_by_one(spark, monkeypatch):
+    lex = FilterConfig(lexicon=Lexicon(frozenset(["Anna", "Bram"]), frozenset(["Vries", "Bakker"])))
+    rows = [(k if k % 7 else None, f"{('Anna', 'Bram')[k % 2]} {('de Vries', 'Bakker')[k % 3 % 2]} {k}" if k % 5 else " ", k % 3) for k in range(60)]
+    cells = pii.to_cells(spark.createDataFrame(rows, "id int, naam string, s int").select("naam", "id", "s").repartition(7), F.col("s"), F.col("id")).where("col < 2")
+    monkeypatch.setattr(pii, "BLOCK_ROWS", 4)
+    texts = pii.filter_documents(pii.sheet_texts(cells, 4), lex).collect()
+    expected = {s: {p for t in texts if t.sheet == s for m in t.matches if m.type == "name" for p in pii.name_parts(m.original)} for s in range(3)}
+    found = pii.discovered_names(cells, lex)
+    assert {x.sheet: set(x.names) for x in found.collect()} == expected and all(expected.values())
+    assert "collect_list" not in found._jdf.queryExecution().executedPlan().toString()
+    large = pa.RecordBatch.from_arrays([pa.array(["x" * (3 << 20)] * 9)], ["text"])
+    assert [x.num_rows for x in pii._slices([large])] == [1] * 9
+
+
 GOLDEN = FilterConfig(lexicon=Lexicon.of(golden.FIRST, golden.LAST))
 
 
